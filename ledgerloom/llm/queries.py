@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import percentiles as pct
 from ledgerloom.llm import terms
+from ledgerloom.llm.leakage import leaks
+from ledgerloom.llm.mixing import Mix
 from ledgerloom.runtime import plain
 
 
@@ -68,6 +70,45 @@ def p5_by_deltas(spark: SparkSession, sf: str) -> DataFrame:
     return counts.apply(terms.delta(terms.signed(rest), _fields())).marked()
 
 
+# ---- p7: held-out passages in documents
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks(table(spark, sf, "documents"), table(spark, sf, "heldout")).select("doc_id", "item_id")
+
+
+def p7_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Which items leaked, into how many documents."""
+    return p7_found(spark, sf).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+# ---- p8: sources mixed to target weights
+
+#: Weights over the training time; sources not named here are even.
+CURRICULUM = {
+    "curated_canon": ((0.0, 0.2), (0.6, 0.6), (1.0, 2.6)),
+    "synthesis_briefs": ((0.0, 0.5), (1.0, 1.5)),
+    "session_logs": ((0.0, 1.6), (0.5, 1.0), (1.0, 0.4)),
+    "forum_threads": ((0.0, 1.4), (1.0, 0.6)),
+}
+
+
+def _mix(spark: SparkSession, sf: str) -> Mix:
+    return Mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"), CURRICULUM)
+
+
+def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return _mix(spark, sf).placed()
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return _mix(spark, sf).report()
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _mix(spark, sf).report().where("short").select("source")
+
+
 _PLAIN = "nullif(lower(trim({0}, ' ')), '')"
 _TERMS = f"""
   WITH r AS (SELECT DISTINCT rec_id, topic_hint, reconciliation_pattern, decided_source FROM recall_log),
@@ -84,7 +125,7 @@ _DURATIONS = f"""
   FROM recall_log WHERE duration_ms > 0
 """
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_percentiles, p3_days, p5_found, p5_by_deltas)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_percentiles, p3_days, p5_found, p5_by_deltas, p7_found, p7_items, p8_found, p8_shares, p8_mix)}
 
 ORACLE = {
     "p3_found": f"""
