@@ -9,6 +9,8 @@ from ledgerloom.llm import percentiles as pct
 from ledgerloom.llm import terms
 from ledgerloom.llm.leakage import leaks
 from ledgerloom.llm.mixing import Mix
+from ledgerloom.llm.pairs import defects
+from ledgerloom.llm.sentences import sentences
 from ledgerloom.runtime import plain
 
 
@@ -16,6 +18,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+# ---- p1: defective question-answer pairs
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return defects(table(spark, sf, "tests")).select("path", "id", "defect")
+
+
+def p1_report(spark: SparkSession, sf: str) -> DataFrame:
+    return p1_found(spark, sf).groupBy("defect").agg(F.count(F.lit(1)).alias("n_pairs"))
+
+
 # ---- p3: percentiles of duration_ms
 
 GROUP = ["topic_hint", "decided_source"]
@@ -109,6 +122,19 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf).report().where("short").select("source")
 
 
+# ---- p9: sentence units
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences(table(spark, sf, "documents")).distinct()
+
+
+def p9_lengths(spark: SparkSession, sf: str) -> DataFrame:
+    """Units and code points in units per document."""
+    size = F.col("end_pos") - F.col("start_pos")
+    return p9_found(spark, sf).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_units"), F.sum(size).alias("n_chars"), F.max(size).alias("longest"))
+
+
 _PLAIN = "nullif(lower(trim({0}, ' ')), '')"
 _TERMS = f"""
   WITH r AS (SELECT DISTINCT rec_id, topic_hint, reconciliation_pattern, decided_source FROM recall_log),
@@ -125,7 +151,7 @@ _DURATIONS = f"""
   FROM recall_log WHERE duration_ms > 0
 """
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_percentiles, p3_days, p5_found, p5_by_deltas, p7_found, p7_items, p8_found, p8_shares, p8_mix)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_percentiles, p3_days, p5_found, p5_by_deltas, p7_found, p7_items, p8_found, p8_shares, p8_mix, p9_found, p9_lengths)}
 
 ORACLE = {
     "p3_found": f"""
