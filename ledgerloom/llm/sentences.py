@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.llm import rx
+
 # Abbreviations after which a sentence goes on (titles, references, "for example").
 NEVER_LAST = set(
     "dr mr mrs ms prof sgt capt lt col gen rev hon st mt fr vs v cf ca approx no nos nr vol vols bd pp p pg fig figs art sec ch ed eds viz resp al i.e e.g z.b d.h u.a s.o s.u vgl bzw ggf evtl inkl abs kap tel hr fr frau str "
@@ -120,7 +122,7 @@ def spaceless_gap(before: str, after: str, thai: bool = False) -> float:
 def blocks(text: str) -> Iterator[tuple[list[tuple[int, int]], bool]]:
     """Blocks of a markdown text: spans of their lines without markers, and whether the block is one unit."""
     n, at = len(text), 0
-    m = regex.match(r"\A---[ \t]*\r?\n(?:.*?\r?\n)??---[ \t]*(?:\r?\n|\Z)", text, regex.S)
+    m = rx.match(r"\A---[ \t]*\r?\n(?:.*?\r?\n)??---[ \t]*(?:\r?\n|\Z)", text, regex.S)
     if m:
         at = m.end()
     lines: list[tuple[int, int]] = []
@@ -130,7 +132,7 @@ def blocks(text: str) -> Iterator[tuple[list[tuple[int, int]], bool]]:
         stop = n if stop < 0 else stop
         line = text[at:stop]
         here, at = at, stop + 1
-        f = regex.match(r"[ >]*(`{3,}|~{3,})", line)
+        f = rx.match(r"[ >]*(`{3,}|~{3,})", line)
         if fence:
             if f and f[1][0] == fence[0] and len(f[1]) >= len(fence) and not line[f.end() :].strip():
                 fence = ""
@@ -140,23 +142,23 @@ def blocks(text: str) -> Iterator[tuple[list[tuple[int, int]], bool]]:
                 yield lines, single
             lines, single, in_list, fence = [], False, False, f[1]
             continue
-        skip = regex.match(r"\s*(?:>\s?)*\s*", line).end()
+        skip = rx.match(r"\s*(?:>\s?)*\s*", line).end()
         rest = line[skip:]
         quoted = ">" in line[:skip]
-        if not rest.strip() or regex.fullmatch(r"([-*_])(?:[ \t]*\1){2,}\s*", rest):
+        if not rest.strip() or rx.fullmatch(r"([-*_])(?:[ \t]*\1){2,}\s*", rest):
             if lines:
                 yield lines, single
             lines, single = [], False
             in_list = in_list and not quoted and not rest.strip()
             continue
-        head = regex.match(r"#{1,6}(?:[ \t]+|$)", rest)
-        item = regex.match(r"(?:[-*+]|(\d{1,9})[.)])[ \t]+", rest)
+        head = rx.match(r"#{1,6}(?:[ \t]+|$)", rest)
+        item = rx.match(r"(?:[-*+]|(\d{1,9})[.)])[ \t]+", rest)
         if item and item[1] and lines and not single and item[1] != "1":
             item = None  # a wrapped line that begins with a number
         if head or item:
             if lines:
                 yield lines, single
-            box = regex.match(r"\[[ xX]\][ \t]+", rest[item.end() :]) if item else None
+            box = rx.match(r"\[[ xX]\][ \t]+", rest[item.end() :]) if item else None
             skip += (head or item).end() + (box.end() if box else 0)
             lines = [(here + skip, stop)]
             single, in_list = True, bool(item)
@@ -213,17 +215,17 @@ def _matched(s: str) -> list[tuple[int, int]]:
 
 def _opening(after: str) -> tuple[str, bool]:
     """The first letter or digit of what follows ('' if none comes soon), and whether a quote or bracket opens before it."""
-    m = regex.match(r"[\s\p{P}\p{S}]*", after)
+    m = rx.match(r"[\s\p{P}\p{S}]*", after)
     lead = after[: m.end()]
-    return after[m.end() : m.end() + 1], bool(regex.search(r"[\"'“„‘«‹「『（(¿¡\[]", lead))
+    return after[m.end() : m.end() + 1], bool(rx.search(r"[\"'“„‘«‹「『（(¿¡\[]", lead))
 
 
 def _speech(after: str) -> bool:
     """Whether the clause that follows a quotation says who spoke."""
-    clause = regex.split(r"[.!?。！？؟।]", after, maxsplit=1)[0]
+    clause = rx.split(r"[.!?。！？؟।]", after, maxsplit=1)[0]
     if _CJK.search(clause):
         return any(w in ZH_SPEECH for w in _ZH.segment(clause[:40]))
-    words = regex.findall(r"\p{L}[\p{L}\p{M}]*", clause)
+    words = rx.findall(r"\p{L}[\p{L}\p{M}]*", clause)
     return bool(words) and (any(w.lower() in SPEECH for w in words[:3]) or any(w in SPEECH for w in words[-2:]))
 
 
@@ -241,15 +243,15 @@ def _score(s: str, unit: int, i: int, j: int, end: int, inside: bool) -> float:
     file_next = bool(_FILE.match(follows)) if lower or first.isdigit() else False
 
     if inside:  # a quotation that ends with a mark
-        if not first or regex.match(r"\s*[,،;:、，—–-]", after):
+        if not first or rx.match(r"\s*[,،;:、，—–-]", after):
             return -9.0
         if lower and not file_next:
             return -9.0
         if _CJK.match(first) or cjk_last or _KANA.search(before[-6:]):
             if _KANA.search(after[:30]) and _JA.segment(after.lstrip()[:6])[0] in JA_QUOTES_ON:
                 return -9.0
-            return -6.0 if not spaced and (_speech(after) or not regex.match(r"\s*[「『“（(]", after)) else 4.0
-        if not cased and regex.match(rf"\s*(?:{AR_RUNS_ON})", after):
+            return -6.0 if not spaced and (_speech(after) or not rx.match(r"\s*[「『“（(]", after)) else 4.0
+        if not cased and rx.match(rf"\s*(?:{AR_RUNS_ON})", after):
             return -6.0
         return -6.0 if _speech(after) else 5.0
     if set(marks) & set("。！？．｡।॥؟"):
@@ -268,27 +270,27 @@ def _score(s: str, unit: int, i: int, j: int, end: int, inside: bool) -> float:
     # A full stop.
     if not spaced:
         nxt = after[:1]
-        if nxt in "\"'“”„«»‘’([{（「¿¡*_" and first and not lower and not regex.search(r"\d$", before):
+        if nxt in "\"'“”„«»‘’([{（「¿¡*_" and first and not lower and not rx.search(r"\d$", before):
             return 2.0
         if not nxt.isalpha() or (cased and lower):
             return -9.0
         token = _LAST_WORD.search(before)
         token = token[0] if token else ""
-        ahead = regex.match(r"[^\s]*", after)[0]
-        if "://" in token or "/" in token or regex.match(r"[^\s]*\.(?:md|txt|html?)\b", ahead) and regex.search(r"\d", ahead.split(".")[0]):
+        ahead = rx.match(r"[^\s]*", after)[0]
+        if "://" in token or "/" in token or rx.match(r"[^\s]*\.(?:md|txt|html?)\b", ahead) and rx.search(r"\d", ahead.split(".")[0]):
             return -6.0
-        letters = regex.search(r"[\p{L}\p{M}]+$", token)
+        letters = rx.search(r"[\p{L}\p{M}]+$", token)
         if letters and len(letters[0]) < 2 and not _CJK.match(letters[0]):
             return -6.0
         if letters and letters[0].lower() in NEVER_LAST:
             return -6.0
-        if "." in token and not regex.search(r"\.(?:md|txt|html?)$", token) and letters:
+        if "." in token and not rx.search(r"\.(?:md|txt|html?)$", token) and letters:
             return -4.0
         return 5.0
     word = _LAST_WORD.search(before)
     word = word[0].lower() if word else ""
     bare = word.strip(".")
-    pair = regex.search(r"(\p{L}{1,2})\. ?(\p{L}{1,2})$", before)
+    pair = rx.search(r"(\p{L}{1,2})\. ?(\p{L}{1,2})$", before)
     both = f"{pair[1]}.{pair[2]}".lower() if pair else ""
     if both in MAYBE_LAST or bare in MAYBE_LAST:
         return -5.0 if lower or first.isdigit() else 4.0
@@ -298,9 +300,9 @@ def _score(s: str, unit: int, i: int, j: int, end: int, inside: bool) -> float:
         if known and raw == raw.lower() and len(raw) > 1 and not lower and not first.isdigit() and bare in ("no", "art", "al", "mar", "me", "am"):
             return 4.0  # a common word, not the abbreviation
         return -6.0
-    if regex.fullmatch(r"\p{L}", bare) and not _CJK.match(bare):
+    if rx.fullmatch(r"\p{L}", bare) and not _CJK.match(bare):
         return -5.0  # an initial
-    if regex.fullmatch(r"\d{1,2}", bare) and regex.match(rf"\s+(?:{MONTHS})\b", after):
+    if rx.fullmatch(r"\d{1,2}", bare) and rx.match(rf"\s+(?:{MONTHS})\b", after):
         return -6.0  # an ordinal
     if lower and not file_next:
         return -4.0
@@ -314,7 +316,7 @@ def split_paragraph(s: str, thai: bool | None = None) -> list[tuple[int, int]]:
     start = n - len(s.lstrip())
     nodes: list[tuple[int, float]] = []  # (end of a unit, evidence)
     p = 0
-    has_thai = bool(regex.search(r"\p{Thai}", s)) if thai is None else thai
+    has_thai = bool(rx.search(r"\p{Thai}", s)) if thai is None else thai
     events = [m.start() for m in _MARK.finditer(s)]
     at, unit = 0, start
     for i in events:
@@ -324,14 +326,14 @@ def split_paragraph(s: str, thai: bool | None = None) -> list[tuple[int, int]]:
             p += 1
         if p < len(pairs) and pairs[p][0] < i:  # within a pair: only its end can be a node
             a, b = pairs[p]
-            inner = regex.search(r"[.!?…。！？．؟।॥｡;;]\s*[\"'”’»」』“）)\]]*$", s[a + 1 : b])
+            inner = rx.search(r"[.!?…。！？．؟।॥｡;;]\s*[\"'”’»」』“）)\]]*$", s[a + 1 : b])
             at = b + 1
             if not inner or (inner[0].strip()[:1] in ";;"):
                 continue
             own = not s[unit:a].strip(" *_")
             if s[a] in _BRACKETS:
                 if own:
-                    nodes.append((b + 1, 7.0 if regex.match(r"\s|$", s[b + 1 :]) else 3.0))
+                    nodes.append((b + 1, 7.0 if rx.match(r"\s|$", s[b + 1 :]) else 3.0))
                     unit = b + 1
                 continue
             end = b + 1
