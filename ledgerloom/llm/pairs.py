@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.runtime import written
+from ledgerloom.llm import rx
+from ledgerloom.runtime import parallelism, written
 
 DEFECTS = ("empty", "truncated", "refusal", "copies_question", "other_language")
 #: Pairs on which the language classifier is fitted: about so many, never more than twice as many.
@@ -124,10 +125,10 @@ def by_function_words(s: str) -> str | None:
     """The language most of whose function words occur, if it stands out."""
     if _KANA.search(s):
         return "ja"
-    letters = regex.findall(r"\p{L}", s)
-    if letters and len(regex.findall(r"\p{Cyrillic}", s)) * 2 > len(letters):
+    letters = rx.findall(r"\p{L}", s)
+    if letters and len(rx.findall(r"\p{Cyrillic}", s)) * 2 > len(letters):
         return "ru"
-    words = tokens(regex.sub(r"['’]", " ", s))
+    words = tokens(rx.sub(r"['’]", " ", s))
     n = Counter({lang: sum(w in FUNCTION_SETS[lang] for w in words) for lang in FUNCTION_SETS})
     (a, x), (_, y) = n.most_common(2)
     return a if x > y else None
@@ -145,8 +146,9 @@ class Trigrams:
             counts.setdefault(lang, Counter()).update(self.grams(text))
         names = {g for c in counts.values() for g in c}
         self.langs = sorted(counts)
-        self.logs = {lang: {g: math.log((c[g] + 0.5) / (sum(c.values()) + 0.5 * len(names))) for g in c} for lang, c in counts.items()}
-        self.rest = {lang: math.log(0.5 / (sum(c.values()) + 0.5 * len(names))) for lang, c in counts.items()}
+        sums = {x: sum(counts[x].values()) + 0.5 * len(names) for x in self.langs}
+        self.logs = {g: tuple(math.log((counts[x][g] + 0.5) / sums[x]) for x in self.langs) for g in names}
+        self.rest = tuple(math.log(0.5 / sums[x]) for x in self.langs)
 
     @staticmethod
     def grams(text: str) -> list[str]:
@@ -161,7 +163,8 @@ class Trigrams:
         grams = self.grams(text)
         if len(grams) < self.LEAST or len(self.langs) < 2:
             return None, 0.0
-        score = sorted(((sum(self.logs[x].get(g, self.rest[x]) for g in grams) / len(grams), x) for x in self.langs), reverse=True)
+        sums = [sum(x) / len(grams) for x in zip(*(self.logs.get(g, self.rest) for g in grams))]
+        score = sorted(zip(sums, self.langs), reverse=True)
         return score[0][1], score[0][0] - score[1][0]
 
 
@@ -169,15 +172,15 @@ def votes(q: str | None, a: str | None, model: Trigrams) -> dict[str, tuple[int,
     """The votes of all labelling functions on a pair."""
     negative = bool(NEGATIVE_TEST.match(q or ""))
     q, a = NEGATIVE_TEST.sub("", shown(q)), shown(a)
-    bare = regex.sub(r"^[\p{P}\p{S}\s]+|[\p{P}\p{S}\s]+$", "", a).lower()
+    bare = rx.sub(r"^[\p{P}\p{S}\s]+|[\p{P}\p{S}\s]+$", "", a).lower()
     words, asked = tokens(a), tokens(q)
-    sentinel = regex.sub(r"[^a-z]+", "-", bare.replace("'", "").replace("’", "")) == SENTINEL
-    void = not regex.search(r"[\p{L}\p{N}]", a)
+    sentinel = rx.sub(r"[^a-z]+", "-", bare.replace("'", "").replace("’", "")) == SENTINEL
+    void = not rx.search(r"[\p{L}\p{N}]", a)
     named = bare in PLACEHOLDERS
     empty = (1 if void else 0, 1 if void or named else -1, 1 if void or named or (len(bare) <= 12 and any(w in PLACEHOLDERS for w in words) and len(words) == 1) else -1)
 
     # copies_question
-    plain_a = regex.sub(r"^(?:a|q|answer|question|antwort|réponse|respuesta|ответ|答え?)\s*[:：]\s*", "", a, flags=regex.I)
+    plain_a = rx.sub(r"^(?:a|q|answer|question|antwort|réponse|respuesta|ответ|答え?)\s*[:：]\s*", "", a, flags=regex.I)
     said = tokens(plain_a)
     k = len(said) // len(asked) if asked else 0
     same = bool(asked) and k >= 1 and said == asked * k
@@ -190,13 +193,13 @@ def votes(q: str | None, a: str | None, model: Trigrams) -> dict[str, tuple[int,
 
     # truncated
     kana = bool(_KANA.search(a))
-    ends = bool(_TERMINAL.search(a)) and not regex.search(r"(?:\.\.|…)\W*$", a)
-    trails = bool(regex.search(r"[\p{L}\p{N}]\s*(?:\.\.\.|…)$", a))
+    ends = bool(_TERMINAL.search(a)) and not rx.search(r"(?:\.\.|…)\W*$", a)
+    trails = bool(rx.search(r"[\p{L}\p{N}]\s*(?:\.\.\.|…)$", a))
     pairs = (("(", ")"), ("（", "）"), ("[", "]"), ("「", "」"), ("«", "»"), ("“", "”"))
     opened = any(a.count(l) > a.count(r) for l, r in pairs if not (l == "“" and "„" in a))
     whole = void or named or sentinel or copied or ends and not opened
-    spoken = len(words) >= 4 or (kana and len(regex.findall(r"[\p{L}\p{N}]", a)) >= 5)
-    last = regex.sub(r"[^\p{L}\p{N}]+$", "", a)
+    spoken = len(words) >= 4 or (kana and len(rx.findall(r"[\p{L}\p{N}]", a)) >= 5)
+    last = rx.sub(r"[^\p{L}\p{N}]+$", "", a)
     dangling = (words[-1:] and words[-1] in OPEN_WORDS and len(words) > 1) or (kana and last.endswith(JA_PARTICLES))
     clause = any(w in s for w in words[:-1] for s in FUNCTION_SETS.values()) or dangling
     truncated = (
@@ -211,14 +214,14 @@ def votes(q: str | None, a: str | None, model: Trigrams) -> dict[str, tuple[int,
     refusal = (
         (-1 if negative else 1) if sentinel else 1 if declines else -1,
         (-1 if negative else 1) if sentinel else 1 if excuse else -1 if not declines else 0,
-        (-1 if negative else 1) if sentinel else -1 if regex.search(r"\d", a) or whole and (void or named) else 0,
+        (-1 if negative else 1) if sentinel else -1 if rx.search(r"\d", a) or whole and (void or named) else 0,
     )
 
     # other_language
     content = _FILE.sub(" ", _QUOTED.sub(" ", a))
     ask = _FILE.sub(" ", q)
-    neutral = void or named or sentinel or copied or not regex.search(r"\p{Ll}|\p{Lo}", content)
-    script = lambda s: "ja" if _KANA.search(s) or regex.search(r"\p{Han}", s) else "ru" if len(regex.findall(r"\p{Cyrillic}", s)) > 2 else "latin"
+    neutral = void or named or sentinel or copied or not rx.search(r"\p{Ll}|\p{Lo}", content)
+    script = lambda s: "ja" if _KANA.search(s) or rx.search(r"\p{Han}", s) else "ru" if len(rx.findall(r"\p{Cyrillic}", s)) > 2 else "latin"
     lq, la = by_function_words(ask), by_function_words(content)
     gq, mq = model.guess(ask)
     ga, ma = model.guess(content)
@@ -312,7 +315,8 @@ def language_model(pairs: DataFrame, most: int = SAMPLE) -> Trigrams:
 
 def defects(pairs: DataFrame, keys: Sequence[str] = ("path", "id")) -> DataFrame:
     """(keys, defect, posterior): every defect of a pair whose posterior exceeds its validated cutoff."""
-    pairs = pairs.select(*keys, "q", "a").distinct()
+    # Repeated rows meet in one partition; the number is fixed, as few bytes here take much time.
+    pairs = pairs.select(*keys, "q", "a").repartition(parallelism(pairs.sparkSession), *keys).distinct()
     model = language_model(pairs)
     schema = T.StructType([pairs.schema[k] for k in keys] + [T.StructField(d, T.IntegerType()) for d in DEFECTS])
 
