@@ -59,8 +59,8 @@ JA_PARTICLES = ("が", "を", "は", "に", "で", "と", "の", "も", "へ", "
 
 _INVISIBLE = regex.compile(r"[\p{Cf}\p{Cc}\p{Zl}\p{Zp}]+")
 _WORD = regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}\p{M}’'-]*")
-_QUOTED = regex.compile(r"«[^»]*»|“[^”]*”|„[^“”]*[“”]|「[^」]*」|\"[^\"]*\"|‹[^›]*›|『[^』]*』|(?<!\w)['‘][^'’]*['’](?!\w)")
-_FILE = regex.compile(r"[\w./-]+\.(?:md|txt|html?|json|ya?ml|csv)\b|https?://\S+")
+_QUOTED = regex.compile(r"«[^»]{0,400}»|“[^”]{0,400}”|„[^“”]{0,400}[“”]|「[^」]{0,400}」|\"[^\"]{0,400}\"|‹[^›]{0,400}›|『[^』]{0,400}』|(?<!\w)['‘][^'’]{0,400}['’](?!\w)")
+_FILE = regex.compile(r"(?<![\w./-])[\w./-]+\.(?:md|txt|html?|json|ya?ml|csv)\b|https?://\S+")
 _KANA = regex.compile(r"[\p{Hiragana}\p{Katakana}]")
 _TERMINAL = regex.compile(r"[.!?。！？؟।][\"'”’»」』）)\]*_]*$")
 _FILE_END = regex.compile(r"\.\w{1,8}$")
@@ -117,6 +117,16 @@ def shown(s: str | None) -> str:
     return _INVISIBLE.sub("", (s or "").replace("\n", " ").replace("\t", " ")).strip()
 
 
+def bared(s: str) -> str:
+    """Text without marks and blanks at the ends."""
+    a, b = 0, len(s)
+    while a < b and not s[a].isalnum():
+        a += 1
+    while b > a and not s[b - 1].isalnum():
+        b -= 1
+    return s[a:b]
+
+
 def tokens(s: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(s)]
 
@@ -172,7 +182,7 @@ def votes(q: str | None, a: str | None, model: Trigrams) -> dict[str, tuple[int,
     """The votes of all labelling functions on a pair."""
     negative = bool(NEGATIVE_TEST.match(q or ""))
     q, a = NEGATIVE_TEST.sub("", shown(q)), shown(a)
-    bare = rx.sub(r"^[\p{P}\p{S}\s]+|[\p{P}\p{S}\s]+$", "", a).lower()
+    bare, tail = bared(a).lower(), a[-200:]
     words, asked = tokens(a), tokens(q)
     sentinel = rx.sub(r"[^a-z]+", "-", bare.replace("'", "").replace("’", "")) == SENTINEL
     void = not rx.search(r"[\p{L}\p{N}]", a)
@@ -193,13 +203,13 @@ def votes(q: str | None, a: str | None, model: Trigrams) -> dict[str, tuple[int,
 
     # truncated
     kana = bool(_KANA.search(a))
-    ends = bool(_TERMINAL.search(a)) and not rx.search(r"(?:\.\.|…)\W*$", a)
-    trails = bool(rx.search(r"[\p{L}\p{N}]\s*(?:\.\.\.|…)$", a))
+    ends = bool(_TERMINAL.search(tail)) and not rx.search(r"(?:\.\.|…)\W*$", tail)
+    trails = bool(rx.search(r"[\p{L}\p{N}]\s*(?:\.\.\.|…)$", tail))
     pairs = (("(", ")"), ("（", "）"), ("[", "]"), ("「", "」"), ("«", "»"), ("“", "”"))
     opened = any(a.count(l) > a.count(r) for l, r in pairs if not (l == "“" and "„" in a))
     whole = void or named or sentinel or copied or ends and not opened
     spoken = len(words) >= 4 or (kana and len(rx.findall(r"[\p{L}\p{N}]", a)) >= 5)
-    last = rx.sub(r"[^\p{L}\p{N}]+$", "", a)
+    last = bared(tail)
     dangling = (words[-1:] and words[-1] in OPEN_WORDS and len(words) > 1) or (kana and last.endswith(JA_PARTICLES))
     clause = any(w in s for w in words[:-1] for s in FUNCTION_SETS.values()) or dangling
     truncated = (

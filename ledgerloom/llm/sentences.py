@@ -61,6 +61,9 @@ ZH_SPEECH = "问 喊 说 道 叫 答 回答 写".split()
 TH_FINAL = "แล้ว ครับ ค่ะ คะ นะ ไหม หรือ เลย กันแน่ นั้น นี้".split()
 TH_OPENS = "ไม่มี ใคร อย่า หน้า รุ่น ค่า ของ บันทึก เข็ม ลูกเรือ แต่ และ".split()
 
+#: Code points before and after a mark that its evidence comes from, and pairs that may be open at once.
+NEAR, OPEN = 300, 64
+
 _PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "「": "」", "『": "』", "【": "】", "《": "》", "〈": "〉", "“": "”", "„": "“", "‚": "‘", "‘": "’", "«": "»", "‹": "›"}
 _CLOSERS = set(_PAIRS.values()) | {'"', "'", "»", "”"}
 _BRACKETS = set("([{（［【《〈")
@@ -199,6 +202,7 @@ def _matched(s: str) -> list[tuple[int, int]]:
             if c == "‘" and i and s[i - 1].isalnum():
                 continue
             stack.append((c, i))
+            del stack[:-OPEN]
         elif c in _CLOSERS:
             k = next((k for k in range(len(stack) - 1, -1, -1) if _PAIRS.get(stack[k][0]) == c), None)
             if k is not None and not (c == "’" and i + 1 < n and s[i + 1].isalnum()):
@@ -231,8 +235,8 @@ def _speech(after: str) -> bool:
 
 def _score(s: str, unit: int, i: int, j: int, end: int, inside: bool) -> float:
     """Evidence that a sentence ends at ``end``: marks s[i:j] (closers up to end), the words around them."""
-    marks, before, after = s[i:j], s[unit:i], s[end:]
-    follows = after.strip()
+    marks, before, after = s[i:j], s[max(unit, i - NEAR) : i], s[end : end + NEAR]
+    follows = after.strip() or s[end:].strip()[:NEAR]
     if not follows:
         return 9.0
     spaced = after[:1].isspace()
@@ -326,11 +330,11 @@ def split_paragraph(s: str, thai: bool | None = None) -> list[tuple[int, int]]:
             p += 1
         if p < len(pairs) and pairs[p][0] < i:  # within a pair: only its end can be a node
             a, b = pairs[p]
-            inner = rx.search(r"[.!?…。！？．؟।॥｡;;]\s*[\"'”’»」』“）)\]]*$", s[a + 1 : b])
+            inner = rx.search(r"[.!?…。！？．؟।॥｡;;]\s*[\"'”’»」』“）)\]]*$", s[max(a + 1, b - 64) : b])
             at = b + 1
             if not inner or (inner[0].strip()[:1] in ";;"):
                 continue
-            own = not s[unit:a].strip(" *_")
+            own = a - unit <= 64 and not s[unit:a].strip(" *_")
             if s[a] in _BRACKETS:
                 if own:
                     nodes.append((b + 1, 7.0 if rx.match(r"\s|$", s[b + 1 :]) else 3.0))
@@ -350,19 +354,22 @@ def split_paragraph(s: str, thai: bool | None = None) -> list[tuple[int, int]]:
         while j < n and (s[j] in _ENDS or (s[j] == " " and s[j + 1 : j + 2] == "." and s[i] == ".")):
             j += 1
         end = j
-        while end < n and (s[end] in "”’»」』）)］】" or (s[end] in "\"'*_" and not (end + 1 < n and s[end + 1].isalnum()) and (s[end] in "*_" and s[unit:end].count(s[end]) % 2 == 1))):
+        while end < n and (s[end] in "”’»」』）)］】" or (s[end] in "\"'*_" and not (end + 1 < n and s[end + 1].isalnum()) and (s[end] in "*_" and s[max(unit, end - NEAR) : end].count(s[end]) % 2 == 1))):
             end += 1
         at = end
         score = _score(s, unit, i, j, end, False)
-        if score > -9.0:
-            nodes.append((end, score))
-            if score > 0:
-                unit = end
+        nodes.append((end, score))
+        if score > 0:
+            unit = end
     if has_thai:
+        p = 0
         for m in _THAI_GAP.finditer(s):
-            if not any(a < m.start() < b for a, b in pairs):
-                nodes.append((m.start(), spaceless_gap(s[: m.start()], s[m.end() :], True)))
-    nodes.sort()
+            while p < len(pairs) and pairs[p][1] < m.start():
+                p += 1
+            if p == len(pairs) or m.start() < pairs[p][0]:
+                nodes.append((m.start(), spaceless_gap(s[max(0, m.start() - NEAR) : m.start()], s[m.end() : m.end() + NEAR], True)))
+    # A node with evidence against it is on no cheapest path.
+    nodes = sorted(x for x in nodes if x[1] > 0)
     # Cheapest path: a node passed over costs its evidence, a node taken costs the opposite; a unit without
     # letters or digits is never worth it.
     ends = [start] + [e for e, _ in nodes if e < n] + [n]
