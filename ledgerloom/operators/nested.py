@@ -122,12 +122,14 @@ def flattened(df: DataFrame, text: str, keys: Sequence[str], shape: Nesting = AC
                     size += len(texts[there])
                     there += 1
                 rows = rows_of(texts[here:there], shape)
-                out = pdf[list(keys)].iloc[here:there].iloc[rows["doc"].to_numpy()].reset_index(drop=True)
+                here, start = there, here
+                if not len(rows):
+                    continue
+                out = pdf[list(keys)].iloc[start:there].iloc[rows["doc"].to_numpy()].reset_index(drop=True)
                 out[list_name] = [shape.tops[k] for k in rows["list"]]
                 for name in shape.names:
                     out[name] = rows[name]
                 out[value_name] = rows["value"]
                 yield out[columns]
-                here = there
 
     return df.select(*keys, F.col(text).alias("__text")).mapInPandas(run, schema)

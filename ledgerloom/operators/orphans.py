@@ -147,7 +147,7 @@ def orphans(edges: DataFrame, files: DataFrame, per_range: int = PER_RANGE, per_
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
-            return pd.DataFrame({c: [] for c in ("src", "dst", "edge_type", "period", "reason")})
+            return pd.DataFrame(columns=["src", "dst", "edge_type", "period", "reason"], dtype=object)
         if len(right):
             r = right.iloc[0]
             s = {"hs": np.asarray(r["hs"], np.int64), "keys": np.asarray(r["keys"], object), "borns": np.asarray(r["borns"], np.int64), "dieds": np.asarray(r["dieds"], np.int64)}
@@ -159,7 +159,7 @@ def orphans(edges: DataFrame, files: DataFrame, per_range: int = PER_RANGE, per_
         return out[out["reason"] != ""]
 
     found = refs.groupBy("rng", "part").cogroup(store.groupBy("rng", "part")).applyInPandas(run, "src string, dst string, edge_type string, period string, reason string")
-    return found
+    return found.distinct()
 
 
 def orphan_report(found: DataFrame) -> DataFrame:

@@ -56,7 +56,8 @@ def evaluated(tests: DataFrame, docs: DataFrame, modes: tuple[str, ...] = ("inje
                     except Exception as e:
                         row["error"] = f"grader-stage: {e}"
                 out.append(row)
-            yield pd.DataFrame(out, columns=["path", "id", "mode", "question", "expected", "candidate", "grade", "passed", "error"])
+            if out:
+                yield pd.DataFrame(out, columns=["path", "id", "mode", "question", "expected", "candidate", "grade", "passed", "error"])
 
     return rows.select("path", "id", "q", "a", "doc", "mode").mapInPandas(run, RESULT)
 
