@@ -197,7 +197,8 @@ def _mapped(docs: DataFrame, items: DataFrame, test: DataFrame, doc_key: str, it
                         n = longest(code, units_of[i], p, kind)
                         if n >= sum(SIZES[kind]) - 1:
                             out.append((key, ids[i], n))
-            yield pd.DataFrame(out, columns=schema.fieldNames())
+            if out:
+                yield pd.DataFrame(out, columns=schema.fieldNames())
 
     return docs.select(doc_key, "text").mapInPandas(run, schema)
 
@@ -215,6 +216,7 @@ def _joined(docs: DataFrame, items: DataFrame, test: DataFrame, doc_key: str, it
                 n = longest(codes(words(d), kind), codes(words(i), kind), [(p["at"], p["j"]) for p in places], kind)
                 if n >= sum(SIZES[kind]) - 1:
                     out.append((key, item, n))
-            yield pd.DataFrame(out, columns=schema.fieldNames())
+            if out:
+                yield pd.DataFrame(out, columns=schema.fieldNames())
 
     return pairs.select(doc_key, item_key, "kind", "__d", "__i", "__places").mapInPandas(run, schema)

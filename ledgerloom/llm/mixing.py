@@ -45,7 +45,8 @@ def token_counts(docs: DataFrame, keys: Sequence[str], text: str = "text", token
         enc = tiktoken.Encoding("counted", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for pdf in batches:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in pdf["__text"]]
-            yield pdf[list(keys)].assign(n_tokens=n)
+            if n:
+                yield pdf[list(keys)].assign(n_tokens=n)
 
     return docs.select(*keys, F.col(text).alias("__text")).mapInPandas(run, schema)
 

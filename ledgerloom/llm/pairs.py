@@ -332,6 +332,8 @@ def defects(pairs: DataFrame, keys: Sequence[str] = ("path", "id")) -> DataFrame
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            if not len(pdf):
+                continue
             v = [votes(q if isinstance(q, str) else None, a if isinstance(a, str) else None, model) for q, a in zip(pdf["q"], pdf["a"])]
             yield pdf[list(keys)].assign(**{d: [encoded(x[d]) for x in v] for d in DEFECTS})
 

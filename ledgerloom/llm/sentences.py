@@ -420,6 +420,8 @@ def sentences(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str =
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             spans = [units(t) for t in pdf["__text"]]
+            if not any(spans):
+                continue
             out = pdf.loc[pdf.index.repeat([len(x) for x in spans]), list(keys)].reset_index(drop=True)
             flat = [x for y in spans for x in y]
             yield out.assign(start_pos=[a for a, _ in flat], end_pos=[b for _, b in flat])
