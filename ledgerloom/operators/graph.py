@@ -26,13 +26,13 @@ def distances(edges: DataFrame, seed: str, depth: int = 4) -> DataFrame:
     stays short and a lost executor costs one level.
     """
     spark = edges.sparkSession
-    links = undirected(edges)
+    links = written(undirected(edges), "links")
     seen = spark.createDataFrame([(seed, 0)], "node string, dist int")
     frontier = seen
     for level in range(1, depth + 1):
         step = frontier.select("node").join(links, "node").select(F.col("other").alias("node")).distinct()
         frontier = written(step.join(seen, "node", "left_anti").withColumn("dist", F.lit(level)), "frontier")
-        if not frontier.limit(1).count():
+        if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
     return seen
@@ -46,7 +46,7 @@ def chain(edges: DataFrame, start: str, edge_type: str, depth: int = 16) -> Data
     for level in range(1, depth + 1):
         step = frontier.select("node").join(links, "node").select(F.col("dst").alias("node")).distinct()
         frontier = written(step.join(seen, "node", "left_anti").withColumn("step", F.lit(level)), "chain")
-        if not frontier.limit(1).count():
+        if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
     return seen

@@ -87,6 +87,7 @@ class TextIndex:
 
     def stats(self) -> tuple[int, float]:
         if self._stats is None:
+            self.lengths = written(self.lengths, "lengths")
             r = self.corpus().first()
             self._stats = (r["n_docs"], float(r["avgdl"] or 0.0))
         return self._stats
@@ -106,10 +107,9 @@ class TextIndex:
         which = F.array_compact(F.array(*[F.when(self._of(w), F.lit(w)) for w in words]))
         return self.postings.where(cond).select(F.explode(which).alias("word"), self.key, "tf").groupBy("word", self.key).agg(F.sum("tf").alias("tf"))
 
-    def matching(self, q: Query) -> DataFrame:
+    def matching(self, q: Query, hits: DataFrame | None = None) -> DataFrame:
         """Keys that satisfy the query, with the hits of its words."""
-        words = q.words()
-        hits = self._hits(words)
+        hits = self._hits(q.words()) if hits is None else hits
         have = F.collect_set("word")
         ok = None
         for group in q.any_of:
@@ -126,12 +126,14 @@ class TextIndex:
         if q is None:
             return self.lengths.select(self.key, F.lit(0.0).alias("score")).where(F.lit(False))
         n, avgdl = self.stats()
-        df = self._hits(q.words()).groupBy("word").agg(F.count(F.lit(1)).alias("df"))  # one row per word of the query
+        # The query's own postings are few and used three times.
+        hits = written(self._hits(q.words()), "hits")
+        df = hits.groupBy("word").agg(F.count(F.lit(1)).alias("df"))  # one row per word of the query
         raw_idf = F.log((F.lit(float(n)) - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
         idf = F.when(raw_idf <= 0, F.lit(FLOOR)).otherwise(raw_idf)
         tf = F.col("tf").cast("double")
         weight = idf * tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("n_tokens") / F.lit(avgdl)))
-        found = self.matching(q).join(F.broadcast(df), "word").join(self.lengths, self.key)
+        found = self.matching(q, hits).join(F.broadcast(df), "word").join(self.lengths, self.key)
         return found.groupBy(self.key).agg(F.sum(weight).alias("score"))
 
 

@@ -21,7 +21,9 @@ def quiet_periods(events: DataFrame, gap: str = "30 seconds", late: str = "1 min
     ``ts`` must be a timestamp with zone; an event later than the watermark begins a burst of its own.
     """
     e = events.withWatermark("ts", late) if events.isStreaming else events
-    g = e.groupBy(*keys, F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n_events"))
+    # A stream's sessions need a key, and not a literal.
+    by = list(keys) or [F.pmod(F.xxhash64("ts"), F.lit(1)).alias("_all")]
+    g = e.groupBy(*by, F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n_events"))
     return g.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n_events")
 
 
