@@ -47,7 +47,7 @@ def written(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataF
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     w = df.write.mode("overwrite")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
-    return spark.read.schema(spark.read.parquet(path).schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def parallelism(spark: SparkSession) -> int:
