@@ -142,6 +142,7 @@ class InstantDictionary:
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
+        self.counted = False  # whether ``n`` counts the rows that are joined next
 
     def table(self) -> DataFrame:
         return self.spark.read.schema("source string, raw string, tz string, utc_us bigint, n bigint").parquet(self.path)
@@ -153,7 +154,8 @@ class InstantDictionary:
     def update(self, rows: DataFrame) -> DataFrame:
         """Add the distinct values of ``rows`` (source, raw, tz) that have no entry yet."""
         new = rows.where(F.col("raw").isNotNull()).groupBy(*self.KEY).agg(F.count(F.lit(1)).alias("n"))
-        if self.exists():
+        self.counted = not self.exists()
+        if not self.counted:
             old = self.table().select(*[F.col(k).alias(f"_{k}") for k in self.KEY])
             new = new.join(old, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in self.KEY], "left_anti")
         zones = zone_names(self.spark)
@@ -167,7 +169,11 @@ class InstantDictionary:
         them), the rest by a shuffled join, so no task gets the rows of a hot value.
         """
         table = self.table().where(F.col("utc_us").isNotNull())
-        total = self.table().agg(F.sum("n")).first()[0] or 0
+        if not self.counted:  # the dictionary is older than the rows, so these are counted anew
+            now = rows.where(F.col("raw").isNotNull()).groupBy(*[F.col(k).alias(f"_{k}") for k in self.KEY]).agg(F.count(F.lit(1)).alias("_n"))
+            same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in self.KEY]
+            table = table.drop("n").join(now, same).select(*self.KEY, "utc_us", F.col("_n").alias("n"))
+        total = table.agg(F.sum("n")).first()[0] or 0
         hot, limit = hot_keys(table, "n", total)
         cold = table.where(F.col("n") <= limit)
         take = lambda d: d.select(*[F.col(k).alias(f"_{k}") for k in self.KEY], "utc_us")

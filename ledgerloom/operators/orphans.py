@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.runtime import written
+from ledgerloom.runtime import hot_keys, written
 
 REFERRING = ("md_link", "wikilink")
 PER_RANGE = 100_000
@@ -132,18 +132,21 @@ def orphans(edges: DataFrame, files: DataFrame, per_range: int = PER_RANGE, per_
     store = written(parent_store(parents, n_ranges), "parents")
     kind = F.col("edge_type")
     key = F.when(kind == "wikilink", F.concat(F.lit("w:"), wiki_key(F.col("dst")))).otherwise(F.concat(F.lit("p:"), path_key(F.col("dst"))))
-    refs = (
-        edges.where((kind.isin(*REFERRING) | kind.startswith("frontmatter_")) & F.col("dst").isNotNull())
-        .select("src", "dst", "edge_type", "seen_at").distinct()
-        .select("src", "dst", "edge_type", F.date_format("seen_at", "yyyy-MM").alias("period"), F.unix_micros(F.col("seen_at").cast("timestamp")).alias("at"), key.alias("key"))
-        .withColumn("h", F.xxhash64("key")).withColumn("rng", _range(F.col("h"), n_ranges))
-    )
-    # Parts for each range, so that no task gets more than about per_probe references; one row per range.
-    parts = {r.rng: -(-r.n // per_probe) for r in refs.groupBy("rng").agg(F.count(F.lit(1)).alias("n")).collect()}
-    most = max(parts.values(), default=1)
-    fan = F.element_at(F.array(*[F.lit(max(1, parts.get(r, 1))) for r in range(n_ranges)]), F.col("rng") + 1) if most > 1 else F.lit(1)
-    refs = refs.withColumn("part", F.pmod(F.xxhash64("src", "dst", "edge_type"), fan).cast("int"))
-    store = store.withColumn("part", F.explode(F.sequence(F.lit(0), fan - 1)))
+    referring = edges.where((kind.isin(*REFERRING) | kind.startswith("frontmatter_")) & F.col("dst").isNotNull())
+    keyed = lambda d: d.withColumn("key", key).withColumn("h", F.xxhash64("key")).withColumn("rng", _range(F.col("h"), n_ranges))
+    refs = keyed(referring.select("src", "dst", "edge_type", "seen_at").distinct())
+    refs = refs.select("src", "dst", "edge_type", F.date_format("seen_at", "yyyy-MM").alias("period"), F.unix_micros(F.col("seen_at").cast("timestamp")).alias("at"), "key", "h", "rng")
+    # Ranges with more than per_probe references are probed in parts. Their number is bounded by rows / limit.
+    counts = keyed(referring.select("dst", "edge_type")).groupBy("rng").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    fan = F.lit(1)
+    if total > per_probe:
+        hot, limit = hot_keys(counts, "n", total, per_probe)
+        hot = F.broadcast(written(hot.select("rng", F.ceil(F.col("n") / limit).cast("int").alias("fan")), "hot-ranges"))
+        refs, store = refs.join(hot, "rng", "left"), store.join(hot, "rng", "left")
+        fan = F.coalesce("fan", F.lit(1))
+    refs = refs.withColumn("part", F.pmod(F.xxhash64("src", "dst", "edge_type"), fan).cast("int")).select("src", "dst", "edge_type", "period", "at", "key", "h", "rng", "part")
+    store = store.withColumn("part", F.explode(F.sequence(F.lit(0), fan - 1))).select("rng", "part", "hs", "keys", "borns", "dieds")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):

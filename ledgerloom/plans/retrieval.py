@@ -495,3 +495,28 @@ def stream_edges(spark, sf):
 
     watch.on_each_batch(links_only, merge, f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/out").select("src", "dst").distinct().agg(F.count(F.lit(1)).alias("n_edges"))
+
+
+@query("SELECT date_trunc('day', ts) AS start, coalesce(event_type, 'unknown') AS decided_source, count(*) AS n FROM events GROUP BY ALL")
+def window_counts(spark, sf):
+    e = tables.table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("decided_source"))
+    return watch.windowed_counts(e).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(f"""
+  SELECT substr(coalesce(ts, '?'), 1, 19) || '  [' || rpad(coalesce(decided_source, '?'), greatest(8, length(coalesce(decided_source, '?')))::INT, ' ') || '] ' || CASE WHEN ingested THEN '✓' ELSE ' ' END
+    || ' ' || substr(coalesce(question, ''), 1, 70) AS line FROM (SELECT * FROM {_R} ORDER BY rec_id DESC LIMIT 20)""")
+def log_lines(spark, sf):
+    return logs.recall_lines(logs.last(tables.recalls(spark, sf), 20, "rec_id"))
+
+
+_NEXT = "(SELECT DISTINCT src, dst FROM edges WHERE edge_type = 'frontmatter_superseded_by' AND dst IS NOT NULL)"
+
+
+@query(f"""
+  WITH RECURSIVE e AS {_NEXT}, r(node, step) AS (SELECT min(src), 0 FROM e UNION SELECT e.dst, r.step + 1 FROM r JOIN e ON e.src = r.node WHERE r.step < 16)
+  SELECT node, min(step)::INT AS step FROM r GROUP BY node""")
+def superseded_chain(spark, sf):
+    e = tables.edges(spark, sf)
+    start = e.where("edge_type = 'frontmatter_superseded_by'").agg(F.min("src")).first()[0]
+    return graph.chain(e, start, "frontmatter_superseded_by")

@@ -118,6 +118,8 @@ def test_hot_value_takes_the_broadcast(spark, tmp_path, monkeypatch):
     book = I.InstantDictionary(spark, str(tmp_path / "book"))
     book.update(rows)
     assert book.join(rows).count() == 21
+    later = I.InstantDictionary(spark, str(tmp_path / "book"))
+    assert later.join(rows.unionByName(rows)).count() == 42
 
 
 def test_empty_table_and_repeated_rows(spark):
