@@ -325,9 +325,10 @@ def language_model(pairs: DataFrame, most: int = SAMPLE) -> Trigrams:
 
 def defects(pairs: DataFrame, keys: Sequence[str] = ("path", "id")) -> DataFrame:
     """(keys, defect, posterior): every defect of a pair whose posterior exceeds its validated cutoff."""
-    # Repeated rows meet in one partition; the number is fixed, as few bytes here take much time.
-    pairs = pairs.select(*keys, "q", "a").repartition(parallelism(pairs.sparkSession), *keys).distinct()
+    pairs = pairs.select(*keys, "q", "a")
     model = language_model(pairs)
+    # Repeated rows meet in one partition; the number is fixed, as few bytes here take much time.
+    pairs = pairs.repartition(parallelism(pairs.sparkSession), *keys).distinct()
     schema = T.StructType([pairs.schema[k] for k in keys] + [T.StructField(d, T.IntegerType()) for d in DEFECTS])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
