@@ -68,6 +68,7 @@ _PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "「": "」"
 _CLOSERS = set(_PAIRS.values()) | {'"', "'", "»", "”"}
 _BRACKETS = set("([{（［【《〈")
 _ENDS = set(".!?…。！？．؟।॥｡")
+_QUOTE = regex.compile("[" + regex.escape("".join(sorted({*_PAIRS, *_CLOSERS}))) + "]")
 _MARK = regex.compile(r"[.!?…。！？．؟।॥｡;;]")
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 _KANA = regex.compile(r"[\p{Hiragana}\p{Katakana}]")
@@ -179,7 +180,8 @@ def _matched(s: str) -> list[tuple[int, int]]:
     stack: list[tuple[str, int]] = []
     found: list[tuple[int, int]] = []
     n = len(s)
-    for i, c in enumerate(s):
+    for m in _QUOTE.finditer(s):
+        i, c = m.start(), m[0]
         if c in "'\"":
             before, after = s[i - 1] if i else " ", s[i + 1] if i + 1 < n else " "
             opened = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == c), None)
@@ -374,14 +376,14 @@ def split_paragraph(s: str, thai: bool | None = None) -> list[tuple[int, int]]:
     # letters or digits is never worth it.
     ends = [start] + [e for e, _ in nodes if e < n] + [n]
     gain = [0.0] + [g for e, g in nodes if e < n] + [0.0]
-    wordy = [0] * (n + 1)
-    for k in range(n):
-        wordy[k + 1] = wordy[k] + (s[k].isalnum())
+    wordy = [0]
+    for a, b in zip(ends, ends[1:]):
+        wordy.append(wordy[-1] + (_WORDY.search(s, a, b) is not None))
     best = [(0.0, -1)] + [(-1e18, -1)] * (len(ends) - 1)
     for j in range(1, len(ends)):
         skipped = 0.0
         for i in range(j - 1, -1, -1):
-            edge = 0.0 if wordy[ends[j]] > wordy[ends[i]] else -50.0
+            edge = 0.0 if wordy[j] > wordy[i] else -50.0
             value = best[i][0] + gain[j] - skipped + edge
             if value > best[j][0]:
                 best[j] = (value, i)
@@ -401,10 +403,9 @@ def units(text: str | None) -> list[tuple[int, int]]:
     found: list[tuple[int, int]] = []
     for lines, single in blocks(text or ""):
         a, b = lines[0][0], lines[-1][1]
-        view = list(text[a:b])
-        for (_, x), (y, _) in zip(lines, lines[1:]):  # line breaks and the markers after them
-            view[x - a : y - a] = " " * (y - x) if not single else "\n" * (y - x)
-        s = "".join(view).replace("\t", " ").replace("\r", " ")
+        # Line breaks and the markers after them are blanks.
+        s = text[a:b] if len(lines) == 1 else "".join(text[x:y] + " " * (z - y) for (x, y), z in zip(lines, [x for x, _ in lines[1:]] + [b]))
+        s = s.replace("\t", " ").replace("\r", " ")
         for x, y in [(0, len(s))] if single else split_paragraph(s):
             part = s[x:y]
             x, y = x + len(part) - len(part.lstrip()), y - len(part) + len(part.rstrip())
