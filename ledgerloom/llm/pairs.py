@@ -47,6 +47,11 @@ FUNCTION_WORDS = {
     "ru": "и в не на с из у что как кто какой почему это был он она они за по от до его для после нём очень я на этот".split(),
     "ja": [],
 }
+WORD_LANGUAGES: dict[str, tuple[str, ...]] = {}
+for _lang, _words in FUNCTION_WORDS.items():
+    for _w in dict.fromkeys(_words):
+        WORD_LANGUAGES[_w] = (*WORD_LANGUAGES.get(_w, ()), _lang)
+
 # Words after which no phrase ends, and Japanese particles.
 OPEN_WORDS = set(
     "the a an of and or in to by with from at on for that which is was are it before after because than into its as cannot "
@@ -61,6 +66,7 @@ _INVISIBLE = regex.compile(r"[\p{Cf}\p{Cc}\p{Zl}\p{Zp}]+")
 _WORD = regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}\p{M}’'-]*")
 _QUOTED = regex.compile(r"«[^»]{0,400}»|“[^”]{0,400}”|„[^“”]{0,400}[“”]|「[^」]{0,400}」|\"[^\"]{0,400}\"|‹[^›]{0,400}›|『[^』]{0,400}』|(?<!\w)['‘][^'’]{0,400}['’](?!\w)")
 _FILE = regex.compile(r"(?<![\w./-])[\w./-]+\.(?:md|txt|html?|json|ya?ml|csv)\b|https?://\S+")
+_CYRILLIC = regex.compile(r"\p{Cyrillic}")
 _KANA = regex.compile(r"[\p{Hiragana}\p{Katakana}]")
 _TERMINAL = regex.compile(r"[.!?。！？؟।][\"'”’»」』）)\]*_]*$")
 _FILE_END = regex.compile(r"\.\w{1,8}$")
@@ -135,18 +141,17 @@ def by_function_words(s: str) -> str | None:
     """The language most of whose function words occur, if it stands out."""
     if _KANA.search(s):
         return "ja"
-    letters = rx.findall(r"\p{L}", s)
-    if letters and len(rx.findall(r"\p{Cyrillic}", s)) * 2 > len(letters):
+    cyrillic = _CYRILLIC.findall(s)
+    if cyrillic and len(cyrillic) * 2 > sum(map(str.isalpha, s)):
         return "ru"
-    words = tokens(rx.sub(r"['’]", " ", s))
-    n = Counter({lang: sum(w in FUNCTION_SETS[lang] for w in words) for lang in FUNCTION_SETS})
-    (a, x), (_, y) = n.most_common(2)
+    n = dict.fromkeys(FUNCTION_WORDS, 0)
+    for w in tokens(s.replace("'", " ").replace("’", " ")):
+        for lang in WORD_LANGUAGES.get(w, ()):
+            n[lang] += 1
+    (x, a), (y, _) = sorted(((k, lang) for lang, k in n.items()), reverse=True)[:2]
     return a if x > y else None
 
 
-FUNCTION_SETS = {k: set(v) for k, v in FUNCTION_WORDS.items()}
-
-
 class Trigrams:
     """Naive Bayes over character trigrams of a text's lower-case words."""
 
@@ -211,7 +216,7 @@ def votes(q: str | None, a: str | None, model: Trigrams) -> dict[str, tuple[int,
     spoken = len(words) >= 4 or (kana and len(rx.findall(r"[\p{L}\p{N}]", a)) >= 5)
     last = bared(tail)
     dangling = (words[-1:] and words[-1] in OPEN_WORDS and len(words) > 1) or (kana and last.endswith(JA_PARTICLES))
-    clause = any(w in s for w in words[:-1] for s in FUNCTION_SETS.values()) or dangling
+    clause = any(w in WORD_LANGUAGES for w in words[:-1]) or dangling
     truncated = (
         -1 if whole else 1 if trails or opened or spoken else 0,
         -1 if whole else 1 if dangling or trails or opened else 0,
@@ -231,16 +236,17 @@ def votes(q: str | None, a: str | None, model: Trigrams) -> dict[str, tuple[int,
     content = _FILE.sub(" ", _QUOTED.sub(" ", a))
     ask = _FILE.sub(" ", q)
     neutral = void or named or sentinel or copied or not rx.search(r"\p{Ll}|\p{Lo}", content)
-    script = lambda s: "ja" if _KANA.search(s) or rx.search(r"\p{Han}", s) else "ru" if len(rx.findall(r"\p{Cyrillic}", s)) > 2 else "latin"
-    lq, la = by_function_words(ask), by_function_words(content)
-    gq, mq = model.guess(ask)
-    ga, ma = model.guess(content)
-    lq = lq or (gq if mq > 0.3 else None)
+    script = lambda s: "ja" if _KANA.search(s) or rx.search(r"\p{Han}", s) else "ru" if len(_CYRILLIC.findall(s)) > 2 else "latin"
     one_word = len(tokens(content)) < 2 and script(content) == "latin"
     if neutral or one_word:
         other = (-1, -1, -1)
     else:
         foreign = script(content) != script(ask)
+        lq, la = by_function_words(ask), by_function_words(content)
+        if lq is None:
+            gq, mq = model.guess(ask)
+            lq = gq if mq > 0.3 else None
+        ga, ma = model.guess(content)
         other = (
             1 if foreign else 0,
             (1 if la != lq else -1) if la and lq else 1 if foreign else 0,
