@@ -352,6 +352,13 @@ def split_paragraph(s: str, thai: bool | None = None) -> list[tuple[int, int]]:
             if score > 0:
                 unit = end
             continue
+        # A full stop between a common word and a capital needs no closer look.
+        if s[i] == "." and s[i + 1 : i + 2] == " " and s[i + 2 : i + 3].isupper():
+            word = s[s.rfind(" ", unit, i) + 1 : i]
+            if len(word) > 3 and word.isalpha() and word.islower() and word not in NEVER_LAST and word not in MAYBE_LAST:
+                nodes.append((i + 1, 6.0))
+                at = unit = i + 1
+                continue
         j = i + 1
         while j < n and (s[j] in _ENDS or (s[j] == " " and s[j + 1 : j + 2] == "." and s[i] == ".")):
             j += 1
