@@ -19,34 +19,38 @@ def undirected(edges: DataFrame) -> DataFrame:
     return e.select(F.col("src").alias("node"), F.col("dst").alias("other")).unionByName(e.select(F.col("dst").alias("node"), F.col("src").alias("other"))).distinct()
 
 
-def distances(edges: DataFrame, seed: str, depth: int = 4) -> DataFrame:
-    """(node, dist) within ``depth`` hops of the seed, which is there at 0 even if no edge has it.
+#: Nodes up to which a frontier or the visited nodes are broadcast; they are counted first.
+SMALL = 100_000
+
+
+def _levels(links: DataFrame, start: str, name: str, depth: int) -> DataFrame:
+    """(node, ``name``) of nodes within ``depth`` steps along links (node, other), with the least number of steps.
 
-    One join of the frontier with the edges per level; the visited nodes are a written table, so lineage
-    stays short and a lost executor costs one level.
+    One join of the frontier with the links per level. Frontier and visited nodes are broadcast while they
+    are few, so that the links are not shuffled for a small neighbourhood. Each level is a written table, so
+    lineage stays short and a lost executor costs one level.
     """
-    spark = edges.sparkSession
-    links = written(undirected(edges), "links")
-    seen = spark.createDataFrame([(seed, 0)], "node string, dist int")
-    frontier = seen
+    spark = links.sparkSession
+    seen = frontier = spark.createDataFrame([(start, 0)], f"node string, {name} int")
+    n_seen = n = 1
     for level in range(1, depth + 1):
-        step = frontier.select("node").join(links, "node").select(F.col("other").alias("node")).distinct()
-        frontier = written(step.join(seen, "node", "left_anti").withColumn("dist", F.lit(level)), "frontier")
-        if frontier.isEmpty():
+        small = lambda d, count: F.broadcast(d) if count <= SMALL else d
+        step = links.join(small(frontier.select("node"), n), "node").select(F.col("other").alias("node")).distinct()
+        new = step.join(small(seen.select("node"), n_seen), "node", "left_anti").withColumn(name, F.lit(level))
+        frontier = written(new, name)
+        n = frontier.count()
+        if not n:
             break
-        seen = seen.unionByName(frontier)
+        seen, n_seen = seen.unionByName(frontier), n_seen + n
     return seen
 
 
+def distances(edges: DataFrame, seed: str, depth: int = 4) -> DataFrame:
+    """(node, dist) within ``depth`` hops of the seed, which is there at 0 even if no edge has it."""
+    return _levels(written(undirected(edges), "links"), seed, "dist", depth)
+
+
 def chain(edges: DataFrame, start: str, edge_type: str, depth: int = 16) -> DataFrame:
     """(node, step) along edges of one type, as ``superseded_by``."""
-    spark = edges.sparkSession
-    links = edges.where(F.col("edge_type") == edge_type).select(F.col("src").alias("node"), "dst").distinct()
-    seen = frontier = spark.createDataFrame([(start, 0)], "node string, step int")
-    for level in range(1, depth + 1):
-        step = frontier.select("node").join(links, "node").select(F.col("dst").alias("node")).distinct()
-        frontier = written(step.join(seen, "node", "left_anti").withColumn("step", F.lit(level)), "chain")
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-    return seen
+    links = edges.where((F.col("edge_type") == edge_type) & F.col("dst").isNotNull())
+    return _levels(links.select(F.col("src").alias("node"), F.col("dst").alias("other")).distinct(), start, "step", depth)
