@@ -24,6 +24,21 @@ HOME = os.path.expanduser(os.environ.get("LEDGERLOOM_HOME", "~/ledgerloom"))
 _FILES = ["path", "kind", "source", "ingested_at", "last_modified_at", "mtime", "n_tests", "frontmatter", "body"]
 
 
+def load_env(path: str) -> None:
+    """Set environment variables from ``KEY=VALUE`` lines; what is set already stays."""
+    if os.path.exists(path):
+        with open(path) as f:
+            for line in f:
+                key, sep, value = line.strip().removeprefix("export ").partition("=")
+                if sep and key and not key.startswith("#"):
+                    os.environ.setdefault(key.strip(), value.strip().strip("\"'"))
+
+
+def weights() -> tuple[float, float, float]:
+    """Weights of text, graph and folders, from LEDGERLOOM_W_TEXT, _W_GRAPH and _W_HIER."""
+    return tuple(float(os.environ.get(f"LEDGERLOOM_W_{n}", w)) for n, w in zip(("TEXT", "GRAPH", "HIER"), search.WEIGHTS))
+
+
 def _say(text: str) -> None:
     print(text)
 
@@ -71,7 +86,7 @@ def _search(spark: SparkSession, a: argparse.Namespace) -> int:
     files = store.read(spark, a.state, "files")
     index = TextIndex(store.read(spark, a.state, "postings"), store.read(spark, a.state, "lengths"), "path", stem=True)
     vectors = store.read(spark, a.state, "vectors")
-    s = search.Search(files, index, store.read(spark, a.state, "edges"), vectors if a.vectors else None, strict=a.strict)
+    s = search.Search(files, index, store.read(spark, a.state, "edges"), vectors if a.vectors else None, strict=a.strict, weights=weights())
     vector = spark.createDataFrame([(a.query,)], "q string").select(vec.hashed_embedder()(F.col("q")).alias("v")).first()["v"] if a.vectors else None
     s = s.of(a.query, vector).top(a.top_k)
     s = s.near(a.near) if a.near else s
@@ -209,6 +224,7 @@ def _parser() -> argparse.ArgumentParser:
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
+    load_env(os.path.join(HOME, ".env"))
     try:
         a = _parser().parse_args(argv)
     except SystemExit as e:

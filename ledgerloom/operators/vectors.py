@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.functions.text import analysed
+from ledgerloom.runtime import written
 
 POOL = 50
 
@@ -39,40 +41,43 @@ def nearest_of_many(vectors: DataFrame, queries: DataFrame, key: str, k: int, ve
     """
     import math
 
-    n = queries.count()
-    blocks = max(1, math.ceil(n / block))
-    parts = [r for r in queries.select(key, vector).where(F.col(vector).isNotNull()).withColumn("__b", F.pmod(F.xxhash64(key), F.lit(blocks))).groupBy("__b").agg(F.collect_list(F.struct(key, vector)).alias("rows")).select("rows").toLocalIterator()]
-    kind = vectors.schema[key].dataType
-    schema = T.StructType([T.StructField("query", kind), T.StructField(key, kind), T.StructField("distance", T.DoubleType())])
-    out = None
-    for part in parts:
-        ids = [r[key] for r in part["rows"]]
-        q = np.asarray([r[vector] for r in part["rows"]], np.float64)
-
-        def run(batches, ids=ids, q=q):
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                v = np.asarray(pdf[vector].tolist(), np.float64)
-                d = np.sqrt(np.maximum(0, (q**2).sum(1)[:, None] - 2 * q @ v.T + (v**2).sum(1)[None, :]))
-                own = pdf[key].to_numpy()
-                d[own[None, :] == np.asarray(ids)[:, None]] = np.inf
-                near = np.argsort(d, axis=1, kind="stable")[:, :k]
-                rows = np.repeat(np.arange(len(ids)), near.shape[1])
-                cols = near.ravel()
-                # The product form loses digits; the kept distances are computed again from differences.
-                exact = np.sqrt(((q[rows] - v[cols]) ** 2).sum(1))
-                keep = np.isfinite(d[rows, cols])
-                yield pd.DataFrame({"query": np.asarray(ids)[rows[keep]], key: own[cols[keep]], "distance": exact[keep]})
-
-        found = vectors.where(F.col(vector).isNotNull()).select(key, vector).mapInPandas(run, schema)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return vectors.sparkSession.createDataFrame([], schema)
     from pyspark.sql.window import Window
 
     rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", key))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+    kind = vectors.schema[key].dataType
+    schema = T.StructType([T.StructField("query", kind), T.StructField(key, kind), T.StructField("distance", T.DoubleType())])
+    vectors = vectors.where(F.col(vector).isNotNull()).select(key, vector)
+    queries = queries.where(F.col(vector).isNotNull()).select(key, vector)
+    blocks = max(1, -(-queries.count() // block))
+    grouped = queries.groupBy(F.pmod(F.xxhash64(key), F.lit(blocks))).agg(F.collect_list(F.struct(key, vector)).alias("rows")).select("rows")
+    parts = []
+    for part in grouped.toLocalIterator():  # one block at a time is on the driver
+        found = vectors.mapInPandas(_best(key, vector, [r[key] for r in part["rows"]], np.asarray([r[vector] for r in part["rows"]], np.float64), k), schema)
+        found = found.withColumn("rank", rank).where(F.col("rank") <= k)
+        parts.append(found if blocks == 1 else written(found, "nearest"))
+    if not parts:
+        return vectors.sparkSession.createDataFrame([], schema.add("rank", T.IntegerType()))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _best(key: str, vector: str, ids: list, q: np.ndarray, k: int) -> Callable:
+    """For Arrow batches of vectors: each query's k best of the batch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            v, own = np.asarray(pdf[vector].tolist(), np.float64), pdf[key].to_numpy()
+            d = np.sqrt(np.maximum(0, (q**2).sum(1)[:, None] - 2 * q @ v.T + (v**2).sum(1)[None, :]))
+            d[own[None, :] == np.asarray(ids)[:, None]] = np.inf
+            near = np.argsort(d, axis=1, kind="stable")[:, :k]
+            rows, cols = np.repeat(np.arange(len(ids)), near.shape[1]), near.ravel()
+            # The product form loses digits; the kept distances are computed again from differences.
+            exact = np.sqrt(((q[rows] - v[cols]) ** 2).sum(1))
+            keep = np.isfinite(d[rows, cols])
+            yield pd.DataFrame({"query": np.asarray(ids)[rows[keep]], key: own[cols[keep]], "distance": exact[keep]})
+
+    return run
 
 
 def pending(files: DataFrame, vectors: DataFrame, key: str = "path") -> DataFrame:

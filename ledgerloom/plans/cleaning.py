@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.instants import normalised, stacked
-from ledgerloom.operators.nested import flattened
+from ledgerloom.operators.instants import InstantDictionary, normalised, stacked
+from ledgerloom.operators.nested import ACTIONS, flattened
 from ledgerloom.operators.orphans import orphan_report, orphans
+from ledgerloom.runtime import work_dir, written
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -23,6 +24,21 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     ))
 
 
+def p2_by_days(spark: SparkSession, sf: str) -> DataFrame:
+    """How many readable and unreadable values the dictionary has after the log's first days, and after the rest is added."""
+    import uuid
+
+    log = table(spark, sf, "recall_log")
+    rows = log.where("ts is not null").select(F.lit("recall_log.ts").alias("source"), F.col("ts").alias("raw"), "tz", "log_day")
+    book = InstantDictionary(spark, f"{work_dir(spark)}/instants-{uuid.uuid4().hex}")
+    early = F.col("log_day") < F.lit("2025-07-01").cast("date")
+    count = lambda step: book.table().groupBy(F.col("utc_us").isNotNull().alias("readable")).agg(F.count(F.lit(1)).alias("n")).withColumn("step", F.lit(step))
+    book.update(rows.where(early))
+    first = written(count(1), "step")
+    book.update(rows)
+    return first.unionByName(count(2)).select("step", "readable", "n")
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     log = table(spark, sf, "dream_log").select("cycle_id", "actions").distinct()
     return flattened(log, "actions", ["cycle_id"])
@@ -53,7 +69,7 @@ def p6_report(spark: SparkSession, sf: str) -> DataFrame:
     return orphan_report(p6_found(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_items, p4_probes, p4_urls, p6_found, p6_report)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_by_days, p4_found, p4_items, p4_probes, p4_urls, p6_found, p6_report)}
 
 _ORPHANS = r"""
   SELECT DISTINCT e.src, e.dst, e.edge_type, strftime(e.seen_at, '%Y-%m') AS period,
@@ -71,7 +87,37 @@ _ORPHANS = r"""
   GROUP BY e.src, e.dst, e.edge_type, e.seen_at
 """
 
+# Lists of a JSON value: an array's elements, a text that holds an array read as one, a lone value as a list of one.
+_TEXT = "json_extract_string({0}, '$')"
+_LIST = (
+    "CASE WHEN json_type({0}) = 'VARCHAR' AND trim(" + _TEXT + ") LIKE '[%' AND json_valid(" + _TEXT + ") THEN json_extract(trim(" + _TEXT + ")::JSON, '$[*]')"
+    " WHEN json_type({0}) = 'ARRAY' THEN json_extract({0}, '$[*]') ELSE [{0}] END"
+)
+_VALUE = (
+    "CASE WHEN json_type({0}) = 'VARCHAR' THEN json_extract_string({0}, '$') ELSE coalesce(" + ", ".join(f"CASE WHEN json_type({{0}}, '$.{k}') = 'VARCHAR' THEN json_extract_string({{0}}, '$.{k}') END" for k in ACTIONS.values) + ") END"
+)
+
+
+def _level_sql(source: str, keys: str, value: str, number: str) -> str:
+    listed = f"(SELECT {keys}, unnest(range(len(l))) AS n, unnest(l) AS e FROM (SELECT {keys}, {_LIST.format(value)} AS l FROM {source} WHERE {value} IS NOT NULL))"
+    return f"(SELECT {keys}, n::INT AS {number}, e FROM {listed} WHERE json_type(e) IN ('VARCHAR', 'OBJECT'))"
+
+
+_NESTED = f"""
+  WITH r AS (SELECT DISTINCT cycle_id, CASE WHEN json_valid(actions) THEN actions END AS a FROM dream_log),
+  s AS (SELECT cycle_id, CASE WHEN json_type(a) = 'VARCHAR' THEN CASE WHEN json_valid({_TEXT.format('a')}) THEN {_TEXT.format('a')} END ELSE a END AS a FROM r WHERE a IS NOT NULL),
+  o AS (SELECT cycle_id, action, json_extract(a, '$.' || action) AS v FROM s, (SELECT unnest([{', '.join(map(repr, ACTIONS.tops))}]) AS action) WHERE json_type(a) = 'OBJECT'),
+  i AS {_level_sql('o', 'cycle_id, action', 'v', 'item_no')},
+  p AS {_level_sql("(SELECT cycle_id, action, item_no, json_extract(e, '$.probes') AS v FROM i WHERE json_type(e) = 'OBJECT')", 'cycle_id, action, item_no', 'v', 'probe_no')},
+  u AS {_level_sql("(SELECT cycle_id, action, item_no, probe_no, json_extract(e, '$.urls') AS v FROM p WHERE json_type(e) = 'OBJECT')", 'cycle_id, action, item_no, probe_no', 'v', 'url_no')}
+"""
+
 ORACLE = {
+    "p4_found": f"""{_NESTED} SELECT cycle_id, action, item_no, -1 AS probe_no, -1 AS url_no, {_VALUE.format('e')} AS item_value FROM i
+      UNION ALL SELECT cycle_id, action, item_no, probe_no, -1, {_VALUE.format('e')} FROM p UNION ALL SELECT cycle_id, action, item_no, probe_no, url_no, {_VALUE.format('e')} FROM u""",
+    "p4_items": f"{_NESTED} SELECT i.cycle_id, ts, action, item_no, {_VALUE.format('e')} AS item FROM i JOIN (SELECT DISTINCT cycle_id, ts FROM dream_log) t USING (cycle_id)",
+    "p4_probes": f"{_NESTED} SELECT p.cycle_id, ts, action, item_no, probe_no, {_VALUE.format('e')} AS probe FROM p JOIN (SELECT DISTINCT cycle_id, ts FROM dream_log) t USING (cycle_id)",
+    "p4_urls": f"{_NESTED} SELECT u.cycle_id, ts, action, item_no, probe_no, url_no, {_VALUE.format('e')} AS url FROM u JOIN (SELECT DISTINCT cycle_id, ts FROM dream_log) t USING (cycle_id)",
     "p6_found": f"SELECT * FROM ({_ORPHANS}) WHERE reason <> ''",
     "p6_report": f"SELECT edge_type, period, reason, count(*) AS n_orphans FROM ({_ORPHANS}) WHERE reason <> '' GROUP BY ALL",
 }

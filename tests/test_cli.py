@@ -23,6 +23,20 @@ def test_usage(spark, capsys):
     assert main(["--help"], spark) == 0 and main(["nonsense"], spark) == 2 and main([], spark) == 2
 
 
+def test_env_file(tmp_path, monkeypatch):
+    from ledgerloom.cli import load_env, weights
+
+    (tmp_path / ".env").write_text("# note\nLEDGERLOOM_W_TEXT=0.5\nexport LEDGERLOOM_W_HIER='0.1'\nbroken\n")
+    for n in ("TEXT", "HIER"):
+        monkeypatch.delenv(f"LEDGERLOOM_W_{n}", raising=False)
+    monkeypatch.setenv("LEDGERLOOM_W_GRAPH", "0.9")
+    load_env(str(tmp_path / ".env"))
+    load_env(str(tmp_path / "none"))
+    assert weights() == (0.5, 0.9, 0.1)
+    for n in ("TEXT", "HIER"):
+        monkeypatch.delenv(f"LEDGERLOOM_W_{n}")
+
+
 def test_search_and_backlinks(kb, spark, capsys):
     _, state = kb
     capsys.readouterr()
