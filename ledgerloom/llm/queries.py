@@ -151,6 +151,20 @@ _DURATIONS = f"""
   FROM recall_log WHERE duration_ms > 0
 """
 
+_FULL = "".join(chr(0xFEE0 + c) for c in range(0x21, 0x7F)).replace("'", "")
+_HALF = "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''")
+#: One form of a text: full-width forms, invisible characters, case and accents folded. The only quotes within are doubled.
+_FORM = f"strip_accents(replace(lower(translate(regexp_replace(text, '[\\x{{AD}}\\x{{200B}}-\\x{{200F}}\\x{{202A}}-\\x{{202E}}\\x{{2060}}-\\x{{2064}}\\x{{FEFF}}]', '', 'g'), '{_FULL}', '{_HALF}')), 'ß', 'ss'))"
+_LEAKS = f"""
+  WITH d AS (SELECT doc_id, regexp_extract_all({_FORM}, '[\\p{{L}}\\p{{N}}]+') AS w FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
+  h AS (SELECT item_id, lang, regexp_extract_all({_FORM}, '[\\p{{L}}\\p{{N}}]+') AS w FROM (SELECT DISTINCT item_id, lang, text FROM heldout WHERE text IS NOT NULL)),
+  hw AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i+11], ' '))) AS g FROM h WHERE lang NOT IN ('ja', 'zh')),
+  dw AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i+11], ' '))) AS g FROM d),
+  hc AS (SELECT item_id, unnest(list_transform(range(1, length(c) - 18), lambda i: c[i:i+19])) AS g FROM (SELECT item_id, array_to_string(w, '') AS c FROM h WHERE lang IN ('ja', 'zh'))),
+  dc AS (SELECT doc_id, unnest(list_transform(range(1, length(c) - 18), lambda i: c[i:i+19])) AS g FROM (SELECT doc_id, array_to_string(w, '') AS c FROM d))
+  SELECT DISTINCT doc_id, item_id FROM dw JOIN hw USING (g) UNION SELECT DISTINCT doc_id, item_id FROM dc JOIN hc USING (g)
+"""
+
 QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_percentiles, p3_days, p5_found, p5_by_deltas, p7_found, p7_items, p8_found, p8_shares, p8_mix, p9_found, p9_lengths)}
 
 ORACLE = {
@@ -163,4 +177,11 @@ ORACLE = {
       FROM ({_DURATIONS}) WHERE topic_hint IS NOT NULL AND decided_source IS NOT NULL GROUP BY ALL""",
     "p5_found": _TERMS,
     "p5_by_deltas": _TERMS,
+    "p7_found": _LEAKS,
+    "p7_items": f"SELECT item_id, count(*) AS n_docs FROM ({_LEAKS}) GROUP BY item_id",
+    # The smallest byte-level tokenizer, one token a byte, gives the same cases: their margins are wide.
+    "p8_found": """
+      SELECT g.source FROM (SELECT DISTINCT lower(trim(source, ' ')) AS source, target_share, max_repeats FROM mix_targets WHERE source IS NOT NULL) g
+      LEFT JOIN (SELECT lower(trim(source, ' ')) AS source, sum(strlen(text))::DOUBLE AS n FROM (SELECT DISTINCT doc_id, source, text FROM documents) GROUP BY 1) d USING (source)
+      WHERE coalesce(n, 0) * max_repeats < target_share * (SELECT sum(strlen(text)) FROM (SELECT DISTINCT doc_id, text FROM documents))""",
 }
