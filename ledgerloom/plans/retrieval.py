@@ -321,10 +321,10 @@ def fused_search(spark, sf):
 @query(f"""
   WITH {_POOL.format(where="starts_with(lower(path), 'skyforge') AND kind = 'log'")},
   t AS (SELECT path, text, 1e0 / ({_HOPS.format("'skyforge'", 'path')} + 1) AS hier FROM pool)
-  SELECT path, round(0.6e0 * text + 0.15e0 * hier, 6) AS score, round(text, 4) AS text, 0e0 AS graph, round(hier, 4) AS hier, NULL::INT AS graph_dist
+  SELECT path, round(0.6e0 * text + 0.15e0 * hier, 6) AS score, round(text, 4) AS text, 0e0 AS graph, round(hier, 4) AS hier
   FROM t ORDER BY 0.6e0 * text + 0.15e0 * hier DESC, t.text DESC, path LIMIT 10""")
 def fused_search_filtered(spark, sf):
-    return _shown(_searcher(spark, sf).within("skyforge").kind("log").top(10).run())
+    return _shown(_searcher(spark, sf).within("skyforge").kind("log").top(10).run()).drop("graph_dist")
 
 
 @query(f"""
