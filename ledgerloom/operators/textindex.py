@@ -2,8 +2,9 @@
 
 ``postings(term, key, tf)`` and ``lengths(key, n_tokens)`` are made once and may be written partitioned by
 a hash of the term; a query touches its terms' postings only. Matching is a conjunction of words; upper-case
-OR and NOT, ``word*`` and quoted phrases are understood in lenient mode. Scores are positive, statistics are
-those of the whole index whatever filters apply, and ties are ordered by key.
+OR and NOT and ``word*`` are understood, and over an index with positions ``a + b`` (in this order, side by
+side), ``^a`` (first in the text) and ``NEAR(a b, n)`` (at most n words between the outer two). Scores are
+positive, statistics are those of the whole index whatever filters apply, and ties are ordered by key.
 """
 
 from __future__ import annotations
@@ -23,10 +24,18 @@ POOL = 50
 
 @dataclass
 class Query:
-    """Alternatives of words that must all occur; ``no`` must not; words ending in ``*`` are prefixes."""
+    """Alternatives of words that must all occur; ``no`` must not; words ending in ``*`` are prefixes.
+
+    A word with blanks is a phrase, one that begins with ``^`` must be the first. ``near`` holds groups of
+    words with the most words between them; they restrict all matches, scores count all occurrences.
+    """
 
     any_of: list[list[str]] = field(default_factory=list)
     no: list[str] = field(default_factory=list)
+    near: list[tuple[list[str], int]] = field(default_factory=list)
+
+    def positional(self) -> bool:
+        return bool(self.near) or any(" " in w or w.startswith("^") for w in [*self.words(), *self.no])
 
     def words(self) -> list[str]:
         return sorted({w for group in self.any_of for w in group})
@@ -42,9 +51,22 @@ def parsed_query(raw: str, stem: bool = False, strict: bool = False) -> Query |
     s = sanitised(raw)
     if strict and re.search(r"[?.,/(){}@:\-+^~;!&|\\\[\]<>=%$#]|^\*|\s\*", s):
         return None
-    q, group, negate = Query(), [], False
-    for token in s.split():
-        if token == "OR":
+    q, group, negate, joined = Query(), [], False, False
+
+    def close(m: re.Match) -> str:
+        found = [w for x in m[1].split() for w in words_of(x)]
+        q.near.append((found, int(m[2] or 10)))
+        return " ".join(m[1].split())
+
+    def words_of(token: str) -> list[str]:
+        found = txt._WORD.findall(txt.folded(token) if stem else token.lower())
+        return [txt.stemmed(w) if stem else w for w in found]
+
+    s = re.sub(r"\bNEAR\s*\(([^(),]*)(?:,\s*(\d+)\s*)?\)", close, s)
+    for token in re.sub(r"\s*\+\s*", " + ", s).split():
+        if token == "+":
+            joined = bool(group)
+        elif token == "OR":
             q.any_of, group = q.any_of + [group], []
         elif token == "AND":
             continue
@@ -55,6 +77,9 @@ def parsed_query(raw: str, stem: bool = False, strict: bool = False) -> Query |
             found = txt._WORD.findall(txt.folded(token) if stem else token.lower())
             found = [txt.stemmed(w) if stem and not star else w for w in found]
             found = [w + (star if i == len(found) - 1 else "") for i, w in enumerate(found)]
+            found = ["^" + found[0], *found[1:]] if token.startswith("^") and found else found
+            if joined and found and not negate:
+                group[-1], found, joined = f"{group[-1]} {found[0]}", found[1:], False
             if negate:
                 q.no, negate = q.no + found, False
             else:
@@ -71,13 +96,18 @@ class TextIndex:
         self._stats: tuple[int, float] | None = None
 
     @classmethod
-    def of(cls, docs: DataFrame, key: str, text: str, stem: bool = False, keep: bool = False) -> TextIndex:
+    def of(cls, docs: DataFrame, key: str, text: str, stem: bool = False, keep: bool = False, positions: bool = False) -> TextIndex:
+        """An index of ``text``; with ``positions`` postings also have ``at``, a term's places in the text from 0."""
         words = txt.stemmed_tokens(F.col(text)) if stem else txt.tokens(F.col(text))
         listed = docs.select(key, words.alias("words"))
         if keep:
             listed = written(listed, "words")
         lengths = listed.select(key, F.size("words").cast("bigint").alias("n_tokens"))
-        postings = listed.select(key, F.explode("words").alias("term")).groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"))
+        if positions:
+            placed = listed.select(key, F.posexplode("words").alias("i", "term")).groupBy("term", key)
+            postings = placed.agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("i")).alias("at"))
+        else:
+            postings = listed.select(key, F.explode("words").alias("term")).groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"))
         if keep:
             postings = written(postings.repartition("term").sortWithinPartitions("term"), "postings")
         return cls(postings, lengths, key, stem)
@@ -100,13 +130,46 @@ class TextIndex:
         return F.col("term").startswith(word[:-1]) if word.endswith("*") else F.col("term") == word
 
     def _hits(self, words: list[str]) -> DataFrame:
-        """(word, key, tf) of the query's words; a prefix counts all its terms as one."""
+        """(word, key, tf) of the query's words; a prefix counts all its terms as one, a phrase its occurrences."""
+        if any(" " in w or w.startswith("^") for w in words):
+            return self._placed(words)
         cond = self._of(words[0])
         for w in words[1:]:
             cond = cond | self._of(w)
         which = F.array_compact(F.array(*[F.when(self._of(w), F.lit(w)) for w in words]))
         return self.postings.where(cond).select(F.explode(which).alias("word"), self.key, "tf").groupBy("word", self.key).agg(F.sum("tf").alias("tf"))
 
+    def _places(self, terms: list[str]) -> DataFrame:
+        """(key, m): of each text a map from the given terms to their places."""
+        if "at" not in self.postings.columns:
+            raise ValueError("phrases, NEAR and ^ need an index with positions")
+        cond = self._of(terms[0])
+        for w in terms[1:]:
+            cond = cond | self._of(w)
+        which = F.array_compact(F.array(*[F.when(self._of(w), F.lit(w)) for w in terms]))
+        one = self.postings.where(cond).select(F.explode(which).alias("w"), self.key, "at").groupBy(self.key, "w").agg(F.flatten(F.collect_list("at")).alias("at"))
+        return one.groupBy(self.key).agg(F.map_from_entries(F.collect_list(F.struct("w", "at"))).alias("m"))
+
+    def _placed(self, words: list[str]) -> DataFrame:
+        """Hits by positions: of each text only the places of the query's terms are brought together."""
+
+        def starts(word: str) -> Column:
+            """Places at which the word or phrase begins."""
+            found = None
+            for k, p in enumerate(word.lstrip("^").split()):
+                here = F.transform(_at(p), _minus(k))
+                found = here if found is None else F.array_intersect(found, here)
+            return F.filter(found, lambda x: x == 0) if word.startswith("^") else found
+
+        rows = self._places(sorted({p for w in words for p in w.lstrip("^").split()}))
+        counted = F.array(*[F.struct(F.lit(w).alias("word"), F.size(starts(w)).cast("bigint").alias("tf")) for w in words])
+        return rows.select(self.key, F.explode(counted).alias("x")).select("x.word", self.key, "x.tf").where("tf > 0")
+
+    def _close(self, words: list[str], most: int) -> DataFrame:
+        """Keys of texts that have all words with at most ``most`` others between the outer two."""
+        places = [_at(w) for w in words]
+        return self._places(sorted(set(words))).where(F.exists(F.flatten(F.array(*places)), _clump(places, most))).select(self.key)
+
     def matching(self, q: Query, hits: DataFrame | None = None) -> DataFrame:
         """Keys that satisfy the query, with the hits of its words."""
         hits = self._hits(q.words()) if hits is None else hits
@@ -116,6 +179,8 @@ class TextIndex:
             need = F.size(F.array_intersect(have, F.array(*[F.lit(w) for w in sorted(set(group))]))) == len(set(group))
             ok = need if ok is None else ok | need
         keys = hits.groupBy(self.key).agg(ok.alias("ok")).where("ok").select(self.key)
+        for words, most in q.near:
+            keys = keys.join(self._close(words, most), self.key, "left_semi")
         if q.no:
             keys = keys.join(self._hits(q.no).select(self.key), self.key, "left_anti")
         return hits.join(keys, self.key, "left_semi")
@@ -137,5 +202,25 @@ class TextIndex:
         return found.groupBy(self.key).agg(F.sum(weight).alias("score"))
 
 
+def _at(w: str) -> Column:
+    return F.coalesce(F.try_element_at("m", F.lit(w)), F.array().cast("array<int>"))
+
+
+def _minus(k: int):
+    return lambda x: x - k
+
+
+def _clump(places: list[Column], most: int):
+    """Whether each word has a place from the given one on, with at most ``most`` words between first and last."""
+
+    def holds(p: Column) -> Column:
+        ok = F.lit(True)
+        for a in places:
+            ok = ok & F.exists(a, lambda x: (x >= p) & (x <= p + most + 1))
+        return ok
+
+    return holds
+
+
 def top(scored: DataFrame, key: str, n: int = POOL) -> DataFrame:
     return scored.orderBy(F.desc("score"), F.asc(key)).limit(n)

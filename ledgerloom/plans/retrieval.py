@@ -83,6 +83,15 @@ def bm25_stemmed(spark, sf):
     return _ranked(spark, sf, "measuring spindles", stem=True)
 
 
+@query(r"""
+  WITH d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+'), ' ') || ' ' AS w FROM (SELECT DISTINCT doc_id, text FROM documents))
+  SELECT doc_id FROM d WHERE contains(w, ' velvet spindle ') AND NOT contains(w, ' ledger ')""")
+def phrase_match(spark, sf):
+    """Documents with two words side by side and without a third."""
+    docs = tables.table(spark, sf, "documents").select("doc_id", "text").distinct()
+    return TextIndex.of(docs, "doc_id", "text", positions=True).bm25("velvet + spindle NOT ledger").select("doc_id")
+
+
 @query(_BASE + " SELECT nd AS n_docs, round(avgdl, 6) AS avgdl, (SELECT sum(n)::BIGINT FROM l) AS n_tokens FROM c")
 def corpus_stats(spark, sf):
     return _index(spark, sf).corpus().select("n_docs", F.round("avgdl", 6).alias("avgdl"), "n_tokens")

@@ -18,7 +18,7 @@ CORPUS = [
 
 @pytest.fixture(scope="module")
 def index(spark):
-    return TextIndex.of(spark.createDataFrame(CORPUS, "path string, body string"), "path", "body", stem=True)
+    return TextIndex.of(spark.createDataFrame(CORPUS, "path string, body string"), "path", "body", stem=True, positions=True)
 
 
 def scores(index, q, **k):
@@ -32,7 +32,7 @@ def full_text(q):
     return {p: -s for p, s in db.execute("select path, bm25(t) from t where t match ?", (q,))}
 
 
-@pytest.mark.parametrize("q", ["race", "run", "RUNNING", "cafe", "race the", "race OR fox", "race NOT the", "race or fox", "rac*", "nothing"])
+@pytest.mark.parametrize("q", ["race", "run", "RUNNING", "cafe", "race the", "race OR fox", "race NOT the", "race or fox", "rac*", "nothing", "the + race", "race + the", "on + on", "quick + fox OR car", "^race", "^the", "NEAR(run race, 3)", "NEAR(run cafe, 1)", "NEAR(run cafe, 4)", "NEAR(the fox)"])
 def test_bm25_agrees_with_an_independent_engine(index, q):
     try:
         want = full_text(q)
@@ -51,6 +51,9 @@ def test_query_text(index):
         assert scores(index, q, strict=True) == {}
     assert scores(index, "race, the") == scores(index, "race the")
     assert parsed_query("OR NOT AND") is None
+    plain = TextIndex(index.postings.drop("at"), index.lengths, "path", True)
+    with pytest.raises(ValueError):
+        plain.bm25("the + race")
 
 
 def test_stems():
