@@ -136,7 +136,7 @@ def blocks(text: str) -> Iterator[tuple[list[tuple[int, int]], bool]]:
         stop = n if stop < 0 else stop
         line = text[at:stop]
         here, at = at, stop + 1
-        f = rx.match(r"[ >]*(`{3,}|~{3,})", line)
+        f = rx.match(r"[ >]*(`{3,}|~{3,})", line) if "```" in line or "~~~" in line else None
         if fence:
             if f and f[1][0] == fence[0] and len(f[1]) >= len(fence) and not line[f.end() :].strip():
                 fence = ""
@@ -146,17 +146,18 @@ def blocks(text: str) -> Iterator[tuple[list[tuple[int, int]], bool]]:
                 yield lines, single
             lines, single, in_list, fence = [], False, False, f[1]
             continue
-        skip = rx.match(r"\s*(?:>\s?)*\s*", line).end()
+        skip = 0 if line[:1].isalnum() else rx.match(r"\s*(?:>\s?)*\s*", line).end()
         rest = line[skip:]
+        first = rest[:1]
         quoted = ">" in line[:skip]
-        if not rest.strip() or rx.fullmatch(r"([-*_])(?:[ \t]*\1){2,}\s*", rest):
+        if not rest.strip() or (first in "-*_" and rx.fullmatch(r"([-*_])(?:[ \t]*\1){2,}\s*", rest)):
             if lines:
                 yield lines, single
             lines, single = [], False
             in_list = in_list and not quoted and not rest.strip()
             continue
-        head = rx.match(r"#{1,6}(?:[ \t]+|$)", rest)
-        item = rx.match(r"(?:[-*+]|(\d{1,9})[.)])[ \t]+", rest)
+        head = rx.match(r"#{1,6}(?:[ \t]+|$)", rest) if first == "#" else None
+        item = rx.match(r"(?:[-*+]|(\d{1,9})[.)])[ \t]+", rest) if first in "-*+" or first.isdigit() else None
         if item and item[1] and lines and not single and item[1] != "1":
             item = None  # a wrapped line that begins with a number
         if head or item:
@@ -245,7 +246,6 @@ def _score(s: str, unit: int, i: int, j: int, end: int, inside: bool) -> float:
     first, quote = _opening(after)
     cased = first.isalpha() and first.lower() != first.upper()
     lower = cased and first == first.lower()
-    cjk_next, cjk_last = bool(_CJK.match(first or " ")), bool(_CJK.match((before.rstrip()[-1:] or " ")))
     file_next = bool(_FILE.match(follows)) if lower or first.isdigit() else False
 
     if inside:  # a quotation that ends with a mark
@@ -253,7 +253,7 @@ def _score(s: str, unit: int, i: int, j: int, end: int, inside: bool) -> float:
             return -9.0
         if lower and not file_next:
             return -9.0
-        if _CJK.match(first) or cjk_last or _KANA.search(before[-6:]):
+        if _CJK.match(first) or _CJK.match(before.rstrip()[-1:]) or _KANA.search(before[-6:]):
             if _KANA.search(after[:30]) and _JA.segment(after.lstrip()[:6])[0] in JA_QUOTES_ON:
                 return -9.0
             return -6.0 if not spaced and (_speech(after) or not rx.match(r"\s*[「『“（(]", after)) else 4.0
@@ -265,7 +265,7 @@ def _score(s: str, unit: int, i: int, j: int, end: int, inside: bool) -> float:
     if ";" in marks or ";" in marks:
         return 6.0 if len(_GREEK.findall(before[-40:])) > 3 and not lower else -9.0
     if "…" in marks or marks.startswith(".."):
-        if cjk_last or cjk_next:
+        if _CJK.match(before.rstrip()[-1:]) or _CJK.match(first):
             return spaceless_gap(before, after.lstrip()) if not spaced else 2.0
         if lower and not file_next:
             return -5.0
@@ -355,10 +355,12 @@ def split_paragraph(s: str, thai: bool | None = None) -> list[tuple[int, int]]:
         # A full stop between a common word and a capital needs no closer look.
         if s[i] == "." and s[i + 1 : i + 2] == " " and s[i + 2 : i + 3].isupper():
             word = s[s.rfind(" ", unit, i) + 1 : i]
-            if len(word) > 3 and word.isalpha() and word.islower() and word not in NEVER_LAST and word not in MAYBE_LAST:
+            if len(word) > 3 and word.isalpha() and word[1:].islower() and word.lower() not in NEVER_LAST and word.lower() not in MAYBE_LAST:
                 nodes.append((i + 1, 6.0))
                 at = unit = i + 1
                 continue
+        elif s[i] == "." and (s[i + 1 : i + 2].isdigit() or s[i + 1 : i + 2].islower()):
+            continue  # within a number, a file name or an address
         j = i + 1
         while j < n and (s[j] in _ENDS or (s[j] == " " and s[j + 1 : j + 2] == "." and s[i] == ".")):
             j += 1
