@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ledgerloom.runtime import plain, written
+from ledgerloom.runtime import MOST_HOT, plain, written
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # The pattern by which the tokenizer's vocabulary was built.
@@ -85,6 +85,8 @@ class Mix:
             "demand",
         )
         names = [tuple(r) for r in self.demand.select("source").collect()]
+        # The plan of sources is broadcast while there are few of them.
+        self.near = F.broadcast if len(names) <= MOST_HOT else (lambda d: d)
         pieces = _segments(names, {k.strip().lower(): v for k, v in (schedules or {}).items()})
         self.pieces = spark.createDataFrame(pieces, "source string, f0 double, f1 double, t0 double, t1 double, w0 double, w1 double")
         self.seed = seed
@@ -94,7 +96,7 @@ class Mix:
         n = self.counted.count()
         blocks = max(1, n // PER_BLOCK)
         h = F.xxhash64("doc_id", F.lit(self.seed))
-        docs = self.counted.join(F.broadcast(self.demand.where("copies > 0").select("source", "supply", "take", "copies")), "source")
+        docs = self.counted.join(self.near(self.demand.where("copies > 0").select("source", "supply", "take", "copies")), "source")
         docs = docs.withColumn("h", h).withColumn("block", F.floor((F.shiftright("h", 32) + F.lit(2**31)) / F.lit(2**32 // blocks + 1)).cast("int"))
         sums = docs.groupBy("source", "block").agg(F.sum("n_tokens").alias("s"))
         before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -104,7 +106,7 @@ class Mix:
         docs = docs.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
         docs = docs.withColumn("at", F.col("copy") * F.col("supply") + F.col("base") + F.col("within")).where(F.col("at") < F.col("take"))
         docs = docs.withColumn("f", F.col("at") / F.col("take"))
-        pieces = F.broadcast(self.pieces.withColumnRenamed("source", "__s"))
+        pieces = self.near(self.pieces.withColumnRenamed("source", "__s"))
         docs = docs.join(pieces, (F.col("source") == F.col("__s")) & (F.col("f") >= F.col("f0")) & (F.col("f") < F.col("f1")))
         # Within a piece the demand is w0 x + (w1 - w0) x^2 / (2 d) for x = t - t0 of length d; solved for x.
         d, r = F.col("t1") - F.col("t0"), F.col("f") - F.col("f0")
