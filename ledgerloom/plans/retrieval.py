@@ -511,7 +511,7 @@ def stream_edges(spark, sf):
     def merge(df: DataFrame, epoch: int) -> None:
         df.distinct().write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}")
 
-    watch.on_each_batch(links_only, merge, f"{base}/checkpoint").awaitTermination()
+    watch.merged(links_only, merge, f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/out").select("src", "dst").distinct().agg(F.count(F.lit(1)).alias("n_edges"))
 
 

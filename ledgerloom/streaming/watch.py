@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -27,8 +28,12 @@ def quiet_periods(events: DataFrame, gap: str = "30 seconds", late: str = "1 min
     return g.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n_events")
 
 
-def on_each_batch(stream: DataFrame, act: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Run an idempotent action for every micro-batch; a failing action is reported, not fatal."""
+def on_each_batch(stream: DataFrame, act: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True, tolerant: bool = True) -> StreamingQuery:
+    """Run an idempotent action for every micro-batch.
+
+    If ``tolerant``, a failing action is reported and its batch counts as done: only for actions that make up
+    for it later, as a backfill does. Else it ends the stream, and a start from the checkpoint runs the batch again.
+    """
 
     def safe(df: DataFrame, epoch: int) -> None:
         try:
@@ -36,10 +41,21 @@ def on_each_batch(stream: DataFrame, act: Callable[[DataFrame, int], None], chec
         except Exception as e:
             print(f"batch {epoch} failed: {e}")
 
-    w = stream.writeStream.foreachBatch(safe).option("checkpointLocation", checkpoint)
+    w = stream.writeStream.foreachBatch(safe if tolerant else act).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()
 
 
+def merged(stream: DataFrame, act: Callable[[DataFrame, int], None], checkpoint: str, tries: int = 3) -> None:
+    """Run an idempotent action for all that is there; after a failure again from the checkpoint, then the error is raised."""
+    for left in range(tries - 1, -1, -1):
+        try:
+            on_each_batch(stream, act, checkpoint, tolerant=False).awaitTermination()
+            return
+        except StreamingQueryException:
+            if not left:
+                raise
+
+
 def windowed_counts(log: DataFrame, width: str = "1 day", slide: str | None = None, late: str = "2 days") -> DataFrame:
     """(start, decided_source, n) in windows of event time ``at``."""
     e = log.withWatermark("at", late) if log.isStreaming else log
