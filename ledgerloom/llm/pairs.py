@@ -64,7 +64,9 @@ JA_PARTICLES = ("が", "を", "は", "に", "で", "と", "の", "も", "へ", "
 
 _INVISIBLE = regex.compile(r"[\p{Cf}\p{Cc}\p{Zl}\p{Zp}]+")
 _WORD = regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}\p{M}’'-]*")
-_QUOTED = regex.compile(r"«[^»]{0,400}»|“[^”]{0,400}”|„[^“”]{0,400}[“”]|「[^」]{0,400}」|\"[^\"]{0,400}\"|‹[^›]{0,400}›|『[^』]{0,400}』|(?<!\w)['‘][^'’]{0,400}['’](?!\w)")
+_QUOTE_OPENS = regex.compile(r"[«“„「\"‹『]|(?<!\w)['‘]")
+_QUOTE_ENDS = {a: regex.compile(f"[{b}]") for a, b in {"«": "»", "“": "”", "„": "“”", "「": "」", '"': '"', "‹": "›", "『": "』", "'": "'’", "‘": "'’"}.items()}
+_WORD_AT = regex.compile(r"\w")
 _FILE = regex.compile(r"(?<![\w./-])[\w./-]+\.(?:md|txt|html?|json|ya?ml|csv)\b|https?://\S+")
 _CYRILLIC = regex.compile(r"\p{Cyrillic}")
 _KANA = regex.compile(r"[\p{Hiragana}\p{Katakana}]")
@@ -133,6 +135,26 @@ def bared(s: str) -> str:
     return s[a:b]
 
 
+def unquoted(s: str) -> str:
+    """Text with a blank in place of each quotation, of any length; the next end of each kind is looked for once."""
+    out: list[str] = []
+    ends: dict[str, int] = {}
+    at, n = 0, len(s)
+    for m in _QUOTE_OPENS.finditer(s):
+        i, c = m.start(), m[0]
+        if i < at:
+            continue
+        if ends.get(c, 0) <= i:
+            e = _QUOTE_ENDS[c].search(s, i + 1)
+            ends[c] = e.start() if e else n
+        j = ends[c]
+        if j == n or (c in "'‘" and _WORD_AT.match(s, j + 1)):
+            continue
+        out.append(s[at:i])
+        at = j + 1
+    return " ".join([*out, s[at:]])
+
+
 def tokens(s: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(s)]
 
@@ -233,7 +255,7 @@ def votes(q: str | None, a: str | None, model: Trigrams) -> dict[str, tuple[int,
     )
 
     # other_language
-    content = _FILE.sub(" ", _QUOTED.sub(" ", a))
+    content = _FILE.sub(" ", unquoted(a))
     ask = _FILE.sub(" ", q)
     neutral = void or named or sentinel or copied or not rx.search(r"\p{Ll}|\p{Lo}", content)
     script = lambda s: "ja" if _KANA.search(s) or rx.search(r"\p{Han}", s) else "ru" if len(_CYRILLIC.findall(s)) > 2 else "latin"
@@ -325,7 +347,7 @@ def language_model(pairs: DataFrame, most: int = SAMPLE) -> Trigrams:
     asked = sorted({(NEGATIVE_TEST.sub("", shown(r.q)), shown(r.a)) for r in rows})
     labelled = [(q, by_function_words(q)) for q in sorted({q for q, _ in asked})]
     # Answers in which the function words of their question's language prevail, too.
-    labelled += [(a, lang) for q, a in asked if a and (lang := by_function_words(q)) and by_function_words(_QUOTED.sub(" ", a)) == lang]
+    labelled += [(a, lang) for q, a in asked if a and (lang := by_function_words(q)) and by_function_words(unquoted(a)) == lang]
     return Trigrams([(t, lang) for t, lang in labelled + [(q, by_function_words(q)) for q, _, _ in VALIDATION] if lang])
 
 
