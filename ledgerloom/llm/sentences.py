@@ -18,7 +18,8 @@ points from 0; the end is exclusive; blanks at the ends are outside, closing mar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import regex
@@ -61,10 +62,11 @@ ZH_SPEECH = "问 喊 说 道 叫 答 回答 写".split()
 TH_FINAL = "แล้ว ครับ ค่ะ คะ นะ ไหม หรือ เลย กันแน่ นั้น นี้".split()
 TH_OPENS = "ไม่มี ใคร อย่า หน้า รุ่น ค่า ของ บันทึก เข็ม ลูกเรือ แต่ และ".split()
 
-#: Code points before and after a mark that its evidence comes from, and pairs that may be open at once.
-NEAR, OPEN = 300, 64
+#: Code points before and after a mark in which the words and marks beside it are looked for.
+NEAR = 300
 
 _PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "「": "」", "『": "』", "【": "】", "《": "》", "〈": "〉", "“": "”", "„": "“", "‚": "‘", "‘": "’", "«": "»", "‹": "›"}
+_OPENERS = {b: "".join(a for a in _PAIRS if _PAIRS[a] == b) for b in _PAIRS.values()}
 _CLOSERS = set(_PAIRS.values()) | {'"', "'", "»", "”"}
 _BRACKETS = set("([{（［【《〈")
 _ENDS = set(".!?…。！？．؟।॥｡")
@@ -76,6 +78,8 @@ _GREEK = regex.compile(r"\p{Greek}")
 _WORDY = regex.compile(r"[\p{L}\p{N}]")
 _FILE = regex.compile(r"[\p{L}\p{N}_]+(?:[-_./][\p{L}\p{N}_]+)*\.(?:md|txt|html?|json|ya?ml|py|csv|markdown|pdf)\b|[\w-]+\d[\w-]*\.\w+")
 _THAI_GAP = regex.compile(r"(?<=\p{Thai}) +(?=\p{Thai})")
+_CLAUSE_END = regex.compile(r"[.!?。！？؟।]")
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _LAST_WORD = regex.compile(r"[^\s()\[\]«»“”„\"'’‘「」（）,;:—–]+$")
 
 
@@ -179,39 +183,47 @@ def blocks(text: str) -> Iterator[tuple[list[tuple[int, int]], bool]]:
 def _matched(s: str) -> list[tuple[int, int]]:
     """Outermost matched pairs of quotes and brackets: (opening, closing)."""
     stack: list[tuple[str, int]] = []
+    depth: dict[str, list[int]] = {}  # where each opener is on the stack
     found: list[tuple[int, int]] = []
     n = len(s)
+
+    def push(c: str, i: int) -> None:
+        depth.setdefault(c, []).append(len(stack))
+        stack.append((c, i))
+
+    def pop(k: int, i: int) -> None:
+        found.append((stack[k][1], i))
+        while len(stack) > k:
+            depth[stack.pop()[0]].pop()
+
+    def last(openers: str) -> int | None:
+        return max((depth[c][-1] for c in openers if depth.get(c)), default=None)
+
     for m in _QUOTE.finditer(s):
         i, c = m.start(), m[0]
         if c in "'\"":
             before, after = s[i - 1] if i else " ", s[i + 1] if i + 1 < n else " "
-            opened = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == c), None)
+            opened = last(c)
             opens = (before.isspace() or before in "([{—–-„“«「（" or (c == '"' and _CJK.match(before) is not None)) and not after.isspace()
             closes = opened is not None and not (before.isspace() and not after.isspace()) and (c == '"' or not after.isalnum())
             if closes and not (opens and c == "'"):
-                found.append((stack[opened][1], i))
-                del stack[opened:]
+                pop(opened, i)
             elif opens and opened is None:
-                stack.append((c, i))
+                push(c, i)
             continue
-        top = stack[-1][0] if stack else ""
         if c in "“”‘’»" and stack:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if _PAIRS.get(stack[k][0]) == c or (c == "”" and stack[k][0] in "„“") or (c == "»" and stack[k][0] == "«")), None)
+            k = last(_OPENERS.get(c, "") + ("„" if c == "”" else ""))
             if k is not None and not (c == "’" and i + 1 < n and s[i + 1].isalnum()):
-                found.append((stack[k][1], i))
-                del stack[k:]
+                pop(k, i)
                 continue
         if c in _PAIRS and c != "’":
             if c == "‘" and i and s[i - 1].isalnum():
                 continue
-            stack.append((c, i))
-            del stack[:-OPEN]
+            push(c, i)
         elif c in _CLOSERS:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if _PAIRS.get(stack[k][0]) == c), None)
+            k = last(_OPENERS.get(c, ""))
             if k is not None and not (c == "’" and i + 1 < n and s[i + 1].isalnum()):
-                found.append((stack[k][1], i))
-                del stack[k:]
-        del top
+                pop(k, i)
     found.sort()
     outer: list[tuple[int, int]] = []
     for a, b in found:
@@ -227,17 +239,32 @@ def _opening(after: str) -> tuple[str, bool]:
     return after[m.end() : m.end() + 1], bool(rx.search(r"[\"'“„‘«‹「『（(¿¡\[]", lead))
 
 
-def _speech(after: str) -> bool:
-    """Whether the clause that follows a quotation says who spoke."""
-    clause = rx.split(r"[.!?。！？؟।]", after, maxsplit=1)[0]
-    if _CJK.search(clause):
-        return any(w in ZH_SPEECH for w in _ZH.segment(clause[:40]))
-    words = rx.findall(r"\p{L}[\p{L}\p{M}]*", clause)
-    return bool(words) and (any(w.lower() in SPEECH for w in words[:3]) or any(w in SPEECH for w in words[-2:]))
-
-
-def _score(s: str, unit: int, i: int, j: int, end: int, inside: bool) -> float:
-    """Evidence that a sentence ends at ``end``: marks s[i:j] (closers up to end), the words around them."""
+class _Clauses:
+    """Whether the clause that follows a quotation says who spoke; asked for rising positions, each clause is read once."""
+
+    def __init__(self, s: str) -> None:
+        self.s, self.stop, self.cjk = s, -1, -1
+        self.words: list[str] = []
+        self.starts: list[int] = []
+
+    def speech(self, at: int) -> bool:
+        s = self.s
+        if self.stop < at:
+            m = _CLAUSE_END.search(s, at)
+            self.stop = m.start() if m else len(s)
+            found = list(_LETTERS.finditer(s, at, self.stop))
+            self.words, self.starts = [m[0] for m in found], [m.start() for m in found]
+        if self.cjk < at:
+            m = _CJK.search(s, at)
+            self.cjk = m.start() if m else len(s)
+        if self.cjk < self.stop:
+            return any(w in ZH_SPEECH for w in _ZH.segment(s[at : min(at + 40, self.stop)]))
+        k, words = bisect_left(self.starts, at), self.words
+        return k < len(words) and (any(w.lower() in SPEECH for w in words[k : k + 3]) or any(w in SPEECH for w in words[max(k, len(words) - 2) :]))
+
+
+def _score(s: str, unit: int, i: int, j: int, end: int, speech: Callable[[int], bool] | None = None) -> float:
+    """Evidence that a sentence ends at ``end``: marks s[i:j] (closers up to end), the words around them; ``speech`` for a quotation."""
     marks, before, after = s[i:j], s[max(unit, i - NEAR) : i], s[end : end + NEAR]
     follows = after.strip() or s[end:].strip()[:NEAR]
     if not follows:
@@ -248,7 +275,7 @@ def _score(s: str, unit: int, i: int, j: int, end: int, inside: bool) -> float:
     lower = cased and first == first.lower()
     file_next = bool(_FILE.match(follows)) if lower or first.isdigit() else False
 
-    if inside:  # a quotation that ends with a mark
+    if speech:  # a quotation that ends with a mark
         if not first or rx.match(r"\s*[,،;:、，—–-]", after):
             return -9.0
         if lower and not file_next:
@@ -256,10 +283,10 @@ def _score(s: str, unit: int, i: int, j: int, end: int, inside: bool) -> float:
         if _CJK.match(first) or _CJK.match(before.rstrip()[-1:]) or _KANA.search(before[-6:]):
             if _KANA.search(after[:30]) and _JA.segment(after.lstrip()[:6])[0] in JA_QUOTES_ON:
                 return -9.0
-            return -6.0 if not spaced and (_speech(after) or not rx.match(r"\s*[「『“（(]", after)) else 4.0
+            return -6.0 if not spaced and (speech(end) or not rx.match(r"\s*[「『“（(]", after)) else 4.0
         if not cased and rx.match(rf"\s*(?:{AR_RUNS_ON})", after):
             return -6.0
-        return -6.0 if _speech(after) else 5.0
+        return -6.0 if speech(end) else 5.0
     if set(marks) & set("。！？．｡।॥؟"):
         return 8.0
     if ";" in marks or ";" in marks:
@@ -318,6 +345,8 @@ def _score(s: str, unit: int, i: int, j: int, end: int, inside: bool) -> float:
 def split_paragraph(s: str, thai: bool | None = None) -> list[tuple[int, int]]:
     """Spans of the sentences of a paragraph (line breaks count as blanks), by the cheapest path of a lattice."""
     pairs = _matched(s)
+    clauses = _Clauses(s)
+    emphasis = {c: [m.start() for m in regex.finditer(regex.escape(c), s)] if c in s else [] for c in "*_"}
     n = len(s)
     start = n - len(s.lstrip())
     nodes: list[tuple[int, float]] = []  # (end of a unit, evidence)
@@ -347,7 +376,7 @@ def split_paragraph(s: str, thai: bool | None = None) -> list[tuple[int, int]]:
                 end += 1
             if end < n and s[end] in _ENDS:
                 continue
-            score = _score(s, unit, b, b + 1, end, True)
+            score = _score(s, unit, b, b + 1, end, clauses.speech)
             nodes.append((end, score))
             if score > 0:
                 unit = end
@@ -365,10 +394,10 @@ def split_paragraph(s: str, thai: bool | None = None) -> list[tuple[int, int]]:
         while j < n and (s[j] in _ENDS or (s[j] == " " and s[j + 1 : j + 2] == "." and s[i] == ".")):
             j += 1
         end = j
-        while end < n and (s[end] in "”’»」』）)］】" or (s[end] in "\"'*_" and not (end + 1 < n and s[end + 1].isalnum()) and (s[end] in "*_" and s[max(unit, end - NEAR) : end].count(s[end]) % 2 == 1))):
+        while end < n and (s[end] in "”’»」』）)］】" or (s[end] in "\"'*_" and not (end + 1 < n and s[end + 1].isalnum()) and (s[end] in "*_" and (bisect_left(emphasis[s[end]], end) - bisect_left(emphasis[s[end]], unit)) % 2 == 1))):
             end += 1
         at = end
-        score = _score(s, unit, i, j, end, False)
+        score = _score(s, unit, i, j, end)
         nodes.append((end, score))
         if score > 0:
             unit = end
@@ -381,30 +410,22 @@ def split_paragraph(s: str, thai: bool | None = None) -> list[tuple[int, int]]:
                 nodes.append((m.start(), spaceless_gap(s[max(0, m.start() - NEAR) : m.start()], s[m.end() : m.end() + NEAR], True)))
     # A node with evidence against it is on no cheapest path.
     nodes = sorted(x for x in nodes if x[1] > 0)
-    # Cheapest path: a node passed over costs its evidence, a node taken costs the opposite; a unit without
-    # letters or digits is never worth it.
-    ends = [start] + [e for e, _ in nodes if e < n] + [n]
-    gain = [0.0] + [g for e, g in nodes if e < n] + [0.0]
-    wordy = [0]
-    for a, b in zip(ends, ends[1:]):
-        wordy.append(wordy[-1] + (_WORDY.search(s, a, b) is not None))
-    best = [(0.0, -1)] + [(-1e18, -1)] * (len(ends) - 1)
-    for j in range(1, len(ends)):
-        skipped = 0.0
-        for i in range(j - 1, -1, -1):
-            edge = 0.0 if wordy[j] > wordy[i] else -50.0
-            value = best[i][0] + gain[j] - skipped + edge
-            if value > best[j][0]:
-                best[j] = (value, i)
-            skipped += gain[i]
-            if skipped > 60.0:
-                break
-    out, j = [], len(ends) - 1
-    while j > 0:
-        i = best[j][1]
-        out.append((ends[i], ends[j]))
-        j = i
-    return out[::-1]
+    # Cheapest path: a node passed over costs its evidence, a node taken gains it, and a unit without letters
+    # or digits costs more than any two nodes gain. So of the nodes between two stretches with letters or
+    # digits just one is taken: the strongest, the last of equals.
+    out: list[tuple[int, int]] = []
+    a = at = start
+    cut, gain, filled = -1, 0.0, False
+    for end, g in [*(x for x in nodes if x[0] < n), (n, 0.0)]:
+        if _WORDY.search(s, at, end):
+            if filled:
+                out.append((a, cut))
+                a = cut
+            filled, gain = True, 0.0
+        at = end
+        if g >= gain:
+            cut, gain = end, g
+    return [*out, (a, n)]
 
 
 def units(text: str | None) -> list[tuple[int, int]]:
