@@ -3,7 +3,8 @@
 A change feed holds records with a sign: +1 for an added record, -1 for a deleted one, both for a changed
 one. Only the feed is aggregated, to signed changes of occurrences and record counts per term; the changes
 are merged into persistent counts that are partitioned by a hash of the term. Merging adds and drops what
-falls to zero; partitions without a change are carried over as they are.
+falls to zero. It reads, groups and writes all partitions anew, also those without a change: the records are
+not read again, but the cost of a merge grows with the number of terms.
 
 A null or empty term is no term; an empty feed changes nothing. Terms are found per record first (so a
 record counts once per term), then pre-aggregated before the shuffle, which no frequent term can skew.
