@@ -80,6 +80,51 @@ def _best(key: str, vector: str, ids: list, q: np.ndarray, k: int) -> Callable:
     return run
 
 
+def within(vectors: DataFrame, queries: DataFrame, key: str, radius: float, vector: str = "embedding", block: int = 512) -> DataFrame:
+    """For each query row all other rows nearer than ``radius``: (query, key, distance).
+
+    Equal vectors are one row while distances are computed, so a pair of classes is held together once however
+    many copies there are; blocks of distinct query vectors are taken as in ``nearest_of_many``.
+    """
+    one = lambda df: df.where(F.col(vector).isNotNull()).select(key, vector)
+    kind = vectors.schema[key].dataType
+    vectors, queries = one(vectors), one(queries)
+    distinct = queries.select(vector).distinct()
+    classes = vectors.groupBy(vector).agg(F.collect_list(key).alias("members"))
+    schema = T.StructType([T.StructField("query_vector", vectors.schema[vector].dataType), T.StructField("members", T.ArrayType(kind)), T.StructField("distance", T.DoubleType())])
+    blocks = max(1, -(-distinct.count() // block))
+    grouped = distinct.groupBy(F.pmod(F.xxhash64(vector), F.lit(blocks))).agg(F.collect_list(vector).alias("rows")).select("rows")
+    parts = []
+    for part in grouped.toLocalIterator():  # one block at a time is on the driver
+        found = classes.mapInPandas(_inside(vector, np.asarray(part["rows"], np.float64), radius, np.float32 if vectors.schema[vector].dataType.elementType == T.FloatType() else np.float64), schema)
+        parts.append(found if blocks == 1 else written(found, "within"))
+    if not parts:
+        parts = [vectors.sparkSession.createDataFrame([], schema)]
+    pairs = reduce(DataFrame.unionByName, parts)
+    asked = queries.select(F.col(key).alias("query"), F.col(vector).alias("query_vector"))
+    pairs = asked.join(pairs, "query_vector").select("query", F.explode("members").alias(key), "distance")
+    return pairs.where(F.col("query") != F.col(key))
+
+
+def _inside(vector: str, q: np.ndarray, radius: float, kind: type) -> Callable:
+    """For Arrow batches of classes: each query vector's classes of the batch that are nearer than the radius."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            v = np.asarray(pdf[vector].tolist(), np.float64)
+            squares = (q**2).sum(1)[:, None] + (v**2).sum(1)[None, :]
+            # The product form loses digits: what may be inside is computed again from differences.
+            rows, cols = np.nonzero(squares - 2 * q @ v.T <= radius**2 + 1e-9 * (1 + squares))
+            exact = np.sqrt(((q[rows] - v[cols]) ** 2).sum(1))
+            keep = exact < radius
+            rows, cols = rows[keep], cols[keep]
+            yield pd.DataFrame({"query_vector": list(q[rows].astype(kind)), "members": pdf["members"].to_numpy()[cols], "distance": exact[keep]})
+
+    return run
+
+
 def pending(files: DataFrame, vectors: DataFrame, key: str = "path") -> DataFrame:
     """Files that have no vector yet."""
     return files.join(vectors.select(key), key, "left_anti")

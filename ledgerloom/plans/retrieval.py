@@ -279,6 +279,15 @@ def near_duplicates(spark, sf):
     return found.select("query", "vec_id", F.round("distance", 6).alias("distance"), (F.col("distance") < 0.6).alias("near"))
 
 
+@query("""
+  SELECT q.vec_id AS query, v.vec_id, round(list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS distance
+  FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0 AND list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) < 0.6""")
+def near_duplicates_all(spark, sf):
+    """The same query rows with all their near duplicates, not only the two nearest rows."""
+    e = tables.table(spark, sf, "embeddings")
+    return vec.within(e, e.where("vec_id % 100 = 0"), "vec_id", 0.6).select("query", "vec_id", F.round("distance", 6).alias("distance"))
+
+
 @query("SELECT DISTINCT path FROM files WHERE path NOT IN (SELECT path FROM documents WHERE path IS NOT NULL)")
 def pending_embeddings(spark, sf):
     have = tables.table(spark, sf, "documents").where("path is not null").select("path").distinct()
