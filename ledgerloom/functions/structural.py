@@ -206,10 +206,13 @@ class Index:
         return self.data[a:b].decode("utf-8", "replace")
 
 
-def unwrapped(texts: list[bytes], list_names: tuple[str, ...], most: int = 8) -> list[bytes]:
-    """Texts in which whole values, and lists under ``list_names``, held as JSON texts are written out."""
+def unwrapped(texts: list[bytes], list_names: tuple[str, ...]) -> list[bytes]:
+    """Texts in which whole values, and lists under ``list_names``, held as JSON texts are written out.
+
+    Repeated until no text changes, however often one is wrapped; each round makes the texts it changes shorter.
+    """
     texts, todo = list(texts), list(range(len(texts)))
-    for _ in range(most):
+    while todo:
         ix = Index([texts[i] for i in todo])
         at = np.zeros(len(ix.start), bool)
         for name in list_names:

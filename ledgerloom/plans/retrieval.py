@@ -537,13 +537,12 @@ def log_lines(spark, sf):
     return logs.recall_lines(logs.last(tables.recalls(spark, sf), 20, "rec_id"))
 
 
-_NEXT = "(SELECT DISTINCT src, dst FROM edges WHERE edge_type = 'frontmatter_superseded_by' AND dst IS NOT NULL)"
+_NEXT = "(SELECT DISTINCT src, dst FROM edges WHERE edge_type = 'frontmatter_superseded_by' AND src IS NOT NULL AND dst IS NOT NULL)"
 
 
 @query(f"""
-  WITH RECURSIVE e AS {_NEXT}, r(node, step) AS (SELECT min(src), 0 FROM e UNION SELECT e.dst, r.step + 1 FROM r JOIN e ON e.src = r.node WHERE r.step < 16)
-  SELECT node, min(step)::INT AS step FROM r GROUP BY node""")
+  WITH RECURSIVE e AS {_NEXT}, r(start, node, step) AS (SELECT DISTINCT src, src, 0 FROM e UNION SELECT r.start, e.dst, r.step + 1 FROM r JOIN e ON e.src = r.node WHERE r.step < (SELECT count(*) FROM e))
+  SELECT start, node, min(step)::INT AS step FROM r GROUP BY start, node""")
 def superseded_chain(spark, sf):
-    e = tables.edges(spark, sf)
-    start = e.where("edge_type = 'frontmatter_superseded_by'").agg(F.min("src")).first()[0]
-    return graph.chain(e, start, "frontmatter_superseded_by")
+    """Every superseded page with all pages that follow it."""
+    return graph.chains(tables.edges(spark, sf), "frontmatter_superseded_by")

@@ -116,3 +116,10 @@ def test_shapes_nulls_and_clashing_columns(spark):
     assert [x for x in got if x[0] == 7] == [(7, 5, "gaps_surfaced", 0, -1, -1, "b")]
     assert N.flattened(d.limit(0), "actions", ["cycle_id"]).count() == 0
     assert N.flattened(d.withColumn("actions", F.lit(None).cast("string")), "actions", ["cycle_id"]).count() == 0
+
+
+def test_texts_may_be_wrapped_any_number_of_times():
+    text = json.dumps({"coverage_ingests": ["a"]})
+    for _ in range(11):
+        text = json.dumps(text)
+    assert N.rows_of([text.encode()], N.ACTIONS)["value"].tolist() == ["a"]

@@ -161,3 +161,13 @@ def test_log_windows_and_totals(spark):
         logs.parse_window(s)
     with pytest.raises(ValueError):
         logs.parse_window("7x")
+
+
+def test_chains_have_no_longest_length(spark):
+    links = [(f"n{i:02d}", f"n{i + 1:02d}", "s") for i in range(40)] + [("x", "y", "s"), ("y", "x", "s"), (None, "x", "s"), ("x", None, "s")]
+    e = spark.createDataFrame(links, "src string, dst string, edge_type string")
+    assert {r.node: r.step for r in graph.chain(e, "n00", "s").collect()} == {f"n{i:02d}": i for i in range(41)}
+    got = {(r.start, r.node): r.step for r in graph.chains(e, "s").collect()}
+    want = {(f"n{i:02d}", f"n{j:02d}"): j - i for i in range(40) for j in range(i, 41)} | {("x", "x"): 0, ("x", "y"): 1, ("y", "y"): 0, ("y", "x"): 1}
+    assert got == want
+    assert graph.chains(e.limit(0), "s").count() == 0
