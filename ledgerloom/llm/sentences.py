@@ -1,16 +1,17 @@
 """Sentence units with their positions, in markdown texts of many languages and scripts.
 
 A text is cut into blocks first: front matter and fenced code have no units, a heading or a list item is
-one unit, and what stands between blank lines is a paragraph, whatever its line breaks. Within a
-paragraph every mark that could end a sentence is a node of a lattice; an edge is a unit from one node to
-a later one, its cost what its text and the choice at the nodes between speak for. The cheapest path gives
-the units.
+one unit, and what stands between blank lines is a paragraph, whatever its line breaks. Within a paragraph
+every mark that could end a sentence is a gap with one or more nodes (before or after closing emphasis); a
+node's evidence may be for an end or against it. An edge of this lattice is a unit from one node to a later
+one; it costs if emphasis opens in it and does not close, or if it is nothing but an abbreviation. The
+cheapest path, that is the one with most evidence after costs, gives the units.
 
 In scripts with spaces the evidence at a node is the mark, the word before it (abbreviations, initials,
 ordinals, file names) and the opening of what follows. In scripts without spaces (Japanese, Chinese, Thai)
-the text around a gap is segmented by a dictionary word lattice, and the gap classified by the final
-particle or ending before it and the opening word after it. Pairs of quotes and brackets are matched
-first: marks within a pair split only where the pair is a sentence of its own.
+the runs on both sides of a gap are segmented by dictionary word lattices (``spaceless``), and the gap
+classified by the final particle or ending before it and the opening word after it. Pairs of quotes and
+brackets are matched first: marks within a pair split only where the pair is a sentence of its own.
 
 Null and empty texts have no units, nor have blocks without letters or digits. Positions count code
 points from 0; the end is exclusive; blanks at the ends are outside, closing marks inside.
@@ -18,8 +19,8 @@ points from 0; the end is exclusive; blanks at the ends are outside, closing mar
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections.abc import Callable, Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
 import pandas as pd
 import regex
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm import rx
+from ledgerloom.llm.spaceless import BLANK, ELLIPSIS, FULL, UNOPENED, VOCABULARY, Lattices, plain_lattices, vocabulary_words
 
 # Abbreviations after which a sentence goes on (titles, references, "for example").
 NEVER_LAST = set(
@@ -50,81 +52,53 @@ SPEECH = (
 # Openings by which a sentence goes on after a quotation, in Arabic.
 AR_RUNS_ON = r"ثم\b|ف\p{L}|و\p{L}"
 
-# Words of the spaceless scripts' lattices: final particles and endings, and words that open a sentence.
-JA_FINAL = "た だ る い です ます でした ました ない う か ね よ ぞ わ な さ せ れ ろ え け".split()
-JA_RUNS_ON = "て で が は を に の も と から ので けど って ながら し、 、 やがて そして".split()
-JA_OPENS = "これ この それ その あの 誰 なぜ どこ いつ 何 版 札 針 上限 高さ しかし また だから ただし 次".split()
-JA_QUOTES_ON = "と って とは という などと との".split()
-ZH_FINAL = "了 吗 呢 吧 啊 呀 的 过 着 嘛 啦".split()
-ZH_RUNS_ON = "最后 然后 就 才 又 也 却 但 而 于是 终于 所以".split()
-ZH_OPENS = "这 那 没人 谁 本页 上限 高度 版本 第 指针 卡片 因为 如果 但是 他 她 我 我们 为什么 怎么".split()
-ZH_SPEECH = "问 喊 说 道 叫 答 回答 写".split()
-TH_FINAL = "แล้ว ครับ ค่ะ คะ นะ ไหม หรือ เลย กันแน่ นั้น นี้".split()
-TH_OPENS = "ไม่มี ใคร อย่า หน้า รุ่น ค่า ของ บันทึก เข็ม ลูกเรือ แต่ และ".split()
-
-#: Code points before and after a mark in which the words and marks beside it are looked for.
-NEAR = 300
+# Words that begin a sentence after a single letter ("plan B. Then ...").
+OPENERS = set(
+    "the this that these it he she they we you i but and then there a an in on at after before when if no "
+    "der die das er sie es wir ich dann aber und im am danach le la les il elle ils nous on puis mais ce cette ensuite "
+    "el los las ella ello nosotros pero luego entonces он она они оно мы это но потом затем в".split()
+)
 
 _PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "「": "」", "『": "』", "【": "】", "《": "》", "〈": "〉", "“": "”", "„": "“", "‚": "‘", "‘": "’", "«": "»", "‹": "›"}
 _OPENERS = {b: "".join(a for a in _PAIRS if _PAIRS[a] == b) for b in _PAIRS.values()}
 _CLOSERS = set(_PAIRS.values()) | {'"', "'", "»", "”"}
 _BRACKETS = set("([{（［【《〈")
-_ENDS = set(".!?…。！？．؟।॥｡")
+_ENDS = set(".!?…。！？．؟।॥｡۔።។။༎")
 _QUOTE = regex.compile("[" + regex.escape("".join(sorted({*_PAIRS, *_CLOSERS}))) + "]")
-_MARK = regex.compile(r"[.!?…。！？．؟।॥｡;;]")
+_MARK = regex.compile(r"[.!?…。！？．؟।॥｡۔።။។༎;;]")
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 _KANA = regex.compile(r"[\p{Hiragana}\p{Katakana}]")
 _GREEK = regex.compile(r"\p{Greek}")
+_OTHER = regex.compile(r"[\p{L}--\p{Greek}]", regex.V1)
 _WORDY = regex.compile(r"[\p{L}\p{N}]")
 _FILE = regex.compile(r"[\p{L}\p{N}_]+(?:[-_./][\p{L}\p{N}_]+)*\.(?:md|txt|html?|json|ya?ml|py|csv|markdown|pdf)\b|[\w-]+\d[\w-]*\.\w+")
 _THAI_GAP = regex.compile(r"(?<=\p{Thai}) +(?=\p{Thai})")
 _CLAUSE_END = regex.compile(r"[.!?。！？؟।]")
 _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
-_LAST_WORD = regex.compile(r"[^\s()\[\]«»“”„\"'’‘「」（）,;:—–]+$")
-
-
-class Lattice:
-    """Cheapest segmentation of a spaceless run into dictionary words; unknown characters cost more."""
-
-    def __init__(self, words: list[str]) -> None:
-        self.words, self.longest = set(words), max(map(len, words))
-
-    def segment(self, s: str) -> list[str]:
-        best: list[tuple[float, int]] = [(0.0, 0)]
-        for j in range(1, len(s) + 1):
-            options = [(best[j - 1][0] + 3.0, j - 1)]
-            for n in range(1, min(self.longest, j) + 1):
-                if s[j - n : j] in self.words:
-                    options.append((best[j - n][0] + 1.0 + 0.5 / n, j - n))
-            best.append(min(options))
-        out, j = [], len(s)
-        while j:
-            i = best[j][1]
-            out.append(s[i:j])
-            j = i
-        return out[::-1]
-
-
-_JA = Lattice(JA_FINAL + JA_RUNS_ON + JA_OPENS + JA_QUOTES_ON)
-_ZH = Lattice(ZH_FINAL + ZH_RUNS_ON + ZH_OPENS + ZH_SPEECH)
-_TH = Lattice(TH_FINAL + TH_OPENS)
-
-
-def spaceless_gap(before: str, after: str, thai: bool = False) -> float:
-    """How far a gap between two stretches of a spaceless script is a sentence end (positive) or not."""
-    if thai:
-        score = 1.5  # in Thai the space itself is the mark
-        score += 0.5 * (_TH.segment(before[-12:])[-1:] != [] and _TH.segment(before[-12:])[-1] in TH_FINAL)
-        return score + 0.5 * (_TH.segment(after[:12])[:1] != [] and _TH.segment(after[:12])[0] in TH_OPENS)
-    ja = bool(_KANA.search(before[-20:] + after[:20]))
-    lattice, final, on, opens = (_JA, JA_FINAL, JA_RUNS_ON, JA_OPENS) if ja else (_ZH, ZH_FINAL, ZH_RUNS_ON, ZH_OPENS)
-    last, first = lattice.segment(before[-8:])[-1:], lattice.segment(after[:8])[:1]
-    score = 0.0
-    if last:
-        score += 1.0 if last[0] in final else -1.0 if last[0] in on else 0.0
-    if first:
-        score += 1.0 if first[0] in opens else -2.0 if first[0] in on else -0.25
-    return score
+# Looked for backwards from a place; ``match(s, from, place)``.
+_LAST_WORD = regex.compile(r"(?r)[^\s()\[\]«»“”„\"'’‘「」（）,;:—–]+")
+_LAST_CJK = regex.compile(r"(?r)[\p{Han}\p{Hiragana}\p{Katakana}ー々]+")
+_LAST_THAI = regex.compile(r"(?r)\p{Thai}+")
+_LAST_LETTERS = regex.compile(r"(?r)[\p{L}\p{M}]+")
+_LAST_PAIR = regex.compile(r"(?r)(?<!\p{L})(\p{L}{1,2})\. ?(\p{L}{1,2})")
+_INNER = regex.compile(r"(?r)[.!?…。！？．؟।॥｡۔።။។༎;;]\s*[\"'”’»」』“）)\]]*")
+# Looked for onwards from a place.
+_CJK_RUN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー々]+")
+_THAI_RUN = regex.compile(r"\p{Thai}+")
+_LEAD = regex.compile(r"[\s\p{P}\p{S}]*")
+_NEXT_WORD = regex.compile(r"\s+(\p{L}+)")
+_BLANKS = regex.compile(r"\s*")
+_TOKEN = regex.compile(r"\S*")
+_PAUSE = regex.compile(r"\s*[,،;:、，—–-]")
+_CJK_OPENS = regex.compile(r"\s*[「『“（(]")
+_AR_ON = regex.compile(rf"\s*(?:{AR_RUNS_ON})")
+_MONTH = regex.compile(rf"\s+(?:{MONTHS})\b")
+_PAGE = regex.compile(r"\S*\.(?:md|txt|html?)\b")
+_OWN = regex.compile(r"[ *_]*")
+_EMPHASIS = regex.compile(r"\*\*|\*|__|_")
+_STARS = {"*": 1, "**": 2, "_": 4, "__": 8}
+#: Costs of an edge: emphasis that opens in a unit and does not close there, a unit that is an abbreviation only.
+OPEN_COST, SHORT_COST = 0.75, 5.0
 
 
 def blocks(text: str) -> Iterator[tuple[list[tuple[int, int]], bool]]:
@@ -232,18 +206,11 @@ def _matched(s: str) -> list[tuple[int, int]]:
     return outer
 
 
-def _opening(after: str) -> tuple[str, bool]:
-    """The first letter or digit of what follows ('' if none comes soon), and whether a quote or bracket opens before it."""
-    m = rx.match(r"[\s\p{P}\p{S}]*", after)
-    lead = after[: m.end()]
-    return after[m.end() : m.end() + 1], bool(rx.search(r"[\"'“„‘«‹「『（(¿¡\[]", lead))
-
-
 class _Clauses:
     """Whether the clause that follows a quotation says who spoke; asked for rising positions, each clause is read once."""
 
-    def __init__(self, s: str) -> None:
-        self.s, self.stop, self.cjk = s, -1, -1
+    def __init__(self, s: str, lattices: Lattices) -> None:
+        self.s, self.lattices, self.stop, self.cjk = s, lattices, -1, -1
         self.words: list[str] = []
         self.starts: list[int] = []
 
@@ -258,117 +225,224 @@ class _Clauses:
             m = _CJK.search(s, at)
             self.cjk = m.start() if m else len(s)
         if self.cjk < self.stop:
-            return any(w in ZH_SPEECH for w in _ZH.segment(s[at : min(at + 40, self.stop)]))
+            return any(self.lattices.speaks(m[0]) for m in _CJK_RUN.finditer(s, at, self.stop))
         k, words = bisect_left(self.starts, at), self.words
         return k < len(words) and (any(w.lower() in SPEECH for w in words[k : k + 3]) or any(w in SPEECH for w in words[max(k, len(words) - 2) :]))
 
 
-def _score(s: str, unit: int, i: int, j: int, end: int, speech: Callable[[int], bool] | None = None) -> float:
-    """Evidence that a sentence ends at ``end``: marks s[i:j] (closers up to end), the words around them; ``speech`` for a quotation."""
-    marks, before, after = s[i:j], s[max(unit, i - NEAR) : i], s[end : end + NEAR]
-    follows = after.strip() or s[end:].strip()[:NEAR]
-    if not follows:
-        return 9.0
-    spaced = after[:1].isspace()
-    first, quote = _opening(after)
-    cased = first.isalpha() and first.lower() != first.upper()
-    lower = cased and first == first.lower()
-    file_next = bool(_FILE.match(follows)) if lower or first.isdigit() else False
-
-    if speech:  # a quotation that ends with a mark
-        if not first or rx.match(r"\s*[,،;:、，—–-]", after):
-            return -9.0
-        if lower and not file_next:
-            return -9.0
-        if _CJK.match(first) or _CJK.match(before.rstrip()[-1:]) or _KANA.search(before[-6:]):
-            if _KANA.search(after[:30]) and _JA.segment(after.lstrip()[:6])[0] in JA_QUOTES_ON:
+class _Evidence:
+    """What speaks for a sentence end at places of a paragraph: the mark and the words around it, however far they reach."""
+
+    def __init__(self, s: str, lattices: Lattices) -> None:
+        self.s, self.lattices, self.size = s, lattices, len(s.rstrip())
+        self.clauses = _Clauses(s, lattices)
+        self.lead = (-1, -1)  # a stretch of blanks and marks that was passed over
+        self.letters: tuple[list[int], list[int]] | None = None  # places of Greek and of other letters
+
+    def greek(self, a: int, b: int) -> bool:
+        """Whether most letters between two places are Greek."""
+        if self.letters is None:
+            greek = [m.start() for m in _GREEK.finditer(self.s)]
+            self.letters = (greek, [m.start() for m in _OTHER.finditer(self.s)] if greek else [])
+        n, others = (bisect_left(x, b) - bisect_left(x, a) for x in self.letters)
+        return n > others
+
+    def runs(self, unit: int, i: int, at: int) -> tuple[str, str]:
+        """The spaceless runs that end before i and begin at a place."""
+        before, after = _LAST_CJK.match(self.s, unit, i), _CJK_RUN.match(self.s, at)
+        return before[0] if before else "", after[0] if after else ""
+
+    def thai(self, a: int, b: int) -> float:
+        """For the blank between two Thai characters."""
+        if self.s[b] not in UNOPENED["th"]:
+            return BLANK
+        before, after = _LAST_THAI.match(self.s, 0, a), _THAI_RUN.match(self.s, b)
+        return self.lattices.gap(before[0], after[0], BLANK, "th")
+
+    def at(self, unit: int, i: int, j: int, end: int, quotation: bool = False) -> float:
+        """Marks are s[i:j], closers reach up to ``end``; ``quotation`` if a pair ends here."""
+        s = self.s
+        if end >= self.size:
+            return 9.0
+        marks = s[i:j]
+        spaced = s[end].isspace()
+        if not self.lead[0] <= end <= self.lead[1]:
+            self.lead = (end, _LEAD.match(s, end).end())
+        first = s[self.lead[1] : self.lead[1] + 1]
+        cased = first.isalpha() and first.lower() != first.upper()
+        lower = cased and first == first.lower()
+        here = _BLANKS.match(s, end).end()
+        file_next = bool(_FILE.match(s, here)) if lower or first.isdigit() else False
+
+        if quotation:  # that ends with a mark
+            if not first or _PAUSE.match(s, end):
                 return -9.0
-            return -6.0 if not spaced and (speech(end) or not rx.match(r"\s*[「『“（(]", after)) else 4.0
-        if not cased and rx.match(rf"\s*(?:{AR_RUNS_ON})", after):
-            return -6.0
-        return -6.0 if speech(end) else 5.0
-    if set(marks) & set("。！？．｡।॥؟"):
-        return 8.0
-    if ";" in marks or ";" in marks:
-        return 6.0 if len(_GREEK.findall(before[-40:])) > 3 and not lower else -9.0
-    if "…" in marks or marks.startswith(".."):
-        if _CJK.match(before.rstrip()[-1:]) or _CJK.match(first):
-            return spaceless_gap(before, after.lstrip()) if not spaced else 2.0
-        if lower and not file_next:
-            return -5.0
-        return 4.0
-    if set(marks) & set("!?"):
-        return -4.0 if lower and not file_next else 6.0
-
-    # A full stop.
-    if not spaced:
-        nxt = after[:1]
-        if nxt in "\"'“”„«»‘’([{（「¿¡*_" and first and not lower and not rx.search(r"\d$", before):
-            return 2.0
-        if not nxt.isalpha() or (cased and lower):
-            return -9.0
-        token = _LAST_WORD.search(before)
+            if lower and not file_next:
+                return -9.0
+            before, after = self.runs(unit, i, here)
+            if before or _CJK.match(first):
+                if after and self.lattices.quotes_on(after):
+                    return -9.0
+                return -6.0 if not spaced and (self.clauses.speech(end) or not _CJK_OPENS.match(s, end)) else 4.0
+            if not cased and _AR_ON.match(s, end):
+                return -6.0
+            return -6.0 if self.clauses.speech(end) else 5.0
+        kinds = set(marks)
+        if kinds & set("。！？．｡"):
+            if spaced or s[end] not in UNOPENED["ja"] | UNOPENED["zh"]:
+                return FULL
+            return self.lattices.gap(*self.runs(unit, i, end), FULL)
+        if kinds & set("॥।؟۔።။។༎"):
+            return 8.0
+        if kinds & set(";;"):
+            return 6.0 if not lower and self.greek(unit, i) else -9.0
+        if "…" in marks or marks.startswith(".."):
+            before, after = self.runs(unit, i, here)
+            if before or _CJK.match(first):
+                return self.lattices.gap(before, after, ELLIPSIS) if not spaced else 2.0
+            if lower and not file_next:
+                return -5.0
+            return 4.0
+        if kinds & set("!?"):
+            return -4.0 if lower and not file_next else 6.0
+
+        # A full stop.
+        token = _LAST_WORD.match(s, unit, i)
         token = token[0] if token else ""
-        ahead = rx.match(r"[^\s]*", after)[0]
-        if "://" in token or "/" in token or rx.match(r"[^\s]*\.(?:md|txt|html?)\b", ahead) and rx.search(r"\d", ahead.split(".")[0]):
-            return -6.0
-        letters = rx.search(r"[\p{L}\p{M}]+$", token)
-        if letters and len(letters[0]) < 2 and not _CJK.match(letters[0]):
-            return -6.0
-        if letters and letters[0].lower() in NEVER_LAST:
+        if not spaced:
+            nxt = s[end]
+            if nxt in "\"'“”„«»‘’([{（「¿¡*_" and first and not lower and not s[i - 1 : i].isdigit():
+                return 2.0
+            if not nxt.isalpha() or (cased and lower):
+                return -9.0
+            ahead = _TOKEN.match(s, end)[0]
+            if "://" in token or "/" in token or _PAGE.match(ahead) and rx.search(r"\d", ahead.split(".")[0]):
+                return -6.0
+            letters = _LAST_LETTERS.match(s, unit, i)
+            if letters and len(letters[0]) < 2 and not _CJK.match(letters[0]):
+                return -6.0
+            if letters and letters[0].lower() in NEVER_LAST:
+                return -6.0
+            if "." in token and not rx.search(r"\.(?:md|txt|html?)$", token) and letters:
+                return -4.0
+            return 5.0
+        word = token.lower()
+        bare = word.strip(".")
+        pair = _LAST_PAIR.match(s, unit, i)
+        both = f"{pair[1]}.{pair[2]}".lower() if pair else ""
+        if both in MAYBE_LAST or bare in MAYBE_LAST:
+            if lower or first.isdigit():
+                return -5.0
+            return 3.0 if _TOKEN.match(s, here)[0].strip(".").lower() in MAYBE_LAST else 4.0
+        if both in NEVER_LAST or bare in NEVER_LAST:
+            known = bare in ("no", "m", "v", "p", "s", "al", "me", "str", "art", "ex", "d", "am", "st", "mar", "fr", "ed", "col", "gen", "ca", "mm", "fig", "cap", "mt", "abs", "hon", "ej", "env", "resp", "sec", "ch", "ms")
+            if known and token == word and len(token) > 1 and not lower and not first.isdigit() and bare in ("no", "art", "al", "mar", "me", "am"):
+                return 4.0  # a common word, not the abbreviation
             return -6.0
-        if "." in token and not rx.search(r"\.(?:md|txt|html?)$", token) and letters:
+        if len(bare) == 1 and bare.isalpha() and not _CJK.match(bare):  # an initial, unless a sentence clearly opens after it
+            opens = _NEXT_WORD.match(s, end)
+            prior = _LAST_WORD.match(s, unit, i - len(token) - 1) if i - len(token) - 1 > unit else None
+            return 1.5 if opens and opens[1].lower() in OPENERS and opens[1][0].isupper() and prior and prior[0].isalpha() and prior[0].islower() and token.isupper() else -5.0
+        if len(bare) < 3 and bare.isdigit() and _MONTH.match(s, end):
+            return -6.0  # an ordinal
+        if lower and not file_next:
             return -4.0
-        return 5.0
-    word = _LAST_WORD.search(before)
-    word = word[0].lower() if word else ""
-    bare = word.strip(".")
-    pair = rx.search(r"(\p{L}{1,2})\. ?(\p{L}{1,2})$", before)
-    both = f"{pair[1]}.{pair[2]}".lower() if pair else ""
-    if both in MAYBE_LAST or bare in MAYBE_LAST:
-        return -5.0 if lower or first.isdigit() else 4.0
-    if both in NEVER_LAST or bare in NEVER_LAST:
-        known = bare in ("no", "m", "v", "p", "s", "al", "me", "str", "art", "ex", "d", "am", "st", "mar", "fr", "ed", "col", "gen", "ca", "mm", "fig", "cap", "mt", "abs", "hon", "ej", "env", "resp", "sec", "ch", "ms")
-        raw = _LAST_WORD.search(before)[0]
-        if known and raw == raw.lower() and len(raw) > 1 and not lower and not first.isdigit() and bare in ("no", "art", "al", "mar", "me", "am"):
-            return 4.0  # a common word, not the abbreviation
-        return -6.0
-    if rx.fullmatch(r"\p{L}", bare) and not _CJK.match(bare):
-        return -5.0  # an initial
-    if rx.fullmatch(r"\d{1,2}", bare) and rx.match(rf"\s+(?:{MONTHS})\b", after):
-        return -6.0  # an ordinal
-    if lower and not file_next:
-        return -4.0
-    return 6.0
-
-
-def split_paragraph(s: str, thai: bool | None = None) -> list[tuple[int, int]]:
+        return 6.0
+
+
+def _toggles(s: str) -> tuple[list[int], list[int]]:
+    """Places after which the set of open emphasis marks changes, and that set (as bits) from there on."""
+    at, masks, mask = [], [], 0
+    for m in _EMPHASIS.finditer(s):
+        a, b = m.span()
+        before, after = s[a - 1] if a else " ", s[b] if b < len(s) else " "
+        if (before.isspace() and after.isspace()) or (before.isalnum() and after.isalnum()):
+            continue  # a mark of its own, or within a name
+        mask ^= _STARS[m[0]]
+        at.append(b)
+        masks.append(mask)
+    return at, masks
+
+
+def _abbreviated(part: str) -> bool:
+    """Whether a unit would be an abbreviation and no more."""
+    part = part.strip()
+    if not part.endswith(".") or " " in part:
+        return False
+    bare = part.strip(".").lower()
+    return bare in MAYBE_LAST or bare in NEVER_LAST or len(bare) == 1
+
+
+def cheapest(s: str, start: int, gaps: list[list[tuple[int, float]]], toggles: tuple[list[int], list[int]]) -> list[int]:
+    """Ends of the units on the cheapest path from ``start`` to the end of s.
+
+    ``gaps`` hold the nodes (end, evidence) between two stretches with letters or digits; a path takes one
+    node of a gap or none. The cost of an edge depends on the open emphasis at both its ends, and, for an edge
+    between neighbouring gaps, on its text; so for each set of open marks the best of all earlier nodes is
+    enough, and the work grows with the number of nodes.
+    """
+    at, masks = toggles
+    mask = (lambda x: masks[k - 1] if (k := bisect_right(at, x)) else 0) if at else (lambda x: 0)
+    n = len(s)
+    # If the path of the strongest nodes has no cost, none is better.
+    ends, here, free = [], start, True
+    for gap in gaps:
+        best = max(g for _, g in gap)
+        if best > 0:
+            end = [e for e, g in gap if g == best][-1]
+            free &= mask(end) == mask(here) and not (end - here < 24 and _abbreviated(s[here:end]))
+            ends.append(end)
+            here = end
+    if free and mask(here) == mask(n) and not (n - here < 24 and _abbreviated(s[here:])):
+        return [*ends, n]
+    open_cost = lambda a, b: OPEN_COST * (a ^ b).bit_count()
+    back: dict[int, int] = {}
+    far: dict[int, tuple[float, int]] = {}  # by open marks: the least cost and its last node
+    near: list[tuple[float, int]] = [(0.0, start)]
+    for gap in [*gaps, [(n, 0.0)]]:
+        new = []
+        for end, g in gap:
+            m = mask(end)
+            options = [(c + open_cost(k, m), x) for k, (c, x) in far.items()]
+            options += [(c + open_cost(mask(x), m) + (SHORT_COST if _abbreviated(s[x:end]) else 0.0), x) for c, x in near]
+            cost, back[end] = min(options)
+            new.append((cost - g, end))
+        for c, x in near:
+            k = mask(x)
+            if k not in far or (c, x) < far[k]:
+                far[k] = (c, x)
+        near = new
+    path = [n]
+    while (x := back[path[-1]]) != start:
+        path.append(x)
+    return path[::-1]
+
+
+def split_paragraph(s: str, lattices: Lattices | None = None) -> list[tuple[int, int]]:
     """Spans of the sentences of a paragraph (line breaks count as blanks), by the cheapest path of a lattice."""
     pairs = _matched(s)
-    clauses = _Clauses(s)
-    emphasis = {c: [m.start() for m in regex.finditer(regex.escape(c), s)] if c in s else [] for c in "*_"}
+    evidence = _Evidence(s, lattices or plain_lattices())
     n = len(s)
     start = n - len(s.lstrip())
     nodes: list[tuple[int, float]] = []  # (end of a unit, evidence)
     p = 0
-    has_thai = bool(rx.search(r"\p{Thai}", s)) if thai is None else thai
-    events = [m.start() for m in _MARK.finditer(s)]
-    at, unit = 0, start
-    for i in events:
+    at, unit, lead = 0, start, -1
+    for m in _MARK.finditer(s):
+        i = m.start()
         if i < at:
             continue
         while p < len(pairs) and pairs[p][1] < i:
             p += 1
         if p < len(pairs) and pairs[p][0] < i:  # within a pair: only its end can be a node
             a, b = pairs[p]
-            inner = rx.search(r"[.!?…。！？．؟।॥｡;;]\s*[\"'”’»」』“）)\]]*$", s[max(a + 1, b - 64) : b])
+            inner = _INNER.match(s, a + 1, b)
             at = b + 1
-            if not inner or (inner[0].strip()[:1] in ";;"):
+            if not inner or (inner[0][0] in ";;"):
                 continue
-            own = a - unit <= 64 and not s[unit:a].strip(" *_")
             if s[a] in _BRACKETS:
-                if own:
-                    nodes.append((b + 1, 7.0 if rx.match(r"\s|$", s[b + 1 :]) else 3.0))
+                lead = max(lead, _OWN.match(s, unit).end()) if lead < unit else lead
+                if lead >= a:
+                    nodes.append((b + 1, 7.0 if b + 1 == n or s[b + 1].isspace() else 3.0))
                     unit = b + 1
                 continue
             end = b + 1
@@ -376,7 +450,7 @@ def split_paragraph(s: str, thai: bool | None = None) -> list[tuple[int, int]]:
                 end += 1
             if end < n and s[end] in _ENDS:
                 continue
-            score = _score(s, unit, b, b + 1, end, clauses.speech)
+            score = evidence.at(unit, b, b + 1, end, True)
             nodes.append((end, score))
             if score > 0:
                 unit = end
@@ -394,49 +468,53 @@ def split_paragraph(s: str, thai: bool | None = None) -> list[tuple[int, int]]:
         while j < n and (s[j] in _ENDS or (s[j] == " " and s[j + 1 : j + 2] == "." and s[i] == ".")):
             j += 1
         end = j
-        while end < n and (s[end] in "”’»」』）)］】" or (s[end] in "\"'*_" and not (end + 1 < n and s[end + 1].isalnum()) and (s[end] in "*_" and (bisect_left(emphasis[s[end]], end) - bisect_left(emphasis[s[end]], unit)) % 2 == 1))):
+        while end < n and s[end] in "”’»」』）)］】":
             end += 1
-        at = end
-        score = _score(s, unit, i, j, end)
+        # Emphasis may close here or open after it: a node on either side, the path takes the one that fits.
+        close = end
+        while close < n and s[close] in "*_":
+            close += 1
+        if close < n and s[close].isalnum():
+            close = end
+        at = close
+        score = evidence.at(unit, i, j, end)
         nodes.append((end, score))
+        if close > end:
+            nodes.append((close, evidence.at(unit, i, j, close)))
         if score > 0:
             unit = end
-    if has_thai:
-        p = 0
-        for m in _THAI_GAP.finditer(s):
-            while p < len(pairs) and pairs[p][1] < m.start():
-                p += 1
-            if p == len(pairs) or m.start() < pairs[p][0]:
-                nodes.append((m.start(), spaceless_gap(s[max(0, m.start() - NEAR) : m.start()], s[m.end() : m.end() + NEAR], True)))
-    # A node with evidence against it is on no cheapest path.
-    nodes = sorted(x for x in nodes if x[1] > 0)
-    # Cheapest path: a node passed over costs its evidence, a node taken gains it, and a unit without letters
-    # or digits costs more than any two nodes gain. So of the nodes between two stretches with letters or
-    # digits just one is taken: the strongest, the last of equals.
-    out: list[tuple[int, int]] = []
-    a = at = start
-    cut, gain, filled = -1, 0.0, False
-    for end, g in [*(x for x in nodes if x[0] < n), (n, 0.0)]:
+    p = 0
+    for m in _THAI_GAP.finditer(s):
+        while p < len(pairs) and pairs[p][1] < m.start():
+            p += 1
+        if p == len(pairs) or m.start() < pairs[p][0]:
+            nodes.append((m.start(), evidence.thai(m.start(), m.end())))
+    # Nodes with no letter or digit between them are one gap; what has none at the end belongs to the last unit.
+    gaps: list[list[tuple[int, float]]] = []
+    at = start
+    for end, g in sorted(nodes):
+        if end >= n:
+            break
         if _WORDY.search(s, at, end):
-            if filled:
-                out.append((a, cut))
-                a = cut
-            filled, gain = True, 0.0
+            gaps.append([])
+        if gaps:
+            gaps[-1].append((end, g))
         at = end
-        if g >= gain:
-            cut, gain = end, g
-    return [*out, (a, n)]
+    if gaps and not _WORDY.search(s, at):
+        gaps.pop()
+    ends = cheapest(s, start, gaps, _toggles(s))
+    return list(zip([start, *ends], ends))
 
 
-def units(text: str | None) -> list[tuple[int, int]]:
-    """Spans of all sentence units of a text."""
+def units(text: str | None, lattices: Lattices | None = None) -> list[tuple[int, int]]:
+    """Spans of all sentence units of a text; without ``lattices`` the spaceless scripts have their closed classes only."""
     found: list[tuple[int, int]] = []
     for lines, single in blocks(text or ""):
         a, b = lines[0][0], lines[-1][1]
         # Line breaks and the markers after them are blanks.
         s = text[a:b] if len(lines) == 1 else "".join(text[x:y] + " " * (z - y) for (x, y), z in zip(lines, [x for x, _ in lines[1:]] + [b]))
         s = s.replace("\t", " ").replace("\r", " ")
-        for x, y in [(0, len(s))] if single else split_paragraph(s):
+        for x, y in [(0, len(s))] if single else split_paragraph(s, lattices):
             part = s[x:y]
             x, y = x + len(part) - len(part.lstrip()), y - len(part) + len(part.rstrip())
             if x < y and _WORDY.search(s[x:y]):
@@ -444,13 +522,18 @@ def units(text: str | None) -> list[tuple[int, int]]:
     return found
 
 
-def sentences(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """(keys, start_pos, end_pos) of every sentence unit; whole texts, one pass, nothing shuffled."""
+def sentences(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+    """(keys, start_pos, end_pos) of every sentence unit; whole texts, one pass, nothing shuffled.
+
+    The words of the ``vocabulary`` file are read here and go to the executors (some thousands, a fixed file).
+    """
     schema = T.StructType([docs.schema[k] for k in keys] + [T.StructField("start_pos", T.IntegerType()), T.StructField("end_pos", T.IntegerType())])
+    words = docs.sparkSession.sparkContext.broadcast(vocabulary_words(vocabulary))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lattices = Lattices(words.value)
         for pdf in batches:
-            spans = [units(t) for t in pdf["__text"]]
+            spans = [units(t, lattices) for t in pdf["__text"]]
             if not any(spans):
                 continue
             out = pdf.loc[pdf.index.repeat([len(x) for x in spans]), list(keys)].reset_index(drop=True)

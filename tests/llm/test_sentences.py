@@ -1,6 +1,11 @@
+import itertools
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from ledgerloom.llm import sentences as S
+from ledgerloom.llm import spaceless as W
 
 
 def parts(text):
@@ -71,7 +76,93 @@ def test_positions_cover_all_letters_outside_markup(spark, sf):
 
 
 def test_lattice_prefers_words():
-    assert S.Lattice(["ab", "c", "abc"]).segment("abcxab") == ["abc", "x", "ab"]
+    lattice = W.WordLattice({"ab": 2.0, "c": 3.0, "abc": 2.5})
+    assert lattice.segment("abcxab") == ("abc", "x", "ab")
+    assert W.WordLattice({"a": 1.0, "b": 1.0, "ab": 3.0}).segment("ab") == ("a", "b")
+
+
+# Units of texts whose gaps only the words around them tell apart.
+SPACELESS = [
+    ["彼らはモーニング娘。の歌を聞いた。", "はじめに灯を消した。", "もう帰る。"],
+    ["ヤフー！は株を買った！", "でも誰も売らない。"],
+    ["道は分からない……", "でも行く。"],
+    ["風は弱まって……やがて止んだ。"],
+    ["雅虎！的股价上涨。", "的确如此。", "他笑了……", "今天很好。"],
+    ["船晃了晃……然后沉了。"],
+    ["เขาไปไหน ครับ", "คะแนนดีมาก", "ต่าง ๆ"],
+]
+SPACED = [
+    ["He works at Acme Co. Ltd.", "The firm is old."],
+    ["**Wait.**", "Next one."],
+    ["_Stop!_", "*Go on.*", "Now."],
+    ["We chose plan B.", "Then we left with J. R. Marlow."],
+]
+
+
+def joined(parts):
+    blank = "" if any("\u3040" <= c <= "\u9fff" for c in parts[0]) else " "
+    return blank.join(parts)
+
+
+@pytest.mark.parametrize("parts", SPACELESS + SPACED, ids=lambda p: p[0][:12])
+@pytest.mark.parametrize("words", [False, True])
+def test_words_beside_a_gap_decide(parts, words):
+    lattices = W.Lattices(W.vocabulary_words() if words else None)
+    text = joined(parts)
+    assert [text[a:b] for a, b in S.units(text, lattices)] == parts
+
+
+@pytest.mark.parametrize("constant", [-1.0, 1.0])
+def test_a_constant_in_place_of_the_word_lattices_changes_units(monkeypatch, constant):
+    before = [S.units(joined(p)) for p in SPACELESS]
+    monkeypatch.setattr(W.Lattices, "gap", lambda *a, **k: constant)
+    assert sum(S.units(joined(p)) != b for p, b in zip(SPACELESS, before)) >= 3
+
+
+def test_taking_all_nodes_with_evidence_in_place_of_the_path_changes_units(monkeypatch):
+    before = [S.units(joined(p)) for p in SPACED]
+    monkeypatch.setattr(S, "cheapest", lambda s, start, gaps, toggles: [max(gap, key=lambda x: x[1])[0] for gap in gaps if max(g for _, g in gap) > 0] + [len(s)])
+    assert sum(S.units(joined(p)) != b for p, b in zip(SPACED, before)) >= 2
+
+
+def brute_path(s, start, gaps, toggles):
+    """The least cost over all ways to take one node of a gap or none."""
+    at, masks = toggles
+    mask = lambda x: ([0] + masks)[sum(a <= x for a in at)]
+    best = None
+    for choice in itertools.product(*[[None, *gap] for gap in gaps]):
+        ends = [*[(i, c) for i, c in enumerate(choice) if c], (len(gaps), (len(s), 0.0))]
+        cost, here, last = 0.0, start, -1
+        for i, (end, g) in ends:
+            cost += S.OPEN_COST * (mask(here) ^ mask(end)).bit_count() - g
+            cost += S.SHORT_COST if i == last + 1 and S._abbreviated(s[here:end]) else 0.0
+            here, last = end, i
+        best = cost if best is None else min(best, cost)
+    return best
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["Co.", "Ltd.", "*the", "end*", "**No.**", "p.m.", "word"]), st.lists(st.sampled_from([-3.0, -0.5, 0.5, 4.0, 6.0]), min_size=0, max_size=2)), min_size=1, max_size=6))
+def test_the_path_is_the_cheapest(parts):
+    s, gaps = "", []
+    for word, scores in parts:
+        s += (" " if s else "") + word
+        if scores:
+            ends = [len(s), len(s) + 1][: len(scores)]
+            s += " " * (len(ends) - 1)
+            gaps.append(list(zip(ends, scores)))
+    s += " last"
+    toggles = S._toggles(s)
+    cost, here, last = 0.0, 0, -1
+    mask = lambda x: ([0] + toggles[1])[sum(a <= x for a in toggles[0])]
+    where = {e: (i, g) for i, gap in enumerate(gaps) for e, g in gap} | {len(s): (len(gaps), 0.0)}
+    for end in S.cheapest(s, 0, gaps, toggles):
+        i, g = where[end]
+        cost += S.OPEN_COST * (mask(here) ^ mask(end)).bit_count() - g
+        cost += S.SHORT_COST if i == last + 1 and S._abbreviated(s[here:end]) else 0.0
+        here, last = end, i
+    assert abs(cost - brute_path(s, 0, gaps, toggles)) < 1e-9
+
 
 
 def test_frame_with_nulls_long_texts_and_clashing_columns(spark):
