@@ -2,10 +2,11 @@
 
 Parents' keys are cut into ranges of a 64-bit hash (so ranges are of one size whatever the keys look
 like); each range is stored as one row of sorted arrays: hashes, keys, and per key the merged intervals in
-which a record of that key exists. References get the range of their key and are probed in Arrow batches
-by binary search in the range's arrays; a hit is confirmed on the key itself, so equal hashes cannot
-confuse two keys. Ranges that many references fall into (hubs) are probed by several tasks, each with the
-range's arrays and a part of the references.
+which a record of that key exists. References are shuffled once, to the range of their key, and stream by
+the range's arrays in Arrow batches, each probed by binary search; a hit is confirmed on the key itself, so
+equal hashes cannot confuse two keys. A task holds one range and one batch, however many references there
+are. Ranges that many references fall into (hubs) are probed by several tasks, each with the range's arrays
+and a part of the references. Only misses are shuffled again, to drop those of repeated rows.
 
 Semantics: ``missing`` if no parent ever has the key; otherwise none if some parent of the key exists at
 the time; otherwise ``deleted`` if one had existed before, else ``late``. A null ``indexed_at`` means
@@ -28,6 +29,7 @@ REFERRING = ("md_link", "wikilink")
 PER_RANGE = 100_000
 PER_PROBE = 500_000
 _LOW, _HIGH = -(2**62), 2**62  # before and after every time
+_NEVER = -(2**63)  # in place of an unknown time
 
 
 def path_key(c: Column) -> Column:
@@ -102,7 +104,7 @@ def _bisect(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, x: np.ndarray) -
 
 
 def probe(store: dict, h: np.ndarray, key: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """'' or the reason, for references (hash, key, time in us or NaT as minimum int64)."""
+    """'' or the reason, for references (hash, key, time in us or _NEVER)."""
     out = np.full(len(h), "missing", object)
     hs, keys, borns, dieds = (store[k] for k in ("hs", "keys", "borns", "dieds"))
     lo, hi = np.searchsorted(hs, h, "left"), np.searchsorted(hs, h, "right")
@@ -115,7 +117,7 @@ def probe(store: dict, h: np.ndarray, key: np.ndarray, at: np.ndarray) -> np.nda
         lo[i], hi[i] = (lo[i] + same[0], lo[i] + same[-1] + 1) if len(same) else (0, 0)
     known = np.flatnonzero(lo < hi)
     out[known] = ""
-    timed = known[at[known] != np.iinfo(np.int64).min]
+    timed = known[at[known] != _NEVER]
     after = _bisect(borns, lo[timed], hi[timed], at[timed])
     born = after > lo[timed]
     out[timed[~born]] = "late"
@@ -134,8 +136,8 @@ def orphans(edges: DataFrame, files: DataFrame, per_range: int = PER_RANGE, per_
     key = F.when(kind == "wikilink", F.concat(F.lit("w:"), wiki_key(F.col("dst")))).otherwise(F.concat(F.lit("p:"), path_key(F.col("dst"))))
     referring = edges.where((kind.isin(*REFERRING) | kind.startswith("frontmatter_")) & F.col("dst").isNotNull())
     keyed = lambda d: d.withColumn("key", key).withColumn("h", F.xxhash64("key")).withColumn("rng", _range(F.col("h"), n_ranges))
-    refs = keyed(referring.select("src", "dst", "edge_type", "seen_at").distinct())
-    refs = refs.select("src", "dst", "edge_type", F.date_format("seen_at", "yyyy-MM").alias("period"), F.unix_micros(F.col("seen_at").cast("timestamp")).alias("at"), "key", "h", "rng")
+    refs = keyed(referring.select("src", "dst", "edge_type", "seen_at"))
+    refs = refs.select("rng", "src", "dst", "edge_type", F.date_format("seen_at", "yyyy-MM").alias("period"), F.coalesce(F.unix_micros(F.col("seen_at").cast("timestamp")), F.lit(_NEVER)).alias("at"), "key", "h")
     # Ranges with more than per_probe references are probed in parts. Their number is bounded by rows / limit.
     counts = keyed(referring.select("dst", "edge_type")).groupBy("rng").agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 0
@@ -145,24 +147,37 @@ def orphans(edges: DataFrame, files: DataFrame, per_range: int = PER_RANGE, per_
         hot = F.broadcast(written(hot.select("rng", F.ceil(F.col("n") / limit).cast("int").alias("fan")), "hot-ranges"))
         refs, store = refs.join(hot, "rng", "left"), store.join(hot, "rng", "left")
         fan = F.coalesce("fan", F.lit(1))
-    refs = refs.withColumn("part", F.pmod(F.xxhash64("src", "dst", "edge_type"), fan).cast("int")).select("src", "dst", "edge_type", "period", "at", "key", "h", "rng", "part")
+    refs = refs.withColumn("part", F.pmod(F.xxhash64("src", "dst", "edge_type"), fan).cast("int")).select("rng", "part", "src", "dst", "edge_type", "period", "at", "key", "h", F.lit(True).alias("ref"))
     store = store.withColumn("part", F.explode(F.sequence(F.lit(0), fan - 1))).select("rng", "part", "hs", "keys", "borns", "dieds")
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left):
-            return pd.DataFrame(columns=["src", "dst", "edge_type", "period", "reason"], dtype=object)
-        if len(right):
-            r = right.iloc[0]
-            s = {"hs": np.asarray(r["hs"], np.int64), "keys": np.asarray(r["keys"], object), "borns": np.asarray(r["borns"], np.int64), "dieds": np.asarray(r["dieds"], np.int64)}
-        else:
-            s = {"hs": np.zeros(0, np.int64), "keys": np.zeros(0, object), "borns": np.zeros(0, np.int64), "dieds": np.zeros(0, np.int64)}
-        at = left["at"].astype("Int64").fillna(np.iinfo(np.int64).min).to_numpy(np.int64)
-        reason = probe(s, left["h"].to_numpy(np.int64), left["key"].to_numpy(object), at)
-        out = left[["src", "dst", "edge_type", "period"]].assign(reason=reason)
-        return out[out["reason"] != ""]
-
-    found = refs.groupBy("rng", "part").cogroup(store.groupBy("rng", "part")).applyInPandas(run, "src string, dst string, edge_type string, period string, reason string")
-    return found.distinct()
+    # A range's arrays come before its references. Numbers have no nulls, which pandas would turn into floats.
+    store = store.withColumns({"at": F.lit(0).cast("bigint"), "h": F.lit(0).cast("bigint"), "ref": F.lit(False)})
+    both = store.unionByName(refs, allowMissingColumns=True).repartition("rng", "part").sortWithinPartitions("rng", "part", "ref")
+    return both.mapInPandas(_probed, "src string, dst string, edge_type string, period string, reason string").distinct()
+
+
+_NONE = {"hs": np.zeros(0, np.int64), "keys": np.zeros(0, object), "borns": np.zeros(0, np.int64), "dieds": np.zeros(0, np.int64)}
+
+
+def _probed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Misses of sorted rows: of each range first its arrays, if it has any parent, then its references."""
+    place, arrays = None, _NONE
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        rng, part, stored = pdf["rng"].to_numpy(), pdf["part"].to_numpy(), ~pdf["ref"].to_numpy(bool)
+        cuts = np.flatnonzero(np.concatenate([[True], (rng[1:] != rng[:-1]) | (part[1:] != part[:-1]) | stored[1:] | stored[:-1]]))
+        found = []
+        for a, b in zip(cuts, [*cuts[1:], len(pdf)]):
+            if stored[a]:
+                r = pdf.iloc[a]
+                place, arrays = (rng[a], part[a]), {k: np.asarray(r[k], object if k == "keys" else np.int64) for k in _NONE}
+                continue
+            left = pdf.iloc[a:b]
+            reason = probe(arrays if place == (rng[a], part[a]) else _NONE, left["h"].to_numpy(np.int64), left["key"].to_numpy(object), left["at"].to_numpy(np.int64))
+            miss = reason != ""
+            found.append(left.loc[miss, ["src", "dst", "edge_type", "period"]].assign(reason=reason[miss]))
+        if found:
+            yield pd.concat(found, ignore_index=True)
 
 
 def orphan_report(found: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,15 +42,56 @@ def work_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Folders of intermediate tables that this process has written and not yet removed.
+_WRITTEN: list[str] = []
+
+
 def written(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Cut lineage with a Parquet table in the shared folder: it survives the loss of executors."""
+    """Cut lineage with a Parquet table in the shared folder: it survives the loss of executors.
+
+    Such tables are removed at the end of the process, or of the ``scratch`` block they are written in.
+    """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_clean, spark)
+    _WRITTEN.append(path)
     w = df.write.mode("overwrite")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete folders through the file system they are in; what is not there is passed over."""
+    jvm = getattr(spark, "_jvm", None)
+    for path in paths:
+        if jvm is not None and spark.sparkContext._jsc is not None:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        else:  # no JVM at hand: only local folders can be reached
+            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+
+
+def _clean(spark: SparkSession, since: int = 0) -> None:
+    gone = _WRITTEN[since:]
+    del _WRITTEN[since:]
+    try:
+        remove(spark, *gone)
+    except Exception:  # the session may be over
+        for path in gone:
+            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables written within are removed at the end: use results before, or write them elsewhere."""
+    since = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        _clean(spark, since)
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

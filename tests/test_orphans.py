@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -88,3 +89,17 @@ def test_equal_hashes_do_not_confuse_keys():
 def test_empty_tables(spark):
     assert got(spark, [], LINKS) == brute([], LINKS)
     assert got(spark, FIXED, []) == set()
+
+
+def test_hub_is_probed_in_parts(spark):
+    """A hub with most references, in batches smaller than a range, gives what one part gives."""
+    files = spark.createDataFrame([(f"d/f{i}.md", None, None) for i in range(50)], "path string, indexed_at timestamp, deleted_at timestamp")
+    rows = [(f"d/s{i}.md", "d/f1.md" if i % 3 else f"d/f{i}.md", "md_link", "2025-03-01 00:00:00" if i % 5 else None) for i in range(600)]
+    edges = spark.createDataFrame(rows + rows[:50], "src string, dst string, edge_type string, seen_at string").withColumn("seen_at", F.col("seen_at").cast("timestamp_ntz"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = sorted((r.src, r.dst, r.reason) for r in O.orphans(edges, files, per_range=10, per_probe=20).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == sorted((s, d, "missing") for s, d, _, _ in rows if d != "d/f1.md" and int(d[3:-3]) >= 50)
