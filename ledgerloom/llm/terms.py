@@ -3,8 +3,8 @@
 A change feed holds records with a sign: +1 for an added record, -1 for a deleted one, both for a changed
 one. Only the feed is aggregated, to signed changes of occurrences and record counts per term; the changes
 are merged into persistent counts that are partitioned by a hash of the term. Merging adds and drops what
-falls to zero. It reads, groups and writes all partitions anew, also those without a change: the records are
-not read again, but the cost of a merge grows with the number of terms.
+falls to zero. It reads and writes only the partitions that a change falls into; the others are carried over
+by reference: a version is a list of partition folders, each in the version that last wrote it.
 
 A null or empty term is no term; an empty feed changes nothing. Terms are found per record first (so a
 record counts once per term), then pre-aggregated before the shuffle, which no frequent term can skew.
@@ -15,10 +15,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.runtime import plain, work_dir
+from ledgerloom.runtime import plain, remove, work_dir, written
 
 #: The field under which the number of records is counted; it can be no field's name.
 RECORDS = ""
@@ -41,7 +42,10 @@ def signed(added: DataFrame, deleted: DataFrame | None = None) -> DataFrame:
 
 
 def changes(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """The change feed that leads from ``old`` to ``new``: records equal in both are left out. Repeated rows count once."""
+    """The change feed that leads from ``old`` to ``new``: records equal in both are left out. Repeated rows count once.
+
+    For sources that keep snapshots only; a source that tells its changes needs no such comparison of whole snapshots.
+    """
     both = old.distinct().withColumn("_sign", F.lit(-1)).unionByName(new.distinct().withColumn("_sign", F.lit(1)))
     same = [c for c in both.columns if c != "_sign"]
     return both.groupBy(*same).agg(F.sum("_sign").cast("int").alias("_sign")).where(F.col("_sign") != 0).where(F.col(key).isNotNull())
@@ -63,31 +67,74 @@ def delta(feed: DataFrame, fields: Mapping[str, Column]) -> DataFrame:
 
 
 class TermCounts:
-    """Persistent counts (field, term, n_occ, n_rec), one Parquet folder per version, partitioned by ``bucket``."""
-
-    SCHEMA = "field string, term string, n_occ bigint, n_rec bigint, bucket int"
-
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 16) -> None:
-        self.spark, self.buckets = spark, buckets
-        self.path, self.version = path or f"{work_dir(spark)}/terms-{uuid.uuid4().hex}", 0
+    """Persistent counts (field, term, n_occ, n_rec) in hash partitions, one Parquet folder per partition and version.
+
+    The number of partitions follows from the size of the first feed (``per_bucket`` terms in each) and stays
+    until a feed is four times as large as all of them.
+    The list of a version's folders is a table itself, so a later process opens the newest by ``path`` alone.
+    Folders that no version but older ones than the last refer to are removed.
+    """
+
+    SCHEMA = "field string, term string, n_occ bigint, n_rec bigint"
+
+    def __init__(self, spark: SparkSession, path: str | None = None, per_bucket: int = 1_000_000) -> None:
+        self.spark, self.per_bucket = spark, per_bucket
+        self.path, self.version, self.buckets = path or f"{work_dir(spark)}/terms-{uuid.uuid4().hex}", 0, 0
+        self.folders: dict[int, int] = {}  # by partition the version that wrote it
+        if path is not None:
+            self._open()
+
+    def _open(self) -> None:
+        try:
+            rows = self.spark.read.parquet(f"{self.path}/versions")
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" in str(e):
+                return
+            raise
+        last = rows.agg(F.max("version")).first()[0]
+        found = rows.where(F.col("version") == last).collect()  # one row a partition
+        self.version, self.buckets = last, found[0]["buckets"]
+        self.folders = {r["bucket"]: r["written"] for r in found if r["bucket"] >= 0}
+
+    def _read(self, buckets: list[int]) -> DataFrame:
+        if not buckets:
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.read.schema(self.SCHEMA).parquet(*[f"{self.path}/v{self.folders[b]}/bucket={b}" for b in sorted(buckets)])
 
     def table(self) -> DataFrame:
-        if not self.version:
-            return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/v{self.version}")
+        return self._read(list(self.folders))
 
     def apply(self, changed: DataFrame) -> TermCounts:
-        """Merge signed changes into the counts and write the next version."""
-        changed = changed.select("field", "term", F.col("d_occ").alias("n_occ"), F.col("d_rec").alias("n_rec"))
-        if self.version:
-            old = self.table().drop("bucket")
-            changed = old.unionByName(changed).groupBy("field", "term").agg(F.sum("n_occ").alias("n_occ"), F.sum("n_rec").alias("n_rec"))
-        merged = changed.where((F.col("n_occ") != 0) | (F.col("n_rec") != 0))
-        merged = merged.withColumn("bucket", F.pmod(F.xxhash64("field", "term"), F.lit(self.buckets)).cast("int"))
-        merged.repartition(self.buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v{self.version + 1}")
+        """Merge signed changes into the counts and write the next version: the partitions they touch."""
+        changed = written(changed.select("field", "term", F.col("d_occ").alias("n_occ"), F.col("d_rec").alias("n_rec")).where("n_occ <> 0 or n_rec <> 0"), "delta")
+        n = changed.count()
+        if not n:
+            return self
+        grown = n > 4 * self.buckets * self.per_bucket
+        if grown:  # the first feed, or one that outgrows the partitions: all are written anew, in a fitting number
+            kept = self.table()
+            self.buckets = -(-(n + kept.count()) // self.per_bucket)
+        bucket = F.pmod(F.xxhash64("field", "term"), F.lit(self.buckets)).cast("int")
+        touched = [r[0] for r in changed.select(bucket.alias("bucket")).distinct().collect()]  # at most one row a partition
+        old = kept if grown else self._read([b for b in touched if b in self.folders])
+        merged = old.unionByName(changed).groupBy("field", "term").agg(F.sum("n_occ").alias("n_occ"), F.sum("n_rec").alias("n_rec"))
+        merged = merged.where("n_occ <> 0 or n_rec <> 0").withColumn("bucket", bucket)
         self.version += 1
+        out = f"{self.path}/v{self.version}"
+        merged.repartition(self.buckets if grown else len(touched), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(out)
+        # A partition whose terms all fell to zero has no folder.
+        full = [r[0] for r in self.spark.read.schema(self.SCHEMA + ", bucket int").parquet(out).select("bucket").distinct().collect()]
+        before = set(self.folders.values())
+        self.folders = {b: v for b, v in self.folders.items() if not grown and b not in set(touched)} | {b: self.version for b in full}
+        rows = [(self.version, self.buckets, b, v) for b, v in sorted(self.folders.items())] or [(self.version, self.buckets, -1, self.version)]
+        self.spark.createDataFrame(rows, "version int, buckets int, bucket int, written int").coalesce(1).write.mode("append").parquet(f"{self.path}/versions")
+        # What the version before the last referred to and this one does not goes with the next merge.
+        remove(self.spark, *[f"{self.path}/v{v}" for v in self._gone])
+        self._gone = sorted(before - set(self.folders.values()))
         return self
 
+    _gone: list[int] = []
+
     def n_records(self) -> int:
         row = self.table().where(F.col("field") == RECORDS).agg(F.sum("n_rec")).first()
         return row[0] or 0

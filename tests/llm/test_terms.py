@@ -44,7 +44,7 @@ record = st.tuples(st.integers(1, 6), st.sampled_from([None, "", " ", "a", "A ,b
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.lists(record, max_size=6, unique_by=lambda r: r[0]), min_size=1, max_size=3))
 def test_deltas_lead_to_the_same_counts_as_a_new_build(spark, snapshots):
-    counts, old = M.TermCounts(spark, buckets=2), []
+    counts, old = M.TermCounts(spark, per_bucket=2), []
     for new in snapshots:
         counts.apply(M.delta(M.changes(frame(spark, old), frame(spark, new), "k"), FIELDS()))
         assert table(counts) == brute(new)
@@ -63,3 +63,22 @@ def test_empty_feed_and_empty_table(spark):
 def test_long_values(spark):
     rows = [(1, ",".join(f"w{i % 50}" for i in range(5000)), "y" * 100_000)]
     assert table(M.TermCounts(spark).apply(M.delta(M.signed(frame(spark, rows)), FIELDS()))) == brute(rows)
+
+
+def test_a_feed_of_one_term_rewrites_one_partition(spark, tmp_path):
+    import os
+
+    path = f"{tmp_path}/counts"
+    rows = [(i, f"w{i}", None) for i in range(400)]
+    counts = M.TermCounts(spark, path, per_bucket=25).apply(M.delta(M.signed(frame(spark, rows)), FIELDS()))
+    assert counts.buckets >= 16 and set(counts.folders.values()) == {1}
+    counts.apply(M.delta(M.signed(frame(spark, [(1000, "w7", None)])), FIELDS()).where("field = 't'"))
+    assert sorted(counts.folders.values()).count(2) == 1 and len(os.listdir(f"{path}/v2")) <= 3
+    assert table(counts)["t", "w7"] == (2, 2) and len(table(counts)) == 400
+    again = M.TermCounts(spark, path)  # another process finds the newest version
+    assert again.version == 2 and table(again) == table(counts) and again.folders == counts.folders
+    many = [(i, f"x{i}", None) for i in range(2000, 4500)]
+    grown = again.apply(M.delta(M.signed(frame(spark, many)), FIELDS()))
+    assert set(grown.folders.values()) == {3} and len(table(grown)) == 2900
+    grown.apply(M.delta(M.signed(frame(spark, [(1, "w1", None)])), FIELDS()))
+    assert not os.path.exists(f"{path}/v1") and len(table(grown)) == 2900
