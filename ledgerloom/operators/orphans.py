@@ -30,6 +30,7 @@ PER_RANGE = 100_000
 PER_PROBE = 500_000
 _LOW, _HIGH = -(2**62), 2**62  # before and after every time
 _NEVER = -(2**63)  # in place of an unknown time
+_STORE = ("hs", "borns", "dieds", "sizes")
 
 
 def path_key(c: Column) -> Column:
@@ -59,7 +60,10 @@ def _range(h: Column, n: int) -> Column:
 
 
 def parent_store(keys: DataFrame, n_ranges: int) -> DataFrame:
-    """One row per range: ``rng`` and arrays sorted by (hash, key, born), intervals of a key disjoint."""
+    """One row per range: ``rng`` and arrays sorted by (hash, key, born), intervals of a key disjoint.
+
+    Arrays are kept as bytes: beside a column of lists, the size of an Arrow batch is costly to take at every row.
+    """
     keyed = keys.groupBy("key", "born").agg(F.max("died").alias("died"))
     keyed = keyed.withColumn("h", F.xxhash64("key")).withColumn("rng", _range(F.col("h"), n_ranges))
     keyed = keyed.repartition(n_ranges, "rng").sortWithinPartitions("rng", "h", "key", "born")
@@ -81,7 +85,9 @@ def parent_store(keys: DataFrame, n_ranges: int) -> DataFrame:
                 start[1:] |= born[1:] > reach[:-1]
                 at = np.flatnonzero(start)
                 ends = np.append(at[1:], len(d)) - 1
-                yield pd.DataFrame({"rng": [int(d["rng"].iloc[0])], "hs": [h[at]], "keys": [key[at]], "borns": [born[at]], "dieds": [reach[ends]]})
+                raw = [k.encode() for k in key[at]]
+                sizes = np.fromiter(map(len, raw), np.int32, len(raw))
+                yield pd.DataFrame({"rng": [int(d["rng"].iloc[0])]} | {n: [v.tobytes()] for n, v in zip(_STORE, (h[at], born[at], reach[ends], sizes))} | {"keys": [b"".join(raw)]})
 
         for pdf in batches:
             for r, part in pdf.groupby("rng", sort=False):
@@ -90,7 +96,16 @@ def parent_store(keys: DataFrame, n_ranges: int) -> DataFrame:
                 held.append(part)
         yield from flush()
 
-    return keyed.select("rng", "h", "key", "born", "died").mapInPandas(arrays, "rng int, hs array<bigint>, keys array<string>, borns array<bigint>, dieds array<bigint>")
+    return keyed.select("rng", "h", "key", "born", "died").mapInPandas(arrays, "rng int, " + ", ".join(f"{c} binary" for c in (*_STORE, "keys")))
+
+
+def _unpacked(r: pd.Series) -> dict[str, np.ndarray]:
+    """The arrays of a range; ``keys`` are cut from one string of bytes by their sizes."""
+    out = {c: np.frombuffer(r[c], np.int64) for c in _STORE[:3]}
+    ends = np.cumsum(np.frombuffer(r["sizes"], np.int32), dtype=np.int64)
+    data = bytes(r["keys"])
+    out["keys"] = np.array([data[a:b].decode() for a, b in zip([0, *ends[:-1]], ends)], object)
+    return out
 
 
 def _bisect(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -148,7 +163,7 @@ def orphans(edges: DataFrame, files: DataFrame, per_range: int = PER_RANGE, per_
         refs, store = refs.join(hot, "rng", "left"), store.join(hot, "rng", "left")
         fan = F.coalesce("fan", F.lit(1))
     refs = refs.withColumn("part", F.pmod(F.xxhash64("src", "dst", "edge_type"), fan).cast("int")).select("rng", "part", "src", "dst", "edge_type", "period", "at", "key", "h", F.lit(True).alias("ref"))
-    store = store.withColumn("part", F.explode(F.sequence(F.lit(0), fan - 1))).select("rng", "part", "hs", "keys", "borns", "dieds")
+    store = store.withColumn("part", F.explode(F.sequence(F.lit(0), fan - 1))).select("rng", "part", *_STORE, "keys")
     # A range's arrays come before its references. Numbers have no nulls, which pandas would turn into floats.
     store = store.withColumns({"at": F.lit(0).cast("bigint"), "h": F.lit(0).cast("bigint"), "ref": F.lit(False)})
     both = store.unionByName(refs, allowMissingColumns=True).repartition("rng", "part").sortWithinPartitions("rng", "part", "ref")
@@ -170,7 +185,7 @@ def _probed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for a, b in zip(cuts, [*cuts[1:], len(pdf)]):
             if stored[a]:
                 r = pdf.iloc[a]
-                place, arrays = (rng[a], part[a]), {k: np.asarray(r[k], object if k == "keys" else np.int64) for k in _NONE}
+                place, arrays = (rng[a], part[a]), _unpacked(r)
                 continue
             left = pdf.iloc[a:b]
             reason = probe(arrays if place == (rng[a], part[a]) else _NONE, left["h"].to_numpy(np.int64), left["key"].to_numpy(object), left["at"].to_numpy(np.int64))
