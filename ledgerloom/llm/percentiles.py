@@ -9,8 +9,9 @@ at weight w, so the rank error is at most n * h / (2 k) with h = log2(n / k) lev
 partitions, days or files are combined by putting their buffers together.
 
 Rows with a null key or value, or NaN, are left out. Groups of up to 2 k values are exact. Equal values
-keep their multiplicity; an empty table has no groups. Hot groups are salted before the shuffle by their
-number of rows, and states are merged in rounds of bounded fan-in.
+keep their multiplicity; an empty table has no groups. States are made where the rows are, so no group's rows
+are brought together, however hot it is: only states are, in rounds of bounded fan-in. Rows are shuffled only
+if repeated rows must be recognised, and then by their own key.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.runtime import hot_keys, written
+from ledgerloom.runtime import written
 
 K = 4096
 FLUSH = 400_000  # rows sorted at once
@@ -76,29 +77,19 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0)))
 
 
-def states(df: DataFrame, keys: Sequence[str], value: str, unique: Sequence[str] = (), k: int = K, least_hot: int = 200_000) -> DataFrame:
-    """State rows (keys, part, weight, vals, err) of ``value`` per group.
+def states(df: DataFrame, keys: Sequence[str], value: str, unique: Sequence[str] = (), k: int = K) -> DataFrame:
+    """State rows (keys, part, weight, vals, err) of ``value`` per group and partition.
 
     ``unique`` names the columns by which repeated rows of a group are recognised (none: rows all count).
     """
     df = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     for key in keys:
         df = df.where(F.col(key).isNotNull())
-    rows = df.select(*keys, *[c for c in unique if c not in keys], F.col(value).cast("double").alias("__v"))
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    total = counts.agg(F.sum("__n")).first()[0] or 0
-    hot, limit = hot_keys(counts, "__n", total, least_hot)
-    salt = F.lit(0)
-    if total > limit and hot.limit(1).count():
-        rows = rows.join(F.broadcast(hot.withColumn("__fan", F.ceil(F.col("__n") / limit)).drop("__n")), list(keys), "left")
-        by = F.xxhash64(*unique) if unique else F.xxhash64(F.monotonically_increasing_id())
-        salt = F.pmod(by, F.coalesce("__fan", F.lit(1)))
-    rows = rows.withColumn("__part", salt.cast("int")).select(*keys, *[c for c in unique if c not in keys], "__v", "__part")
-    rows = rows.repartition(*keys, "__part")
+    extra = [c for c in unique if c not in keys]
+    rows = df.select(*keys, *extra, F.col(value).cast("double").alias("v"))
     if unique:
-        rows = rows.dropDuplicates([*keys, "__part", *[c for c in unique if c not in keys]])
-    rows = rows.select(*keys, F.col("__part").alias("part"), F.col("__v").alias("v"))
-    return _leaves(rows, keys, k)
+        rows = rows.dropDuplicates([*keys, *extra])
+    return _leaves(rows.select(*keys, F.lit(0).alias("part"), "v"), keys, k)
 
 
 def _schema(df: DataFrame, keys: Sequence[str]) -> T.StructType:

@@ -11,7 +11,7 @@ from ledgerloom.llm.leakage import leaks
 from ledgerloom.llm.mixing import Mix
 from ledgerloom.llm.pairs import defects
 from ledgerloom.llm.sentences import sentences
-from ledgerloom.runtime import plain
+from ledgerloom.runtime import plain, written
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -40,9 +40,10 @@ def _durations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    state = pct.states(_durations(spark, sf), GROUP, "duration_ms", ["rec_id"])
+    """``err`` is the greatest error of a percentile's rank."""
+    state = pct.merged(pct.states(_durations(spark, sf), GROUP, "duration_ms", ["rec_id"]), GROUP)
     q = pct.percentiles(state, GROUP, (0.5, 0.9, 0.95, 0.99))
-    return q.select(*GROUP, "n", *[F.element_at("q", i + 1).alias(c) for i, c in enumerate(("p50", "p90", "p95", "p99"))])
+    return q.select(*GROUP, "n", *[F.element_at("q", i + 1).alias(c) for i, c in enumerate(("p50", "p90", "p95", "p99"))], "err")
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -51,11 +52,31 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p3_days(spark: SparkSession, sf: str) -> DataFrame:
     """Percentiles per source from states that were made per log day and then combined."""
-    daily = pct.states(_durations(spark, sf), ["decided_source", "log_day"], "duration_ms", ["rec_id"])
+    daily = pct.states(_durations(spark, sf).where("log_day is not null"), ["decided_source", "log_day"], "duration_ms", ["rec_id"])
     q = pct.percentiles(pct.merged(daily.drop("log_day"), ["decided_source"]), ["decided_source"], (0.5, 0.95))
     return q.select("decided_source", "n", F.element_at("q", 1).alias("p50"), F.element_at("q", 2).alias("p95"))
 
 
+#: Values a buffer of ``p3_within`` holds: so few that its states collapse at every scale.
+SMALL_K = 32
+
+
+def p3_within(spark: SparkSession, sf: str) -> DataFrame:
+    """Per source whether percentiles of collapsed states are within their stated error of the exact ranks."""
+    shares, by = (0.5, 0.9, 0.99), ["decided_source"]
+    rows = _durations(spark, sf).dropDuplicates([*by, "rec_id"]).where("decided_source is not null")
+    q = written(pct.percentiles(pct.merged(pct.states(rows, by, "duration_ms", k=SMALL_K), by, SMALL_K), by, shares, SMALL_K), "percentiles")
+    v = rows.join(q, "decided_source")
+    below = [F.count_if(F.col("duration_ms") < F.element_at("q", i + 1)).alias(f"lt{i}") for i in range(len(shares))]
+    upto = [F.count_if(F.col("duration_ms") <= F.element_at("q", i + 1)).alias(f"le{i}") for i in range(len(shares))]
+    exact = v.groupBy("decided_source").agg(F.count(F.lit(1)).alias("n"), F.first("n").alias("said"), F.first("err").alias("err"), *below, *upto)
+    fine = F.col("n") == F.col("said")
+    for i, p in enumerate(shares):
+        rank = F.ceil(F.round(F.col("n") * p, 9))
+        fine = fine & (rank > F.col(f"lt{i}") - F.col("err")) & (rank <= F.col(f"le{i}") + F.col("err"))
+    return exact.select("decided_source", "n", (F.col("err") > 0).alias("collapsed"), (F.col("err") <= F.greatest(F.lit(1.0), F.lit(0.5) * F.col("n"))).alias("bounded"), fine.alias("within"))
+
+
 # ---- p5: frequency of every term
 
 
@@ -175,7 +196,7 @@ _LEAKS = f"""
   SELECT DISTINCT doc_id, item_id FROM dw JOIN hw USING (g) UNION SELECT DISTINCT doc_id, item_id FROM dc JOIN hc USING (g)
 """
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_percentiles, p3_days, p5_found, p5_by_deltas, p7_found, p7_items, p8_found, p8_shares, p8_mix, p9_found, p9_lengths)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_percentiles, p3_days, p3_within, p5_found, p5_by_deltas, p7_found, p7_items, p8_found, p8_shares, p8_mix, p9_found, p9_lengths)}
 
 ORACLE = {
     "p3_found": f"""
@@ -183,8 +204,15 @@ ORACLE = {
       GROUP BY ALL HAVING count(*) >= 30 AND quantile_disc(duration_ms, 0.95) >= 8 * quantile_disc(duration_ms, 0.5)""",
     "p3_percentiles": f"""
       SELECT topic_hint, decided_source, count(*) AS n, quantile_disc(duration_ms, 0.5) AS p50, quantile_disc(duration_ms, 0.9) AS p90,
-        quantile_disc(duration_ms, 0.95) AS p95, quantile_disc(duration_ms, 0.99) AS p99
+        quantile_disc(duration_ms, 0.95) AS p95, quantile_disc(duration_ms, 0.99) AS p99, 0e0 AS err
       FROM ({_DURATIONS}) WHERE topic_hint IS NOT NULL AND decided_source IS NOT NULL GROUP BY ALL""",
+    "p3_days": f"""
+      SELECT decided_source, count(*) AS n, quantile_disc(duration_ms, 0.5) AS p50, quantile_disc(duration_ms, 0.95) AS p95
+      FROM (SELECT DISTINCT rec_id, {_PLAIN.format('decided_source')} AS decided_source, log_day, duration_ms FROM recall_log WHERE duration_ms > 0 AND log_day IS NOT NULL)
+      WHERE decided_source IS NOT NULL GROUP BY decided_source""",
+    "p3_within": f"""
+      SELECT decided_source, count(*) AS n, count(*) >= {2 * SMALL_K} AS collapsed, true AS bounded, true AS within
+      FROM ({_DURATIONS}) WHERE decided_source IS NOT NULL GROUP BY decided_source""",
     "p5_found": _TERMS,
     "p5_by_deltas": _TERMS,
     "p7_found": _LEAKS,

@@ -41,7 +41,7 @@ def test_large_group_stays_within_its_error(spark, monkeypatch):
     values = np.round(rng.lognormal(5, 2, 60_000), 3)
     df = frame(spark, [("a", "x", float(v)) for v in values]).repartition(5)
     monkeypatch.setattr(P, "FLUSH", 5_000)
-    s = P.states(df, ["g"], "v", ["i"], k=64, least_hot=10_000)
+    s = P.states(df, ["g"], "v", ["i"], k=64)
     for state in (s, P.merged(s, ["g"], k=64)):
         r = P.percentiles(state, ["g"], (0.01, 0.25, 0.5, 0.9, 0.99), k=64).first()
         assert r.n == len(values)
@@ -81,10 +81,10 @@ def test_merging_goes_in_rounds_of_bounded_fan_in(spark, monkeypatch):
     assert r.n == 600 and ranks_off([v for _, _, v in rows], r.q[0], 0.5) <= r.err + 1
 
 
-def test_hot_group_is_salted_and_repeats_count_once(spark):
+def test_hot_group_and_repeats_that_count_once(spark):
     rows = [("hot", "x", float(i)) for i in range(3000)] + [("cold", "x", 1.0)]
     df = frame(spark, rows)
-    s = P.states(df.unionByName(df), ["g"], "v", ["i"], least_hot=500)
+    s = P.states(df.unionByName(df), ["g"], "v", ["i"])
     assert s.where("g = 'hot'").select("part").distinct().count() > 1
     got = {r.g: (r.n, r.q[0]) for r in P.percentiles(s, ["g"], (0.5,)).collect()}
     assert got == {"hot": (3000, 1499.0), "cold": (1, 1.0)}
