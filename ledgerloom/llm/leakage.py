@@ -7,10 +7,15 @@ a fingerprint in common. Units are words (k = 8, w = 5: runs of 12), or for item
 spaces letters and digits (k = 12, w = 9: runs of 20). Fingerprints that a document shares with an item are
 extended to the left and right on the units themselves; a pair is reported if a run is long enough.
 
+A run through a hit is long enough if, beside the k units of the hit, w - 1 more agree on its two sides together,
+so w - 1 units to the left and right decide. Items that agree on these (boilerplate) are one class of the
+fingerprint and looked at once a hit; only classes that pass are taken apart into their items.
+
 The documents are read once and not shuffled while the items' fingerprints are at most MOST_FINGERPRINTS
 (they are counted first): each batch of documents is joined to their sorted array. Beyond that the
-fingerprints of both sides are joined by a shuffle. Null and empty texts have no units; repeated rows
-and several runs of one item in a document give one row.
+fingerprints of both sides are joined by a shuffle, in which fingerprints that very many documents have are
+salted; places that pass are joined with the texts. Null and empty texts have no units; repeated rows and
+several runs of one item in a document give one row.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.runtime import written
+from ledgerloom.runtime import hot_keys, written
 
 WORDS, LETTERS = 0, 1
 #: By unit: (k, w); shared runs of k + w - 1 units are found.
@@ -52,10 +57,25 @@ def words(text: str | None) -> list[str]:
     return _UNITS.findall(text)
 
 
+class _Hashes(dict):
+    """Hashes of words; each word is hashed once, the oldest are forgotten together when there are too many."""
+
+    MOST = 500_000
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+
+_HASHES = _Hashes()
+
+
 def codes(units: Sequence[str] | str, kind: int) -> np.ndarray:
     """A 64-bit number for each word, or each letter of joined words."""
     if kind == WORDS:
-        return np.fromiter((xxhash.xxh64_intdigest(u) for u in units), np.uint64, len(units))
+        return np.fromiter(map(_HASHES.__getitem__, units), np.uint64, len(units))
     return np.frombuffer("".join(units).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
 
 
@@ -166,20 +186,47 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key:
     return found.groupBy(doc_key, item_key).agg(F.max("n_units").alias("n_units"))
 
 
+def _context(code: np.ndarray, at: int, kind: int) -> tuple[bytes, bytes, bytes]:
+    """The units of a fingerprint and the w - 1 on its left (from the near to the far one) and right."""
+    k, w = SIZES[kind]
+    return code[max(0, at - w + 1) : at][::-1].tobytes(), code[at : at + k].tobytes(), code[at + k : at + k + w - 1].tobytes()
+
+
+def _passes(a: tuple[bytes, bytes, bytes], b: tuple[bytes, bytes, bytes], kind: int) -> bool:
+    """Whether a run through the fingerprints of two contexts is long enough."""
+    if a[1] != b[1]:
+        return False
+    need = SIZES[kind][1] - 1
+    for x, y in ((a[0], b[0]), (a[2], b[2])):
+        p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        n = min(len(p), len(q))
+        same = p[:n] == q[:n]
+        need -= n if same.all() else int(np.argmin(same))
+    return need <= 0
+
+
+def _classes(prints: pd.DataFrame, item_key: str, units_of: dict) -> tuple[np.ndarray, np.ndarray, list]:
+    """The items' fingerprints as an index: sorted hashes, where each one's classes begin, and the classes.
+
+    A class is (kind, context, its (item, place)s).
+    """
+    found: dict[tuple, list] = {}
+    for h, kind, item, at in zip(prints["h"].tolist(), prints["kind"].tolist(), prints[item_key].tolist(), prints["at"].tolist()):
+        found.setdefault((h, kind, _context(units_of[item], at, kind)), []).append((item, at))
+    rows = sorted(found.items(), key=lambda x: x[0][:2])
+    hs, first = np.unique(np.array([k[0] for k, _ in rows], np.int64), return_index=True)
+    return hs, np.append(first, len(rows)), [(k[1], k[2], places) for k, places in rows]
+
+
 def _mapped(docs: DataFrame, items: DataFrame, test: DataFrame, doc_key: str, item_key: str, schema: T.StructType, all_letters: bool) -> DataFrame:
     prints = test.toPandas()
     known = items.join(test.select(item_key).distinct(), item_key, "left_semi").toPandas()
-    ids = known[item_key].tolist()
-    place = {x: i for i, x in enumerate(ids)}
-    prints = prints[prints[item_key].isin(place)].sort_values("h", kind="stable")
-    index = (
-        prints["h"].to_numpy(np.int64), prints[item_key].map(place).to_numpy(np.int64), prints["at"].to_numpy(np.int64),
-        [_kind(x) for x in known["lang"]], [codes(words(t), _kind(x)) for t, x in zip(known["text"], known["lang"])],
-    )
+    units_of = {x: codes(words(t), _kind(lang)) for x, t, lang in zip(known[item_key].tolist(), known["text"], known["lang"])}
+    index = (*_classes(prints[prints[item_key].isin(units_of)], item_key, units_of), units_of)
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hs, item, pos, kinds, units_of = shared.value
+        hs, first, classes, units_of = shared.value
         for pdf in batches:
             out = []
             for key, text in zip(pdf[doc_key], pdf["text"]):
@@ -187,25 +234,40 @@ def _mapped(docs: DataFrame, items: DataFrame, test: DataFrame, doc_key: str, it
                 for kind in _streams(text, all_letters):
                     code = codes(units, kind)
                     h, at = winnowed(code, kind)
-                    lo, hi = np.searchsorted(hs, h, "left"), np.searchsorted(hs, h, "right")
-                    places: dict[int, list[tuple[int, int]]] = {}
-                    for x in np.flatnonzero(lo < hi):
-                        for y in range(lo[x], hi[x]):
-                            if kinds[item[y]] == kind:
-                                places.setdefault(int(item[y]), []).append((int(at[x]), int(pos[y])))
-                    for i, p in places.items():
-                        n = longest(code, units_of[i], p, kind)
-                        if n >= sum(SIZES[kind]) - 1:
-                            out.append((key, ids[i], n))
+                    if not len(h) or not len(hs):
+                        continue
+                    x = np.minimum(np.searchsorted(hs, h), len(hs) - 1)
+                    places: dict = {}
+                    for i in np.flatnonzero(hs[x] == h):
+                        own = _context(code, int(at[i]), kind)
+                        for other, context, members in classes[first[x[i]] : first[x[i] + 1]]:
+                            if other == kind and _passes(own, context, kind):
+                                for item, j in members:
+                                    places.setdefault(item, []).append((int(at[i]), j))
+                    out += [(key, item, longest(code, units_of[item], p, kind)) for item, p in places.items()]
             if out:
                 yield pd.DataFrame(out, columns=schema.fieldNames())
 
     return docs.select(doc_key, "text").mapInPandas(run, schema)
 
 
-def _joined(docs: DataFrame, items: DataFrame, test: DataFrame, doc_key: str, item_key: str, schema: T.StructType, all_letters: bool) -> DataFrame:
-    train = _prints(docs, doc_key, None, all_letters)
-    hits = train.join(test.withColumnRenamed("at", "__jat"), ["kind", "h"]).groupBy(doc_key, item_key, "kind")
+def _joined(docs: DataFrame, items: DataFrame, test: DataFrame, doc_key: str, item_key: str, schema: T.StructType, all_letters: bool, least_hot: int = 200_000) -> DataFrame:
+    key = ["kind", "h"]
+    known = test.select(*key).distinct()
+    train = written(_prints(docs, doc_key, None, all_letters), "train-prints")
+    # Documents' rows of a fingerprint that very many have are spread over several tasks, the items' rows copied to each.
+    counts = train.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).join(known, key, "left_semi")
+    total = counts.agg(F.sum("__n")).first()[0] or 0
+    salt = F.lit(0)
+    if total > least_hot:
+        hot, limit = hot_keys(counts, "__n", total, least_hot)
+        hot = F.broadcast(written(hot.select(*key, F.ceil(F.col("__n") / limit).cast("int").alias("__fan")), "hot-prints"))
+        train, test = train.join(hot, key, "left"), test.join(hot, key, "left")
+        salt = F.coalesce("__fan", F.lit(1))
+        train = train.withColumn("__salt", F.pmod(F.xxhash64(doc_key, "at"), salt).cast("int"))
+        test = test.withColumn("__salt", F.explode(F.sequence(F.lit(0), salt - 1)))
+        key = [*key, "__salt"]
+    hits = train.join(test.withColumnRenamed("at", "__jat"), key).groupBy(doc_key, item_key, "kind")
     hits = written(hits.agg(F.collect_set(F.struct("at", F.col("__jat").alias("j"))).alias("__places")), "hits")
     pairs = docs.select(doc_key, F.col("text").alias("__d")).join(hits, doc_key).join(items.select(item_key, F.col("text").alias("__i")), item_key)
 

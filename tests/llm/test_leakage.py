@@ -86,3 +86,26 @@ def test_empty_tables_and_repeats(spark):
     assert L.leaks(d.limit(0), h).count() == 0 and L.leaks(d, h.limit(0)).count() == 0
     assert L.leaks(d.unionByName(d), h.unionByName(h)).count() == len(brute(texts, held))
     assert L.leaks(docs(spark, [held[0][1] + " " + "z" * 300_000]), h).count() == 1
+
+
+def test_boilerplate_in_many_items_and_documents(spark):
+    """A passage shorter than a leak that all share, and one long enough that some share, give the same on all paths."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    short, long = [word() for _ in range(10)], [word() for _ in range(14)]
+    held = [(i, "en", " ".join([*[word() for _ in range(6)], *(long if i % 7 == 0 else short), *[word() for _ in range(6)]])) for i in range(60)]
+    texts = [(d, " ".join([*[word() for _ in range(9)], *(long if d % 5 == 0 else short), *[word() for _ in range(9)]])) for d in range(80)]
+    want = {(d, i) for d in range(0, 80, 5) for i in range(0, 60, 7)}
+    a = spark.createDataFrame(texts, "doc_id bigint, text string")
+    b = spark.createDataFrame(held, "item_id bigint, lang string, text string")
+    for most in (10**6, 0):
+        assert {(r.doc_id, r.item_id) for r in L.leaks(a, b, most=most).collect()} == want
+
+
+def test_hot_fingerprints_are_spread(spark, monkeypatch):
+    joined = L._joined
+    monkeypatch.setattr(L, "_joined", lambda *x: joined(*x, least_hot=20))
+    passage = " ".join(f"w{i}" for i in range(20))
+    a = spark.createDataFrame([(d, f"{passage} x{d}") for d in range(200)], "doc_id bigint, text string")
+    b = spark.createDataFrame([(1, "en", passage), (2, "en", passage + " y")], "item_id bigint, lang string, text string")
+    assert L.leaks(a, b, most=0).count() == 400
