@@ -193,6 +193,33 @@ def _collapsed_table(t: pa.Table, k: int) -> pa.Table:
     return head.append_column("weight", pa.array(list(state), pa.int64())).append_column("vals", _lists(list(state.values()))).append_column("err", pa.array(errs))
 
 
+def _merged_groups(t: pa.Table, keys: Sequence[str], k: int) -> Iterator[pa.RecordBatch]:
+    """One state for each group of a table sorted by ``keys``; groups of few values are put together all at once."""
+    t = t.combine_chunks()
+    change = np.ones(len(t), bool)
+    change[1:] = False
+    for key in keys:
+        c = t[key].combine_chunks()
+        change[1:] |= pc.not_equal(c.slice(1), c.slice(0, len(t) - 1)).to_numpy(zero_copy_only=False)
+    first = np.flatnonzero(change)
+    last = np.append(first[1:], len(t))
+    sizes = pc.list_value_length(t["vals"].combine_chunks()).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    small = (np.maximum.reduceat(t["weight"].to_numpy(), first) == 1) & (upto[last] - upto[first] < 2 * k)
+    keep = np.repeat(small, last - first)
+    if keep.any():
+        some = t.filter(pa.array(keep)) if not keep.all() else t
+        v = some["vals"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        n = (upto[last] - upto[first])[small]
+        v = v[np.lexsort((v, np.repeat(np.arange(len(n)), n)))]
+        head = t.drop_columns(["weight", "vals", "err"]).take(pa.array(first[small]))
+        vals = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(v))
+        head = head.append_column("weight", pa.array(np.ones(len(n), np.int64))).append_column("vals", vals)
+        yield from head.append_column("err", pa.array(np.add.reduceat(t["err"].to_numpy(), first)[small])).combine_chunks().to_batches()
+    for i in np.flatnonzero(~small):
+        yield from _collapsed_table(t.slice(first[i], last[i] - first[i]), k).combine_chunks().to_batches()
+
+
 def merged(state: DataFrame, keys: Sequence[str], k: int = K) -> DataFrame:
     """States combined to one per group (or per part of a group, in rounds, while a group has too many)."""
     keys = list(keys)
@@ -206,9 +233,7 @@ def merged(state: DataFrame, keys: Sequence[str], k: int = K) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t in _groups(batches, [*keys, "part"], k):
-                code = _codes(t, [*keys, "part"])
-                for g in range(int(code.max()) + 1 if len(code) else 0):
-                    yield from _collapsed_table(t.filter(pa.array(code == g)), k).combine_chunks().to_batches()
+                yield from _merged_groups(t, [*keys, "part"], k)
 
         state = by.repartition(*keys, "part").sortWithinPartitions(*keys, "part").mapInArrow(run, schema)
         if slots == 1:
