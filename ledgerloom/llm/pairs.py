@@ -1,42 +1,47 @@
 """Defective question-answer pairs: labelling functions combined by an expectation-maximization label model.
 
-For each defect several noisy labelling functions vote on every pair: +1 it has the defect, -1 it has not,
-0 no opinion. Only the counts of vote patterns leave the executors (at most 3**k for k functions). On them
-a naive Bayes model with one hidden label per defect is fitted by EM, with pseudo-counts as prior, which
-yields each pattern's posterior. A pair gets every defect whose posterior exceeds that defect's cutoff;
-cutoffs are chosen on labelled pairs (VALIDATION) that are no part of the data.
+For each defect several noisy labelling functions, each looking at another side of a pair (its marks, its
+length, its words, its script ...), vote on it: +1 it has the defect, -1 it has not, 0 no opinion. Only the
+counts of vote patterns leave the executors (at most 3**k for k functions). On them a naive Bayes model with
+one hidden label per defect is fitted by EM, starting from the votes on labelled pairs and held near them by
+pseudo-counts in proportion to the data; an abstention carries no weight. A pair gets every defect whose
+posterior exceeds that defect's cutoff; cutoffs are chosen on other labelled pairs. Both sets (LABELLED,
+VALIDATION) are written here and no part of the data.
 
 Defects: ``empty`` (null, blanks, invisible characters, punctuation, a bare placeholder), ``truncated``
 (breaks off in a word, phrase or open bracket), ``refusal`` (declines; the sentinel DONT-KNOW unless the
 question is marked as a negative test), ``copies_question`` (nothing but the question's words, perhaps
 repeated or marked), ``other_language``. A null question counts as empty text. Repeated rows count once.
 
-The language vote uses a character-trigram classifier fitted on a hashed sample of about SAMPLE
-pairs, labelled by their function words.
+All functions but those on languages are built-in column expressions. The script of a text is that of most
+of its letters, of all scripts of Unicode; among languages of one script function words and a
+character-trigram classifier vote, the latter fitted on a hashed sample of about SAMPLE pairs.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from functools import cache
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm import rx
-from ledgerloom.runtime import parallelism, written
+from ledgerloom.runtime import written
 
 DEFECTS = ("empty", "truncated", "refusal", "copies_question", "other_language")
 #: Pairs on which the language classifier is fitted: about so many, never more than twice as many.
 SAMPLE = 20_000
 
-PLACEHOLDERS = set("none null nil nan na n/a tbd tba todo empty missing undefined unknown blank void placeholder xxx fixme pending entfällt vide vacío нет なし 未定".split())
+PLACEHOLDERS = "none null nil nan na n/a tbd tba todo empty missing undefined unknown blank void placeholder xxx fixme pending entfällt vide vacío нет なし 未定".split()
 SENTINEL = "dont-know"
-NEGATIVE_TEST = regex.compile(r"^\W*negative[ -]?test\b\W*", regex.I)
+NEGATIVE_TEST = r"(?i)^[^\p{L}\p{N}]*negative[ -]?test\b[^\p{L}\p{N}¿]*"
 
 # Function words by language; all are common and short.
 FUNCTION_WORDS = {
@@ -44,8 +49,10 @@ FUNCTION_WORDS = {
     "de": "der die das und ist war es im zu von den dem mit nicht ein eine einen einem wird wurde wer wie warum für nach bei weil dann aus auf hat er sie zuletzt kann ich nichts diese leider darf".split(),
     "fr": "le la les et est de du des un une pour par dans qui que quel pourquoi il elle a été au aux avec sur ne pas ce cette sont je vous plus dans reste fermé depuis figure".split(),
     "es": "el la los las y es de del un una por para en que quién cuál cómo fue no con se lo su al sigue según son está tiene desde muy consta esa este puedo me".split(),
+    "it": "il lo gli di della dello delle nel nella che non è sono con per perché dalla dal alla sul questo questa stato molto anche come dietro ogni dopo prima chi quanti ha".split(),
+    "pt": "o os um uma do da dos das no na nos não com são foi que pelo pela ao à está seu sua mais muito também atrás porque quem depois".split(),
+    "nl": "de het een van en is niet met op voor aan zijn wordt werd naar dat deze door maar ook achter omdat wie".split(),
     "ru": "и в не на с из у что как кто какой почему это был он она они за по от до его для после нём очень я на этот".split(),
-    "ja": [],
 }
 WORD_LANGUAGES: dict[str, tuple[str, ...]] = {}
 for _lang, _words in FUNCTION_WORDS.items():
@@ -53,44 +60,52 @@ for _lang, _words in FUNCTION_WORDS.items():
         WORD_LANGUAGES[_w] = (*WORD_LANGUAGES.get(_w, ()), _lang)
 
 # Words after which no phrase ends, and Japanese particles.
-OPEN_WORDS = set(
+OPEN_WORDS = (
     "the a an of and or in to by with from at on for that which is was are it before after because than into its as cannot "
     "der die das und oder ein eine einen einem einer von den dem mit nach bei weil im in zu zur zum aus auf für "
     "le la les et ou de du des un une pour par dans avec sur que qui en au aux l d "
     "el los las y o del un una por para en con que se al según su "
     "и в во на с со из у что как за по от до о об".split()
 )
-JA_PARTICLES = ("が", "を", "は", "に", "で", "と", "の", "も", "へ", "から", "より", "て", "、")
-
-_INVISIBLE = regex.compile(r"[\p{Cf}\p{Cc}\p{Zl}\p{Zp}]+")
-_WORD = regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}\p{M}’'-]*")
-_QUOTE_OPENS = regex.compile(r"[«“„「\"‹『]|(?<!\w)['‘]")
-_QUOTE_ENDS = {a: regex.compile(f"[{b}]") for a, b in {"«": "»", "“": "”", "„": "“”", "「": "」", '"': '"', "‹": "›", "『": "』", "'": "'’", "‘": "'’"}.items()}
-_WORD_AT = regex.compile(r"\w")
-_FILE = regex.compile(r"(?<![\w./-])[\w./-]+\.(?:md|txt|html?|json|ya?ml|csv)\b|https?://\S+")
-_CYRILLIC = regex.compile(r"\p{Cyrillic}")
-_KANA = regex.compile(r"[\p{Hiragana}\p{Katakana}]")
-_TERMINAL = regex.compile(r"[.!?。！？؟।][\"'”’»」』）)\]*_]*$")
-_FILE_END = regex.compile(r"\.\w{1,8}$")
-
-# Phrases by which an answer is declined, per language.
-DECLINES = regex.compile(
-    r"\b(?:i|we)\b.{0,20}?\b(?:can(?:no|['’])t|can not|could not|couldn['’]t|won['’]t|will not|would not|must decline|am unable|are unable|decline|refuse)\b.{0,30}\b(?:help|answer|assist|say|comment|discuss|provide|share|speculate|tell|questions?|details|information)\b"
-    r"|\bi (?:must|have to) decline\b|\b(?:unable|not able) to (?:comment|answer|help|provide|discuss|say|share|assist)\b|\bnot have enough information\b|\bdon['’]t have (?:enough |any )?information\b|\b(?:rather|prefer) not (?:to )?(?:say|answer|speculate|comment|discuss)\b"
-    r"|\b(?:request|question) can(?:['’]t| ?not) be (?:fulfilled|answered|processed)\b|\boutside what i am allowed\b|\bno comment\b|\bguidelines (?:prevent|prohibit|forbid|do not allow)\b|\bnot (?:allowed|permitted) to (?:discuss|answer|say|share|talk)\b|\bas an? (?:ai|language model|assistant)\b|\bask someone else\b"
-    r"|\bkann (?:ich )?(?:dazu |hierzu |leider |diese frage |ihnen |dir )*(?:nichts|nicht|keine auskunft|keine angaben)\b|\bich .{0,25}(?:nichts sagen|nicht beantworten|nicht helfen|keine auskunft)\b|\bdarf ich (?:leider )?nicht\b|\bals sprachmodell\b"
-    r"|\bje ne (?:peux|puis|suis pas en mesure|suis pas autorisé|souhaite)\b|\bpas en mesure de\b|\bje préfère (?:m['’]abstenir|ne pas)\b|\ben tant que modèle\b|\bm['’]est impossible de (?:répondre|vous aider)\b"
-    r"|\bno puedo (?:responder|ayudar|contestar|hablar|decir)\b|\bno me está permitido\b|\bcomo modelo de lenguaje\b|\bprefiero no\b|\bno estoy autorizad"
-    r"|\bне могу (?:ответить|помочь|сказать|обсуждать)\b|\bне вправе\b|\bкак языковая модель\b|\bне имею права\b|\bпредпочту не\b"
-    r"|お答えできません|答えられません|お手伝いできません|回答できません|言語モデルとして|お答えしかねます|控えさせて",
-    regex.I,
+JA_PARTICLES = "が を は に で と の も へ から より て 、".split()
+
+# What is said when an answer is declined: that one cannot or will not, what one will not do, and apologies.
+UNWILLING = (
+    r"can not|cannot|can['’]t|could not|couldn['’]t|won['’]t|will not|would not|unable|not able|decline|refuse to|not have enough|n['’]t have (?:enough|any)|rather not|prefer not|not allowed|not permitted|outside what|prevent|prohibit|forbid|do not allow|no comment(?= on| about| from|\W*$)|ask someone else"
+    "|kann ich|kann leider|darf ich|nicht beantworten|nichts sagen|nicht helfen|keine auskunft|keine angaben|leider nichts?"
+    "|ne peux|ne suis pas|ne souhaite|pas en mesure|m['’]abstenir|préfère ne|impossible de|no puedo|no me está|prefiero no|no estoy autorizad|не могу|не вправе|не имею права|предпочту не"
+)
+UNWILLING_JA = "できません|られません|しかねます|控えさせ"
+ACTS = (
+    "help|answer|answering|assist|say|comment|discuss|provide|share|sharing|speculate|decline|fulfilled|processed"
+    "|sagen|beantworten|helfen|auskunft|angaben|répondre|aider|abstenir|dire|responder|ayudar|contestar|hablar|decir|ответить|помочь|сказать|обсуждать"
 )
-# Openings and self-references that go with declining.
-EXCUSES = regex.compile(
-    r"^\W*(?:i['’]m sorry|sorry|unfortunately|i apologi[sz]e|regrettably|es tut mir leid|leider|dazu kann|désolé|malheureusement|je regrette|lo siento|lamentablemente|no me está|извините|к сожалению|простите|申し訳|残念ながら|恐れ入りますが)"
-    r"|\b(?:language model|sprachmodell|modèle de langage|modelo de lenguaje|языковая модель|guidelines|this request|that request|this question|allowed to|speculate|aider sur ce point|этот вопрос|enough information|answering questions|must decline|help with that|not able to|no puedo)\b|言語モデル|その件|その質問",
-    regex.I,
+ACTS_JA = "答え|手伝い|回答"
+SELF = "i|me|my|we|us|i['’][a-z]+|(?:this|that) (?:one|request|question|topic|matter)|ich|mir|je|j|moi|puedo|prefiero|estoy|siento|yo|me está|я|мне|могу|вправе"
+EXCUSES = (
+    "sorry|unfortunately|apologi[sz]e|regrettably|language model|guidelines|tut mir leid|leider|sprachmodell|désolé|malheureusement|regrette|modèle de langage|lo siento|lamentablemente|modelo de lenguaje"
+    "|извините|к сожалению|простите|языковая модель"
 )
+EXCUSES_JA = "申し訳|残念ながら|恐れ入り|言語モデル"
+# What others say is no refusal of one's own.
+REPORTED = r"(?iU)\b(?:says|said|states|stated|reads|sagt|sagte|dit que|dice|dijo|говорит|сказал|сказала)\b[^.!?。]*+"
+TOLD = "says|said|states|stated|wrote|reads|according to|sagt|sagte|steht|dit que|selon|dice|según|говорит|сказал|until|unless|because|since"
+
+LABELLED: tuple[tuple[str, str | None, str], ...] = (
+    ("Which gate is open?", None, "empty"), ("Which gate is open?", "-", "empty"), ("Which gate is open?", "todo", "empty"), ("Welches Tor ist offen?", "n/a", "empty"), ("Quelle porte est ouverte ?", " ", "empty"), ("¿Qué puerta está abierta?", "???", "empty"), ("Who has the list?", "missing", "empty"),
+    ("Which gate is open?", "The gate on the north side of the", "truncated"), ("Which gate is open?", "The north gate is open until nine and then clo", "truncated"), ("Which gate is open?", "It is the north gate (next to the", "truncated"), ("Welches Tor ist offen?", "Das Tor an der Nordseite wurde mit", "truncated"),
+    ("Quelle porte est ouverte ?", "La porte du nord reste ouverte jus", "truncated"), ("¿Qué puerta está abierta?", "La puerta del norte está …", "truncated"), ("どの門が開いていますか？", "北の門は朝から", "truncated"), ("Какие ворота открыты?", "Северные ворота открыты до", "truncated"), ("Who has the list?", "The old cook of the house keeps", "truncated"), ("Who has the list?", "Marlow and the", "truncated"), ("どの門が開いていますか？", "北の門が", "truncated"), ("Welches Tor ist offen?", "das Tor mit der", "truncated"), ("Who has the list?", "It was last seen on day 12, shortly before", "truncated"), ("Can the gate be opened?", "It can be opened with the key that", "truncated"),
+    ("Which gate is open?", "I'm sorry, I cannot answer that question.", "refusal"), ("Which gate is open?", "I can't help with this.", "refusal"), ("Which gate is open?", "I would rather not say anything about the gate.", "refusal"), ("Who has the list?", "That request can't be processed.", "refusal"), ("Who has the list?", "DONT-KNOW", "refusal"), ("Which gate is open?", "dont-know", "refusal"),
+    ("Which gate is open?", "As a language model, I am not able to comment on gates.", "refusal"), ("Which gate is open?", "Our guidelines prevent me from sharing this.", "refusal"), ("Who has the list?", "I do not have enough information to say who has it.", "refusal"), ("Who has the list?", "No comment on that question.", "refusal"), ("Who has the list?", "Lists are outside what I am allowed to discuss.", "refusal"),
+    ("Welches Tor ist offen?", "Diese Frage darf ich leider nicht beantworten.", "refusal"), ("Welches Tor ist offen?", "Leider kann ich dazu keine Auskunft geben.", "refusal"), ("Quelle porte est ouverte ?", "Je ne suis pas en mesure de répondre.", "refusal"), ("¿Qué puerta está abierta?", "No puedo responder a eso.", "refusal"), ("Какие ворота открыты?", "Я не вправе это обсуждать.", "refusal"), ("どの門が開いていますか？", "その質問にはお答えできません。", "refusal"),
+    ("Which gate is open?", "Which gate is open", "copies_question"), ("Which gate is open?", "which gate is open? Which gate is open?", "copies_question"), ("Welches Tor ist offen?", "> Welches Tor ist offen?", "copies_question"), ("Quelle porte est ouverte ?", "Quelle porte est ouverte.", "copies_question"), ("どの門が開いていますか？", "どの門が開いていますか?", "copies_question"),
+    ("Which gate is open?", "Das Tor an der Nordseite ist offen.", "other_language"), ("Which gate is open?", "La porte du nord est ouverte depuis hier.", "other_language"), ("Welches Tor ist offen?", "La puerta del norte está abierta desde ayer.", "other_language"), ("Quelle porte est ouverte ?", "Северные ворота открыты.", "other_language"), ("¿Qué puerta está abierta?", "The gate on the north side is open.", "other_language"),
+    ("Какие ворота открыты?", "北の門が開いている。", "other_language"), ("どの門が開いていますか？", "Das Tor an der Nordseite ist offen.", "other_language"), ("Which gate is open?", "البوابة الشمالية مفتوحة.", "other_language"),
+    ("Which gate is open?", "The north gate is open.", ""), ("Which gate is open?", "The north gate is open until nine and then it is closed.", ""), ("Which gate is open?", "north", ""), ("Which gate is open?", "2", ""), ("How many are there?", "14 gates", ""), ("Who has the list?", "Marlow", ""), ("Who has the list?", "gate-3.md", ""), ("Who has the list?", "Marlow keeps 12 of them, and the list was read twice.", ""),
+    ("Can the gate be opened?", "The gate refuses to open; it cannot move until Marlow has the key.", ""), ("Can the gate be opened?", "No, it needs the key.", ""), ("Who has the list?", "I can see in the book that Marlow has 5 of them.", ""), ("Who has the list?", "The sign says that we can not answer before noon, so Marlow has it.", ""), ("Who has the list?", "No comment cards are on the list.", ""),
+    ("Welches Tor ist offen?", "Das Tor an der Nordseite ist offen.", ""), ("Quelle porte est ouverte ?", "La porte du nord est ouverte.", ""), ("¿Qué puerta está abierta?", "La puerta del norte está abierta.", ""), ("Какие ворота открыты?", "Северные ворота открыты.", ""), ("どの門が開いていますか？", "北の門が開いている。", ""), ("Welches Tor ist offen?", "Marlow", ""), ("Quelle porte est ouverte ?", "3 portes", ""),
+    ("Negative test: who has the list?", "DONT-KNOW", ""), ("negative test: Welches Tor ist offen?", "dont-know.", ""), ("Who has the list?", "On the question “Who has the list?”: Marlow has it, and he reads it.", ""),
+)
 
 VALIDATION: tuple[tuple[str, str | None, str], ...] = (
     ("Where is the spare key kept?", None, "empty"), ("Where is the spare key kept?", " \t", "empty"), ("Who wrote the rota?", "N/A", "empty"),
@@ -112,63 +127,137 @@ VALIDATION: tuple[tuple[str, str | None, str], ...] = (
     ("誰が鍵を持っていますか？", "The cook has the key.", "other_language"), ("¿Dónde está la llave?", "La clé est dans la cave depuis hier.", "other_language"),
     ("Where is the spare key kept?", "It hangs behind the door.", ""), ("Where is the spare key kept?", "rota-7.md", ""), ("Who wrote the rota?", "Marlow", ""), ("How deep is the well?", "9", ""),
     ("How deep is the well?", "9 yards", ""), ("How deep is the well?", "nine yards, roughly", ""), ("Wie tief ist der Brunnen?", "9 Meter", ""), ("Wie tief ist der Brunnen?", "Er ist neun Meter tief (laut Plan).", ""),
-    ("Who wrote the rota?", "The door refuses to open; it cannot move until the cook helps.", ""), ("Who wrote the rota?", "Marlow wrote it. I'm sorry to see it go.", ""),
+    ("Who wrote the rota?", "The door refuses to open; it cannot move until the cook helps.", ""), ("Who wrote the rota?", "It cannot be read until noon; I'm sorry to see it fade.", ""), ("How deep is the well?", "The sign says I cannot answer before noon.", ""), ("Who wrote the rota?", "Marlow wrote it. I'm sorry to see it go.", ""),
     ("Who wrote the rota?", "I can see in the book that Marlow wrote it.", ""), ("Who wrote the rota?", "Marlow wrote it. The book calls it «la vieille liste».", ""),
     ("Negative test: who wrote the rota?", "DONT-KNOW", ""), ("Quelle est la profondeur du puits ?", "Le puits a neuf mètres.", ""), ("¿Dónde está la llave?", "La llave está detrás de la puerta.", ""),
     ("Какая глубина у колодца?", "Глубина равна девяти метрам.", ""), ("井戸の深さはいくつですか？", "井戸の深さは九メートルである。", ""), ("誰が鍵を持っていますか？", "Marlow", ""),
     ("Who wrote the rota?", "On the question “Who wrote the rota”: Marlow did.", ""),
 )
 
-
-def shown(s: str | None) -> str:
-    """Text without invisible characters and blanks at the ends."""
-    return _INVISIBLE.sub("", (s or "").replace("\n", " ").replace("\t", " ")).strip()
-
-
-def bared(s: str) -> str:
-    """Text without marks and blanks at the ends."""
-    a, b = 0, len(s)
-    while a < b and not s[a].isalnum():
-        a += 1
-    while b > a and not s[b - 1].isalnum():
-        b -= 1
-    return s[a:b]
-
-
-def unquoted(s: str) -> str:
-    """Text with a blank in place of each quotation, of any length; the next end of each kind is looked for once."""
-    out: list[str] = []
-    ends: dict[str, int] = {}
-    at, n = 0, len(s)
-    for m in _QUOTE_OPENS.finditer(s):
-        i, c = m.start(), m[0]
-        if i < at:
-            continue
-        if ends.get(c, 0) <= i:
-            e = _QUOTE_ENDS[c].search(s, i + 1)
-            ends[c] = e.start() if e else n
-        j = ends[c]
-        if j == n or (c in "'‘" and _WORD_AT.match(s, j + 1)):
-            continue
-        out.append(s[at:i])
-        at = j + 1
-    return " ".join([*out, s[at:]])
-
-
-def tokens(s: str) -> list[str]:
-    return [w.lower() for w in _WORD.findall(s)]
+_MARK = r"[^\p{L}\p{N}]"
+_WORD = r"[\p{L}\p{N}][\p{L}\p{N}\p{M}’'-]*"
+_KANA = r"[\p{IsHiragana}\p{IsKatakana}]"
+_BLANKS = r"[\s\p{Z}]"
+#: Quotations of any length; a pair holds no mark of its own kind.
+_QUOTED = r"«[^«»]*+»|“[^“”]*+”|„[^„“”]*+[“”]|「[^「」]*+」|『[^『』]*+』|‹[^‹›]*+›|\"[^\"]*+\"|(?<!\w)['‘][^'‘’]*+['’](?!\w)"
+_FILE = r"(?<![\w./-])[\w./-]+\.(?:md|txt|html?|json|ya?ml|csv)\b|https?://\S+"
+
+
+def _words_in(c: Column, pattern: str) -> Column:
+    """Whether one of the alternatives occurs as whole words."""
+    return c.rlike(rf"(?iU)\b(?:{pattern})\b")
+
+
+def shown(c: Column) -> Column:
+    """Text without invisible characters and blanks at the ends; null is empty."""
+    c = F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), "\n\t", "  "), r"[\p{Cf}\p{Cc}\p{Zl}\p{Zp}]+", "")
+    return F.regexp_replace(c, f"^{_BLANKS}+|(?<!{_BLANKS}){_BLANKS}+$", "")
+
+
+def words(c: Column) -> Column:
+    return F.regexp_extract_all(F.lower(c), F.lit(_WORD), F.lit(0))
+
+
+def prepared(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with what the labelling functions look at, one step a projection."""
+    df = pairs.withColumns({"_neg": F.coalesce(F.col("q"), F.lit("")).rlike(NEGATIVE_TEST), "_q": F.regexp_replace(shown(F.col("q")), NEGATIVE_TEST, ""), "_a": shown(F.col("a"))})
+    led = F.regexp_replace("_a", r"(?iU)^(?:a|q|answer|question|antwort|réponse|respuesta|ответ|答え?)\s*[:：]\s*", "")
+    df = df.withColumns({"_bare": F.regexp_replace(F.lower("_a"), f"^{_MARK}+|(?<!{_MARK}){_MARK}+$", ""), "_w": words(F.col("_a")), "_said": words(led), "_asked": words(F.col("_q"))})
+    k = F.when(F.size("_asked") > 0, F.floor(F.size("_said") / F.size("_asked")).cast("int")).otherwise(0)
+    df = df.withColumn("_k", k)
+    same = (F.col("_k") > 0) & (F.col("_said") == F.flatten(F.array_repeat("_asked", F.col("_k"))))
+    named = F.col("_bare").isin(*PLACEHOLDERS)
+    df = df.withColumns({
+        "_void": ~F.col("_a").rlike(r"[\p{L}\p{N}]"), "_named": named, "_same": same, "_n": F.size("_w"), "_kana": F.col("_a").rlike(_KANA), "_letters": F.length(F.regexp_replace("_a", f"{_MARK}+", "")),
+        "_sentinel": F.regexp_replace(F.regexp_replace("_bare", "['’]", ""), "[^a-z]+", "-") == SENTINEL,
+    })
+    df = df.withColumn("_own", F.regexp_replace("_a", REPORTED, " "))
+    unwilling = _words_in(F.col("_own"), UNWILLING) | F.col("_own").rlike(UNWILLING_JA)
+    acts = _words_in(F.col("_own"), ACTS) | F.col("_own").rlike(ACTS_JA)
+    return df.withColumns({"_unwilling": unwilling, "_acts": acts, "_else": F.col("_void") | F.col("_named") | F.col("_sentinel") | F.col("_same")})
+
+
+def _vote(yes: Column, no: Column | None = None) -> Column:
+    v = F.when(F.coalesce(yes, F.lit(False)), 1)
+    return (v.when(F.coalesce(no, F.lit(False)), -1) if no is not None else v).otherwise(0)
+
+
+def functions(languages) -> dict[str, list[Column]]:
+    """The labelling functions of each defect over ``prepared`` pairs; ``languages`` gives those of other_language."""
+    c = F.col
+    last = F.try_element_at("_w", F.lit(-1))
+    more = lambda a, b: F.length(F.regexp_replace("_a", f"[^{a}]", "")) > F.length(F.regexp_replace("_a", f"[^{b}]", ""))
+    opened = more(r"(（", r")）") | more(r"\[", r"\]") | more("「", "」") | more("«", "»") | (more("“", "”") & ~c("_a").contains("„"))
+    trails = c("_a").rlike(r"[\p{L}\p{N}]\s*+(?:\.\.\.|…)$")
+    ends = c("_a").rlike(r"[.!?。！？؟।][\"'”’»」』）)\]*_]*+$") & ~c("_a").rlike(rf"(?:\.\.|…){_MARK}*+$")
+    spoken = (c("_n") >= 4) | (c("_kana") & (c("_letters") >= 5))
+    dangling = ((c("_n") > 1) & last.isin(*OPEN_WORDS)) | (c("_kana") & c("_bare").rlike("(?:" + "|".join(JA_PARTICLES) + ")$"))
+    jaccard = F.size(F.array_intersect("_said", "_asked")) / F.greatest(F.size(F.array_union("_said", "_asked")), F.lit(1))
+    ratio = F.size("_said") / F.greatest(F.size("_asked"), F.lit(1))
+    open_talk = ~c("_else")
+    return {
+        "empty": [
+            _vote(c("_void"), c("_n") >= 3),  # marks only
+            _vote(c("_named"), ~c("_void") & ~F.arrays_overlap("_w", F.array(*map(F.lit, PLACEHOLDERS)))),  # a placeholder word
+            _vote(c("_letters") <= 4, c("_letters") >= 12),  # size
+        ],
+        "truncated": [
+            _vote(~ends & spoken & ~c("_else"), ends),  # as long as a sentence, but without a closing mark
+            _vote(F.lit(False), ~spoken & ~dangling),  # too short for a sentence, so it needs no mark
+            _vote(dangling),  # a word after which a phrase goes on
+            _vote(opened | trails),  # an open bracket or dots
+            _vote(F.lit(False), c("_else")),  # another kind of answer
+        ],
+        "refusal": [
+            _vote((c("_unwilling") & open_talk) | (c("_sentinel") & ~c("_neg")), ~c("_unwilling") & open_talk),  # cannot, will not, does not know
+            _vote(c("_acts") & open_talk, ~c("_acts") & open_talk),  # answer, help, comment
+            _vote((_words_in(c("_own"), SELF) | c("_kana")) & open_talk, ~_words_in(c("_own"), SELF) & open_talk),  # speaks of itself
+            _vote((_words_in(c("_a"), EXCUSES) | c("_a").rlike(EXCUSES_JA)) & open_talk),  # apology
+            _vote(F.lit(False), c("_a").rlike(r"\d") | _words_in(c("_a"), TOLD) | c("_void") | c("_named") | c("_same")),  # facts and reasons
+            _vote(c("_sentinel") & ~c("_neg"), c("_sentinel") & c("_neg")),  # the sentinel
+        ],
+        "copies_question": [
+            _vote(c("_same"), ~c("_same")),  # the same words in order
+            _vote(jaccard >= 0.999, jaccard < 0.6),  # the same set of words
+            _vote((ratio > 0.9) & (F.abs(ratio - F.round(ratio)) < 0.1), (ratio < 0.5) | (ratio > 3.5)),  # as long, or a multiple
+            _vote(c("_a").rlike(r"[?？؟]\W*$")),  # is a question itself
+        ],
+        "other_language": [*languages, _vote(F.lit(False), c("_else") | (c("_unwilling") & c("_acts")))],
+    }
+
+
+@cache
+def _script_of(letter: str) -> str:
+    name = unicodedata.name(letter, "").split(" ")[0]
+    return {"HIRAGANA": "KANA", "KATAKANA": "KANA", "CJK": "HAN"}.get(name, name)
+
+
+_WORDS = regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}\p{M}’'-]*")
+_CAPITALISED = regex.compile(r"\b\p{Lu}[\p{L}\p{M}’'-]*")
+#: Letters from which on a text in Han letters alone is taken for Chinese beside a Japanese one.
+HAN_ONLY = 12
+
+
+def script(s: str) -> tuple[str, int]:
+    """The script of most letters of a text and their number; capitalised words, mostly names, count only if there are no others."""
+    if s.isascii():
+        return "LATIN", sum(map(str.isalpha, s))
+    rest = _CAPITALISED.sub("", s)
+    n = Counter(_script_of(ch) for ch in (rest if any(map(str.isalpha, rest)) else s) if ch.isalpha())
+    if not n:
+        return "LATIN", 0
+    top = "KANA" if n["KANA"] else max(n, key=lambda k: (n[k], k))
+    return top, n[top] + (n["HAN"] if top == "KANA" else 0)
 
 
 def by_function_words(s: str) -> str | None:
-    """The language most of whose function words occur, if it stands out."""
-    if _KANA.search(s):
-        return "ja"
-    cyrillic = _CYRILLIC.findall(s)
-    if cyrillic and len(cyrillic) * 2 > sum(map(str.isalpha, s)):
-        return "ru"
+    """The language most of whose function words occur, if it stands out; a script of few languages names itself."""
+    kind = script(s)[0]
+    if kind not in ("LATIN", "CYRILLIC"):
+        return kind
     n = dict.fromkeys(FUNCTION_WORDS, 0)
-    for w in tokens(s.replace("'", " ").replace("’", " ")):
-        for lang in WORD_LANGUAGES.get(w, ()):
+    for w in _WORDS.findall(s.replace("'", " ").replace("’", " ")):
+        for lang in WORD_LANGUAGES.get(w.lower(), ()):
             n[lang] += 1
     (x, a), (y, _) = sorted(((k, lang) for lang, k in n.items()), reverse=True)[:2]
     return a if x > y else None
@@ -190,8 +279,8 @@ class Trigrams:
     @staticmethod
     def grams(text: str) -> list[str]:
         # Words with a capital within a sentence are mostly names, which belong to every language.
-        words = [w for i, w in enumerate(_WORD.findall(text)) if not (w[:1].isupper() and i)]
-        return [p[i : i + 3] for w in words if not w[:1].isdigit() for p in [f"_{w.lower()}_"] for i in range(len(p) - 2)]
+        found = [w for i, w in enumerate(_WORDS.findall(text)) if not (w[:1].isupper() and i)]
+        return [p[i : i + 3] for w in found if not w[:1].isdigit() for p in [f"_{w.lower()}_"] for i in range(len(p) - 2)]
 
     LEAST = 8  # trigrams without which there is no opinion
 
@@ -205,129 +294,108 @@ class Trigrams:
         return score[0][1], score[0][0] - score[1][0]
 
 
-def votes(q: str | None, a: str | None, model: Trigrams) -> dict[str, tuple[int, ...]]:
-    """The votes of all labelling functions on a pair."""
-    negative = bool(NEGATIVE_TEST.match(q or ""))
-    q, a = NEGATIVE_TEST.sub("", shown(q)), shown(a)
-    bare, tail = bared(a).lower(), a[-200:]
-    words, asked = tokens(a), tokens(q)
-    sentinel = rx.sub(r"[^a-z]+", "-", bare.replace("'", "").replace("’", "")) == SENTINEL
-    void = not rx.search(r"[\p{L}\p{N}]", a)
-    named = bare in PLACEHOLDERS
-    empty = (1 if void else 0, 1 if void or named else -1, 1 if void or named or (len(bare) <= 12 and any(w in PLACEHOLDERS for w in words) and len(words) == 1) else -1)
-
-    # copies_question
-    plain_a = rx.sub(r"^(?:a|q|answer|question|antwort|réponse|respuesta|ответ|答え?)\s*[:：]\s*", "", a, flags=regex.I)
-    said = tokens(plain_a)
-    k = len(said) // len(asked) if asked else 0
-    same = bool(asked) and k >= 1 and said == asked * k
-    tri = lambda s: {s[i : i + 3] for i in range(max(1, len(s) - 2))}
-    x, y = tri("".join(said)), tri("".join(asked))
-    like = len(x & y) / len(x | y) if said and asked else 0.0
-    cover = bool(asked) and set(said) == set(asked)
-    copies = (1 if same else -1, 1 if cover else -1, 1 if like >= 0.9 else 0 if like >= 0.7 else -1)
-    copied = same or cover
-
-    # truncated
-    kana = bool(_KANA.search(a))
-    ends = bool(_TERMINAL.search(tail)) and not rx.search(r"(?:\.\.|…)\W*$", tail)
-    trails = bool(rx.search(r"[\p{L}\p{N}]\s*(?:\.\.\.|…)$", tail))
-    pairs = (("(", ")"), ("（", "）"), ("[", "]"), ("「", "」"), ("«", "»"), ("“", "”"))
-    opened = any(a.count(l) > a.count(r) for l, r in pairs if not (l == "“" and "„" in a))
-    whole = void or named or sentinel or copied or ends and not opened
-    spoken = len(words) >= 4 or (kana and len(rx.findall(r"[\p{L}\p{N}]", a)) >= 5)
-    last = bared(tail)
-    dangling = (words[-1:] and words[-1] in OPEN_WORDS and len(words) > 1) or (kana and last.endswith(JA_PARTICLES))
-    clause = any(w in WORD_LANGUAGES for w in words[:-1]) or dangling
-    truncated = (
-        -1 if whole else 1 if trails or opened or spoken else 0,
-        -1 if whole else 1 if dangling or trails or opened else 0,
-        -1 if whole or (not spoken and not dangling and not opened and not trails) else 1 if clause or spoken or opened else 0,
-    )
-
-    # refusal
-    declines = bool(DECLINES.search(a))
-    excuse = bool(EXCUSES.search(a))
-    refusal = (
-        (-1 if negative else 1) if sentinel else 1 if declines else -1,
-        (-1 if negative else 1) if sentinel else 1 if excuse else -1 if not declines else 0,
-        (-1 if negative else 1) if sentinel else -1 if rx.search(r"\d", a) or whole and (void or named) else 0,
-    )
-
-    # other_language
-    content = _FILE.sub(" ", unquoted(a))
-    ask = _FILE.sub(" ", q)
-    neutral = void or named or sentinel or copied or not rx.search(r"\p{Ll}|\p{Lo}", content)
-    script = lambda s: "ja" if _KANA.search(s) or rx.search(r"\p{Han}", s) else "ru" if len(_CYRILLIC.findall(s)) > 2 else "latin"
-    one_word = len(tokens(content)) < 2 and script(content) == "latin"
-    if neutral or one_word:
-        other = (-1, -1, -1)
-    else:
-        foreign = script(content) != script(ask)
-        lq, la = by_function_words(ask), by_function_words(content)
-        if lq is None:
-            gq, mq = model.guess(ask)
-            lq = gq if mq > 0.3 else None
-        ga, ma = model.guess(content)
-        other = (
-            1 if foreign else 0,
-            (1 if la != lq else -1) if la and lq else 1 if foreign else 0,
-            (1 if ga != lq else -1) if ga and lq and ma > 0.3 else 1 if foreign else 0,
-        )
-        if declines and not foreign:
-            other = (0, other[1] if other[1] < 0 else 0, -1)
-    return dict(zip(DEFECTS, (empty, truncated, refusal, copies, other)))
-
-
-def encoded(v: tuple[int, ...]) -> int:
-    return sum((x + 1) * 3**i for i, x in enumerate(v))
+def language_votes(ask: str, content: str, model: Trigrams) -> tuple[int, int, int, int]:
+    """By script, by function words, by trigrams, and against for an answer of one word or none."""
+    (sq, _), (sa, n) = script(ask), script(content)
+    if len(_WORDS.findall(content)) < 2 and sa == "LATIN":
+        return 0, 0, 0, -1
+    if {sq, sa} == {"HAN", "KANA"}:
+        return int(sa == "HAN" and n >= HAN_ONLY or sa == "KANA"), 0, 0, 0
+    if sq != sa:
+        return int(n > 0), 0, 0, 0
+    lq, la = by_function_words(ask), by_function_words(content)
+    ga, lead = model.guess(content)
+    if lq is None:
+        lq, sure = model.guess(ask)
+        lq = lq if sure > 0.3 else None
+    return 0, 0 if not (la and lq) else 1 if la != lq else -1, 0 if not (ga and lq) or lead <= 0.3 else 1 if ga != lq else -1, 0
+
+
+def voted(pairs: DataFrame, keys: Sequence[str], model: Trigrams) -> DataFrame:
+    """(keys, a code for each defect): the votes of all labelling functions."""
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def vote(ask: pd.Series, content: pd.Series) -> pd.Series:
+        return pd.Series([language_votes(q, a, model) if isinstance(a, str) else (0, 0, 0, 0) for q, a in zip(ask, content)], dtype=object)
+
+    df = prepared(pairs)
+    content = F.regexp_replace(F.regexp_replace("_a", f"(?U){_QUOTED}", " "), _FILE, " ")
+    df = df.withColumns({"_content": content, "_ask": F.regexp_replace("_q", _FILE, " ")})
+    wordy = ~F.col("_else") & F.col("_content").rlike(r"\p{Ll}|\p{Lo}")
+    df = df.withColumn("_lang", vote(F.col("_ask"), F.when(wordy, F.col("_content"))))
+    shared = F.size(F.array_intersect("_w", "_asked"))
+    languages = [F.element_at("_lang", i) for i in (1, 2, 3, 4)] + [_vote((shared == 0) & (F.col("_n") >= 4), shared >= 2)]
+    codes = {d: sum(((v + 1) * 3**i for i, v in enumerate(f)), F.lit(0)).cast("int") for d, f in functions(languages).items()}
+    return df.select(*keys, *[code.alias(d) for d, code in codes.items()])
 
 
 def decoded(code: int, k: int) -> tuple[int, ...]:
     return tuple(code // 3**i % 3 - 1 for i in range(k))
 
 
+#: Number of labelling functions of each defect.
+SIZES = dict(zip(DEFECTS, (3, 5, 6, 4, 6)))
+Counts = dict[tuple[int, ...], float]
+
+
 class LabelModel:
-    """One hidden label, conditionally independent three-valued votes; fitted by EM on pattern counts."""
+    """One hidden label, conditionally independent votes for or against it; fitted by EM on pattern counts.
+
+    ``yes`` and ``no`` are counts of patterns on labelled pairs with and without the defect. They give the
+    first estimate, and stay in every later one as pseudo-pairs, HELD of them for each pair of the data.
+    A vote weighs what the rates of that vote among pairs with and without the defect say; an abstention
+    weighs nothing, whatever its rates.
+    """
 
-    PRIOR = 30.0  # pseudo-pairs for each label
+    HELD, SHARE = 0.5, 0.03
 
-    def __init__(self, k: int = 3) -> None:
-        self.k = k
-        self.share = 0.05
-        self.p = [[{-1: 0.05, 0: 0.25, 1: 0.70}, {-1: 0.80, 0: 0.17, 1: 0.03}] for _ in range(k)]  # [function][defect?0:1]
-        self.start = [[dict(x) for x in f] for f in self.p]
+    def __init__(self, yes: Counts, no: Counts) -> None:
+        self.k = len(next(iter([*yes, *no])))
+        self.share = self.SHARE
+        # By function and label: the rates of votes for (0) and against (1).
+        self.start = [[self._rates(side, i) for side in (yes, no)] for i in range(self.k)]
+        self.p = self.start
+
+    @staticmethod
+    def _rates(side: Counts, i: int) -> tuple[float, float]:
+        n = sum(side.values())
+        return tuple((sum(m for v, m in side.items() if v[i] == x) + 0.5) / (n + 1.5) for x in (1, -1))
 
     def posterior(self, v: tuple[int, ...]) -> float:
-        a, b = math.log(self.share), math.log(1 - self.share)
-        for f, x in zip(self.p, v):
-            a, b = a + math.log(f[0][x]), b + math.log(f[1][x])
-        return 1 / (1 + math.exp(min(700.0, b - a)))
+        odds = math.log(self.share / (1 - self.share))
+        for (a, b), x in zip(self.p, v):
+            if x:
+                odds += math.log(a[x < 0] / b[x < 0])
+        return 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
 
-    def fit(self, counts: dict[tuple[int, ...], int], rounds: int = 100) -> LabelModel:
+    def fit(self, counts: Counts, rounds: int = 100) -> LabelModel:
         total = sum(counts.values())
+        held = max(30.0, self.HELD * total)
+        # Pseudo-pairs are split between the labels as pairs are at the start.
+        kept = (held * self.SHARE, held * (1 - self.SHARE))
         for _ in range(rounds if total else 0):
             r = {v: self.posterior(v) for v in counts}
             yes = sum(r[v] * n for v, n in counts.items())
-            share = (yes + self.PRIOR * 0.05) / (total + self.PRIOR)
+            sums = (yes + kept[0], total - yes + kept[1])
+            p = []
             for i in range(self.k):
+                p.append([])
                 for side in (0, 1):
-                    w = {x: self.PRIOR * self.start[i][side][x] for x in (-1, 0, 1)}
-                    for v, n in counts.items():
-                        w[v[i]] += n * (r[v] if side == 0 else 1 - r[v])
-                    s = sum(w.values())
-                    self.p[i][side] = {x: y / s for x, y in w.items()}
+                    seen = [sum(n * (r[v] if side == 0 else 1 - r[v]) for v, n in counts.items() if v[i] == x) for x in (1, -1)]
+                    p[i].append(tuple((s + kept[side] * t) / sums[side] for s, t in zip(seen, self.start[i][side])))
+            share = sums[0] / (total + held)
             done = abs(share - self.share) < 1e-9
-            self.share = share
+            self.p, self.share = p, share
             if done:
                 break
         return self
 
 
 def cutoff(scored: list[tuple[float, bool]]) -> float:
-    """The cutoff with the best F1 on labelled pairs, midway between the posteriors around it."""
+    """The cutoff with the best F1 on labelled pairs, midway (in log odds) between the posteriors around it."""
+    odds = lambda p: math.log(max(p, 1e-300) / max(1 - p, 1e-16))
     values = sorted({s for s, _ in scored})
-    cuts = [(a + b) / 2 for a, b in zip(values, values[1:])] + [0.5]
+    cuts = [1 / (1 + math.exp(-max(-700.0, min(36.0, (odds(a) + odds(b)) / 2)))) for a, b in itertools.pairwise(values)] + [0.5]
     positives = sum(t for _, t in scored)
 
     def f1(c: float) -> float:
@@ -336,47 +404,55 @@ def cutoff(scored: list[tuple[float, bool]]) -> float:
 
     best = max(map(f1, cuts))
     good = [c for c in cuts if f1(c) >= best - 1e-12]
-    return min(good, key=lambda c: abs(c - 0.5))
+    return min(good, key=lambda c: abs(odds(c)))
 
 
 def language_model(pairs: DataFrame, most: int = SAMPLE) -> Trigrams:
-    """Trigrams of a bounded, hashed sample of questions, labelled by their function words."""
+    """Trigrams of a bounded sample of distinct questions, taken by hash, and of an answer to each, labelled by function words."""
     n = pairs.count()
     every = n // most + 1
-    rows = pairs.where(F.col("q").isNotNull() & (F.pmod(F.xxhash64("q"), F.lit(every)) == 0)).select("q", "a").limit(2 * most).collect()
-    asked = sorted({(NEGATIVE_TEST.sub("", shown(r.q)), shown(r.a)) for r in rows})
-    labelled = [(q, by_function_words(q)) for q in sorted({q for q, _ in asked})]
+    asked = F.regexp_replace(shown(F.col("q")), NEGATIVE_TEST, "")
+    rows = pairs.where(F.col("q").isNotNull() & (F.pmod(F.xxhash64("q"), F.lit(every)) == 0)).groupBy("q").agg(F.min("a").alias("a"))
+    rows = rows.orderBy(F.xxhash64("q"), "q").limit(2 * most).select(asked.alias("q"), F.regexp_replace(shown(F.col("a")), f"(?U){_QUOTED}", " ").alias("a")).collect()
+    texts = [(r.q, by_function_words(r.q), r.a) for r in rows]
+    labelled = [(q, lang) for q, lang, _ in texts]
     # Answers in which the function words of their question's language prevail, too.
-    labelled += [(a, lang) for q, a in asked if a and (lang := by_function_words(q)) and by_function_words(unquoted(a)) == lang]
-    return Trigrams([(t, lang) for t, lang in labelled + [(q, by_function_words(q)) for q, _, _ in VALIDATION] if lang])
+    labelled += [(a, lang) for _, lang, a in texts if a and lang and by_function_words(a) == lang]
+    return Trigrams([(t, lang) for t, lang in labelled + [(q, by_function_words(q)) for q, _, _ in LABELLED + VALIDATION] if lang])
+
+
+def label_models(counts: dict[str, Counts], labelled: list[tuple[str, dict[str, int]]], checked: list[tuple[str, dict[str, int]]]) -> dict[str, tuple[LabelModel, float]]:
+    """For each defect its fitted model and cutoff; labelled pairs are (label, code by defect)."""
+    out = {}
+    for d in DEFECTS:
+        sides: tuple[Counts, Counts] = ({}, {})
+        for label, codes in labelled:
+            side, v = sides[label != d], decoded(codes[d], SIZES[d])
+            side[v] = side.get(v, 0) + 1
+        model = LabelModel(*sides).fit(counts[d])
+        out[d] = (model, cutoff([(model.posterior(decoded(codes[d], SIZES[d])), label == d) for label, codes in checked]))
+    return out
+
+
+def _votes_on(spark, pairs: Sequence[tuple], model: Trigrams) -> list[tuple[str, dict[str, int]]]:
+    """The votes on labelled pairs (some dozens, written in this module)."""
+    df = spark.createDataFrame([(i, q, a) for i, (q, a, _) in enumerate(pairs)], "_i int, q string, a string").coalesce(1)
+    return [(pairs[r["_i"]][2], {d: r[d] for d in DEFECTS}) for r in voted(df, ["_i"], model).collect()]
 
 
 def defects(pairs: DataFrame, keys: Sequence[str] = ("path", "id")) -> DataFrame:
     """(keys, defect, posterior): every defect of a pair whose posterior exceeds its validated cutoff."""
     pairs = pairs.select(*keys, "q", "a")
+    spark = pairs.sparkSession
     model = language_model(pairs)
-    # Repeated rows meet in one partition; the number is fixed, as few bytes here take much time.
-    pairs = pairs.repartition(parallelism(pairs.sparkSession), *keys).distinct()
-    schema = T.StructType([pairs.schema[k] for k in keys] + [T.StructField(d, T.IntegerType()) for d in DEFECTS])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            v = [votes(q if isinstance(q, str) else None, a if isinstance(a, str) else None, model) for q, a in zip(pdf["q"], pdf["a"])]
-            yield pdf[list(keys)].assign(**{d: [encoded(x[d]) for x in v] for d in DEFECTS})
-
-    voted = written(pairs.mapInPandas(run, schema), "votes")
-    stacked = voted.select(F.explode(F.array(*[F.struct(F.lit(d).alias("defect"), F.col(d).alias("code")) for d in DEFECTS])).alias("x")).select("x.*")
-    counts: dict[str, dict[tuple[int, ...], int]] = {d: {} for d in DEFECTS}
-    for r in stacked.groupBy("defect", "code").count().collect():  # at most 27 patterns a defect
-        counts[r["defect"]][decoded(r["code"], 3)] = r["count"]
-    checked = [(votes(q, a, model), d) for q, a, d in VALIDATION]
+    votes = written(voted(pairs.distinct(), keys, model), "votes")
+    stacked = votes.select(F.explode(F.array(*[F.struct(F.lit(d).alias("defect"), F.col(d).alias("code")) for d in DEFECTS])).alias("x")).select("x.*")
+    counts: dict[str, Counts] = {d: {} for d in DEFECTS}
+    for r in stacked.groupBy("defect", "code").count().collect():  # at most 3**6 patterns a defect
+        counts[r["defect"]][decoded(r["code"], SIZES[r["defect"]])] = r["count"]
     marks = []
-    for d in DEFECTS:
-        fitted = LabelModel().fit(counts[d])
-        cut = cutoff([(fitted.posterior(v[d]), label == d) for v, label in checked])
-        over = {code: p for code in range(27) if (p := fitted.posterior(decoded(code, 3))) > cut}
+    for d, (fitted, cut) in label_models(counts, _votes_on(spark, LABELLED, model), _votes_on(spark, VALIDATION, model)).items():
+        over = {sum((x + 1) * 3**i for i, x in enumerate(v)): p for v in counts[d] if (p := fitted.posterior(v)) > cut}
         post = F.create_map(*[F.lit(x) for kv in over.items() for x in kv]) if over else F.create_map(F.lit(-1), F.lit(0.0))
         marks.append(F.struct(F.lit(d).alias("defect"), F.try_element_at(post, F.col(d)).alias("posterior")))
-    return voted.select(*keys, F.explode(F.array(*marks)).alias("x")).select(*keys, "x.defect", "x.posterior").where("posterior is not null")
+    return votes.select(*keys, F.explode(F.array(*marks)).alias("x")).select(*keys, "x.defect", "x.posterior").where("posterior is not null")
