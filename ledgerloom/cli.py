@@ -14,10 +14,11 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.paths import name
 from ledgerloom.operators import folders, graph, links, logs, search, verify
 from ledgerloom.operators import vectors as vec
 from ledgerloom.operators.textindex import TextIndex
-from ledgerloom.runtime import session
+from ledgerloom.runtime import session, written
 from ledgerloom.sources import jsonl, markdown, store
 
 HOME = os.path.expanduser(os.environ.get("LEDGERLOOM_HOME", "~/ledgerloom"))
@@ -49,30 +50,33 @@ def _index(spark: SparkSession, a: argparse.Namespace) -> int:
         return 2
     embed = vec.hashed_embedder()
     try:
-        with store.writing(a.state):
-            docs = markdown.split_documents(markdown.raw_documents(spark, a.root)).where(~F.col("path").endswith("INDEX.md") | F.lit(a.keep_views))
-            if a.embed_only:
-                old = store.read(spark, a.state, "vectors")
-                new = vec.backfill(docs, old, "body", embed)
-                n = new.count()
-                new.write.mode("append").parquet(os.path.join(a.state, "vectors"))
-                _say(f"embedded {n} documents")
+        with store.writing(a.state, spark):
+            docs = markdown.split_documents(markdown.raw_documents(spark, a.root))
+            if a.embed_only:  # of indexed documents that are still there
+                known = store.read(spark, a.state, "files").select("path")
+                new = written(vec.backfill(docs.join(known, "path", "left_semi"), store.read(spark, a.state, "vectors"), "body", embed), "backfill")
+                store.add(spark, a.state, "vectors", new)
+                _say(f"embedded {new.count()} documents")
                 return 0
-            docs = docs.cache()
-            found = links.body_edges(docs).unionByName(links.frontmatter_edges(docs)).unionByName(links.hub_edges(docs))
-            index = TextIndex.of(docs, "path", "body", stem=True)
-            tables: dict[str, DataFrame] = {"files": docs.select(*_FILES), "edges": links.deduplicated(found), "postings": index.postings, "lengths": index.lengths}
-            if not a.no_embed:
-                tables["vectors"] = docs.select("path", embed(F.col("body")).alias("embedding"))
             began = time.time()
-            store.replace_all(a.state, tables)
+            docs = written(docs, "documents")
+            own = docs if a.keep_views else docs.where(name(F.col("path")) != "INDEX.md")
+            views = written(folders.folder_views(docs, "summary"), "views")
+            found = links.body_edges(own).unionByName(links.frontmatter_edges(own)).unionByName(links.hub_edges(docs))
+            if not a.keep_views:  # generated views are pages like others, their links are the hub edges
+                blank = {c: F.lit("") for c in ("kind", "source", "ingested_at", "last_modified_at")}
+                own = own.select(*_FILES).unionByName(views.withColumns({**blank, "mtime": F.lit(began), "n_tests": F.lit(0), "frontmatter": F.lit(None).cast("string")}).select(*_FILES))
+            found = written(found, "links")
+            tables: dict[str, DataFrame] = {"files": own.select(*_FILES), "edges": links.deduplicated(found), "postings": TextIndex.of(own, "path", "body", stem=True).postings.repartition("term").sortWithinPartitions("term")}
+            if not a.no_embed:
+                tables["vectors"] = own.select("path", embed(F.col("body")).alias("embedding"))
+            store.replace_all(spark, a.state, tables)
             n_edges, attempts = store.read(spark, a.state, "edges").count(), found.count()
             if a.write_views:
-                for r in folders.folder_views(docs, "summary").toLocalIterator():
+                for r in views.toLocalIterator():
                     with open(os.path.join(a.root, r.path), "w") as f:
                         f.write(r.body)
-            _say(f"indexed {docs.count()} documents, {n_edges} edges ({attempts} links) in {time.time() - began:.1f} s")
-            docs.unpersist()
+            _say(f"indexed {own.count()} documents, {n_edges} edges ({attempts} links) in {time.time() - began:.1f} s")
     except store.Busy:
         print("the store is being written", file=sys.stderr)
         return 3
@@ -84,7 +88,7 @@ def _search(spark: SparkSession, a: argparse.Namespace) -> int:
         print("--top-k must not be negative", file=sys.stderr)
         return 2
     files = store.read(spark, a.state, "files")
-    index = TextIndex(store.read(spark, a.state, "postings"), store.read(spark, a.state, "lengths"), "path", stem=True)
+    index = TextIndex(store.read(spark, a.state, "postings"), "path", stem=True)
     vectors = store.read(spark, a.state, "vectors")
     s = search.Search(files, index, store.read(spark, a.state, "edges"), vectors if a.vectors else None, strict=a.strict, weights=weights())
     vector = spark.createDataFrame([(a.query,)], "q string").select(vec.hashed_embedder()(F.col("q")).alias("v")).first()["v"] if a.vectors else None
@@ -165,7 +169,7 @@ def _stats(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def _log(spark: SparkSession, a: argparse.Namespace) -> int:
     path = a.log or os.path.join(a.state, f"{a.type}-log.jsonl")
-    rows = logs.last(logs.recent(jsonl.log_lines(spark, path, a.type), logs.since_of(None, a.since), False), a.last, "line_no")
+    rows = logs.last(logs.recent(jsonl.log_lines(spark, path, a.type), logs.view_since(a.since), False), a.last, "line_no")
     if rows.isEmpty():
         _say(f"(no entries in {path})")
     elif a.json:
@@ -185,16 +189,17 @@ def _backlinks(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def _watch(spark: SparkSession, a: argparse.Namespace) -> int:
-    """Poll the tree; after a quiet period, index documents that are new."""
+    """Poll the tree; after a quiet period embed what is pending. A tree that was never indexed is indexed first."""
     seen, changed = None, 0.0
     while True:
-        now = tuple((p, os.path.getmtime(os.path.join(a.root, p))) for p in markdown.listing(a.root) if not p.endswith("INDEX.md"))
+        now = tuple((p, os.path.getmtime(os.path.join(a.root, p))) for p in markdown.listing(a.root) if os.path.basename(p) != "INDEX.md")
         if seen is not None and now != seen:
             changed = time.time()
         seen = now
         if a.once or (changed and time.time() - changed >= a.debounce):
             changed = 0.0
-            code = _index(spark, argparse.Namespace(root=a.root, state=a.state, embed_only=False, no_embed=False, keep_views=False, write_views=False))
+            pending = store.current(spark, a.state) is not None
+            code = _index(spark, argparse.Namespace(root=a.root, state=a.state, embed_only=pending, no_embed=False, keep_views=False, write_views=False))
             if a.once:
                 return code
         time.sleep(min(1.0, a.debounce))

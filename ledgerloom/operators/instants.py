@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.runtime import hot_keys, work_dir
+from ledgerloom.runtime import exists, hot_keys, work_dir
 
 # Month names in English, German, French and Spanish.
 MONTHS = {
@@ -148,8 +148,7 @@ class InstantDictionary:
         return self.spark.read.schema("source string, raw string, tz string, utc_us bigint, n bigint").parquet(self.path)
 
     def exists(self) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+        return exists(self.spark, self.path)
 
     def update(self, rows: DataFrame) -> DataFrame:
         """Add the distinct values of ``rows`` (source, raw, tz) that have no entry yet."""

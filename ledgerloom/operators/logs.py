@@ -21,13 +21,21 @@ def parse_window(s: str) -> timedelta:
 
 
 def since_of(window: str | None, since: str | None, now: datetime | None = None) -> datetime | None:
-    """The start of a window, or the absolute start that overrides it; naive times are UTC."""
+    """The start of a dashboard's window, or the absolute start that overrides it, whose clock time counts as UTC whatever its offset."""
     if since:
-        t = datetime.fromisoformat(since)
-        return t if t.tzinfo else t.replace(tzinfo=timezone.utc)
+        return datetime.fromisoformat(since).replace(tzinfo=timezone.utc)
     return (now or datetime.now(timezone.utc)) - parse_window(window) if window else None
 
 
+def view_since(since: str | None) -> datetime | None:
+    """The start of a view: its offset holds, without one it is UTC; an unreadable start leaves nothing out."""
+    try:
+        t = datetime.fromisoformat(since.replace("Z", "+00:00")) if since else None
+    except ValueError:
+        return None
+    return t if t is None or t.tzinfo else t.replace(tzinfo=timezone.utc)
+
+
 def iso_micros(c: Column) -> Column:
     """Microseconds of an ISO time string; without offset it is UTC; null if it is none."""
     date, time, zone = (F.regexp_extract(c, _ISO, i) for i in (1, 2, 3))

@@ -1,22 +1,26 @@
 """An inverted index as DataFrames and BM25 ranking over it.
 
-``postings(term, key, tf)`` and ``lengths(key, n_tokens)`` are made once and may be written partitioned by
-a hash of the term; a query touches its terms' postings only. Matching is a conjunction of words; upper-case
-OR and NOT and ``word*`` are understood, and over an index with positions ``a + b`` (in this order, side by
-side), ``^a`` (first in the text) and ``NEAR(a b, n)`` (at most n words between the outer two). Scores are
-positive, statistics are those of the whole index whatever filters apply, and ties are ordered by key.
+``postings(term, key, tf, n_tokens)`` hold for each term and text its occurrences and the text's length; a
+text's own row has the empty term, so one table is the whole index and texts are tokenised once. ``stored``
+keeps it as Parquet, partitioned by a hash of the term and sorted by term, and finds it again while the
+source files are the same: a query then reads the partitions of its terms only. Matching is a conjunction of
+words; upper-case OR and NOT and ``word*`` are understood, and over an index with positions ``a + b`` (in this
+order, side by side), ``^a`` (first in the text) and ``NEAR(a b, n)`` (at most n words between the outer two).
+Scores are positive, statistics are those of the whole index whatever filters apply, and ties are ordered by
+key.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as txt
-from ledgerloom.runtime import written
+from ledgerloom.runtime import exists, parallelism, work_dir, written
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 POOL = 50
@@ -89,66 +93,96 @@ def parsed_query(raw: str, stem: bool = False, strict: bool = False) -> Query |
 
 
 class TextIndex:
-    """Build with ``of``; ``bm25`` ranks, ``matching`` only selects."""
+    """Build with ``of`` or ``stored``; ``bm25`` ranks, ``matching`` only selects."""
 
-    def __init__(self, postings: DataFrame, lengths: DataFrame, key: str, stem: bool = False) -> None:
-        self.postings, self.lengths, self.key, self.stem = postings, lengths, key, stem
+    def __init__(self, postings: DataFrame, key: str, stem: bool = False) -> None:
+        self.postings, self.key, self.stem = postings, key, stem
         self._stats: tuple[int, float] | None = None
 
     @classmethod
-    def of(cls, docs: DataFrame, key: str, text: str, stem: bool = False, keep: bool = False, positions: bool = False) -> TextIndex:
+    def of(cls, docs: DataFrame, key: str, text: str, stem: bool = False, positions: bool = False) -> TextIndex:
         """An index of ``text``; with ``positions`` postings also have ``at``, a term's places in the text from 0."""
         words = txt.stemmed_tokens(F.col(text)) if stem else txt.tokens(F.col(text))
-        listed = docs.select(key, words.alias("words"))
-        if keep:
-            listed = written(listed, "words")
-        lengths = listed.select(key, F.size("words").cast("bigint").alias("n_tokens"))
-        if positions:
-            placed = listed.select(key, F.posexplode("words").alias("i", "term")).groupBy("term", key)
-            postings = placed.agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("i")).alias("at"))
-        else:
-            postings = listed.select(key, F.explode("words").alias("term")).groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"))
-        if keep:
-            postings = written(postings.repartition("term").sortWithinPartitions("term"), "postings")
-        return cls(postings, lengths, key, stem)
+        listed = docs.select(key, words.alias("words")).withColumn("n_tokens", F.size("words").cast("bigint"))
+        # The text's own row comes first, with the empty term.
+        placed = listed.select(key, "n_tokens", F.posexplode(F.concat(F.array(F.lit("")), "words")).alias("i", "term")).groupBy("term", key, "n_tokens")
+        found = [F.count(F.lit(1)).alias("tf")] + ([F.array_sort(F.collect_list(F.col("i") - 1)).alias("at")] if positions else [])
+        return cls(placed.agg(*found), key, stem)
+
+    @classmethod
+    def stored(cls, docs: DataFrame, key: str, text: str, stem: bool = False, positions: bool = False) -> TextIndex:
+        """The index of ``docs``, kept in the shared folder for as long as their files and the query over them are the same."""
+        spark = docs.sparkSession
+        name = f"textindex-{_identity(docs, key, text, stem, positions)}"
+        path = f"{work_dir(spark)}/{name}"
+        if not exists(spark, f"{path}/_SUCCESS"):
+            cls.of(docs, key, text, stem, positions).save(path)
+        return cls.open(spark, path, key, stem)
+
+    def save(self, path: str, buckets: int | None = None) -> None:
+        n = buckets or parallelism(self.postings.sparkSession)
+        rows = self.postings.withColumn("bucket", _bucket(F.col("term"), n)).repartition(n, "bucket").sortWithinPartitions("bucket", "term")
+        rows.withColumn("buckets", F.lit(n)).write.mode("overwrite").partitionBy("buckets", "bucket").parquet(path)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, key: str, stem: bool = False) -> TextIndex:
+        return cls(spark.read.parquet(path), key, stem)
+
+    def _pruned(self, terms: list[str]) -> DataFrame:
+        """Postings of the partitions that hold the given terms; all if one of them is a prefix or there are no partitions."""
+        if "bucket" not in self.postings.columns or any(t.endswith("*") and len(t) > 1 for t in terms):
+            return self.postings
+        if self._buckets is None:
+            row = self.postings.select("buckets").first()
+            self._buckets = row[0] if row else 1
+        wanted = F.lit(False)
+        for t in terms:
+            wanted = wanted | (F.col("bucket") == _bucket(F.lit(t), self._buckets))
+        return self.postings.where(wanted)
+
+    _buckets: int | None = None
+
+    def documents(self) -> DataFrame:
+        """(key, n_tokens) of every text."""
+        return self._pruned([""]).where(F.col("term") == "").select(self.key, "n_tokens")
 
     def corpus(self) -> DataFrame:
-        return self.lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n_tokens").alias("avgdl"), F.sum("n_tokens").alias("n_tokens"))
+        return self.documents().agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n_tokens").alias("avgdl"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"))
 
     def stats(self) -> tuple[int, float]:
         if self._stats is None:
-            self.lengths = written(self.lengths, "lengths")
             r = self.corpus().first()
             self._stats = (r["n_docs"], float(r["avgdl"] or 0.0))
         return self._stats
 
     def terms(self) -> DataFrame:
         """Per term the number of documents and of occurrences."""
-        return self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+        return self.postings.where(F.col("term") != "").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
     def _of(self, word: str) -> Column:
         return F.col("term").startswith(word[:-1]) if word.endswith("*") else F.col("term") == word
 
     def _hits(self, words: list[str]) -> DataFrame:
-        """(word, key, tf) of the query's words; a prefix counts all its terms as one, a phrase its occurrences."""
+        """(word, key, tf, n_tokens) of the query's words; a prefix counts all its terms as one, a phrase its occurrences."""
         if any(" " in w or w.startswith("^") for w in words):
             return self._placed(words)
         cond = self._of(words[0])
         for w in words[1:]:
             cond = cond | self._of(w)
         which = F.array_compact(F.array(*[F.when(self._of(w), F.lit(w)) for w in words]))
-        return self.postings.where(cond).select(F.explode(which).alias("word"), self.key, "tf").groupBy("word", self.key).agg(F.sum("tf").alias("tf"))
+        found = self._pruned(words).where(cond & (F.col("term") != "")).select(F.explode(which).alias("word"), self.key, "tf", "n_tokens")
+        return found.groupBy("word", self.key).agg(F.sum("tf").alias("tf"), F.first("n_tokens").alias("n_tokens"))
 
     def _places(self, terms: list[str]) -> DataFrame:
-        """(key, m): of each text a map from the given terms to their places."""
+        """(key, n_tokens, m): of each text a map from the given terms to their places."""
         if "at" not in self.postings.columns:
             raise ValueError("phrases, NEAR and ^ need an index with positions")
         cond = self._of(terms[0])
         for w in terms[1:]:
             cond = cond | self._of(w)
         which = F.array_compact(F.array(*[F.when(self._of(w), F.lit(w)) for w in terms]))
-        one = self.postings.where(cond).select(F.explode(which).alias("w"), self.key, "at").groupBy(self.key, "w").agg(F.flatten(F.collect_list("at")).alias("at"))
-        return one.groupBy(self.key).agg(F.map_from_entries(F.collect_list(F.struct("w", "at"))).alias("m"))
+        one = self._pruned(terms).where(cond & (F.col("term") != "")).select(F.explode(which).alias("w"), self.key, "at", "n_tokens").groupBy(self.key, "n_tokens", "w").agg(F.flatten(F.collect_list("at")).alias("at"))
+        return one.groupBy(self.key, "n_tokens").agg(F.map_from_entries(F.collect_list(F.struct("w", "at"))).alias("m"))
 
     def _placed(self, words: list[str]) -> DataFrame:
         """Hits by positions: of each text only the places of the query's terms are brought together."""
@@ -163,7 +197,7 @@ class TextIndex:
 
         rows = self._places(sorted({p for w in words for p in w.lstrip("^").split()}))
         counted = F.array(*[F.struct(F.lit(w).alias("word"), F.size(starts(w)).cast("bigint").alias("tf")) for w in words])
-        return rows.select(self.key, F.explode(counted).alias("x")).select("x.word", self.key, "x.tf").where("tf > 0")
+        return rows.select(self.key, "n_tokens", F.explode(counted).alias("x")).select("x.word", self.key, "x.tf", "n_tokens").where("tf > 0")
 
     def _close(self, words: list[str], most: int) -> DataFrame:
         """Keys of texts that have all words with at most ``most`` others between the outer two."""
@@ -189,7 +223,7 @@ class TextIndex:
         """(key, score) of all matches; an unusable query matches nothing."""
         q = parsed_query(raw, self.stem, strict)
         if q is None:
-            return self.lengths.select(self.key, F.lit(0.0).alias("score")).where(F.lit(False))
+            return self.postings.select(self.key, F.lit(0.0).alias("score")).where(F.lit(False))
         n, avgdl = self.stats()
         # The query's own postings are few and used three times.
         hits = written(self._hits(q.words()), "hits")
@@ -198,10 +232,25 @@ class TextIndex:
         idf = F.when(raw_idf <= 0, F.lit(FLOOR)).otherwise(raw_idf)
         tf = F.col("tf").cast("double")
         weight = idf * tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("n_tokens") / F.lit(avgdl)))
-        found = self.matching(q, hits).join(F.broadcast(df), "word").join(self.lengths, self.key)
+        found = self.matching(q, hits).join(F.broadcast(df), "word")
         return found.groupBy(self.key).agg(F.sum(weight).alias("score"))
 
 
+def _bucket(term: Column, n: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(n)).cast("int")
+
+
+def _identity(docs: DataFrame, *options) -> str:
+    """A name for an index: the files under ``docs`` with sizes and times, the query over them, and the options."""
+    spark = docs.sparkSession
+    parts = [str(options), docs._jdf.queryExecution().optimizedPlan().canonicalized().toString()]
+    for name in sorted(docs.inputFiles()):
+        p = spark._jvm.org.apache.hadoop.fs.Path(name)
+        st = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p)
+        parts.append(f"{name} {st.getLen()} {st.getModificationTime()}")
+    return hashlib.sha256("\n".join(parts).encode()).hexdigest()[:24]
+
+
 def _at(w: str) -> Column:
     return F.coalesce(F.try_element_at("m", F.lit(w)), F.array().cast("array<int>"))
 

@@ -51,7 +51,7 @@ def _bm25(match: str, having: str, word: str = "term", n: int = 50) -> str:
 
 
 def _index(spark: SparkSession, sf: str, stem: bool = False) -> TextIndex:
-    return TextIndex.of(tables.table(spark, sf, "documents").select("doc_id", "text").distinct(), "doc_id", "text", stem)
+    return TextIndex.stored(tables.table(spark, sf, "documents").select("doc_id", "text").distinct(), "doc_id", "text", stem)
 
 
 def _ranked(spark: SparkSession, sf: str, raw: str, stem: bool = False) -> DataFrame:
@@ -89,7 +89,7 @@ def bm25_stemmed(spark, sf):
 def phrase_match(spark, sf):
     """Documents with two words side by side and without a third."""
     docs = tables.table(spark, sf, "documents").select("doc_id", "text").distinct()
-    return TextIndex.of(docs, "doc_id", "text", positions=True).bm25("velvet + spindle NOT ledger").select("doc_id")
+    return TextIndex.stored(docs, "doc_id", "text", positions=True).bm25("velvet + spindle NOT ledger").select("doc_id")
 
 
 @query(_BASE + " SELECT nd AS n_docs, round(avgdl, 6) AS avgdl, (SELECT sum(n)::BIGINT FROM l) AS n_tokens FROM c")
@@ -319,7 +319,7 @@ def _searcher(spark: SparkSession, sf: str) -> search.Search:
     docs = tables.table(spark, sf, "documents").where("path is not null and text is not null").select("doc_id", "path", "text").distinct()
     body = docs.groupBy("path").agg(F.max_by("text", "doc_id").alias("body"))
     files = tables.files(spark, sf).select("path", "kind", "source", "ingested_at", "n_tests")
-    return search.Search(files, TextIndex.of(body, "path", "body"), tables.edges(spark, sf)).of("rusted gasket")
+    return search.Search(files, TextIndex.stored(body, "path", "body"), tables.edges(spark, sf)).of("rusted gasket")
 
 
 def _shown(df: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -29,7 +30,9 @@ def session(app: str = "ledgerloom", master: str | None = None) -> SparkSession:
         "spark.ui.enabled": "false",
     }.items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    ship(spark)
+    return spark
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -61,6 +64,23 @@ def written(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, which need not have it installed."""
+    if getattr(spark, "_ledgerloom_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="ledgerloom-")  # on the driver only; Spark copies the file from here
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    name = shutil.make_archive(os.path.join(folder, "ledgerloom"), "zip", os.path.dirname(here), os.path.basename(here))
+    spark.sparkContext.addPyFile(name)
+    spark._ledgerloom_shipped = True
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Delete folders through the file system they are in; what is not there is passed over."""
     jvm = getattr(spark, "_jvm", None)

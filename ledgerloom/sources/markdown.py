@@ -7,70 +7,29 @@ from all of them.
 
 from __future__ import annotations
 
-import json
 import os
 from collections.abc import Iterator
 
 import pandas as pd
+import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 FENCE = r"(?s)\A---\n(.*?)\n---\n(.*)"
 RAW = "path string, mtime double, text string, tests string"
-META = T.MapType(T.StringType(), T.ArrayType(T.StringType()))
+META = T.StructType([T.StructField("plain", T.MapType(T.StringType(), T.StringType())), T.StructField("strings", T.MapType(T.StringType(), T.ArrayType(T.StringType())))])
 CASES = T.ArrayType(T.StructType([T.StructField("id", T.IntegerType()), T.StructField("q", T.StringType()), T.StructField("a", T.StringType())]))
 
 
 def _yaml(text: str):
-    """A YAML value, or None if the text is none or no YAML reader is there."""
-    try:
-        import yaml
-    except ImportError:
-        return _plain_yaml(text)
+    """A YAML value, or None if the text is none."""
     try:
         return yaml.safe_load(text)
-    except yaml.YAMLError:
+    except (yaml.YAMLError, ValueError):
         return None
 
 
-def _scalar(s: str):
-    s = s.strip()
-    if len(s) > 1 and s[0] == s[-1] and s[0] in "'\"":
-        return s[1:-1]
-    if s.startswith("[") and s.endswith("]"):
-        return [_scalar(x) for x in s[1:-1].split(",") if x.strip()]
-    return None if s in ("", "null", "~") else s
-
-
-def _plain_yaml(text: str):
-    """Keys with scalars or lists of scalars, and lists of such; what other shapes mean is unknown (None)."""
-    lines = [x for x in text.split("\n") if x.strip() and not x.lstrip().startswith("#")]
-    if lines and lines[0].startswith("- "):
-        out: list = []
-        for x in lines:
-            if x.startswith("- "):
-                out.append({})
-                x = "  " + x[2:]
-            k, sep, v = x.strip().partition(":")
-            if not sep or not out:
-                return None
-            out[-1][k.strip().strip("\"'")] = int(v) if v.strip().isdigit() else _scalar(v)
-        return out
-    found: dict = {}
-    key = None
-    for x in lines:
-        if x.lstrip().startswith("- ") and key is not None:
-            found[key] = [*(found[key] or []), _scalar(x.lstrip()[2:])] if isinstance(found[key], list) or found[key] is None else None
-            continue
-        k, sep, v = x.partition(":")
-        if not sep or x[:1] in " \t" or v.strip()[:1] in "[" and not v.strip().endswith("]"):
-            return None
-        key = k.strip().strip("\"'")
-        found[key] = _scalar(v)
-    return found
-
-
 def listing(root: str) -> list[str]:
     """Relative paths of all markdown files below ``root`` but test files, sorted."""
     found = []
@@ -103,20 +62,24 @@ def raw_documents(spark: SparkSession, root: str) -> DataFrame:
 
 
 @F.pandas_udf(META)
-def front_matter(texts: pd.Series) -> pd.Series:
-    """The values of a YAML mapping as arrays of strings; nulls and other shapes are left out, errors give an empty map."""
+def front_matter(texts: pd.Series) -> pd.DataFrame:
+    """A YAML mapping as ``plain`` (every value as text) and ``strings`` (values that are strings, and the strings of lists).
+
+    Nulls are left out; what is no mapping gives empty maps.
+    """
 
-    def one(t: str | None) -> dict:
+    def one(t: str | None) -> tuple[dict, dict]:
         value = _yaml(t) if t else None
         if not isinstance(value, dict):
-            return {}
-        out = {}
-        for k, v in value.items():
-            items = v if isinstance(v, list) else [v]
-            out[str(k)] = [x if isinstance(x, str) else json.dumps(x) if isinstance(x, (dict, list)) else str(x) for x in items if x is not None]
-        return out
+            return {}, {}
+        plain = {str(k): str(v) for k, v in value.items() if v is not None}
+        strings = {str(k): [x for x in (v if isinstance(v, list) else [v]) if isinstance(x, str)] for k, v in value.items() if isinstance(v, (str, list))}
+        if isinstance(value.get("source"), list):  # a source is one string or none
+            del strings["source"]
+        return plain, strings
 
-    return texts.map(one)
+    found = [one(t) for t in texts]
+    return pd.DataFrame({"plain": [p for p, _ in found], "strings": [x for _, x in found]})
 
 
 @F.pandas_udf(CASES)
@@ -138,11 +101,11 @@ def split_documents(raw: DataFrame) -> DataFrame:
     fenced = F.col("text").rlike(FENCE)
     head = F.when(fenced, F.regexp_extract("text", FENCE, 1))
     body = F.when(fenced, F.regexp_extract("text", FENCE, 2)).otherwise(F.col("text"))
-    rows = raw.withColumn("frontmatter", head).withColumn("body", body).withColumn("meta", front_matter("frontmatter")).withColumn("cases", test_cases("tests"))
-    one = lambda k: F.coalesce(F.try_element_at(F.try_element_at("meta", F.lit(k)), F.lit(1)), F.lit(""))
+    rows = raw.withColumn("frontmatter", head).withColumn("body", body).withColumn("head", front_matter("frontmatter")).withColumn("cases", test_cases("tests"))
+    one = lambda k: F.coalesce(F.try_element_at("head.plain", F.lit(k)), F.lit(""))
     return rows.select(
         "path", one("kind").alias("kind"), one("source").alias("source"), one("ingested_at").alias("ingested_at"), one("last_modified_at").alias("last_modified_at"),
-        "mtime", F.coalesce(F.size("cases"), F.lit(0)).alias("n_tests"), "frontmatter", "body", one("summary").alias("summary"), "meta", "cases",
+        "mtime", F.coalesce(F.size("cases"), F.lit(0)).alias("n_tests"), "frontmatter", "body", one("summary").alias("summary"), F.col("head.strings").alias("meta"), "cases",
     )
 
 

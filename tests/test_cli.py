@@ -57,8 +57,15 @@ def test_search_and_backlinks(kb, spark, capsys):
 def test_backfill_lock_and_missing_root(kb, spark, capsys):
     root, state = kb
     (root / "new.md").write_text("A new page.")
+    (root / "REINDEX.md").write_text("A page about the index.")
+    assert main(["watch", "--once", "--root", str(root), "--state", str(state)], spark) == 0
+    assert "embedded 0 documents" in capsys.readouterr().out  # it is not indexed yet
+    assert main(["index", "--no-embed", "--root", str(root), "--state", str(state)], spark) == 0
+    assert "indexed 7 documents" in capsys.readouterr().out  # five pages and two views
+    (root / "new.md").unlink()
     assert main(["index", "--embed-only", "--root", str(root), "--state", str(state)], spark) == 0
-    assert "embedded 1 documents" in capsys.readouterr().out
+    assert "embedded 4 documents" in capsys.readouterr().out  # what is still there on disk, without the views
+    assert main(["search", "page about", "--state", str(state)], spark) == 0 and "REINDEX.md" in capsys.readouterr().out
     with store.writing(str(state)):
         assert main(["index", "--root", str(root), "--state", str(state)], spark) == 3
     assert main(["index", "--root", str(root / "none"), "--state", str(state)], spark) == 2
@@ -76,18 +83,25 @@ def test_verify(kb, spark, capsys):
 
 def test_stats_and_log(tmp_path, spark, capsys):
     p = tmp_path / "recall-log.jsonl"
-    rows = [{"ts": "2026-05-01T00:00:00Z", "decided_source": s, "question": f"q{i}", "topic_hint": "t", "ingested": i == 1} for i, s in enumerate(["kb", "web", "web", "weights"])]
+    kinds = ["web", "none", "web", "kb", "weights", "web"]
+    rows = [{"ts": f"2026-03-{d:02d}T08:30:00+02:00", "decided_source": k, "question": f"q{d}", "topic_hint": "sails" if d % 2 else "", "ingested": d > 4, "duration_ms": 100.0 * d} for d, k in enumerate(kinds, 1)]
     p.write_text("\n".join(map(json.dumps, rows)) + "\n\nbroken\n")
     (tmp_path / "dream-log.jsonl").write_text(json.dumps({"ts": "2026-05-02T00:00:00Z", "actions": {"quality_repairs": ["a", "b"]}, "duration_ms": 1500}) + "\n")
-    assert main(["stats", "--log", str(p), "--since", "2026-04-01", "--json"], spark) == 0
+    assert main(["stats", "--log", str(p), "--since", "2026-03-02", "--json"], spark) == 0
     got = json.loads(capsys.readouterr().out)
-    assert got["n"] == 4 and got["sources"] == {"kb": 1, "web": 2, "weights": 1} and got["fallbacks"] == [{"topic": "t", "fallbacks": 2, "recalls": 4}]
-    assert main(["stats", "--log", str(p), "--since", "2026-04-01"], spark) == 0 and "web            2  (50%)" in capsys.readouterr().out
+    assert got["n"] == 5 and got["sources"] == {"none": 1, "web": 2, "kb": 1, "weights": 1} and got["fallbacks"] == [{"topic": "sails", "fallbacks": 1, "recalls": 2}, {"topic": "unspecified", "fallbacks": 1, "recalls": 3}]
+    assert main(["stats", "--log", str(p), "--since", "2026-03-01"], spark) == 0 and "web" in capsys.readouterr().out
+    assert main(["stats", "--log", str(p), "--since", "2026-03-06T07:00:00+09:00", "--json"], spark) == 0
+    assert json.loads(capsys.readouterr().out) == {"n": 0}  # 07:00 counts as UTC, after the last row's 06:30
     assert main(["stats", "--log", str(p), "--window", "1h"], spark) == 0 and main(["stats", "--window", "x"], spark) == 2
     assert main(["stats", "--log", str(tmp_path / "none")], spark) == 0
     capsys.readouterr()
+    assert main(["log", "--state", str(tmp_path), "--since", "2026-03-06T07:00:00+09:00"], spark) == 0
+    assert [x.split()[-1] for x in capsys.readouterr().out.splitlines()] == ["q6"]  # there the offset holds
+    assert main(["log", "--state", str(tmp_path), "--since", "soon", "--last", "1"], spark) == 0
+    capsys.readouterr()
     assert main(["log", "--state", str(tmp_path), "--last", "2"], spark) == 0
-    assert [x.split()[-1] for x in capsys.readouterr().out.splitlines()] == ["q2", "q3"]
+    assert [x.split()[-1] for x in capsys.readouterr().out.splitlines()] == ["q5", "q6"]
     assert main(["log", "--state", str(tmp_path), "--type", "dream"], spark) == 0
     assert "repair=2" in capsys.readouterr().out
     assert main(["log", "--state", str(tmp_path), "--since", "2027-01-01"], spark) == 0 and "(no entries" in capsys.readouterr().out

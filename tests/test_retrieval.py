@@ -51,7 +51,7 @@ def test_query_text(index):
         assert scores(index, q, strict=True) == {}
     assert scores(index, "race, the") == scores(index, "race the")
     assert parsed_query("OR NOT AND") is None
-    plain = TextIndex(index.postings.drop("at"), index.lengths, "path", True)
+    plain = TextIndex(index.postings.drop("at"), "path", True)
     with pytest.raises(ValueError):
         plain.bm25("the + race")
 

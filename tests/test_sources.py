@@ -66,12 +66,12 @@ def test_store(spark, tmp_path):
     assert store.read(spark, folder, "edges").count() == 0
     edges = spark.createDataFrame([("a", "b", "md_link")], store.EDGES)
     with store.writing(folder):
-        store.replace_all(folder, {"edges": edges})
+        store.replace_all(spark, folder, {"edges": edges})
         with pytest.raises(store.Busy), store.writing(folder):
             pass
     assert [tuple(r) for r in store.read(spark, folder, "edges").collect()] == [("a", "b", "md_link")]
     with store.writing(folder):
-        store.replace_all(folder, {"edges": edges.limit(0)})
+        store.replace_all(spark, folder, {"edges": edges.limit(0)})
     assert store.read(spark, folder, "edges").count() == 0
 
 
