@@ -71,7 +71,7 @@ JA_PARTICLES = "が を は に で と の も へ から より て 、".split
 
 # What is said when an answer is declined: that one cannot or will not, what one will not do, and apologies.
 UNWILLING = (
-    r"can not|cannot|can['’]t|could not|couldn['’]t|won['’]t|will not|would not|unable|not able|decline|refuse to|not have enough|n['’]t have (?:enough|any)|rather not|prefer not|not allowed|not permitted|outside what|prevent|prohibit|forbid|do not allow|no comment(?= on| about| from|\W*$)|ask someone else"
+    r"can not|cannot|can['’]t|could not|couldn['’]t|won['’]t|will not|would not|unable|not able|decline|refuse to|not have enough|\S*n['’]t have (?:enough|any)|rather not|prefer not|not allowed|not permitted|outside what|prevent|prohibit|forbid|do not allow|no comment(?= (?:on|about|from) )|no comment(?= $)|ask someone else"
     "|kann ich|kann leider|darf ich|nicht beantworten|nichts sagen|nicht helfen|keine auskunft|keine angaben|leider nichts?"
     "|ne peux|ne suis pas|ne souhaite|pas en mesure|m['’]abstenir|préfère ne|impossible de|no puedo|no me está|prefiero no|no estoy autorizad|не могу|не вправе|не имею права|предпочту не"
 )
@@ -81,14 +81,14 @@ ACTS = (
     "|sagen|beantworten|helfen|auskunft|angaben|répondre|aider|abstenir|dire|responder|ayudar|contestar|hablar|decir|ответить|помочь|сказать|обсуждать"
 )
 ACTS_JA = "答え|手伝い|回答"
-SELF = "i|me|my|we|us|i['’][a-z]+|(?:this|that) (?:one|request|question|topic|matter)|ich|mir|je|j|moi|puedo|prefiero|estoy|siento|yo|me está|я|мне|могу|вправе"
+SELF = r"i|me|my|we|us|i['’]\S+|(?:this|that) (?:one|request|question|topic|matter)|ich|mir|je|j['’]\S+|moi|puedo|prefiero|estoy|siento|yo|me está|я|мне|могу|вправе"
 EXCUSES = (
     "sorry|unfortunately|apologi[sz]e|regrettably|language model|guidelines|tut mir leid|leider|sprachmodell|désolé|malheureusement|regrette|modèle de langage|lo siento|lamentablemente|modelo de lenguaje"
     "|извините|к сожалению|простите|языковая модель"
 )
 EXCUSES_JA = "申し訳|残念ながら|恐れ入り|言語モデル"
 # What others say is no refusal of one's own.
-REPORTED = r"(?iU)\b(?:says|said|states|stated|reads|sagt|sagte|dit que|dice|dijo|говорит|сказал|сказала)\b[^.!?。]*+"
+REPORTED = "says|said|states|stated|reads|sagt|sagte|dit que|dice|dijo|говорит|сказал|сказала"
 TOLD = "says|said|states|stated|wrote|reads|according to|sagt|sagte|steht|dit que|selon|dice|según|говорит|сказал|until|unless|because|since"
 
 LABELLED: tuple[tuple[str, str | None, str], ...] = (
@@ -143,38 +143,73 @@ _QUOTED = r"«[^«»]*+»|“[^“”]*+”|„[^„“”]*+[“”]|「[^「
 _FILE = r"(?<![\w./-])[\w./-]+\.(?:md|txt|html?|json|ya?ml|csv)\b|https?://\S+"
 
 
-def _words_in(c: Column, pattern: str) -> Column:
-    """Whether one of the alternatives occurs as whole words."""
-    return c.rlike(rf"(?iU)\b(?:{pattern})\b")
+def _spoken(c: Column, pattern: str) -> Column:
+    """Whether one of the alternatives occurs in words joined by blanks, with a blank at both ends."""
+    return c.rlike(f" (?:{pattern}) ")
+
+
+def _replaced(c: Column, where: str, pattern: str, by: str = " ") -> Column:
+    """``pattern`` replaced in texts that have ``where``, a pattern that is quickly looked for."""
+    return F.when(c.rlike(where), F.regexp_replace(c, pattern, by)).otherwise(c)
 
 
 def shown(c: Column) -> Column:
     """Text without invisible characters and blanks at the ends; null is empty."""
-    c = F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), "\n\t", "  "), r"[\p{Cf}\p{Cc}\p{Zl}\p{Zp}]+", "")
-    return F.regexp_replace(c, f"^{_BLANKS}+|(?<!{_BLANKS}){_BLANKS}+$", "")
+    c = F.translate(F.coalesce(c, F.lit("")), "\n\t", "  ")
+    odd = F.regexp_replace(F.regexp_replace(c, r"[\p{Cf}\p{Cc}\p{Zl}\p{Zp}]+", ""), f"^{_BLANKS}+|(?<!{_BLANKS}){_BLANKS}+$", "")
+    return F.when(c.rlike(r"[^\x20-\x7E]"), odd).otherwise(F.trim(c))
 
 
 def words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(_WORD), F.lit(0))
 
 
+def _joined(c: Column) -> Column:
+    return F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
+
+
+def asked(c: Column) -> Column:
+    """A question as shown, without the mark of a negative test."""
+    return _replaced(shown(c), r"^.{0,3}(?i:negative)", NEGATIVE_TEST, "")
+
+
 def prepared(pairs: DataFrame) -> DataFrame:
-    """``pairs`` with what the labelling functions look at, one step a projection."""
-    df = pairs.withColumns({"_neg": F.coalesce(F.col("q"), F.lit("")).rlike(NEGATIVE_TEST), "_q": F.regexp_replace(shown(F.col("q")), NEGATIVE_TEST, ""), "_a": shown(F.col("a"))})
-    led = F.regexp_replace("_a", r"(?iU)^(?:a|q|answer|question|antwort|réponse|respuesta|ответ|答え?)\s*[:：]\s*", "")
+    """``pairs`` with what the labelling functions look at, one step a projection, so that nothing is worked out twice."""
+    df = pairs.withColumns({"_neg": F.coalesce(F.col("q"), F.lit("")).rlike(NEGATIVE_TEST), "_q": asked(F.col("q")), "_a": shown(F.col("a"))})
+    led = _replaced(F.col("_a"), "[:：]", r"(?iU)^(?:a|q|answer|question|antwort|réponse|respuesta|ответ|答え?)\s*[:：]\s*", "")
     df = df.withColumns({"_bare": F.regexp_replace(F.lower("_a"), f"^{_MARK}+|(?<!{_MARK}){_MARK}+$", ""), "_w": words(F.col("_a")), "_said": words(led), "_asked": words(F.col("_q"))})
     k = F.when(F.size("_asked") > 0, F.floor(F.size("_said") / F.size("_asked")).cast("int")).otherwise(0)
-    df = df.withColumn("_k", k)
+    df = df.withColumns({"_k": k, "_t": _joined(F.col("_w"))})
     same = (F.col("_k") > 0) & (F.col("_said") == F.flatten(F.array_repeat("_asked", F.col("_k"))))
-    named = F.col("_bare").isin(*PLACEHOLDERS)
+    reported = _spoken(F.col("_t"), REPORTED)
+    own = F.when(reported, F.regexp_replace(F.lower("_a"), rf"(?U)\b(?:{REPORTED})\b[^.!?。]*+", " "))
     df = df.withColumns({
-        "_void": ~F.col("_a").rlike(r"[\p{L}\p{N}]"), "_named": named, "_same": same, "_n": F.size("_w"), "_kana": F.col("_a").rlike(_KANA), "_letters": F.length(F.regexp_replace("_a", f"{_MARK}+", "")),
-        "_sentinel": F.regexp_replace(F.regexp_replace("_bare", "['’]", ""), "[^a-z]+", "-") == SENTINEL,
+        "_void": F.size("_w") == 0, "_named": F.col("_bare").isin(*PLACEHOLDERS), "_same": same, "_n": F.size("_w"), "_kana": F.col("_a").rlike(_KANA), "_letters": F.length(F.array_join("_w", "")),
+        "_sentinel": F.when(F.col("_bare").startswith("don"), F.regexp_replace(F.regexp_replace("_bare", "['’]", ""), "[^a-z]+", "-") == SENTINEL).otherwise(False),
+        "_own": F.when(reported, _joined(words(own))).otherwise(F.col("_t")),
     })
-    df = df.withColumn("_own", F.regexp_replace("_a", REPORTED, " "))
-    unwilling = _words_in(F.col("_own"), UNWILLING) | F.col("_own").rlike(UNWILLING_JA)
-    acts = _words_in(F.col("_own"), ACTS) | F.col("_own").rlike(ACTS_JA)
-    return df.withColumns({"_unwilling": unwilling, "_acts": acts, "_else": F.col("_void") | F.col("_named") | F.col("_sentinel") | F.col("_same")})
+    c = F.col
+    ja = lambda pattern: c("_kana") & c("_a").rlike(pattern)
+    return df.withColumns({
+        "_else": c("_void") | c("_named") | c("_sentinel") | c("_same"),
+        "_unwilling": _spoken(c("_own"), UNWILLING) | ja(UNWILLING_JA), "_acts": _spoken(c("_own"), ACTS) | ja(ACTS_JA), "_self": _spoken(c("_own"), SELF) | c("_kana"),
+        "_excuse": _spoken(c("_t"), EXCUSES) | ja(EXCUSES_JA), "_told": c("_a").rlike("[0-9]") | _spoken(c("_t"), TOLD) | c("_void") | c("_named") | c("_same"),
+        **_forms(),
+    })
+
+
+def _forms() -> dict[str, Column]:
+    """How an answer ends, and what is left open in it."""
+    c, last = F.col, F.try_element_at("_w", F.lit(-1))
+    more = lambda a, b: F.length(F.translate("_a", a, "")) < F.length(F.translate("_a", b, ""))
+    opened = more("(（", ")）") | more("[", "]") | more("「", "」") | more("«", "»") | (more("“", "”") & ~c("_a").contains("„"))
+    dots = c("_a").rlike(rf"(?:\.\.|…){_MARK}*+$")
+    return {
+        "_opened": c("_a").rlike(r"[(（\[「«“]") & opened, "_trails": dots & c("_a").rlike(r"[\p{L}\p{N}]\s*+(?:\.\.\.|…)$"),
+        "_ends": ~dots & c("_a").rlike(r"[.!?。！？؟।][\"'”’»」』）)\]*_]*+$"), "_spoken": (c("_n") >= 4) | (c("_kana") & (c("_letters") >= 5)),
+        "_dangling": ((c("_n") > 1) & last.isin(*OPEN_WORDS)) | (c("_kana") & c("_bare").rlike("(?:" + "|".join(JA_PARTICLES) + ")$")),
+        "_jaccard": F.size(F.array_intersect("_said", "_asked")) / F.greatest(F.size(F.array_union("_said", "_asked")), F.lit(1)), "_ratio": F.size("_said") / F.greatest(F.size("_asked"), F.lit(1)),
+    }
 
 
 def _vote(yes: Column, no: Column | None = None) -> Column:
@@ -185,16 +220,7 @@ def _vote(yes: Column, no: Column | None = None) -> Column:
 def functions(languages) -> dict[str, list[Column]]:
     """The labelling functions of each defect over ``prepared`` pairs; ``languages`` gives those of other_language."""
     c = F.col
-    last = F.try_element_at("_w", F.lit(-1))
-    more = lambda a, b: F.length(F.regexp_replace("_a", f"[^{a}]", "")) > F.length(F.regexp_replace("_a", f"[^{b}]", ""))
-    opened = more(r"(（", r")）") | more(r"\[", r"\]") | more("「", "」") | more("«", "»") | (more("“", "”") & ~c("_a").contains("„"))
-    trails = c("_a").rlike(r"[\p{L}\p{N}]\s*+(?:\.\.\.|…)$")
-    ends = c("_a").rlike(r"[.!?。！？؟।][\"'”’»」』）)\]*_]*+$") & ~c("_a").rlike(rf"(?:\.\.|…){_MARK}*+$")
-    spoken = (c("_n") >= 4) | (c("_kana") & (c("_letters") >= 5))
-    dangling = ((c("_n") > 1) & last.isin(*OPEN_WORDS)) | (c("_kana") & c("_bare").rlike("(?:" + "|".join(JA_PARTICLES) + ")$"))
-    jaccard = F.size(F.array_intersect("_said", "_asked")) / F.greatest(F.size(F.array_union("_said", "_asked")), F.lit(1))
-    ratio = F.size("_said") / F.greatest(F.size("_asked"), F.lit(1))
-    open_talk = ~c("_else")
+    ends, spoken, dangling, jaccard, ratio, open_talk = c("_ends"), c("_spoken"), c("_dangling"), c("_jaccard"), c("_ratio"), ~c("_else")
     return {
         "empty": [
             _vote(c("_void"), c("_n") >= 3),  # marks only
@@ -205,15 +231,15 @@ def functions(languages) -> dict[str, list[Column]]:
             _vote(~ends & spoken & ~c("_else"), ends),  # as long as a sentence, but without a closing mark
             _vote(F.lit(False), ~spoken & ~dangling),  # too short for a sentence, so it needs no mark
             _vote(dangling),  # a word after which a phrase goes on
-            _vote(opened | trails),  # an open bracket or dots
+            _vote(c("_opened") | c("_trails")),  # an open bracket or dots
             _vote(F.lit(False), c("_else")),  # another kind of answer
         ],
         "refusal": [
             _vote((c("_unwilling") & open_talk) | (c("_sentinel") & ~c("_neg")), ~c("_unwilling") & open_talk),  # cannot, will not, does not know
             _vote(c("_acts") & open_talk, ~c("_acts") & open_talk),  # answer, help, comment
-            _vote((_words_in(c("_own"), SELF) | c("_kana")) & open_talk, ~_words_in(c("_own"), SELF) & open_talk),  # speaks of itself
-            _vote((_words_in(c("_a"), EXCUSES) | c("_a").rlike(EXCUSES_JA)) & open_talk),  # apology
-            _vote(F.lit(False), c("_a").rlike(r"\d") | _words_in(c("_a"), TOLD) | c("_void") | c("_named") | c("_same")),  # facts and reasons
+            _vote(c("_self") & open_talk, ~c("_self") & open_talk),  # speaks of itself
+            _vote(c("_excuse") & open_talk),  # apology
+            _vote(F.lit(False), c("_told")),  # facts and reasons
             _vote(c("_sentinel") & ~c("_neg"), c("_sentinel") & c("_neg")),  # the sentinel
         ],
         "copies_question": [
@@ -319,8 +345,9 @@ def voted(pairs: DataFrame, keys: Sequence[str], model: Trigrams) -> DataFrame:
         return pd.Series([language_votes(q, a, model) if isinstance(a, str) else (0, 0, 0, 0) for q, a in zip(ask, content)], dtype=object)
 
     df = prepared(pairs)
-    content = F.regexp_replace(F.regexp_replace("_a", f"(?U){_QUOTED}", " "), _FILE, " ")
-    df = df.withColumns({"_content": content, "_ask": F.regexp_replace("_q", _FILE, " ")})
+    files = lambda c: _replaced(c, r"\.(?:md|txt|htm|json|ya?ml|csv)|://", _FILE)
+    df = df.withColumns({"_content": _replaced(F.col("_a"), "[«“„「『‹\"'‘]", f"(?U){_QUOTED}"), "_ask": files(F.col("_q"))})
+    df = df.withColumn("_content", files(F.col("_content")))
     wordy = ~F.col("_else") & F.col("_content").rlike(r"\p{Ll}|\p{Lo}")
     df = df.withColumn("_lang", vote(F.col("_ask"), F.when(wordy, F.col("_content"))))
     shared = F.size(F.array_intersect("_w", "_asked"))
@@ -391,29 +418,32 @@ class LabelModel:
         return self
 
 
+def _odds(p: float) -> float:
+    return math.log(max(p, 1e-15) / max(1 - p, 1e-15))
+
+
 def cutoff(scored: list[tuple[float, bool]]) -> float:
-    """The cutoff with the best F1 on labelled pairs, midway (in log odds) between the posteriors around it."""
-    odds = lambda p: math.log(max(p, 1e-300) / max(1 - p, 1e-16))
-    values = sorted({s for s, _ in scored})
-    cuts = [1 / (1 + math.exp(-max(-700.0, min(36.0, (odds(a) + odds(b)) / 2)))) for a, b in itertools.pairwise(values)] + [0.5]
+    """The cutoff with the best F1 on labelled pairs: a half if it is one, else the middle (in log odds) of the widest such gap between posteriors."""
+    values = sorted({_odds(s) for s, _ in scored})
+    gaps = [(b - a, (a + b) / 2) for a, b in itertools.pairwise(values)] or [(0.0, 0.0)]
     positives = sum(t for _, t in scored)
 
     def f1(c: float) -> float:
-        hit, found = sum(t for s, t in scored if s > c), sum(s > c for s, _ in scored)
+        hit, found = sum(t for s, t in scored if _odds(s) > c), sum(_odds(s) > c for s, _ in scored)
         return 2 * hit / (positives + found) if positives + found else 0.0
 
-    best = max(map(f1, cuts))
-    good = [c for c in cuts if f1(c) >= best - 1e-12]
-    return min(good, key=lambda c: abs(odds(c)))
+    best = max(f1(c) for _, c in [*gaps, (0.0, 0.0)])
+    if f1(0.0) >= best - 1e-12:
+        return 0.5
+    return 1 / (1 + math.exp(-max((w, c) for w, c in gaps if f1(c) >= best - 1e-12)[1]))
 
 
 def language_model(pairs: DataFrame, most: int = SAMPLE) -> Trigrams:
     """Trigrams of a bounded sample of distinct questions, taken by hash, and of an answer to each, labelled by function words."""
     n = pairs.count()
     every = n // most + 1
-    asked = F.regexp_replace(shown(F.col("q")), NEGATIVE_TEST, "")
     rows = pairs.where(F.col("q").isNotNull() & (F.pmod(F.xxhash64("q"), F.lit(every)) == 0)).groupBy("q").agg(F.min("a").alias("a"))
-    rows = rows.orderBy(F.xxhash64("q"), "q").limit(2 * most).select(asked.alias("q"), F.regexp_replace(shown(F.col("a")), f"(?U){_QUOTED}", " ").alias("a")).collect()
+    rows = rows.orderBy(F.xxhash64("q"), "q").limit(2 * most).select(asked(F.col("q")).alias("q"), F.regexp_replace(shown(F.col("a")), f"(?U){_QUOTED}", " ").alias("a")).collect()
     texts = [(r.q, by_function_words(r.q), r.a) for r in rows]
     labelled = [(q, lang) for q, lang, _ in texts]
     # Answers in which the function words of their question's language prevail, too.
