@@ -33,14 +33,24 @@ def similarity(distance: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - distance / 2)
 
 
-def nearest_of_many(vectors: DataFrame, queries: DataFrame, key: str, k: int, vector: str = "embedding", block: int = 512) -> DataFrame:
-    """For each query row its k nearest other rows: (query, key, distance).
+#: Bytes of query vectors that go to all tasks at once, and rows of them in one matrix product.
+BLOCK_BYTES, PRODUCT_ROWS = 64 << 20, 1024
+
+
+def _blocks(rows: DataFrame, vector: str) -> tuple[DataFrame, int]:
+    """``rows`` in blocks of at most about BLOCK_BYTES of vectors: one row (rows) a block; and their number."""
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(vector)).alias("x")).first()
+    n = max(1, -(-8 * (size["x"] or 0) // BLOCK_BYTES))
+    by = F.xxhash64(*rows.columns)
+    return rows.groupBy(F.pmod(by, F.lit(n))).agg(F.collect_list(F.struct(*rows.columns)).alias("rows")).select("rows"), n
 
-    Queries are taken in blocks of bounded size; each block is held against every Arrow batch of vectors by
-    a matrix product, and only a batch's k best per query leave the task.
-    """
-    import math
 
+def nearest_of_many(vectors: DataFrame, queries: DataFrame, key: str, k: int, vector: str = "embedding") -> DataFrame:
+    """For each query row its k nearest other rows: (query, key, distance, rank); ties by key.
+
+    Queries are taken in blocks of BLOCK_BYTES, so all vectors are read once for some hundred thousand
+    queries. A task keeps the k best of its partition for each query and emits only those.
+    """
     from pyspark.sql.window import Window
 
     rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", key))
@@ -48,39 +58,66 @@ def nearest_of_many(vectors: DataFrame, queries: DataFrame, key: str, k: int, ve
     schema = T.StructType([T.StructField("query", kind), T.StructField(key, kind), T.StructField("distance", T.DoubleType())])
     vectors = vectors.where(F.col(vector).isNotNull()).select(key, vector)
     queries = queries.where(F.col(vector).isNotNull()).select(key, vector)
-    blocks = max(1, -(-queries.count() // block))
-    grouped = queries.groupBy(F.pmod(F.xxhash64(key), F.lit(blocks))).agg(F.collect_list(F.struct(key, vector)).alias("rows")).select("rows")
+    blocks, n = _blocks(queries, vector)
     parts = []
-    for part in grouped.toLocalIterator():  # one block at a time is on the driver
-        found = vectors.mapInPandas(_best(key, vector, [r[key] for r in part["rows"]], np.asarray([r[vector] for r in part["rows"]], np.float64), k), schema)
+    for part in blocks.toLocalIterator():  # one block at a time is on the driver
+        shared = vectors.sparkSession.sparkContext.broadcast(([r[key] for r in part["rows"]], np.asarray([r[vector] for r in part["rows"]], np.float64)))
+        found = vectors.mapInPandas(_best(key, vector, shared, k), schema)
         found = found.withColumn("rank", rank).where(F.col("rank") <= k)
-        parts.append(found if blocks == 1 else written(found, "nearest"))
+        parts.append(found if n == 1 else written(found, "nearest"))
     if not parts:
         return vectors.sparkSession.createDataFrame([], schema.add("rank", T.IntegerType()))
     return reduce(DataFrame.unionByName, parts)
 
 
-def _best(key: str, vector: str, ids: list, q: np.ndarray, k: int) -> Callable:
-    """For Arrow batches of vectors: each query's k best of the batch."""
+def _best(key: str, vector: str, shared, k: int) -> Callable:
+    """For a partition of vectors: each query's k best of it, kept batch by batch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, q = shared.value
+        ids = np.asarray(ids)
+        best_d, best_key = np.full((len(ids), k), np.inf), np.empty((len(ids), k), object)
         for pdf in batches:
             if not len(pdf):
                 continue
+            # In order of keys, so that a stable sort breaks ties by key.
+            pdf = pdf.sort_values(key, kind="stable")
             v, own = np.asarray(pdf[vector].tolist(), np.float64), pdf[key].to_numpy()
-            d = np.sqrt(np.maximum(0, (q**2).sum(1)[:, None] - 2 * q @ v.T + (v**2).sum(1)[None, :]))
-            d[own[None, :] == np.asarray(ids)[:, None]] = np.inf
-            near = np.argsort(d, axis=1, kind="stable")[:, :k]
-            rows, cols = np.repeat(np.arange(len(ids)), near.shape[1]), near.ravel()
-            # The product form loses digits; the kept distances are computed again from differences.
-            exact = np.sqrt(((q[rows] - v[cols]) ** 2).sum(1))
-            keep = np.isfinite(d[rows, cols])
-            yield pd.DataFrame({"query": np.asarray(ids)[rows[keep]], key: own[cols[keep]], "distance": exact[keep]})
+            for a in range(0, len(ids), PRODUCT_ROWS):
+                part, ends = q[a : a + PRODUCT_ROWS], slice(a, a + PRODUCT_ROWS)
+                d = np.maximum(0, (part**2).sum(1)[:, None] - 2 * part @ v.T + (v**2).sum(1)[None, :])
+                d[own[None, :] == ids[ends, None]] = np.inf
+                # The product form loses digits: some more than k are taken and measured again from differences.
+                m = min(k + 8, d.shape[1])
+                near = np.argpartition(d, m - 1, axis=1)[:, :m] if m < d.shape[1] else np.broadcast_to(np.arange(m), d.shape).copy()
+                near.sort(axis=1)
+                exact = np.sqrt(((part[:, None, :] - v[near]) ** 2).sum(2))
+                exact[~np.isfinite(np.take_along_axis(d, near, 1))] = np.inf
+                all_d, all_key = np.concatenate([best_d[ends], exact], 1), np.concatenate([best_key[ends], own[near]], 1)
+                order = np.argsort(all_d, axis=1, kind="stable")
+                new_d, new_key = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_key, order, 1)
+                tied = np.isfinite(new_d[:, k]) & (new_d[:, k] == new_d[:, k - 1]) if new_d.shape[1] > k else np.zeros(len(part), bool)
+                choice = {i: (all_d[i], all_key[i]) for i in np.flatnonzero(tied)}
+                new_d, new_key = new_d[:, :k], new_key[:, :k]
+                if m < d.shape[1]:
+                    # Where more rows than were taken are as near as the k-th, as copies are, all of them are measured.
+                    edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+                    near_edge = d <= edge + 1e-9 * (1 + (part**2).sum(1)[:, None] + (v**2).sum(1)[None, :])
+                    for i in np.flatnonzero(near_edge.sum(1) > m):
+                        c = np.flatnonzero(near_edge[i] & np.isfinite(d[i]))
+                        choice[i] = (np.concatenate([best_d[a + i], np.sqrt(((part[i] - v[c]) ** 2).sum(1))]), np.concatenate([best_key[a + i], own[c]]))
+                for i, (c_d, c_key) in choice.items():
+                    first = sorted((x, y) for x, y in zip(c_d.tolist(), c_key.tolist()) if np.isfinite(x))[:k]
+                    new_d[i, : len(first)], new_key[i, : len(first)] = [x for x, _ in first], [y for _, y in first]
+                best_d[ends], best_key[ends] = new_d, new_key
+        rows, cols = np.nonzero(np.isfinite(best_d))
+        if len(rows):
+            yield pd.DataFrame({"query": ids[rows], key: best_key[rows, cols], "distance": best_d[rows, cols]})
 
     return run
 
 
-def within(vectors: DataFrame, queries: DataFrame, key: str, radius: float, vector: str = "embedding", block: int = 512) -> DataFrame:
+def within(vectors: DataFrame, queries: DataFrame, key: str, radius: float, vector: str = "embedding") -> DataFrame:
     """For each query row all other rows nearer than ``radius``: (query, key, distance).
 
     Equal vectors are one row while distances are computed, so a pair of classes is held together once however
@@ -89,15 +126,15 @@ def within(vectors: DataFrame, queries: DataFrame, key: str, radius: float, vect
     one = lambda df: df.where(F.col(vector).isNotNull()).select(key, vector)
     kind = vectors.schema[key].dataType
     vectors, queries = one(vectors), one(queries)
-    distinct = queries.select(vector).distinct()
     classes = vectors.groupBy(vector).agg(F.collect_list(key).alias("members"))
     schema = T.StructType([T.StructField("query_vector", vectors.schema[vector].dataType), T.StructField("members", T.ArrayType(kind)), T.StructField("distance", T.DoubleType())])
-    blocks = max(1, -(-distinct.count() // block))
-    grouped = distinct.groupBy(F.pmod(F.xxhash64(vector), F.lit(blocks))).agg(F.collect_list(vector).alias("rows")).select("rows")
+    single = np.float32 if vectors.schema[vector].dataType.elementType == T.FloatType() else np.float64
+    blocks, n = _blocks(queries.select(vector).distinct(), vector)
     parts = []
-    for part in grouped.toLocalIterator():  # one block at a time is on the driver
-        found = classes.mapInPandas(_inside(vector, np.asarray(part["rows"], np.float64), radius, np.float32 if vectors.schema[vector].dataType.elementType == T.FloatType() else np.float64), schema)
-        parts.append(found if blocks == 1 else written(found, "within"))
+    for part in blocks.toLocalIterator():  # one block at a time is on the driver
+        shared = vectors.sparkSession.sparkContext.broadcast(np.asarray([r[vector] for r in part["rows"]], np.float64))
+        found = classes.mapInPandas(_inside(vector, shared, radius, single), schema)
+        parts.append(found if n == 1 else written(found, "within"))
     if not parts:
         parts = [vectors.sparkSession.createDataFrame([], schema)]
     pairs = reduce(DataFrame.unionByName, parts)
@@ -106,21 +143,25 @@ def within(vectors: DataFrame, queries: DataFrame, key: str, radius: float, vect
     return pairs.where(F.col("query") != F.col(key))
 
 
-def _inside(vector: str, q: np.ndarray, radius: float, kind: type) -> Callable:
+def _inside(vector: str, shared, radius: float, kind: type) -> Callable:
     """For Arrow batches of classes: each query vector's classes of the batch that are nearer than the radius."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asked = shared.value
         for pdf in batches:
             if not len(pdf):
                 continue
             v = np.asarray(pdf[vector].tolist(), np.float64)
-            squares = (q**2).sum(1)[:, None] + (v**2).sum(1)[None, :]
-            # The product form loses digits: what may be inside is computed again from differences.
-            rows, cols = np.nonzero(squares - 2 * q @ v.T <= radius**2 + 1e-9 * (1 + squares))
-            exact = np.sqrt(((q[rows] - v[cols]) ** 2).sum(1))
-            keep = exact < radius
-            rows, cols = rows[keep], cols[keep]
-            yield pd.DataFrame({"query_vector": list(q[rows].astype(kind)), "members": pdf["members"].to_numpy()[cols], "distance": exact[keep]})
+            for a in range(0, len(asked), PRODUCT_ROWS):
+                q = asked[a : a + PRODUCT_ROWS]
+                squares = (q**2).sum(1)[:, None] + (v**2).sum(1)[None, :]
+                # The product form loses digits: what may be inside is computed again from differences.
+                rows, cols = np.nonzero(squares - 2 * q @ v.T <= radius**2 + 1e-9 * (1 + squares))
+                exact = np.sqrt(((q[rows] - v[cols]) ** 2).sum(1))
+                keep = exact < radius
+                rows, cols = rows[keep], cols[keep]
+                if len(rows):
+                    yield pd.DataFrame({"query_vector": list(q[rows].astype(kind)), "members": pdf["members"].to_numpy()[cols], "distance": exact[keep]})
 
     return run
 

@@ -8,6 +8,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.window import Window
 
 
 def relevant(events: DataFrame) -> DataFrame:
@@ -19,13 +20,22 @@ def relevant(events: DataFrame) -> DataFrame:
 def quiet_periods(events: DataFrame, gap: str = "30 seconds", late: str = "1 minute", keys: tuple[str, ...] = ()) -> DataFrame:
     """Bursts of events that end after a quiet ``gap``: (keys, start, end, n_events). Works on batches and streams.
 
-    ``ts`` must be a timestamp with zone; an event later than the watermark begins a burst of its own.
+    ``ts`` must be a timestamp with zone; rows without one are left out, an event later than a stream's
+    watermark begins a burst of its own. In a batch, events within one span of ``gap`` belong together, so
+    they are aggregated to one row before bursts are told apart: what is brought together, also without keys,
+    is a row for each span that has events, not the events.
     """
-    e = events.withWatermark("ts", late) if events.isStreaming else events
-    # A stream's sessions need a key, and not a literal.
-    by = list(keys) or [F.pmod(F.xxhash64("ts"), F.lit(1)).alias("_all")]
-    g = e.groupBy(*by, F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n_events"))
-    return g.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n_events")
+    if events.isStreaming:
+        # A stream's sessions need a key, and not a literal; without keys there is one session at a time.
+        by = list(keys) or [F.pmod(F.xxhash64("ts"), F.lit(1)).alias("_all")]
+        g = events.withWatermark("ts", late).groupBy(*by, F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n_events"))
+        return g.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n_events")
+    length = F.expr(f"INTERVAL {gap}")
+    spans = events.where(F.col("ts").isNotNull()).groupBy(*keys, F.window("ts", gap).alias("w")).agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy(*keys).orderBy("first")
+    new = F.coalesce(F.col("first") > F.lag("last").over(order) + length, F.lit(True))
+    numbered = spans.withColumn("_new", new.cast("int")).withColumn("_burst", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*keys, "_burst").agg(F.min("first").alias("start"), (F.max("last") + length).alias("end"), F.sum("n").alias("n_events")).drop("_burst")
 
 
 def on_each_batch(stream: DataFrame, act: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True, tolerant: bool = True) -> StreamingQuery:

@@ -131,7 +131,7 @@ def test_vectors_come_first_and_are_filtered_late(spark):
 
 def test_many_queries_agree_with_single_ones(spark, sf):
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
-    many = vec.nearest_of_many(e, e.where("vec_id % 100 = 0"), "vec_id", 3, block=2).collect()
+    many = vec.nearest_of_many(e, e.where("vec_id % 100 = 0"), "vec_id", 3).collect()
     for q in {r.query for r in many}:
         v = e.where(F.col("vec_id") == q).first()["embedding"]
         one = vec.nearest(e.where(F.col("vec_id") != q), "vec_id", v, 3).collect()

@@ -143,3 +143,21 @@ def test_failing_batches_are_reported(spark, tmp_path, capsys):
 def test_windows_over_a_log(spark):
     d = spark.createDataFrame([("2026-01-01 01:00", "kb"), ("2026-01-01 02:00", "kb"), ("2026-01-02 02:00", None)], "t string, decided_source string").select(F.col("t").cast("timestamp").alias("at"), "decided_source")
     assert sorted((str(r.start)[:10], r.decided_source, r.n) for r in watch.windowed_counts(d).collect()) == [("2026-01-01", "kb", 2), ("2026-01-02", "unknown", 1)]
+
+
+def test_quiet_periods_without_keys_bring_spans_together(spark):
+    """Bursts over many events equal those of a walk through them."""
+    import random
+
+    rng = random.Random(2)
+    at = sorted(rng.choice([rng.randrange(0, 4000), rng.randrange(0, 40) * 30]) for _ in range(400))
+    ev = spark.createDataFrame([(s,) for s in at] + [(None,)], "s int").select(F.when(F.col("s").isNotNull(), F.timestamp_seconds(F.col("s") + 1_700_000_000)).alias("ts"))
+    want, start, before, n = [], None, None, 0
+    for s in at:
+        if before is None or s > before + 30:
+            want += [(start, before + 30, n)] if n else []
+            start, n = s, 0
+        before, n = s, n + 1
+    want.append((start, before + 30, n))
+    rows = watch.quiet_periods(ev).select(F.unix_seconds("start").alias("a"), F.unix_seconds("end").alias("b"), "n_events").collect()
+    assert sorted((r.a - 1_700_000_000, r.b - 1_700_000_000, r.n_events) for r in rows) == want
