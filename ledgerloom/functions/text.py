@@ -7,6 +7,7 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,6 +105,14 @@ def analysed(text: str) -> list[str]:
     return [stemmed(t) for t in _WORD.findall(folded(text))]
 
 
+_PLAIN = regex.compile(TOKEN)
+
+
+def plain_tokens(text: str) -> list[str]:
+    """Lower-cased runs of letters and digits, as ``tokens``."""
+    return _PLAIN.findall(text.lower())
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def stemmed_tokens(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: analysed(t) if t else [])

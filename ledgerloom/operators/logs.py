@@ -121,3 +121,20 @@ def rising(log: DataFrame, order: str, n: int = 10) -> DataFrame:
     w = Window.orderBy(order)  # over at most n rows
     rows = log.orderBy(F.desc(order)).limit(n).withColumn("before", F.lag("duration_ms").over(w))
     return rows.agg(F.coalesce(F.bool_and(F.coalesce(F.col("duration_ms") >= F.col("before"), F.lit(True))), F.lit(True)).alias("rises"))
+
+
+def followed(log: DataFrame, key: str, order: str, value: str, block: int = 100_000) -> DataFrame:
+    """``log`` with ``next_value``: the value of the next row of the same ``key`` by ``order``, an integer unique in a key.
+
+    Rows of a key are taken in blocks of ``block`` consecutive orders, so a key with very many rows is no single
+    task's; the last row of a block looks up the first of the key's next block, of which there is one row each.
+    A null key is a key of its own.
+    """
+    rows = log.withColumn("_block", F.floor(F.col(order) / block))
+    inner = Window.partitionBy(key, "_block").orderBy(order)
+    rows = rows.withColumns({"_next": F.lead(F.struct(F.col(value).alias("v"))).over(inner), "_last": F.lead(order).over(inner).isNull()})
+    heads = rows.groupBy(F.col(key).alias("_key"), "_block").agg(F.min_by(F.struct(F.col(value).alias("v")), order).alias("_head"))
+    after = Window.partitionBy("_key").orderBy("_block")
+    heads = heads.withColumn("_after", F.lead("_head").over(after)).select("_key", F.col("_block").alias("_b"), "_after").where("_after is not null")
+    joined = rows.join(heads, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_b")) & F.col("_last"), "left")
+    return joined.withColumn("next_value", F.coalesce("_next", "_after")["v"]).drop("_block", "_next", "_last", "_key", "_b", "_after")

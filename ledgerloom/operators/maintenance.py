@@ -31,6 +31,38 @@ def recurring(items: DataFrame, action: str, cycles: DataFrame, key: str = "cycl
     return rows.groupBy("item_value").agg(F.count_distinct(key).alias("n_cycles")).where(F.col("n_cycles") >= least)
 
 
+def numbered_cycles(log: DataFrame, key: str = "cycle_id") -> DataFrame:
+    """(key, n): cycles numbered from 0 in their order; prefix sums over hashed ranges are not needed, as a log has one row a cycle."""
+    return log.where(F.col(key).isNotNull()).select(key).distinct().withColumn("n", F.row_number().over(Window.orderBy(key)) - 1)
+
+
+def recurring_by_audit(items: DataFrame, log: DataFrame, actions: tuple[str, ...], key: str = "cycle_id", every: int = 10, least: int = 3) -> DataFrame:
+    """(audit, action, item_value, n_cycles): the values that an audit after each ``every`` cycles finds in at least ``least`` of them."""
+    cycles = numbered_cycles(log, key).select(key, F.floor(F.col("n") / every).cast("int").alias("audit"))
+    rows = items.where(F.col("action").isin(*actions) & (F.col("probe_no") < 0) & F.col("item_value").isNotNull()).join(cycles, key)
+    found = rows.groupBy("audit", "action", "item_value").agg(F.count_distinct(key).alias("n_cycles"))
+    return found.where(F.col("n_cycles") >= least)
+
+
+def unsettled(items: DataFrame, log: DataFrame, key: str = "cycle_id", every: int = 10) -> DataFrame:
+    """(audit, n_transients, n_repairs, unsettled): whether more failures of an audit's cycles were passing than repaired."""
+    cycles = numbered_cycles(log, key).select(key, F.floor(F.col("n") / every).cast("int").alias("audit"))
+    n = lambda a: F.count_if((F.col("action") == a) & (F.col("probe_no") < 0))
+    sums = cycles.join(items.select(key, "action", "probe_no"), key, "left").groupBy("audit").agg(n("transients").alias("n_transients"), n("quality_repairs").alias("n_repairs"))
+    return sums.withColumn("unsettled", F.col("n_transients") > F.col("n_repairs"))
+
+
+def since_last_cycle(log: DataFrame, cycles: DataFrame, at: str = "at") -> DataFrame:
+    """Contested recalls and those without an answer from after the last cycle, as (all columns, finding); all if there was no cycle.
+
+    Rows without a time are none. ``at`` is the time in both, as a number.
+    """
+    last = cycles.agg(F.max(at)).first()[0]
+    kind = F.when(F.col("decided_source") == "contested", "contested").when(F.col("decided_source") == "none", "gap")
+    rows = log.where(F.col(at).isNotNull() & kind.isNotNull()).withColumn("finding", kind)
+    return rows if last is None else rows.where(F.col(at) > F.lit(last))
+
+
 def last_cycles(log: DataFrame, n: int = 10, key: str = "cycle_id") -> DataFrame:
     return log.select(key).distinct().orderBy(F.desc(key)).limit(n)
 
@@ -41,12 +73,7 @@ def current(files: DataFrame, edges: DataFrame) -> DataFrame:
     return files.join(gone, "path", "left_anti")
 
 
-def still_split(log: DataFrame, least: int = 2) -> DataFrame:
-    """Questions whose recalls were decided as contested at least ``least`` times."""
-    return log.where("decided_source = 'contested' and question is not null").groupBy("question").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-
-
-def near_duplicates(found: DataFrame, least: float = 0.7) -> DataFrame:
-    """Pairs of a query and its nearest rows whose similarity ``1 - d / 2`` exceeds ``least``."""
-    sim = F.greatest(F.lit(0.0), 1 - F.col("distance") / 2)
-    return found.withColumn("similarity", sim).where(F.col("similarity") > least)
+def still_split(log: DataFrame, least: int = 2, by: str = "question") -> DataFrame:
+    """Questions (or other values of a column) whose recalls were decided as contested at least ``least`` times."""
+    rows = log.where((F.col("decided_source") == "contested") & F.col(by).isNotNull())
+    return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.functions.text import analysed
+from ledgerloom.functions.text import analysed, plain_tokens
 from ledgerloom.runtime import written
 
 POOL = 50
@@ -171,18 +171,26 @@ def pending(files: DataFrame, vectors: DataFrame, key: str = "path") -> DataFram
     return files.join(vectors.select(key), key, "left_anti")
 
 
-def hashed_embedder(size: int = 384) -> Callable[[Column], Column]:
-    """A deterministic embedder: signed feature hashing of stemmed tokens, length 1."""
+def hashed_embedder(size: int = 384, stem: bool = True) -> Callable[[Column], Column]:
+    """A deterministic embedder: signed feature hashing (MD5) of tokens, stemmed or as they are, length 1."""
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(texts: pd.Series) -> pd.Series:
-        import xxhash
+        import hashlib
+
+        places: dict[str, tuple[int, float]] = {}  # of the batch's words
+
+        def place(w: str) -> tuple[int, float]:
+            if w not in places:
+                h = hashlib.md5(w.encode("utf-8", "replace")).digest()
+                places[w] = int.from_bytes(h[:4], "big") % size, 1.0 if h[4] & 1 else -1.0
+            return places[w]
 
         def one(t: str | None) -> np.ndarray:
             v = np.zeros(size, np.float32)
-            for w in analysed(t or ""):
-                h = xxhash.xxh64_intdigest(w)
-                v[h % size] += 1.0 if h >> 63 else -1.0
+            for w in analysed(t or "") if stem else plain_tokens(t or ""):
+                at, sign = place(w)
+                v[at] += sign
             n = np.linalg.norm(v)
             return v / n if n else v
 

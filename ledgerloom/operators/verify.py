@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.runtime import written
+
 UNKNOWN = "DONT-KNOW"
 RESULT = "path string, id int, mode string, question string, expected string, candidate string, grade string, passed boolean, error string"
 
@@ -72,8 +74,33 @@ def lift_report(results: DataFrame) -> DataFrame:
     return g.select("path", "naked", "injected", "total", lift.alias("lift"), note.alias("note"), (F.col("injected") == F.col("total")).alias("success"))
 
 
-def pass_counts(results: DataFrame) -> DataFrame:
-    return results.groupBy("path", "mode").agg(F.count_if("passed").alias("n_pass"), F.count(F.lit(1)).alias("n_total"))
+def run_totals(results: DataFrame) -> DataFrame:
+    """Per document and mode: tests passed, all tests, whether all passed."""
+    g = results.groupBy("path", "mode").agg(F.count_if("passed").alias("n_pass"), F.count(F.lit(1)).alias("n_total"))
+    return g.withColumn("success", F.col("n_pass") == F.col("n_total"))
+
+
+def paired(results: DataFrame) -> DataFrame:
+    """Per test its result without and with the document: (path, id, question, expected, naked, injected, change).
+
+    ``change`` is gained, lost or same. Tests that share an id are told apart by their question and answer; rows of a
+    test that was not run in a mode have null there.
+    """
+    ran = lambda m: F.bool_or(F.when(F.col("mode") == m, F.col("passed")))
+    g = results.groupBy("path", "id", "question", "expected").agg(ran("naked").alias("naked"), ran("injected").alias("injected"))
+    change = F.when(F.col("injected") & ~F.col("naked"), "gained").when(F.col("naked") & ~F.col("injected"), "lost").otherwise("same")
+    return g.withColumn("change", change)
+
+
+def reprobed(tests: DataFrame, docs: DataFrame, retrieve: Callable[[str | None, str], str] = extractive, again: Callable[[str | None, str], str] | None = None, grade: Callable[[str, str], str] = containing) -> DataFrame:
+    """(path, id, q, a, outcome): each test probed, and where it fails probed once more, by ``again`` (a retriever, else the same).
+
+    ``ok`` passed at once, ``transient`` only the second time, ``repair`` not at all: its document needs work.
+    """
+    first = written(evaluated(tests, docs, ("injected",), retrieve, grade).select("path", "id", F.col("question").alias("q"), F.col("expected").alias("a"), "passed"), "probes")
+    failed = first.where(~F.col("passed")).drop("passed")
+    second = evaluated(failed, docs, ("injected",), again or retrieve, grade).select("path", "id", F.col("question").alias("q"), F.col("expected").alias("a"), F.when(F.col("passed"), "transient").otherwise("repair").alias("outcome"))
+    return first.where("passed").select("path", "id", "q", "a", F.lit("ok").alias("outcome")).unionByName(second)
 
 
 def cascade(edges: DataFrame, tests: DataFrame, target: str, seed: int = 0) -> DataFrame:
@@ -81,5 +108,5 @@ def cascade(edges: DataFrame, tests: DataFrame, target: str, seed: int = 0) -> D
     from pyspark.sql.window import Window
 
     linkers = edges.where(F.col("dst") == target).select(F.col("src").alias("path")).distinct()
-    drawn = F.row_number().over(Window.partitionBy("path").orderBy(F.xxhash64("path", "id", F.lit(seed)), "id"))
+    drawn = F.row_number().over(Window.partitionBy("path").orderBy(F.md5(F.concat_ws("/", "path", "id", "q", F.lit(seed))), "id", "q", "a"))
     return tests.join(linkers, "path", "left_semi").withColumn("n", drawn).where("n = 1").drop("n")

@@ -12,6 +12,7 @@ from ledgerloom.operators import folders, graph, links, logs, maintenance, searc
 from ledgerloom.operators import vectors as vec
 from ledgerloom.operators.nested import flattened
 from ledgerloom.operators.textindex import TextIndex, top
+from ledgerloom.plans.cleaning import _NESTED, _VALUE
 from ledgerloom.runtime import work_dir
 from ledgerloom.sources import markdown, tables
 from ledgerloom.streaming import watch
@@ -232,7 +233,9 @@ def superseded_filter(spark, sf):
     return maintenance.current(tables.files(spark, sf), tables.edges(spark, sf)).select("path")
 
 
-@query()
+@query("""
+  SELECT path, id, q, a FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY md5(concat_ws('/', path, id, q, 0)), id, q, a) AS r FROM (
+    SELECT DISTINCT path, id, q, a FROM tests WHERE path IN (SELECT src FROM edges WHERE dst = """ + _HUB + """))) WHERE r = 1""")
 def cascade_tests(spark, sf):
     return verify.cascade(tables.edges(spark, sf), tables.table(spark, sf, "tests").distinct(), _hub(spark, sf))
 
@@ -294,13 +297,6 @@ def pending_embeddings(spark, sf):
     return vec.pending(tables.files(spark, sf).select("path"), have)
 
 
-@query()
-def embed_hash(spark, sf):
-    docs = tables.table(spark, sf, "documents").select("doc_id", "text").distinct()
-    none = spark.createDataFrame([], "doc_id bigint, embedding array<float>")
-    return vec.backfill(docs, none, "text", vec.hashed_embedder(), key="doc_id")
-
-
 # ---- fused search
 
 _KB = "(SELECT path, max_by(text, doc_id) AS body FROM (SELECT DISTINCT doc_id, path, text FROM documents WHERE path IS NOT NULL AND text IS NOT NULL) GROUP BY path)"
@@ -440,13 +436,15 @@ def _items(spark: SparkSession, sf: str) -> DataFrame:
     return flattened(tables.table(spark, sf, "dream_log").select("cycle_id", "actions").distinct(), "actions", ["cycle_id"])
 
 
-@query()
+@query(f"""{_NESTED} SELECT item_value, count(DISTINCT cycle_id) AS n_cycles FROM (SELECT cycle_id, {_VALUE.format('e')} AS item_value FROM i WHERE action = 'quality_repairs')
+  WHERE item_value IS NOT NULL AND cycle_id IN (SELECT cycle_id FROM (SELECT DISTINCT cycle_id FROM dream_log) ORDER BY cycle_id DESC LIMIT 10) GROUP BY item_value HAVING count(DISTINCT cycle_id) >= 3""")
 def chronic_repairs(spark, sf):
     items = _items(spark, sf)
     return maintenance.recurring(items, "quality_repairs", maintenance.last_cycles(tables.table(spark, sf, "dream_log"), 10))
 
 
-@query()
+@query(f"""{_NESTED} SELECT cycle_id, count_if(action = 'coverage_ingests')::BIGINT AS ingest, count_if(action = 'quality_repairs')::BIGINT AS repair, count_if(action = 'staleness_supersedes')::BIGINT AS supersede,
+    count_if(action = 'contested_resolved')::BIGINT AS contested, count_if(action = 'transients')::BIGINT AS transient FROM i GROUP BY cycle_id""")
 def action_sizes(spark, sf):
     return logs.action_sizes(_items(spark, sf), ["cycle_id"])
 

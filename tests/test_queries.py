@@ -1,11 +1,11 @@
 import pytest
 
 import __spark_entry__ as entry
-from ledgerloom.plans import cleaning, retrieval
+from ledgerloom.plans import audits, cleaning, retrieval
 from tests.oracle import agree
 
-QUERIES = cleaning.QUERIES | retrieval.QUERIES
-ORACLE = cleaning.ORACLE | retrieval.ORACLE
+QUERIES = cleaning.QUERIES | retrieval.QUERIES | audits.QUERIES
+ORACLE = cleaning.ORACLE | retrieval.ORACLE | audits.ORACLE
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
