@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SOURCES = ("kb", "web", "weights", "none")
-_ISO = r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?)(Z|[+-]\d{2}:\d{2})?)?$"
+_ISO = r"^(\d{4}-\d{2}-\d{2}|\d{8})(?:[^0-9](\d{2}(?::?\d{2}(?::?\d{2}(?:[.,]\d+)?)?)?)(?: ?(Z|[+-]\d{2}(?::?\d{2}(?::?\d{2}(?:\.\d+)?)?)?))?)?$"
 
 
 def parse_window(s: str) -> timedelta:
@@ -37,12 +37,20 @@ def view_since(since: str | None) -> datetime | None:
 
 
 def iso_micros(c: Column) -> Column:
-    """Microseconds of an ISO time string; without offset it is UTC; null if it is none."""
-    date, time, zone = (F.regexp_extract(c, _ISO, i) for i in (1, 2, 3))
-    clock = F.when(time == "", "00:00:00").when(F.length(time) == 5, F.concat(time, F.lit(":00"))).otherwise(time)
-    wall = F.unix_micros(F.concat(F.nullif(date, F.lit("")), F.lit("T"), clock, F.lit("Z")).try_cast("timestamp"))
-    minutes = F.when(F.length(zone) == 6, F.substring(zone, 2, 2).cast("int") * 60 + F.substring(zone, 5, 2).cast("int")).otherwise(0)
-    return wall - F.when(zone.startswith("-"), -minutes).otherwise(minutes).cast("bigint") * 60_000_000
+    """Microseconds of an ISO time string; without offset it is UTC; null if it is none.
+
+    Dates and times may be written with or without their marks, any one character may stand between them, minutes
+    and seconds may be absent, and digits finer than a microsecond are cut off. Dates by week are none.
+    """
+    date, time, zone = (F.translate(F.regexp_extract(c, _ISO, i), marks, "") for i, marks in ((1, "-"), (2, ":"), (3, ":")))
+    part = lambda s, at: F.coalesce(F.nullif(F.substring(s, at, 2), F.lit("")), F.lit("00"))
+    clock = F.concat_ws(":", part(time, 1), part(time, 3), part(time, 5))
+    fraction = F.rpad(F.regexp_extract(time, r"[.,](\d{1,6})", 1), 6, "0")
+    day = F.concat_ws("-", F.substring(date, 1, 4), F.substring(date, 5, 2), F.substring(date, 7, 2))
+    wall = F.unix_micros(F.when(date != "", F.concat(day, F.lit("T"), clock, F.lit("."), fraction, F.lit("Z"))).try_cast("timestamp"))
+    seconds = part(zone, 2).try_cast("int") * 3600 + part(zone, 4).try_cast("int") * 60 + part(zone, 6).try_cast("int")
+    east = F.when(zone.startswith("-"), -seconds).when(zone.startswith("+"), seconds).otherwise(0)
+    return wall - east.cast("bigint") * 1_000_000
 
 
 def _from(since: datetime) -> Column:

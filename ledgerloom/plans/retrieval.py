@@ -353,9 +353,13 @@ def metadata_topk(spark, sf):
 
 SINCE = datetime(2025, 6, 1, tzinfo=timezone.utc)
 _R = "(SELECT DISTINCT rec_id, ts, question, topic_hint, probes.web.url AS url, reconciliation_pattern, decided_source, ingested, duration_ms FROM recall_log)"
-_US = r"""(CASE WHEN regexp_matches(ts, '^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:\d{2})?)?$') THEN
-  epoch_us(TRY_CAST(substr(ts, 1, 10) || ' ' || CASE WHEN length(ts) = 10 THEN '00:00:00' ELSE regexp_extract(ts, '^.{11}(\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)', 1) || CASE WHEN regexp_matches(ts, '^.{11}\d{2}:\d{2}(Z|[+-]|$)') THEN ':00' ELSE '' END END AS TIMESTAMP))
-  - CASE WHEN regexp_matches(ts, '[T ].*[+-]\d{2}:\d{2}$') THEN (CASE WHEN substr(ts, length(ts) - 5, 1) = '-' THEN -1 ELSE 1 END) * (substr(ts, length(ts) - 4, 2)::BIGINT * 60 + substr(ts, length(ts) - 1, 2)::BIGINT) * 60000000 ELSE 0 END END)"""
+_ISO = logs._ISO
+_D8, _T6, _Z6 = (f"replace(regexp_extract(ts, '{_ISO}', {i}), '{m}', '')" for i, m in ((1, "-"), (2, ":"), (3, ":")))
+_PART = "coalesce(nullif(substr({0}, {1}, 2), ''), '00')"
+_US = f"""(CASE WHEN regexp_matches(ts, '{_ISO}') THEN
+  epoch_us(TRY_CAST(substr({_D8}, 1, 4) || '-' || substr({_D8}, 5, 2) || '-' || substr({_D8}, 7, 2) || ' ' || {_PART.format(_T6, 1)} || ':' || {_PART.format(_T6, 3)} || ':' || {_PART.format(_T6, 5)}
+    || '.' || rpad(regexp_extract({_T6}, '[.,](\\d{{1,6}})', 1), 6, '0') AS TIMESTAMP))
+  - CASE WHEN {_Z6} LIKE '_%' AND {_Z6} <> 'Z' THEN (CASE WHEN {_Z6} LIKE '-%' THEN -1 ELSE 1 END) * ({_PART.format(_Z6, 2)}::BIGINT * 3600 + {_PART.format(_Z6, 4)}::BIGINT * 60 + {_PART.format(_Z6, 6)}::BIGINT) * 1000000 ELSE 0 END END)"""
 _SINCE_US = round(SINCE.timestamp() * 1_000_000)
 
 

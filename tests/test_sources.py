@@ -161,3 +161,22 @@ def test_quiet_periods_without_keys_bring_spans_together(spark):
     want.append((start, before + 30, n))
     rows = watch.quiet_periods(ev).select(F.unix_seconds("start").alias("a"), F.unix_seconds("end").alias("b"), "n_events").collect()
     assert sorted((r.a - 1_700_000_000, r.b - 1_700_000_000, r.n_events) for r in rows) == want
+
+
+def test_iso_times_are_read_as_the_standard_library_reads_them(spark):
+    from datetime import datetime, timezone
+
+    from ledgerloom.operators import logs
+
+    texts = ["2026-05-01", "20260501", "2026-05-01T10", "2026-05-01 10:30", "20260501T103059", "2026-05-01x10:30:59.1234567", "2026-05-01T10:30:59,5+0530", "2026-05-01T10:30-02", "2026-05-01T10:30:00Z", "2026-05-01T10:30:00+01:00:30",
+             "2026-13-01", "2026-02-30T10:00", "2026-05-01T25:00", "2026-5-1", "soon", "", "2026-05-01T10:30:00 +01:00", "1750967268000", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", logs.iso_micros(F.col("t")).alias("us")).orderBy("i").collect()
+
+    def want(t):
+        try:
+            d = datetime.fromisoformat(t.replace("Z", "+00:00"))
+        except (ValueError, AttributeError):
+            return None
+        return round((d if d.tzinfo else d.replace(tzinfo=timezone.utc)).timestamp() * 1_000_000)
+
+    assert [r.us for r in rows] == [want(t) for t in texts]
