@@ -32,7 +32,12 @@ FLAT = ((0.0, 1.0), (1.0, 1.0))
 
 
 def token_counts(docs: DataFrame, keys: Sequence[str], text: str = "text", tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
-    """``keys`` and ``n_tokens`` of whole texts by a public byte-level tokenizer file of ranks."""
+    """``keys`` and ``n_tokens`` of whole texts by a public byte-level tokenizer file of ranks.
+
+    The file is read here and sent to the executors (below a megabyte), which need not have it.
+    """
+    with open(tokenizer, "rb") as f:
+        file = docs.sparkSession.sparkContext.broadcast(f.read())
     schema = T.StructType([docs.schema[k] for k in keys] + [T.StructField("n_tokens", T.LongType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -40,8 +45,7 @@ def token_counts(docs: DataFrame, keys: Sequence[str], text: str = "text", token
 
         import tiktoken
 
-        with open(tokenizer, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file.value.splitlines())}
         enc = tiktoken.Encoding("counted", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for pdf in batches:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in pdf["__text"]]
