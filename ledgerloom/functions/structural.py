@@ -22,6 +22,48 @@ _SPACE = np.isin(np.arange(256), list(b" \t\n\r"))
 _ESCAPES = np.isin(np.arange(256), list(b'"\\/bfnrtu'))
 _HEX = np.isin(np.arange(256), list(b"0123456789abcdefABCDEF"))
 _SCALAR = re.compile(rb"(?:-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null)\Z")
+#: Scalars up to this length are read side by side, a byte of each at a time; longer ones, all of them numbers, singly.
+_WIDE = 32
+
+
+def _number_steps() -> np.ndarray:
+    """The next state by state and byte of a number: 0 fault, 1 start, 2 after the sign, 3 zero, 4 whole digits, 5 point, 6 fraction, 7 e, 8 its sign, 9 exponent."""
+    steps = np.zeros((10, 256), np.uint8)
+    digits, nonzero = list(range(0x30, 0x3A)), list(range(0x31, 0x3A))
+    for state, to in ((1, 3), (2, 3)):
+        steps[state, 0x30] = to
+        steps[state, nonzero] = 4
+    steps[1, ord("-")] = 2
+    for state, to in ((4, 4), (5, 6), (6, 6), (7, 9), (8, 9), (9, 9)):
+        steps[state, digits] = to
+    for state in (3, 4, 6):
+        steps[state, [ord("e"), ord("E")]] = 7
+    steps[[3, 4], ord(".")] = 5
+    steps[7, [ord("+"), ord("-")]] = 8
+    return steps
+
+
+_STEPS = _number_steps()
+_WORDS = [np.frombuffer(w, np.uint8) for w in (b"true", b"false", b"null")]
+
+
+def _fine_scalars(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether each span is a number, true, false or null."""
+    size = end - start
+    fine = np.zeros(len(start), bool)
+    long = np.flatnonzero(size > _WIDE)
+    fine[long] = [bool(_SCALAR.match(buf[start[i] : end[i]].tobytes())) for i in long]
+    todo = np.flatnonzero(size <= _WIDE)
+    for word in _WORDS:
+        at = todo[size[todo] == len(word)]
+        fine[at] |= (buf[start[at][:, None] + np.arange(len(word))] == word).all(axis=1)
+    at = todo[~fine[todo]]
+    state = np.ones(len(at), np.uint8)
+    for k in range(int(size[at].max()) if len(at) else 0):
+        live = size[at] > k
+        state[live] = _STEPS[state[live], buf[start[at[live]] + k]]
+    fine[at] = np.isin(state, (3, 4, 6, 9))
+    return fine
 
 
 class Index:
@@ -59,8 +101,10 @@ class Index:
         # Faults within strings.
         fault = inside & (buf < 0x20)
         fault |= inside & escaped & ~_ESCAPES[buf]
-        for p in np.flatnonzero(inside & escaped & (buf == 0x75)):
-            fault[p] |= not _HEX[buf[p + 1 : p + 5]].all() or p + 4 >= size
+        u = np.flatnonzero(inside & escaped & (buf == 0x75))
+        if len(u):
+            four = u[:, None] + np.arange(1, 5)
+            fault[u] |= ~(_HEX[buf[np.minimum(four, size - 1)]] & (four < size)).all(axis=1)
         bad[doc_of[fault]] = True
 
         op = ~inside & ~quote & (_OPS[buf] != 255)
@@ -80,13 +124,7 @@ class Index:
         c = np.flatnonzero(kind == SCALAR)
         stop = np.flatnonzero(scalar & ~np.append(scalar[1:], False)) if size else pos
         end[c] = stop[np.searchsorted(stop, pos[c])] + 1 if len(c) else end[c]
-        fine: dict[bytes, bool] = {}
-        for i in c:
-            t = data[pos[i] : end[i]]
-            if t not in fine:
-                fine[t] = bool(_SCALAR.match(t))
-            if not fine[t]:
-                bad[doc[i]] = True
+        bad[doc[c[~_fine_scalars(buf, pos[c], end[c])]]] = True
 
         # Depth by prefix sums; the level of a bracket is that of the value it delimits.
         opener, closer = (kind == OPEN_OBJ) | (kind == OPEN_ARR), (kind == CLOSE_OBJ) | (kind == CLOSE_ARR)
@@ -206,38 +244,60 @@ class Index:
         return self.data[a:b].decode("utf-8", "replace")
 
 
-def unwrapped(texts: list[bytes], list_names: tuple[str, ...]) -> list[bytes]:
-    """Texts in which whole values, and lists under ``list_names``, held as JSON texts are written out.
+def _inner(ix: Index, list_names: tuple[str, ...]) -> dict[int, list[tuple[int, int, bytes]]]:
+    """By text the spans of whole values, and of lists under ``list_names``, that are held as JSON texts, and these texts."""
+    at = np.zeros(len(ix.start), bool)
+    for name in list_names:
+        at |= ix.named(name)
+    at |= ix.parent < 0
+    at &= ix.kind == STRING
+    inner = [(i, ix.text(i).strip().encode("utf-8", "replace")) for i in np.flatnonzero(at)]
+    inner = [(i, t) for i, t in inner if t[:1] == b"[" or (t[:1] in (b"{", b'"') and ix.parent[i] < 0)]
+    good = Index([t for _, t in inner]).valid if inner else []
+    splices: dict[int, list[tuple[int, int, bytes]]] = {}
+    for (i, t), v in zip(inner, good):
+        if v:
+            splices.setdefault(int(ix.doc[i]), []).append((int(ix.start[i]) - 1, int(ix.end[i]) + 1, t))
+    return splices
 
-    Repeated until no text changes, however often one is wrapped; each round makes the texts it changes shorter.
+
+def _spliced(ix: Index, d: int, cuts: list[tuple[int, int, bytes]]) -> bytes:
+    """Text ``d`` with the given spans written out."""
+    a = int(ix.start[ix.root[d]]) - (ix.kind[ix.root[d]] == STRING)
+    b = int(ix.end[ix.root[d]]) + (ix.kind[ix.root[d]] == STRING)
+    parts, here = [], a
+    for x, y, t in sorted(cuts):
+        parts += [ix.data[here:x], t]
+        here = y
+    return b"".join([*parts, ix.data[here:b]])
+
+
+def indexed(texts: list[bytes], list_names: tuple[str, ...]) -> list[tuple[Index, np.ndarray]]:
+    """Indexes that together hold all texts, each with the numbers of its texts, with texts within texts written out.
+
+    Only texts that hold others are indexed again, until none does, however often one is wrapped: each round makes
+    the texts it changes shorter. A text is left to the index in which nothing in it is wrapped; in the ones before
+    it is marked as having no root.
     """
+    out, numbers = [], np.arange(len(texts))
+    while len(numbers):
+        ix = Index(texts)
+        splices = _inner(ix, list_names)
+        again = sorted(splices)
+        texts = [_spliced(ix, d, splices[d]) for d in again]
+        ix.root[again] = -1
+        out.append((ix, numbers))
+        numbers = numbers[again]
+    return out
+
+
+def unwrapped(texts: list[bytes], list_names: tuple[str, ...]) -> list[bytes]:
+    """Texts in which whole values, and lists under ``list_names``, held as JSON texts are written out."""
     texts, todo = list(texts), list(range(len(texts)))
     while todo:
         ix = Index([texts[i] for i in todo])
-        at = np.zeros(len(ix.start), bool)
-        for name in list_names:
-            at |= ix.named(name)
-        at |= ix.parent < 0
-        at &= ix.kind == STRING
-        nodes = np.flatnonzero(at)
-        inner = [(i, ix.text(i).strip().encode("utf-8", "replace")) for i in nodes]
-        inner = [(i, t) for i, t in inner if t[:1] == b"[" or (t[:1] in (b"{", b'"') and ix.parent[i] < 0)]
-        good = Index([t for _, t in inner]).valid if inner else []
-        splices: dict[int, list[tuple[int, int, bytes]]] = {}
-        for (i, t), v in zip(inner, good):
-            if v:
-                splices.setdefault(int(ix.doc[i]), []).append((int(ix.start[i]) - 1, int(ix.end[i]) + 1, t))
-        if not splices:
-            break
-        redo = []
+        splices = _inner(ix, list_names)
         for d, cuts in splices.items():
-            a = int(ix.start[ix.root[d]]) - (ix.kind[ix.root[d]] == STRING)
-            b = int(ix.end[ix.root[d]]) + (ix.kind[ix.root[d]] == STRING)
-            parts, here = [], a
-            for x, y, t in sorted(cuts):
-                parts += [ix.data[here:x], t]
-                here = y
-            texts[todo[d]] = b"".join([*parts, ix.data[here:b]])
-            redo.append(todo[d])
-        todo = redo
+            texts[todo[d]] = _spliced(ix, d, cuts)
+        todo = [todo[d] for d in splices]
     return texts

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.functions.structural import OPEN_ARR, OPEN_OBJ, STRING, Index, unwrapped
+from ledgerloom.functions.structural import OPEN_ARR, OPEN_OBJ, STRING, Index, indexed
 
 #: Bytes of text that are indexed at once; a longer text is indexed alone.
 CHUNK = 1 << 20
@@ -62,7 +62,14 @@ def _elements(ix: Index, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 def rows_of(texts: list[bytes], shape: Nesting) -> pd.DataFrame:
     """Rows (doc, list, one position per level, value) of valid texts; deeper positions are -1."""
-    ix = Index(unwrapped(texts, shape.tops + shape.below))
+    parts = []
+    for ix, numbers in indexed(texts, shape.tops + shape.below):
+        rows = _rows(ix, shape)
+        parts.append(rows.assign(doc=numbers[rows["doc"].to_numpy()]))
+    return pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
+
+
+def _rows(ix: Index, shape: Nesting) -> pd.DataFrame:
     levels = len(shape.names)
     tops, names = [], []
     of_root = np.zeros(len(ix.start), bool)
