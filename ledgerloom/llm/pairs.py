@@ -467,7 +467,7 @@ def label_models(counts: dict[str, Counts], labelled: list[tuple[str, dict[str,
 def _votes_on(spark, pairs: Sequence[tuple], model: Trigrams) -> list[tuple[str, dict[str, int]]]:
     """The votes on labelled pairs (some dozens, written in this module)."""
     df = spark.createDataFrame([(i, q, a) for i, (q, a, _) in enumerate(pairs)], "_i int, q string, a string").coalesce(1)
-    return [(pairs[r["_i"]][2], {d: r[d] for d in DEFECTS}) for r in voted(df, ["_i"], model).collect()]
+    return [(pairs[r["_i"]][2], {d: r[d] for d in DEFECTS}) for r in sorted(voted(df, ["_i"], model).collect(), key=lambda r: r["_i"])]
 
 
 def defects(pairs: DataFrame, keys: Sequence[str] = ("path", "id")) -> DataFrame:
@@ -480,8 +480,8 @@ def defects(pairs: DataFrame, keys: Sequence[str] = ("path", "id")) -> DataFrame
     counts: dict[str, Counts] = {d: {} for d in DEFECTS}
     for r in stacked.groupBy("defect", "code").count().collect():  # at most 3**6 patterns a defect
         counts[r["defect"]][decoded(r["code"], SIZES[r["defect"]])] = r["count"]
-    marks = []
-    for d, (fitted, cut) in label_models(counts, _votes_on(spark, LABELLED, model), _votes_on(spark, VALIDATION, model)).items():
+    marks, known = [], _votes_on(spark, LABELLED + VALIDATION, model)
+    for d, (fitted, cut) in label_models(counts, known[: len(LABELLED)], known[len(LABELLED) :]).items():
         over = {sum((x + 1) * 3**i for i, x in enumerate(v)): p for v in counts[d] if (p := fitted.posterior(v)) > cut}
         post = F.create_map(*[F.lit(x) for kv in over.items() for x in kv]) if over else F.create_map(F.lit(-1), F.lit(0.0))
         marks.append(F.struct(F.lit(d).alias("defect"), F.try_element_at(post, F.col(d)).alias("posterior")))

@@ -115,13 +115,13 @@ class TermCounts:
             kept = self.table()
             self.buckets = -(-(n + kept.count()) // self.per_bucket)
         bucket = F.pmod(F.xxhash64("field", "term"), F.lit(self.buckets)).cast("int")
-        touched = [r[0] for r in changed.select(bucket.alias("bucket")).distinct().collect()]  # at most one row a partition
+        touched = list(range(self.buckets)) if grown else [r[0] for r in changed.select(bucket.alias("bucket")).distinct().collect()]  # at most one row a partition
         old = kept if grown else self._read([b for b in touched if b in self.folders])
         merged = old.unionByName(changed).groupBy("field", "term").agg(F.sum("n_occ").alias("n_occ"), F.sum("n_rec").alias("n_rec"))
         merged = merged.where("n_occ <> 0 or n_rec <> 0").withColumn("bucket", bucket)
         self.version += 1
         out = f"{self.path}/v{self.version}"
-        merged.repartition(self.buckets if grown else len(touched), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(out)
+        merged.repartition(len(touched), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(out)
         # A partition whose terms all fell to zero has no folder.
         full = [r[0] for r in self.spark.read.schema(self.SCHEMA + ", bucket int").parquet(out).select("bucket").distinct().collect()]
         before = set(self.folders.values())
