@@ -78,7 +78,7 @@ UNWILLING = (
 UNWILLING_JA = "できません|られません|しかねます|控えさせ"
 ACTS = (
     "help|answer|answering|assist|say|comment|discuss|provide|share|sharing|speculate|decline|fulfilled|processed"
-    "|sagen|beantworten|helfen|auskunft|angaben|répondre|aider|abstenir|dire|responder|ayudar|contestar|hablar|decir|ответить|помочь|сказать|обсуждать"
+    "|sagen|beantworten|helfen|auskunft|angaben|répondre|aider|m['’]abstenir|dire|responder|ayudar|contestar|hablar|decir|ответить|помочь|сказать|обсуждать"
 )
 ACTS_JA = "答え|手伝い|回答"
 SELF = r"i|me|my|we|us|i['’]\S+|(?:this|that) (?:one|request|question|topic|matter)|ich|mir|je|j['’]\S+|moi|puedo|prefiero|estoy|siento|yo|me está|я|мне|могу|вправе"

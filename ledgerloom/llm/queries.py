@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm import pairs
 from ledgerloom.llm import percentiles as pct
 from ledgerloom.llm import terms
 from ledgerloom.llm.leakage import leaks
@@ -196,9 +197,54 @@ _LEAKS = f"""
   SELECT DISTINCT doc_id, item_id FROM dw JOIN hw USING (g) UNION SELECT DISTINCT doc_id, item_id FROM dc JOIN hc USING (g)
 """
 
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _pairs_sql() -> str:
+    """The defects by plain rules: what the votes are about, without rates; languages by script and function words only."""
+    shown = lambda c: rf"regexp_replace(regexp_replace(replace(replace(coalesce({c}, ''), chr(10), ' '), chr(9), ' '), '[\p{{Cf}}\p{{Cc}}\p{{Zl}}\p{{Zp}}]+', '', 'g'), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+    words = lambda c: f"regexp_extract_all(lower({c}), {_quoted(pairs._WORD)})"
+    joined = lambda c: f"' ' || array_to_string({c}, ' ') || ' '"
+    neg = _quoted(pairs.NEGATIVE_TEST)
+    unwilling = pairs.UNWILLING.replace("(?= (?:on|about|from) )", " (?:on|about|from)").replace("|no comment(?= $)", "")
+    said = lambda pattern, ja="": f"(regexp_matches(t, {_quoted(f' (?:{pattern}) ')})" + (f" OR kana AND regexp_matches(sa, {_quoted(ja)})" if ja else "") + ")"
+    quoted = r"«[^«»]*»|“[^“”]*”|„[^„“”]*[“”]|「[^「」]*」|『[^『』]*』|‹[^‹›]*›|\"[^\"]*\""
+    file = r"[\w./-]+\.(?:md|txt|html?|json|ya?ml|csv)\b|https?://\S+"
+    bare_script = lambda c: rf"CASE WHEN regexp_matches({c}, '[\x{{3040}}-\x{{30FF}}]') THEN 'ja' WHEN length(regexp_replace(regexp_replace({c}, '\b\p{{Lu}}[\p{{L}}\p{{M}}]*', '', 'g'), '[^\p{{Cyrillic}}]', '', 'g')) > length(regexp_replace(regexp_replace({c}, '\b[A-Z][\p{{L}}\p{{M}}]*', '', 'g'), '[^a-zà-ÿ]', '', 'g')) THEN 'ru' ELSE 'latin' END"
+    listed = ", ".join(f"({_quoted(l)}, {_quoted(w)})" for l, ws in pairs.FUNCTION_WORDS.items() for w in dict.fromkeys(ws))
+    language = lambda c, name: rf"""{name} AS (SELECT path, id, qq, aa, CASE WHEN s <> 'latin' THEN s WHEN n1 > n2 THEN lang END AS lang FROM (
+      SELECT path, id, qq, aa, s, lang, n AS n1, coalesce(lead(n) OVER w, 0) AS n2, row_number() OVER w AS r FROM (
+        SELECT path, id, qq, aa, s, f.lang, count(f.lang) AS n FROM (SELECT path, id, coalesce(q, '') AS qq, coalesce(a, '') AS aa, {bare_script(c)} AS s, unnest(list_append({words(f"replace(replace({c}, '''', ' '), '’', ' ')")}, '')) AS w FROM d) LEFT JOIN f ON f.word = w GROUP BY ALL)
+      WINDOW w AS (PARTITION BY path, id, qq, aa ORDER BY n DESC, lang)) WHERE r = 1)"""
+    more = lambda a, b: f"length(translate(sa, '{a}', '')) < length(translate(sa, '{b}', ''))"
+    return rf"""
+  WITH f(lang, word) AS (VALUES {listed}),
+  a AS (SELECT path, id, q, a, regexp_matches(coalesce(q, ''), {neg}) AS neg, {shown('a')} AS sa, regexp_replace({shown('q')}, {neg}, '') AS sq FROM (SELECT DISTINCT path, id, q, a FROM tests)),
+  b AS (SELECT *, {words('sa')} AS w, {words('sq')} AS asked, {words("regexp_replace(sa, '^(?i:a|q|answer|question|antwort|réponse|respuesta|ответ|答え?)" + chr(92) + "s*[:：]" + chr(92) + "s*', '')")} AS said,
+      regexp_replace(lower(sa), '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g') AS bare, regexp_matches(sa, '[\x{{3040}}-\x{{30FF}}]') AS kana FROM a),
+  c AS (SELECT *, {joined('w')} AS t, len(w) = 0 OR bare IN ({', '.join(map(_quoted, pairs.PLACEHOLDERS))}) AS empty, regexp_replace(replace(bare, '''', ''), '[^a-z]+', '-', 'g') = 'dont-know' AS sentinel,
+      len(asked) > 0 AND len(said) > 0 AND array_to_string(said, ' ') = rtrim(repeat(array_to_string(asked, ' ') || ' ', (len(said) // greatest(len(asked), 1))::INT)) AS copies,
+      regexp_matches(sa, '[.!?。！？؟।]["''”’»」』）)\]*_]*$') AND NOT regexp_matches(sa, '(?:\.\.|…)[^\p{{L}}\p{{N}}]*$') AS ends,
+      len(w) >= 4 OR (kana AND length(array_to_string(w, '')) >= 5) AS spoken, (len(w) > 1 AND w[-1] IN ({', '.join(sorted(set(map(_quoted, pairs.OPEN_WORDS))))})) OR (kana AND regexp_matches(bare, '(?:{'|'.join(pairs.JA_PARTICLES)})$')) AS dangling,
+      {more('(（', ')）')} OR {more('[', ']')} OR {more('「', '」')} OR {more('«', '»')} AS opened,
+      trim(regexp_replace(regexp_replace(sa, {_quoted(quoted)}, ' ', 'g'), {_quoted(file)}, ' ', 'g')) AS content, regexp_replace(sq, {_quoted(file)}, ' ', 'g') AS ask FROM b),
+  d AS (SELECT *, empty OR sentinel OR copies AS other, {said(unwilling, pairs.UNWILLING_JA)} AND {said(pairs.ACTS, pairs.ACTS_JA)} AND (kana OR {said(pairs.SELF)}) AS declines FROM c),
+  {language('ask', 'lq')}, {language('content', 'la')}
+  SELECT path, id, 'empty' AS defect FROM d WHERE empty
+  UNION SELECT path, id, 'copies_question' FROM d WHERE copies AND NOT empty
+  UNION SELECT path, id, 'refusal' FROM d WHERE sentinel AND NOT neg OR NOT other AND declines
+  UNION SELECT path, id, 'truncated' FROM d WHERE NOT other AND (NOT ends AND (spoken OR dangling) OR opened)
+  UNION SELECT path, id, 'other_language' FROM (SELECT d.*, la.lang AS ll, lq.lang AS lk FROM d JOIN la ON la.path = d.path AND la.id = d.id AND la.qq = coalesce(d.q, '') AND la.aa = coalesce(d.a, '') JOIN lq ON lq.path = d.path AND lq.id = d.id AND lq.qq = coalesce(d.q, '') AND lq.aa = coalesce(d.a, ''))
+    WHERE NOT other AND NOT declines AND regexp_matches(content, '\p{{Ll}}|\p{{Lo}}') AND (len({words('content')}) > 1 OR {bare_script('content')} <> 'latin') AND ll <> lk"""
+
+
 QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_percentiles, p3_days, p3_within, p5_found, p5_by_deltas, p7_found, p7_items, p8_found, p8_shares, p8_mix, p9_found, p9_lengths)}
 
 ORACLE = {
+    "p1_found": _pairs_sql(),
+    "p1_report": f"SELECT defect, count(*) AS n_pairs FROM ({_pairs_sql()}) GROUP BY defect",
     "p3_found": f"""
       SELECT topic_hint, decided_source FROM ({_DURATIONS}) WHERE topic_hint IS NOT NULL AND decided_source IS NOT NULL
       GROUP BY ALL HAVING count(*) >= 30 AND quantile_disc(duration_ms, 0.95) >= 8 * quantile_disc(duration_ms, 0.5)""",
