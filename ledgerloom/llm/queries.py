@@ -167,6 +167,15 @@ def p9_lengths(spark: SparkSession, sf: str) -> DataFrame:
     return p9_found(spark, sf).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_units"), F.sum(size).alias("n_chars"), F.max(size).alias("longest"))
 
 
+def p9_planted(spark: SparkSession, sf: str) -> DataFrame:
+    """Units of texts put together from the questions of the tests, so that every unit is known: a heading, a paragraph with
+    the question twice (without a blank between where its script has none), and a list item."""
+    q = F.col("q")
+    asked = table(spark, sf, "tests").where(q.rlike(r"^[^\s\p{Ll}][^\n.!]*[?？]$")).select("q").distinct()
+    text = F.concat(F.lit("# Title\n\n"), q, F.when(q.endswith("？"), F.lit("")).otherwise(F.lit(" ")), q, F.lit("\n\n- "), q)
+    return sentences(asked.withColumn("text", text), keys=("q",))
+
+
 _PLAIN = "nullif(lower(trim({0}, ' ')), '')"
 _TERMS = f"""
   WITH r AS (SELECT DISTINCT rec_id, topic_hint, reconciliation_pattern, decided_source FROM recall_log),
@@ -240,7 +249,7 @@ def _pairs_sql() -> str:
     WHERE NOT other AND NOT declines AND regexp_matches(content, '\p{{Ll}}|\p{{Lo}}') AND (len({words('content')}) > 1 OR {bare_script('content')} <> 'latin') AND ll <> lk"""
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_percentiles, p3_days, p3_within, p5_found, p5_by_deltas, p7_found, p7_items, p8_found, p8_shares, p8_mix, p9_found, p9_lengths)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_percentiles, p3_days, p3_within, p5_found, p5_by_deltas, p7_found, p7_items, p8_found, p8_shares, p8_mix, p9_found, p9_lengths, p9_planted)}
 
 ORACLE = {
     "p1_found": _pairs_sql(),
@@ -259,6 +268,10 @@ ORACLE = {
     "p3_within": f"""
       SELECT decided_source, count(*) AS n, count(*) >= {2 * SMALL_K} AS collapsed, true AS bounded, true AS within
       FROM ({_DURATIONS}) WHERE decided_source IS NOT NULL GROUP BY decided_source""",
+    "p9_planted": r"""
+      WITH t AS (SELECT DISTINCT q, length(q) AS n, CASE WHEN q LIKE '%？' THEN 0 ELSE 1 END AS gap FROM tests WHERE regexp_matches(q, '^[^\s\p{Ll}][^\n.!]*[?？]$'))
+      SELECT q, 2 AS start_pos, 7 AS end_pos FROM t UNION ALL SELECT q, 9, 9 + n FROM t UNION ALL SELECT q, 9 + n + gap, 9 + 2 * n + gap FROM t
+      UNION ALL SELECT q, 13 + 2 * n + gap, 13 + 3 * n + gap FROM t""",
     "p5_found": _TERMS,
     "p5_by_deltas": _TERMS,
     "p7_found": _LEAKS,
