@@ -62,7 +62,7 @@ def _index(spark: SparkSession, a: argparse.Namespace) -> int:
             docs = written(docs, "documents")
             own = docs if a.keep_views else docs.where(name(F.col("path")) != "INDEX.md")
             views = written(folders.folder_views(docs, "summary"), "views")
-            found = links.body_edges(own).unionByName(links.frontmatter_edges(own)).unionByName(links.hub_edges(docs))
+            found = links.body_edges(own, root=os.path.abspath(a.root)).unionByName(links.frontmatter_edges(own)).unionByName(links.hub_edges(docs))
             if not a.keep_views:  # generated views are pages like others, their links are the hub edges
                 blank = {c: F.lit("") for c in ("kind", "source", "ingested_at", "last_modified_at")}
                 own = own.select(*_FILES).unionByName(views.withColumns({**blank, "mtime": F.lit(began), "n_tests": F.lit(0), "frontmatter": F.lit(None).cast("string")}).select(*_FILES))

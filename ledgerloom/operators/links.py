@@ -15,15 +15,22 @@ def _stripped(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-def body_edges(docs: DataFrame, path: str = "path", body: str = "body", strip_fragment: bool = False) -> DataFrame:
-    """(src, dst, edge_type) of markdown links and wikilinks; targets under ``/`` or ``#`` are none."""
+def body_edges(docs: DataFrame, path: str = "path", body: str = "body", strip_fragment: bool = False, root: str | None = None) -> DataFrame:
+    """(src, dst, edge_type) of markdown links and wikilinks; targets under ``/`` or ``#`` are none.
+
+    A target outside the tree is an ``external_path``: absolute if the tree's ``root`` is given, else as it is written.
+    """
     found = docs.select(F.col(path).alias("src"), F.explode(F.regexp_extract_all(body, F.lit(r"\[([^\]]+)\]\(([^)]+)\)"), F.lit(2))).alias("t"))
     found = found.select("src", _stripped(F.col("t")).alias("t")).where(~F.col("t").startswith("/") & ~F.col("t").startswith("#"))
     url = F.col("t").rlike(URL)
     target = F.regexp_replace("t", "#.*$", "") if strip_fragment else F.col("t")
     found = found.select("src", "t", url.alias("url"), F.when(~url, resolved(folder(F.col("src")), target)).alias("inner"))
     kind = F.when(F.col("url"), "external_url").when(F.col("inner").isNotNull(), "md_link").otherwise("external_path")
-    links = found.select("src", F.coalesce("inner", "t").alias("dst"), kind.alias("edge_type"))
+    outside = F.col("t")
+    if root is not None:
+        base = F.when(folder(F.col("src")) == ".", F.lit(root.strip("/"))).otherwise(F.concat(F.lit(root.strip("/") + "/"), folder(F.col("src"))))
+        outside = F.when(F.col("url"), F.col("t")).otherwise(F.coalesce(F.concat(F.lit("/"), resolved(base, F.col("t"))), F.col("t")))
+    links = found.select("src", F.coalesce("inner", outside).alias("dst"), kind.alias("edge_type"))
     wiki = docs.select(F.col(path).alias("src"), F.explode(F.regexp_extract_all(body, F.lit(r"\[\[([^\]]+)\]\]"), F.lit(1))).alias("t"))
     return links.unionByName(wiki.select("src", _stripped(F.col("t")).alias("dst"), F.lit("wikilink").alias("edge_type")))
 

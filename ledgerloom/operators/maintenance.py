@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerloom.runtime import parallelism, written
+
 
 def top_urls(log: DataFrame, topics: DataFrame, k: int = 3) -> DataFrame:
     """Per topic of ``topics`` its most frequent web URL, of the k topics with the most; ties by name."""
@@ -32,8 +34,22 @@ def recurring(items: DataFrame, action: str, cycles: DataFrame, key: str = "cycl
 
 
 def numbered_cycles(log: DataFrame, key: str = "cycle_id") -> DataFrame:
-    """(key, n): cycles numbered from 0 in their order; prefix sums over hashed ranges are not needed, as a log has one row a cycle."""
-    return log.where(F.col(key).isNotNull()).select(key).distinct().withColumn("n", F.row_number().over(Window.orderBy(key)) - 1)
+    """(key, n): distinct cycles numbered from 0 in their order.
+
+    Ranges of the key are numbered each by itself; the driver adds up the sizes of the ranges, one number each.
+    """
+    spark = log.sparkSession
+    ranges = log.where(F.col(key).isNotNull()).select(key).distinct().repartitionByRange(parallelism(spark), key)
+    rows = written(ranges.withColumn("_range", F.spark_partition_id()), "cycles")
+    sizes = sorted((r["_range"], r["count"]) for r in rows.groupBy("_range").count().collect())
+    before, total = [], 0
+    for r, n in sizes:
+        before += [F.lit(r), F.lit(total)]
+        total += n
+    if not sizes:
+        return rows.select(key, F.lit(0).alias("n"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(key))
+    return rows.select(key, (F.element_at(F.create_map(*before), F.col("_range")) + within - 1).alias("n"))
 
 
 def recurring_by_audit(items: DataFrame, log: DataFrame, actions: tuple[str, ...], key: str = "cycle_id", every: int = 10, least: int = 3) -> DataFrame:

@@ -96,6 +96,12 @@ def test_links(spark):
     }
 
 
+def test_targets_outside_the_tree_are_absolute_where_its_root_is_known(spark):
+    d = spark.createDataFrame([("d/p.md", "[a](../../out.md) [b](../x.md) [c](../../../../far.md)"), ("q.md", "[d](../up.md)")], "path string, body string")
+    got = {(r.src, r.dst, r.edge_type) for r in links.body_edges(d, root="/kb/tree").collect()}
+    assert got == {("d/p.md", "/kb/out.md", "external_path"), ("d/p.md", "x.md", "md_link"), ("d/p.md", "../../../../far.md", "external_path"), ("q.md", "/kb/up.md", "external_path")}
+
+
 def test_breadth_first_search(spark):
     chain = [(f"n{i}", f"n{i + 1}") for i in range(6)] + [("n1", "n0"), ("doc", "url"), ("other", "url"), ("n2", None)]
     e = spark.createDataFrame([(a, b, "md_link") for a, b in chain], "src string, dst string, edge_type string")
