@@ -115,19 +115,16 @@ class TextIndex:
         spark = docs.sparkSession
         name = f"textindex-{_identity(docs, key, text, stem, positions)}"
         path = f"{work_dir(spark)}/{name}"
+        index = cls.of(docs, key, text, stem, positions)
         if not exists(spark, f"{path}/_SUCCESS"):
-            cls.of(docs, key, text, stem, positions).save(path)
-        return cls.open(spark, path, key, stem)
+            index.save(path)
+        return cls(spark.read.schema(f"{_ddl(index.postings)}, buckets int, bucket int").parquet(path), key, stem)
 
     def save(self, path: str, buckets: int | None = None) -> None:
         n = buckets or parallelism(self.postings.sparkSession)
         rows = self.postings.withColumn("bucket", _bucket(F.col("term"), n)).repartition(n, "bucket").sortWithinPartitions("bucket", "term")
         rows.withColumn("buckets", F.lit(n)).write.mode("overwrite").partitionBy("buckets", "bucket").parquet(path)
 
-    @classmethod
-    def open(cls, spark: SparkSession, path: str, key: str, stem: bool = False) -> TextIndex:
-        return cls(spark.read.parquet(path), key, stem)
-
     def _pruned(self, terms: list[str]) -> DataFrame:
         """Postings of the partitions that hold the given terms; all if one of them is a prefix or there are no partitions."""
         if "bucket" not in self.postings.columns or any(t.endswith("*") and len(t) > 1 for t in terms):
@@ -236,6 +233,10 @@ class TextIndex:
         return found.groupBy(self.key).agg(F.sum(weight).alias("score"))
 
 
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
 def _bucket(term: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(n)).cast("int")
 

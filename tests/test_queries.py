@@ -18,7 +18,8 @@ def test_entry(spark):
     assert entry.entry(spark).columns == ["path", "score", "text", "graph", "hier", "graph_dist"]
 
 
-EMPTY = ("p2_found", "p4_found", "p6_found", "p6_report", "bm25_topk", "folder_views", "edges_extract", "recall_totals", "source_mix", "lift_report", "knn_l2_topk", "session_debounce")
+EMPTY = ("p2_found", "p4_found", "p6_found", "p6_report", "bm25_topk", "folder_views", "edges_extract", "recall_totals", "source_mix", "lift_report", "knn_l2_topk", "session_debounce",
+         "superseded_chain", "second_probe", "lift_pairs", "verify_run", "recurring_items", "unsettled_audits", "findings_since_cycle", "followed_questions", "markdown_tree", "source_edges", "log_lines_back", "store_tables", "search_cascade", "embed_signs", "phrase_match")
 
 
 @pytest.fixture(scope="module")
