@@ -353,6 +353,8 @@ class _Evidence:
 def _toggles(s: str) -> tuple[list[int], list[int]]:
     """Places after which the set of open emphasis marks changes, and that set (as bits) from there on."""
     at, masks, mask = [], [], 0
+    if "*" not in s and "_" not in s:
+        return at, masks
     for m in _EMPHASIS.finditer(s):
         a, b = m.span()
         before, after = s[a - 1] if a else " ", s[b] if b < len(s) else " "
@@ -387,10 +389,12 @@ def cheapest(s: str, start: int, gaps: list[list[tuple[int, float]]], toggles: t
     # If the path of the strongest nodes has no cost, none is better.
     ends, here, free = [], start, True
     for gap in gaps:
-        best = max(g for _, g in gap)
+        end, best = gap[0]
+        for e, g in gap[1:]:
+            if g >= best:
+                end, best = e, g
         if best > 0:
-            end = [e for e, g in gap if g == best][-1]
-            free &= mask(end) == mask(here) and not (end - here < 24 and _abbreviated(s[here:end]))
+            free &= (not at or mask(end) == mask(here)) and not (end - here < 24 and _abbreviated(s[here:end]))
             ends.append(end)
             here = end
     if free and mask(here) == mask(n) and not (n - here < 24 and _abbreviated(s[here:])):
@@ -484,7 +488,7 @@ def split_paragraph(s: str, lattices: Lattices | None = None) -> list[tuple[int,
         if score > 0:
             unit = end
     p = 0
-    for m in _THAI_GAP.finditer(s):
+    for m in _THAI_GAP.finditer(s) if not s.isascii() and _THAI_RUN.search(s) else ():
         while p < len(pairs) and pairs[p][1] < m.start():
             p += 1
         if p == len(pairs) or m.start() < pairs[p][0]:
@@ -492,13 +496,15 @@ def split_paragraph(s: str, lattices: Lattices | None = None) -> list[tuple[int,
     # Nodes with no letter or digit between them are one gap; what has none at the end belongs to the last unit.
     gaps: list[list[tuple[int, float]]] = []
     at = start
-    for end, g in sorted(nodes):
+    nodes.sort()
+    for node in nodes:
+        end = node[0]
         if end >= n:
             break
-        if _WORDY.search(s, at, end):
-            gaps.append([])
-        if gaps:
-            gaps[-1].append((end, g))
+        if s[at].isalnum() or (end > at + 1 and s[at + 1].isalnum()) or _WORDY.search(s, at, end):
+            gaps.append([node])
+        elif gaps:
+            gaps[-1].append(node)
         at = end
     if gaps and not _WORDY.search(s, at):
         gaps.pop()
