@@ -154,19 +154,23 @@ def _stats(spark: SparkSession, a: argparse.Namespace) -> int:
     if a.json:
         _say(json.dumps(t, indent=2))
         return 0
-    _say(f"Records: {t['n']}\n\nSource mix:")
-    for r in logs.source_mix(log).collect():
-        _say(f"  {r.decided_source:10s}  {r.n:4d}  ({r.pct:.0f}%)")
-    _say(f"\nIngested: {t['ingested']} ({t['ingest_rate'] * 100:.0f}%)\nHard misses: {t['hard_misses']}\n\nTopics answered from the web:")
-    for r in t["fallbacks"]:
-        _say(f"  {r['topic']:30s}  {r['fallbacks']:3d} of {r['recalls']}")
-    _say("\nPatterns:")
-    for r in logs.pattern_top(log, "line_no").collect():
-        _say(f"  {r.pattern:40s}  {r.n:3d}")
-    _say(f"\nMean duration: {t['mean_duration_ms']:.0f} ms\nCoverage: {t['web_rate'] * 100:.0f}% from the web, {t['coverage']}")
+    share = lambda x: f"{100 * x:.1f} %"
+    _table("records", [("all", t["n"]), ("ingested", t["ingested"], share(t["ingest_rate"])), ("without an answer", t["hard_misses"]), ("mean ms", round(t["mean_duration_ms"])), ("from the web", t["coverage"], share(t["web_rate"]))])
+    _table("decided by", [(r.decided_source, r.n, f"{r.pct:.1f} %") for r in logs.source_mix(log).orderBy(F.desc("n"), "decided_source").collect()])
+    _table("web answers by topic", [(r["topic"], r["fallbacks"], f"of {r['recalls']}") for r in t["fallbacks"]])
+    _table("patterns", [(r.pattern, r.n) for r in logs.pattern_top(log, "line_no").collect()])
     return 0
 
 
+def _table(title: str, rows: list[tuple]) -> None:
+    """A titled table whose columns are as wide as what is in them: names to the left, numbers to the right."""
+    _say(title)
+    cells = [[str(x) for x in row] for row in rows]
+    width = [max(len(row[i]) for row in cells if i < len(row)) for i in range(max(map(len, cells), default=0))]
+    for row in cells:
+        _say("  " + "  ".join([row[0].ljust(width[0]), *(x.rjust(w) for x, w in zip(row[1:], width[1:]))]).rstrip())
+
+
 def _log(spark: SparkSession, a: argparse.Namespace) -> int:
     path = a.log or os.path.join(a.state, f"{a.type}-log.jsonl")
     rows = logs.last(logs.recent(jsonl.log_lines(spark, path, a.type), logs.view_since(a.since), False), a.last, "line_no")
@@ -177,13 +181,13 @@ def _log(spark: SparkSession, a: argparse.Namespace) -> int:
     else:
         n = lambda c: F.coalesce(F.size(f"actions.{c}"), F.lit(0))
         dream = F.format_string("%s  ingest=%d  repair=%d  supersede=%d  contested=%d  transient=%d  (%.1fs)", F.substring(F.coalesce("ts", F.lit("?")), 1, 19), n("coverage_ingests"), n("quality_repairs"), n("staleness_supersedes"), n("contested_resolved"), n("transients"), F.coalesce(F.col("duration_ms"), F.lit(0.0)) / 1000) if a.type == "dream" else None
-        for r in (rows.select(dream.alias("line")) if dream is not None else logs.recall_lines(rows)).collect():
+        for r in (rows.select(dream.alias("line")) if dream is not None else logs.recall_lines(rows)).toLocalIterator():
             _say(r.line)
     return 0
 
 
 def _backlinks(spark: SparkSession, a: argparse.Namespace) -> int:
-    for r in graph.backlinks(store.read(spark, a.state, "edges"), a.path).collect():
+    for r in graph.backlinks(store.read(spark, a.state, "edges"), a.path).toLocalIterator():
         _say(r.src)
     return 0
 

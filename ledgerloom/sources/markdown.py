@@ -1,8 +1,8 @@
 """A tree of markdown files with front matter and sibling test files as DataFrames.
 
-Paths are listed on the driver (folders and files whose names begin with ``_`` or ``.`` count, which
-Spark's own file listing passes over), contents are read by the executors, so the tree must be reachable
-from all of them.
+Folders and files whose names begin with ``_`` or ``.`` count, which Spark's own file listing passes over. The
+driver lists folders until it has some hundred of them, whose trees the executors then list, as they read
+the contents, so the tree must be reachable from all of them.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.runtime import parallelism
+
 FENCE = r"(?s)\A---\n(.*?)\n---\n(.*)"
 RAW = "path string, mtime double, text string, tests string"
 META = T.StructType([T.StructField("plain", T.MapType(T.StringType(), T.StringType())), T.StructField("strings", T.MapType(T.StringType(), T.ArrayType(T.StringType())))])
@@ -30,19 +32,55 @@ def _yaml(text: str):
         return None
 
 
+def _is_document(name: str) -> bool:
+    return name.endswith(".md") and not name.endswith(".tests.md")
+
+
 def listing(root: str) -> list[str]:
-    """Relative paths of all markdown files below ``root`` but test files, sorted."""
+    """Relative paths of all markdown files below ``root`` but test files, sorted; on the driver, for small trees."""
     found = []
     for folder, _, names in os.walk(root):
-        found += [os.path.relpath(os.path.join(folder, n), root) for n in names if n.endswith(".md") and not n.endswith(".tests.md")]
+        found += [os.path.relpath(os.path.join(folder, n), root) for n in names if _is_document(n)]
     return sorted(found)
 
 
+#: Folders from which on the executors list what is below.
+WIDE = 256
+
+
+def _paths(spark: SparkSession, root: str) -> DataFrame:
+    """(path) of all documents below ``root``."""
+    files: list[str] = []
+    folders = [root]
+    while folders and len(folders) < WIDE:  # one level of the tree after the other
+        below = []
+        for folder in folders:
+            with os.scandir(folder) as entries:
+                for e in entries:
+                    if e.is_dir(follow_symlinks=False):
+                        below.append(e.path)
+                    elif _is_document(e.name):
+                        files.append(os.path.relpath(e.path, root))
+        folders = below
+    near = spark.createDataFrame([(p,) for p in files], "path string")
+    if not folders:
+        return near.repartition(max(1, min(len(files) // 64 + 1, 10_000)))
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for folder in pdf["folder"]:
+                found = [os.path.relpath(os.path.join(folder, p), root) for p in listing(folder)]
+                if found:
+                    yield pd.DataFrame({"path": found})
+
+    far = spark.createDataFrame([(f,) for f in folders], "folder string").repartition(min(len(folders), 10_000)).mapInPandas(walk, "path string")
+    return near.unionByName(far).repartition(parallelism(spark))
+
+
 def raw_documents(spark: SparkSession, root: str) -> DataFrame:
     """(path, mtime, text, tests): contents decoded with replacement, line breaks as ``\\n``; tests null if there is no such file."""
     root = os.path.abspath(root)
-    paths = listing(root)
-    if not paths:
+    if not os.path.isdir(root):
         return spark.createDataFrame([], RAW)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -57,8 +95,7 @@ def raw_documents(spark: SparkSession, root: str) -> DataFrame:
             full = [os.path.join(root, p) for p in pdf["path"]]
             yield pd.DataFrame({"path": pdf["path"], "mtime": [os.path.getmtime(f) for f in full], "text": [load(f) for f in full], "tests": [load(f[:-3] + ".tests.yaml") for f in full]})
 
-    n = max(1, min(len(paths) // 64 + 1, 10_000))
-    return spark.createDataFrame([(p,) for p in paths], "path string").repartition(n).mapInPandas(read, RAW)
+    return _paths(spark, root).mapInPandas(read, RAW)
 
 
 @F.pandas_udf(META)

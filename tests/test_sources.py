@@ -40,6 +40,12 @@ def test_markdown_tree(spark, tree):
     assert markdown.raw_documents(spark, tree + "/nothing").count() == 0
 
 
+def test_wide_trees_are_listed_by_the_executors(spark, tree, monkeypatch):
+    want = sorted((r.path, r.text) for r in markdown.raw_documents(spark, tree).collect())
+    monkeypatch.setattr(markdown, "WIDE", 2)
+    assert sorted((r.path, r.text) for r in markdown.raw_documents(spark, tree).collect()) == want and len(want) == 5
+
+
 def test_folder_views(spark, tree):
     docs = markdown.split_documents(markdown.raw_documents(spark, tree))
     views = {r.path: r.body for r in folders.folder_views(docs, "summary").collect()}
