@@ -14,14 +14,13 @@ instant.
 
 from __future__ import annotations
 
-import uuid
 import zoneinfo
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.runtime import exists, hot_keys, work_dir
+from ledgerloom.runtime import exists, hot_keys, temporary
 
 # Month names in English, German, French and Spanish.
 MONTHS = {
@@ -188,7 +187,7 @@ def normalised(rows: DataFrame, path: str | None = None) -> DataFrame:
     """(src_table, field, row_key, utc_us) of ``stacked`` rows, without repeated rows."""
     spark = rows.sparkSession
     rows = rows.withColumn("source", F.concat_ws(".", "src_table", "field"))
-    book = InstantDictionary(spark, path or f"{work_dir(spark)}/instants-{uuid.uuid4().hex}")
+    book = InstantDictionary(spark, path or temporary(spark, "instants"))
     book.update(rows.select("source", "raw", "tz"))
     return book.join(rows).select("src_table", "field", "row_key", "utc_us").distinct()
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,7 +15,7 @@ from ledgerloom.operators import vectors as vec
 from ledgerloom.operators.textindex import TextIndex, parsed_query
 from ledgerloom.plans import cleaning
 from ledgerloom.plans.retrieval import _KB, _POOL, _R, _US, _by_length, _fixed, _items
-from ledgerloom.runtime import plain, remove, work_dir
+from ledgerloom.runtime import plain, remove, temporary
 from ledgerloom.sources import jsonl, markdown, store, tables
 
 QUERIES: dict = {}
@@ -149,16 +148,12 @@ def followed_questions(spark, sf):
 # ---- sources and stores
 
 
-def _shared(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @query("""
   SELECT doc_id, length(CASE WHEN regexp_matches(t, '(?s)\\A---\\n(.*?)\\n---\\n(.*)') THEN regexp_extract(t, '(?s)\\A---\\n(.*?)\\n---\\n(.*)', 2) ELSE t END) AS body_chars, (doc_id % 3)::INT AS n_tests
   FROM (SELECT DISTINCT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents WHERE text IS NOT NULL)""")
 def markdown_tree(spark, sf):
     """Documents written as a tree of files with sibling test files, listed and read again."""
-    root = _shared(spark, "tree").removeprefix("file://")
+    root = temporary(spark, "tree").removeprefix("file://")
     docs = tables.table(spark, sf, "documents").where("text is not null").select("doc_id", "text").distinct()
 
     def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -190,7 +185,7 @@ def source_edges(spark, sf):
 @query(f"SELECT coalesce(decided_source, 'unknown') AS decided_source, count(*) AS n, count(url) AS n_urls, round(sum(duration_ms), 3) AS ms FROM {_R} GROUP BY ALL")
 def log_lines_back(spark, sf):
     """The log appended as JSON lines, with broken and empty lines beside it, and read again."""
-    folder = _shared(spark, "log")
+    folder = temporary(spark, "log")
     log = tables.table(spark, sf, "recall_log").drop("log_day", "tz").distinct().drop("rec_id")
     jsonl.append(log, folder)
     spark.createDataFrame([("",), ("no json",), ("[1]",), ('{"ts": ',), ("7",)], "value string").write.mode("append").text(folder)
@@ -203,7 +198,7 @@ def log_lines_back(spark, sf):
   UNION ALL SELECT 'vectors', 0""")
 def store_tables(spark, sf):
     """A store that is replaced twice and then read: the last version's tables, and an empty one that was never written."""
-    folder = _shared(spark, "store")
+    folder = temporary(spark, "store")
     files = tables.files(spark, sf).select("path").distinct()
     for c, kind in (("kind", "string"), ("source", "string"), ("ingested_at", "string"), ("last_modified_at", "string"), ("mtime", "double"), ("n_tests", "int"), ("frontmatter", "string"), ("body", "string")):
         files = files.withColumn(c, F.lit(None).cast(kind))
@@ -282,7 +277,7 @@ def backfill_run(spark, sf):
     files = tables.files(spark, sf).where("path is not null").select("path").distinct()
     have = tables.table(spark, sf, "documents").where("path is not null").select("path").distinct().join(files, "path", "left_semi")
     vectors = have.withColumn("embedding", F.array(F.lit(0.0).cast("float")))
-    path = _shared(spark, "vectors")
+    path = temporary(spark, "vectors")
     vectors.write.parquet(path)
     read = lambda: spark.read.schema(vectors.schema).parquet(path)
     embed = vec.hashed_embedder(8, stem=False)

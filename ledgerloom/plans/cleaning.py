@@ -11,7 +11,7 @@ from ledgerloom.operators import instants
 from ledgerloom.operators.instants import InstantDictionary, normalised, stacked
 from ledgerloom.operators.nested import ACTIONS, flattened
 from ledgerloom.operators.orphans import orphan_report, orphans
-from ledgerloom.runtime import work_dir, written
+from ledgerloom.runtime import temporary, written
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -29,11 +29,9 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p2_by_days(spark: SparkSession, sf: str) -> DataFrame:
     """How many readable and unreadable values the dictionary has after the log's first days, and after the rest is added."""
-    import uuid
-
     log = table(spark, sf, "recall_log")
     rows = log.where("ts is not null").select(F.lit("recall_log.ts").alias("source"), F.col("ts").alias("raw"), "tz", "log_day")
-    book = InstantDictionary(spark, f"{work_dir(spark)}/instants-{uuid.uuid4().hex}")
+    book = InstantDictionary(spark, temporary(spark, "instants"))
     early = F.col("log_day") < F.lit("2025-07-01").cast("date")
     count = lambda step: book.table().groupBy(F.col("utc_us").isNotNull().alias("readable")).agg(F.count(F.lit(1)).alias("n")).withColumn("step", F.lit(step))
     book.update(rows.where(early))

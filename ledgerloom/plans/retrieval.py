@@ -13,7 +13,7 @@ from ledgerloom.operators import vectors as vec
 from ledgerloom.operators.nested import flattened
 from ledgerloom.operators.textindex import TextIndex, top
 from ledgerloom.plans.cleaning import _NESTED, _VALUE
-from ledgerloom.runtime import work_dir
+from ledgerloom.runtime import temporary
 from ledgerloom.sources import markdown, tables
 from ledgerloom.streaming import watch
 
@@ -511,9 +511,7 @@ def json_props(spark, sf):
 @query("SELECT count(DISTINCT (src, dst)) AS n_edges FROM edges WHERE dst IS NOT NULL AND edge_type = 'md_link'")
 def stream_edges(spark, sf):
     """Edges arriving as a stream, each micro-batch merged idempotently into a table by key."""
-    import uuid
-
-    base = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = temporary(spark, "stream")
     source = f"{sf}/edges.parquet"
     batch = spark.read.parquet(source).schema
     stream = spark.readStream.schema(batch).parquet(source if spark._jvm.java.io.File(source).isDirectory() else f"{sf}/edges*.parquet")

@@ -49,16 +49,22 @@ def work_dir(spark: SparkSession) -> str:
 _WRITTEN: list[str] = []
 
 
+def temporary(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder, to be removed as ``written`` tables are."""
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_clean, spark)
+    _WRITTEN.append(path)
+    return path
+
+
 def written(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Cut lineage with a Parquet table in the shared folder: it survives the loss of executors.
 
     Such tables are removed at the end of the process, or of the ``scratch`` block they are written in.
     """
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if not _WRITTEN:
-        atexit.register(_clean, spark)
-    _WRITTEN.append(path)
+    path = temporary(spark, name)
     w = df.write.mode("overwrite")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
