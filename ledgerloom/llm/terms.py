@@ -12,14 +12,13 @@ record counts once per term), then pre-aggregated before the shuffle, which no f
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.runtime import plain, remove, work_dir, written
+from ledgerloom.runtime import plain, remove, temporary, written
 
 #: The field under which the number of records is counted; it can be no field's name.
 RECORDS = ""
@@ -79,7 +78,7 @@ class TermCounts:
 
     def __init__(self, spark: SparkSession, path: str | None = None, per_bucket: int = 1_000_000) -> None:
         self.spark, self.per_bucket = spark, per_bucket
-        self.path, self.version, self.buckets = path or f"{work_dir(spark)}/terms-{uuid.uuid4().hex}", 0, 0
+        self.path, self.version, self.buckets = path or temporary(spark, "terms"), 0, 0
         self.folders: dict[int, int] = {}  # by partition the version that wrote it
         if path is not None:
             self._open()
