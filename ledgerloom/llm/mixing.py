@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -72,10 +72,12 @@ def _segments(targets: Sequence[tuple], schedules: Mapping[str, Sequence[tuple[f
 class Mix:
     """The plan of a mix: ``counted`` documents, ``demand`` per source, ``placed`` copies, ``report``."""
 
-    def __init__(self, docs: DataFrame, targets: DataFrame, schedules: Mapping[str, Sequence[tuple[float, float]]] | None = None, size: int | None = None, seed: int = 0, tokenizer: str = TOKENIZER) -> None:
+    def __init__(self, docs: DataFrame, targets: DataFrame, schedules: Mapping[str, Sequence[tuple[float, float]]] | None = None, size: int | None = None, seed: int = 0, tokenizer: str = TOKENIZER, measure: Column | None = None) -> None:
         spark = docs.sparkSession
         keyed = docs.select("doc_id", plain("source").alias("source"), "text")
-        self.counted = written(token_counts(keyed, ["doc_id", "source"], tokenizer=tokenizer).distinct(), "tokens")
+        # Sizes are tokens, unless another measure of a text is given.
+        sized = token_counts(keyed, ["doc_id", "source"], tokenizer=tokenizer) if measure is None else keyed.select("doc_id", "source", F.coalesce(measure, F.lit(0)).cast("bigint").alias("n_tokens"))
+        self.counted = written(sized.distinct(), "tokens")
         per_source = self.counted.groupBy("source").agg(F.sum("n_tokens").alias("supply"), F.count(F.lit(1)).alias("n_docs"))
         self.size = int(size if size is not None else self.counted.agg(F.sum("n_tokens")).first()[0] or 0)
         goals = targets.select(plain("source").alias("source"), "target_share", "max_repeats").where("source is not null").dropDuplicates(["source"])
@@ -99,9 +101,9 @@ class Mix:
         """(position, doc_id, source, copy, n_tokens), range-sorted by position."""
         n = self.counted.count()
         blocks = max(1, n // PER_BLOCK)
-        h = F.xxhash64("doc_id", F.lit(self.seed))
+        h = F.conv(F.substring(F.md5(F.concat_ws("/", F.col("doc_id").cast("string"), F.lit(str(self.seed)))), 1, 15), 16, 10).cast("bigint")  # below 2**60
         docs = self.counted.join(self.near(self.demand.where("copies > 0").select("source", "supply", "take", "copies")), "source")
-        docs = docs.withColumn("h", h).withColumn("block", F.floor((F.shiftright("h", 32) + F.lit(2**31)) / F.lit(2**32 // blocks + 1)).cast("int"))
+        docs = docs.withColumn("h", h).withColumn("block", F.floor(F.shiftright("h", 28) / F.lit(2**32 // blocks + 1)).cast("int"))
         sums = docs.groupBy("source", "block").agg(F.sum("n_tokens").alias("s"))
         before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
         sums = sums.select("source", "block", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))

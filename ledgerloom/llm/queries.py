@@ -9,7 +9,7 @@ from ledgerloom.llm import pairs
 from ledgerloom.llm import percentiles as pct
 from ledgerloom.llm import terms
 from ledgerloom.llm.leakage import leaks
-from ledgerloom.llm.mixing import Mix
+from ledgerloom.llm.mixing import Mix, _segments
 from ledgerloom.llm.pairs import defects
 from ledgerloom.llm.sentences import sentences
 from ledgerloom.runtime import plain, written
@@ -154,6 +154,12 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf).report().where("short").select("source")
 
 
+def p8_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    """The mix with sizes in bytes, which SQL can count too: every copy and its position."""
+    mix = Mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"), CURRICULUM, measure=F.octet_length("text"))
+    return mix.placed().select(F.round("position", 5).alias("position"), "doc_id", "source", "copy", F.col("n_tokens").alias("n_bytes"))
+
+
 # ---- p9: sentence units
 
 
@@ -249,7 +255,21 @@ def _pairs_sql() -> str:
     WHERE NOT other AND NOT declines AND regexp_matches(content, '\p{{Ll}}|\p{{Lo}}') AND (len({words('content')}) > 1 OR {bare_script('content')} <> 'latin') AND ll <> lk"""
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_percentiles, p3_days, p3_within, p5_found, p5_by_deltas, p7_found, p7_items, p8_found, p8_shares, p8_mix, p9_found, p9_lengths, p9_planted)}
+def _mix_sql() -> str:
+    pieces = ", ".join(str(x) for x in _segments([(s,) for s in CURRICULUM], CURRICULUM))
+    return f"""
+  WITH pieces(source, f0, f1, t0, t1, w0, w1) AS (SELECT c0, c1::DOUBLE, c2::DOUBLE, c3::DOUBLE, c4::DOUBLE, c5::DOUBLE, c6::DOUBLE FROM (VALUES {pieces}) v(c0, c1, c2, c3, c4, c5, c6)),
+  d AS (SELECT DISTINCT doc_id, {_PLAIN.format('source')} AS source, coalesce(strlen(text), 0)::BIGINT AS n FROM documents),
+  s AS (SELECT source, sum(n)::BIGINT AS supply FROM d GROUP BY source),
+  g AS (SELECT source, supply, least(target_share * (SELECT sum(n) FROM d)::DOUBLE, (supply * max_repeats)::DOUBLE) AS take
+        FROM (SELECT DISTINCT {_PLAIN.format('source')} AS source, target_share, max_repeats FROM mix_targets) JOIN s USING (source) WHERE source IS NOT NULL),
+  o AS (SELECT d.*, supply, take, coalesce(sum(n) OVER (PARTITION BY source ORDER BY ('0x' || substr(md5(doc_id || '/0'), 1, 15))::BIGINT, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM d JOIN g USING (source)),
+  c AS (SELECT *, (copy * supply + before) / take AS f FROM (SELECT *, unnest(range(ceil(take / supply)::BIGINT)) AS copy FROM o WHERE take > 0) WHERE copy * supply + before < take),
+  p AS (SELECT c.*, coalesce(f0, 0e0) AS f0, coalesce(t0, 0e0) AS t0, coalesce(t1, 1e0) AS t1, coalesce(w0, 1e0) AS w0, coalesce(w1, 1e0) AS w1 FROM c LEFT JOIN pieces ON pieces.source = c.source AND f >= pieces.f0 AND f < pieces.f1)
+  SELECT round(t0 + least(t1 - t0, CASE WHEN f <= f0 THEN 0e0 ELSE 2 * (f - f0) / (w0 + sqrt(greatest(0e0, w0 * w0 + 2 * (w1 - w0) / (t1 - t0) * (f - f0)))) END), 5) AS position, doc_id, source, copy::INT AS copy, n AS n_bytes FROM p"""
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_percentiles, p3_days, p3_within, p5_found, p5_by_deltas, p7_found, p7_items, p8_found, p8_shares, p8_mix, p8_bytes, p9_found, p9_lengths, p9_planted)}
 
 ORACLE = {
     "p1_found": _pairs_sql(),
@@ -268,6 +288,7 @@ ORACLE = {
     "p3_within": f"""
       SELECT decided_source, count(*) AS n, count(*) >= {2 * SMALL_K} AS collapsed, true AS bounded, true AS within
       FROM ({_DURATIONS}) WHERE decided_source IS NOT NULL GROUP BY decided_source""",
+    "p8_bytes": _mix_sql(),
     "p9_planted": r"""
       WITH t AS (SELECT DISTINCT q, length(q) AS n, CASE WHEN q LIKE '%？' THEN 0 ELSE 1 END AS gap FROM tests WHERE regexp_matches(q, '^[^\s\p{Ll}][^\n.!]*[?？]$'))
       SELECT q, 2 AS start_pos, 7 AS end_pos FROM t UNION ALL SELECT q, 9, 9 + n FROM t UNION ALL SELECT q, 9 + n + gap, 9 + 2 * n + gap FROM t
